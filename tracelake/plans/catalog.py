@@ -1,11 +1,435 @@
-"""All queries of the trace engine by name, with their SQL."""
+"""All queries of the trace engine by name, with their SQL over the driver's tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracelake.functions import scalars
+from tracelake.functions.adapter import EVENTS_SQL, ORDER_SQL, trace_events
+from tracelake.operators import checks, dependencies, ordering, pairing, printing, snapshots, statistics, timelines
+from tracelake.plans.filterlang import compile_filter
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+DAY = 86_400_000_000_000
+#: 2024-01-01, where the driver's events begin.
+EPOCH = 1_704_067_200_000_000_000
+T1, T2 = EPOCH + 2 * DAY, EPOCH + 5 * DAY
+
+
+def query(sql: str | None = None, events: bool = True):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = f"WITH {EVENTS_SQL}{sql}" if events else sql
+        return f
+
+    return add
+
+
+def on_events(sql: str | None = None):
+    """A query whose function takes the event table."""
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(trace_events(spark, sf_dir))
+
+        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        query(sql)(run)
+        return f
+
+    return add
+
+
+LISTED = ("id", "trace_id", "cpu", "event_name", "time_ns", "pid")
+LISTED_SQL = "id, trace_id, cpu, event_name, time_ns, pid"
+
+
+@on_events(f" SELECT {LISTED_SQL} FROM ev")
+def event_listing(e):
+    return e.select(*LISTED)
+
+
+@on_events(f" SELECT {LISTED_SQL} FROM ev WHERE pid < 10 AND (event_name = 'syscall_entry' OR cpu = 2)")
+def event_listing_filtered(e):
+    return e.where(compile_filter("state.pid < 10 & (event.name = kernel.syscall_entry | state.cpu = 2)")).select(*LISTED)
+
+
+@on_events(f" SELECT {LISTED_SQL} FROM ev WHERE ((event_name = 'irq_entry') <> (cpu = 1)) AND NOT (pid >= 20 OR channel <> 'kernel')")
+def event_listing_filter_xor_not(e):
+    return e.where(compile_filter("[event.subname=irq_entry ^ state.cpu=1] & !{state.pid>=20 | channel.name!=kernel}")).select(*LISTED)
+
+
+@on_events(f" SELECT {LISTED_SQL} FROM ev WHERE cpu = 0 AND (pid < 8 OR k = 3)")
+def event_listing_filter_compat(e):
+    """No precedence: a & b | c is a & (b | c)."""
+    return e.where(compile_filter("state.cpu = 0 & state.pid < 8 | state.pid = 99999", compat=True) | (compile_filter("state.cpu=0 & event.field.k=3"))).select(*LISTED)
+
+
+@on_events(f" SELECT {LISTED_SQL} FROM ev WHERE k > 90")
+def event_field_filter(e):
+    return e.where(compile_filter("event.field.k > 90")).select(*LISTED)
+
+
+@on_events(f" SELECT {LISTED_SQL} FROM ev WHERE time_ns >= {T1} AND time_ns < {T2}")
+def time_range_events(e):
+    return ordering.time_range(e, T1, T2).select(*LISTED)
+
+
+@on_events(f" SELECT {LISTED_SQL} FROM ev ORDER BY {ORDER_SQL} LIMIT 100")
+def first_n_events(e):
+    return ordering.first_events(e, 100).select(*LISTED)
+
+
+@on_events(f" SELECT {LISTED_SQL} FROM ev WHERE time_ns >= {T1} ORDER BY {ORDER_SQL} LIMIT 50")
+def seek_n_forward(e):
+    return ordering.seek_forward(e, (T1, -1, -1, -1, -1), 50).select(*LISTED)
+
+
+@on_events(f" SELECT {LISTED_SQL} FROM ev WHERE time_ns < {T2} AND event_name = 'irq_exit' ORDER BY time_ns DESC, tracefile_id DESC, trace_id DESC, block DESC, \"offset\" DESC LIMIT 50")
+def seek_n_backward(e):
+    return ordering.seek_backward(e.where(compile_filter("event.subname=irq_exit")), (T2, -1, -1, -1, -1), 50).select(*LISTED)
+
+
+@on_events(f" SELECT {LISTED_SQL} FROM ev WHERE time_ns >= {T1} ORDER BY {ORDER_SQL} LIMIT 1")
+def event_at_or_after(e):
+    return ordering.at_or_after(e, T1).select(*LISTED)
+
+
+@on_events(f" SELECT id, row_number() OVER (ORDER BY {ORDER_SQL}) AS rank FROM ev")
+def event_rank(e):
+    return ordering.ranked(e).select("id", "rank")
+
+
+@on_events(
+    """, l AS (SELECT *, lag(time_ns) OVER (PARTITION BY trace_id, tracefile_id ORDER BY block, "offset") AS last FROM ev)
+    SELECT trace_id, tracefile_id, count(*) AS events, count(*) FILTER (time_ns < last) AS backward, count(*) FILTER (time_ns = last) AS equal FROM l GROUP BY ALL"""
+)
+def monotonicity(e):
+    return ordering.out_of_order(e)
+
+
+@on_events(" SELECT trace_id, min(time_ns) AS start_ns, max(time_ns) AS end_ns FROM ev GROUP BY ROLLUP (trace_id)")
+def time_span(e):
+    return e.rollup("trace_id").agg(F.min("time_ns").alias("start_ns"), F.max("time_ns").alias("end_ns"))
+
+
+@on_events(" SELECT count(*) AS events FROM ev")
+def event_count_total(e):
+    return statistics.event_counts(e)
+
+
+@on_events(" SELECT trace_id, count(*) AS events FROM ev GROUP BY ROLLUP (trace_id)")
+def event_count_by_trace(e):
+    return e.rollup("trace_id").agg(F.count(F.lit(1)).alias("events"))
+
+
+@on_events(f" SELECT cpu, event_name, count(*) AS events FROM ev WHERE pid < 100 AND time_ns >= {EPOCH} AND time_ns < {EPOCH + 20 * DAY} GROUP BY ALL")
+def event_counts_by_type_cpu(e):
+    """Events per CPU and type under a filter and a time window."""
+    return statistics.event_counts(ordering.time_range(e.where(compile_filter("state.pid<100")), EPOCH, EPOCH + 20 * DAY), "cpu", "event_name")
+
+
+RUNNING_SQL = f"""coalesce(last_value(CASE WHEN event_name = 'sched_schedule' THEN next_pid END IGNORE NULLS) OVER (PARTITION BY trace_id, cpu ORDER BY {ORDER_SQL} ROWS BETWEEN UNBOUNDED PRECEDING AND {{}}), 0)"""
+BEFORE_SQL, AFTER_SQL = RUNNING_SQL.format("1 PRECEDING"), RUNNING_SQL.format("CURRENT ROW")
+
+
+@on_events(f", r AS (SELECT *, {AFTER_SQL} AS running_pid FROM ev) SELECT trace_id, running_pid, cpu, event_name, count(*) AS events FROM r GROUP BY ALL")
+def event_counts_by_process(e):
+    return statistics.event_counts(pairing.running_process(e, after=True), "trace_id", "running_pid", "cpu", "event_name")
+
+
+HISTOGRAM = (EPOCH, EPOCH + 30 * DAY, 200)
+
+
+@on_events(
+    f", c AS (SELECT (time_ns - {EPOCH}) * 200 // {30 * DAY} AS bin, count(*) AS n FROM ev WHERE time_ns >= {EPOCH} AND time_ns < {EPOCH + 30 * DAY} GROUP BY 1) SELECT r.bin, coalesce(n, 0) AS events FROM range(200) r(bin) LEFT JOIN c ON c.bin = r.bin"
+)
+def event_density_histogram(e):
+    return statistics.density_histogram(e, *HISTOGRAM)
+
+
+@on_events(f" SELECT id, {BEFORE_SQL} AS running_pid FROM ev")
+def running_process_asof(e):
+    return pairing.running_process(e).select("id", "running_pid")
+
+
+@on_events(f" SELECT id, coalesce(last_value(CASE WHEN event_name = 'syscall_entry' THEN 'prog' || (k % 7) END IGNORE NULLS) OVER (PARTITION BY trace_id, pid ORDER BY {ORDER_SQL} ROWS UNBOUNDED PRECEDING), 'UNNAMED') AS process_name FROM ev")
+def process_name_asof(e):
+    """The latest name that a process took, as by exec."""
+    taken = F.when(F.col("event_name") == "syscall_entry", F.concat(F.lit("prog"), (F.col("k") % 7).cast("string")))
+    return pairing.as_of(e, taken, "process_name", "trace_id", "pid").select("id", F.coalesce("process_name", F.lit("UNNAMED")).alias("process_name"))
+
+
+@query(", n AS (SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_nationkey < 12) SELECT ev.id, coalesce(name, 'syscall ' || syscall_id) AS syscall FROM ev LEFT JOIN n ON n.id = syscall_id WHERE event_name = 'syscall_entry'")
+def syscall_name_lookup(spark, sf_dir):
+    names = spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_nationkey < 12").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    return pairing.with_names(trace_events(spark, sf_dir).where("event_name = 'syscall_entry'"), names, "syscall_id", "syscall", "syscall").select("id", "syscall")
+
+
+@on_events(
+    f""", f AS (SELECT *, k % 8 AS fd FROM ev) SELECT id, last_value(CASE WHEN event_name = 'syscall_entry' THEN 'file' || k END IGNORE NULLS) OVER (PARTITION BY trace_id, pid, fd ORDER BY {ORDER_SQL} ROWS UNBOUNDED PRECEDING) AS filename FROM f"""
+)
+def fd_filename_asof(e):
+    named = F.when(F.col("event_name") == "syscall_entry", F.concat(F.lit("file"), F.col("k").cast("string")))
+    return pairing.as_of(e.withColumn("fd", F.col("k") % 8), named, "filename", "trace_id", "pid", "fd").select("id", "filename")
+
+
+def _brackets_sql(entry: str, exit: str, keys: str) -> str:
+    w = f"OVER (PARTITION BY {keys} ORDER BY {ORDER_SQL} ROWS UNBOUNDED PRECEDING)"
+    return f""", b0 AS (SELECT *, CASE event_name WHEN '{entry}' THEN 1 ELSE -1 END AS step FROM ev WHERE event_name IN ('{entry}', '{exit}')),
+    b1 AS (SELECT *, sum(step) {w} AS s FROM b0), b2 AS (SELECT *, least(min(s) {w}, 0) AS low FROM b1),
+    b3 AS (SELECT *, lag(low, 1, 0) OVER (PARTITION BY {keys} ORDER BY {ORDER_SQL}) AS was FROM b2),
+    b4 AS (SELECT *, CAST(s - low + CASE WHEN step = -1 THEN 1 ELSE 0 END AS BIGINT) AS depth FROM b3 WHERE NOT (step = -1 AND low < was)),
+    b5 AS (SELECT *, lead(time_ns) OVER w AS end_ns, lead(id) OVER w AS exit_id FROM b4 WINDOW w AS (PARTITION BY {keys}, depth ORDER BY {ORDER_SQL})),
+    br AS (SELECT * FROM b5 WHERE step = 1)"""
+
+
+SYSCALLS_SQL, IRQS_SQL = _brackets_sql("syscall_entry", "syscall_exit", "trace_id, pid"), _brackets_sql("irq_entry", "irq_exit", "trace_id, cpu")
+
+
+def _irqs(e):
+    return pairing.brackets(e, "irq_entry", "irq_exit", "trace_id", "cpu")
+
+
+def _syscalls(e):
+    return pairing.brackets(e, "syscall_entry", "syscall_exit", "trace_id", "pid")
+
+
+@on_events(SYSCALLS_SQL + " SELECT id, trace_id, pid, syscall_id, time_ns AS start_ns, end_ns, exit_id, depth FROM br")
+def syscall_intervals(e):
+    return _syscalls(e).select("id", "trace_id", "pid", "syscall_id", F.col("time_ns").alias("start_ns"), "end_ns", "exit_id", "depth")
+
+
+@on_events(IRQS_SQL + " SELECT id, exit_id, irq_id, end_ns - time_ns AS duration_ns FROM br WHERE end_ns IS NOT NULL")
+def irq_pairs_lifo(e):
+    return _irqs(e).where("end_ns is not null").select("id", "exit_id", "irq_id", (F.col("end_ns") - F.col("time_ns")).alias("duration_ns"))
+
+
+@on_events(
+    f""", k AS (SELECT *, row_number() OVER (PARTITION BY trace_id, cpu, event_name ORDER BY {ORDER_SQL}) AS nth FROM ev)
+    SELECT a.id, b.id AS exit_id, a.irq_id, b.time_ns - a.time_ns AS duration_ns FROM k a JOIN k b USING (trace_id, cpu, nth) WHERE a.event_name = 'irq_entry' AND b.event_name = 'irq_exit'"""
+)
+def irq_pairs_fifo(e):
+    return pairing.pairs_fifo(e, "irq_entry", "irq_exit", "trace_id", "cpu").select("id", "exit_id", "irq_id", (F.col("end_ns") - F.col("time_ns")).alias("duration_ns"))
+
+
+IRQ_SQL = IRQS_SQL + """, d AS (SELECT *, end_ns - time_ns AS d FROM br WHERE end_ns IS NOT NULL), win AS (SELECT max(end_ns) - min(time_ns) AS width FROM d),
+    g AS (SELECT irq_id, count(*) AS n, CAST(sum(d) AS BIGINT) AS total_ns, max(d) AS max_ns, min(d) AS min_ns FROM d GROUP BY 1),
+    h AS (SELECT *, CAST(floor(n * 1e9 / width) AS BIGINT) AS hz FROM g, win)"""
+
+
+@on_events(IRQ_SQL + " SELECT irq_id, n, total_ns, max_ns, min_ns, total_ns // n AS avg_ns, hz, CASE WHEN hz > 0 THEN CAST(floor(1e9 / hz) AS BIGINT) ELSE 0 END AS period_ns FROM h")
+def irq_statistics(e):
+    return statistics.irq_statistics(_irqs(e)).select("irq_id", "n", "total_ns", "max_ns", "min_ns", "avg_ns", "hz", "period_ns")
+
+
+@on_events(IRQ_SQL + " SELECT d.irq_id, CAST(round(stddev_pop(d) / 1e6) AS BIGINT) AS duration_sd_ms, CAST(round(sqrt(avg((d - hz)::DOUBLE ** 2)) / 1e6) AS BIGINT) AS hz_sd_ms FROM d JOIN h USING (irq_id) GROUP BY 1")
+def irq_stdev(e):
+    return statistics.irq_statistics(_irqs(e)).select("irq_id", F.round(F.col("duration_sd") / 1e6).cast("bigint").alias("duration_sd_ms"), F.round(F.col("hz_sd") / 1e6).cast("bigint").alias("hz_sd_ms"))
+
+
+@query(
+    """SELECT l_suppkey % 16 AS disk, CAST(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity::BIGINT * 512 ELSE 0 END) AS BIGINT) AS bytes_read, count(*) FILTER (l_returnflag = 'R') AS reads,
+    CAST(sum(CASE WHEN l_returnflag <> 'R' THEN l_quantity::BIGINT * 512 ELSE 0 END) AS BIGINT) AS bytes_written, count(*) FILTER (l_returnflag <> 'R') AS writes,
+    CAST(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity::BIGINT * 512 ELSE 0 END) AS BIGINT) * 1000000000 // 60000000000 AS read_per_s,
+    CAST(sum(CASE WHEN l_returnflag <> 'R' THEN l_quantity::BIGINT * 512 ELSE 0 END) AS BIGINT) * 1000000000 // 60000000000 AS written_per_s FROM lineitem GROUP BY 1""",
+    events=False,
+)
+def disk_performance(spark, sf_dir):
+    """Line items as sized operations on sixteen disks."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    ops = items.select((F.col("l_suppkey") % 16).alias("disk"), F.when(F.col("l_returnflag") == "R", "read").otherwise("write").alias("op"), (F.col("l_quantity").cast("bigint") * 512).alias("bytes"))
+    return statistics.disk_performance(ops, 60_000_000_000)
+
+
+def _islands_sql(source: str, state: str, keys: str, where: str = "TRUE") -> str:
+    w = f"(PARTITION BY {keys} ORDER BY {ORDER_SQL} ROWS UNBOUNDED PRECEDING)"
+    return f""", i1 AS (SELECT *, last_value({state} IGNORE NULLS) OVER {w} AS state FROM {source} WHERE {where}), i2 AS (SELECT * FROM i1 WHERE state IS NOT NULL),
+    i3 AS (SELECT *, CASE WHEN lag(state) OVER (PARTITION BY {keys} ORDER BY {ORDER_SQL}) = state THEN 0 ELSE 1 END AS fresh FROM i2), i4 AS (SELECT *, sum(fresh) OVER {w} AS run FROM i3),
+    i5 AS (SELECT {keys}, run, state, min(time_ns) AS start_ns, count(*) AS events FROM i4 GROUP BY ALL)
+    SELECT {keys}, state, start_ns, events, lead(start_ns) OVER (PARTITION BY {keys} ORDER BY run) AS end_ns FROM i5"""
+
+
+@on_events(_islands_sql("ev", "CASE WHEN event_name = 'irq_entry' THEN 'irq' WHEN event_name = 'syscall_entry' THEN 'syscall' WHEN event_name = 'sched_schedule' AND next_pid = 0 THEN 'idle' ELSE 'busy' END", "trace_id, cpu"))
+def cpu_timeline(e):
+    return timelines.cpu_timeline(e)
+
+
+@on_events(_islands_sql("ev", "CASE WHEN event_name = 'irq_entry' THEN 'busy' ELSE 'idle' END", "trace_id, irq_id", "event_name IN ('irq_entry', 'irq_exit')"))
+def irq_timeline(e):
+    return timelines.irq_timeline(e)
+
+
+def _renamed(e, names: dict[str, str]) -> DataFrame:
+    """Events of some types read as others, for the operators whose events the driver's table has no type of."""
+    kind = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("event_name")]
+    return e.withColumn("event_name", kind).where("event_name is not null")
+
+
+SOFT = {"sched_schedule": "softirq_raise", "irq_entry": "softirq_entry", "irq_exit": "softirq_exit"}
+SOFT_SQL = f""", q0 AS (SELECT *, irq_id AS softirq_id, CASE event_name WHEN 'irq_entry' THEN 1 WHEN 'irq_exit' THEN -1 ELSE 0 END AS step FROM ev WHERE event_name IN ('sched_schedule', 'irq_entry', 'irq_exit')),
+    q1 AS (SELECT *, sum(step) OVER w AS s, last_value(CASE event_name WHEN 'sched_schedule' THEN TRUE WHEN 'irq_entry' THEN FALSE END IGNORE NULLS) OVER w AS pending FROM q0 WINDOW w AS (PARTITION BY trace_id, softirq_id ORDER BY {ORDER_SQL} ROWS UNBOUNDED PRECEDING)),
+    q2 AS (SELECT *, s - least(min(s) OVER (PARTITION BY trace_id, softirq_id ORDER BY {ORDER_SQL} ROWS UNBOUNDED PRECEDING), 0) AS running FROM q1)"""
+
+
+@on_events(SOFT_SQL + _islands_sql("q2", "CASE WHEN running > 0 THEN 'running' WHEN pending THEN 'pending' ELSE 'idle' END", "trace_id, softirq_id"))
+def softirq_timeline(e):
+    return timelines.softirq_timeline(_renamed(e, SOFT).withColumn("softirq_id", F.col("irq_id")))
+
+
+TRAP_SQL = f""", q0 AS (SELECT *, k % 6 AS trap_id, CASE event_name WHEN 'syscall_entry' THEN 1 ELSE -1 END AS step FROM ev WHERE event_name IN ('syscall_entry', 'syscall_exit')),
+    q1 AS (SELECT *, sum(step) OVER (PARTITION BY trace_id, trap_id ORDER BY {ORDER_SQL} ROWS UNBOUNDED PRECEDING) AS s FROM q0),
+    q2 AS (SELECT *, s - least(min(s) OVER (PARTITION BY trace_id, trap_id ORDER BY {ORDER_SQL} ROWS UNBOUNDED PRECEDING), 0) AS running FROM q1)"""
+
+
+@on_events(TRAP_SQL + _islands_sql("q2", "CASE WHEN running > 0 THEN 'busy' ELSE 'idle' END", "trace_id, trap_id"))
+def trap_timeline(e):
+    return timelines.trap_timeline(_renamed(e, {"syscall_entry": "trap_entry", "syscall_exit": "trap_exit"}).withColumn("trap_id", F.col("k") % 6))
+
+
+@on_events(
+    ", q AS (SELECT *, k // 25 AS major, k % 4 AS minor, pid % 2 AS direction FROM ev)" + _islands_sql("q", "CASE WHEN event_name = 'irq_entry' AND direction = 0 THEN 'reading' WHEN event_name = 'irq_entry' THEN 'writing' ELSE 'idle' END", "trace_id, major, minor", "event_name IN ('irq_entry', 'irq_exit')")
+)
+def bdev_timeline(e):
+    own = _renamed(e, {"irq_entry": "_blk_request_issue", "irq_exit": "_blk_request_complete"})
+    return timelines.bdev_timeline(own.withColumn("major", F.expr("k div 25")).withColumn("minor", F.col("k") % 4).withColumn("direction", F.col("pid") % 2))
+
+
+SWITCH_SQL = f""", sw AS (SELECT trace_id, cpu, time_ns, tracefile_id, block, "offset", 0 AS turn, pid, CASE WHEN prev_state = 0 THEN 'WAIT_CPU' ELSE 'WAIT' END AS status FROM ev WHERE event_name = 'sched_schedule'
+    UNION ALL SELECT trace_id, cpu, time_ns, tracefile_id, block, "offset", 1, next_pid, 'RUN' FROM ev WHERE event_name = 'sched_schedule'),
+    pt AS (SELECT trace_id, pid, cpu, status, time_ns AS start_ns, lead(time_ns) OVER (PARTITION BY trace_id, pid ORDER BY {ORDER_SQL}, turn) AS end_ns, "offset" AS event_id, turn FROM sw)"""
+
+
+@on_events(SWITCH_SQL + " SELECT * FROM pt")
+def process_timeline(e):
+    return timelines.process_timeline(e)
+
+
+SLICES_SQL = f""", sl AS (SELECT trace_id, cpu, {AFTER_SQL} AS running_pid, CASE event_name WHEN 'syscall_entry' THEN 'SYSCALL' WHEN 'irq_entry' THEN 'IRQ' ELSE 'USER_MODE' END AS mode,
+    CASE event_name WHEN 'syscall_entry' THEN 'syscall ' || syscall_id WHEN 'irq_entry' THEN 'irq ' || irq_id ELSE 'NONE' END AS submode, lead(time_ns) OVER (PARTITION BY trace_id, cpu ORDER BY {ORDER_SQL}) - time_ns AS d FROM ev),
+    st AS (SELECT trace_id, running_pid, cpu, mode, submode, CAST(coalesce(sum(d), 0) AS BIGINT) AS cpu_time_ns, count(*) AS events, coalesce(max(d), 0) AS longest_ns FROM sl GROUP BY ALL)"""
+
+
+@on_events(SLICES_SQL + " SELECT * FROM st")
+def process_mode_stats(e):
+    return statistics.mode_stats(e)
+
+
+@on_events(SLICES_SQL + " SELECT trace_id, running_pid, cpu, CAST(sum(cpu_time_ns) AS BIGINT) AS cpu_time_ns, CAST(sum(events) AS BIGINT) AS events FROM st GROUP BY GROUPING SETS ((trace_id, running_pid, cpu), (trace_id, running_pid), (trace_id, cpu), (trace_id), ())")
+def stats_rollup(e):
+    return statistics.stats_rollup(statistics.mode_stats(e))
+
+
+@on_events(
+    SLICES_SQL + """ SELECT '/trace' || trace_id || '/' || running_pid || '/' || cpu || '/' || mode || '/' || submode || '/cpu_time: ' || cpu_time_ns AS line FROM st
+    UNION ALL SELECT '/trace' || trace_id || '/' || running_pid || '/' || cpu || '/' || mode || '/' || submode || '/events_count: ' || events FROM st"""
+)
+def stats_path_output(e):
+    return statistics.stats_paths(statistics.mode_stats(e))
+
+
+@on_events(
+    f""", r AS (SELECT *, {AFTER_SQL} AS running_pid FROM ev) SELECT id, channel || '.' || event_name || ': ' || (time_ns // 1000000000) || '.' || lpad(CAST(time_ns % 1000000000 AS VARCHAR), 9, '0') || ' (trace' || trace_id || '/kernel_' || cpu || '), ' || running_pid || ', ' ||
+    CASE event_name WHEN 'syscall_entry' THEN 'SYSCALL' WHEN 'irq_entry' THEN 'IRQ' ELSE 'USER_MODE' END || ', ' ||
+    CASE event_name WHEN 'syscall_entry' THEN '{{ syscall_id = ' || syscall_id || ' }}' WHEN 'irq_entry' THEN '{{ irq_id = ' || irq_id || ' }}' WHEN 'sched_schedule' THEN '{{ pid = ' || pid || ', next_pid = ' || next_pid || ', prev_state = ' || prev_state || ' }}' ELSE '{{ }}' END AS line FROM r"""
+)
+def text_dump(e):
+    return printing.event_lines(statistics.slices(e)).select("id", "line")
+
+
+@on_events(f", r AS (SELECT *, {AFTER_SQL} AS running_pid, row_number() OVER (ORDER BY {ORDER_SQL}) AS rank FROM ev) SELECT rank, time_ns, trace_id, cpu, running_pid, id AS event_id FROM r WHERE rank % 501 = 0")
+def state_snapshots(e):
+    return snapshots.state_snapshots(e, 500)
+
+
+@on_events(f", r AS (SELECT *, {AFTER_SQL} AS running_pid, row_number() OVER (ORDER BY {ORDER_SQL}) AS rank FROM ev) SELECT rank, time_ns, trace_id, cpu, running_pid, id AS event_id FROM r WHERE rank % 501 = 0 AND time_ns <= {T2} ORDER BY time_ns DESC, rank DESC LIMIT 1")
+def seek_closest_state(e):
+    return snapshots.closest_snapshot(snapshots.state_snapshots(e, 500), T2)
+
+
+def _waits(e):
+    return timelines.process_timeline(e).withColumn("duration_ns", F.col("end_ns") - F.col("start_ns"))
+
+
+@on_events(SWITCH_SQL + """, d AS (SELECT *, end_ns - start_ns AS d, 'Total/' || status || '/' || cpu AS path FROM pt), n AS (SELECT trace_id, pid, d, unnest([struct_pack(node := 'Total', depth := 1), struct_pack(node := 'Total/' || status, depth := 2), struct_pack(node := path, depth := 3)]) AS x FROM d)
+    SELECT trace_id, pid, x.node AS node, x.depth AS depth, CAST(coalesce(sum(d), 0) AS BIGINT) AS total_ns, count(*) AS n FROM n GROUP BY ALL""")
+def dep_summary_tree(e):
+    return dependencies.summary_tree(_waits(e), ["trace_id", "pid"], ["status", "cpu"])
+
+
+@on_events(SWITCH_SQL + f", d AS (SELECT trace_id, pid, status, start_ns, end_ns, event_id, row_number() OVER (PARTITION BY trace_id, pid ORDER BY end_ns - start_ns DESC, start_ns, event_id) AS rank FROM pt WHERE end_ns >= {T1} AND end_ns <= {T2} AND status <> 'RUN') SELECT * FROM d WHERE rank <= 10")
+def dep_episodes(e):
+    blocked = dependencies.within(_waits(e), T1, T2).where("status <> 'RUN'")
+    return dependencies.episodes(blocked, ["trace_id", "pid"], 10).select("trace_id", "pid", "status", "start_ns", "end_ns", "event_id", "rank")
+
+
+@on_events(f""", pr AS (SELECT trace_id, next_pid AS pid, min_by(pid, (time_ns, id)) AS ppid FROM ev WHERE event_name = 'sched_schedule' AND pid < next_pid GROUP BY ALL)
+    SELECT trace_id, pid, ancestor, distance FROM (WITH RECURSIVE up AS (SELECT trace_id, pid, ppid AS ancestor, 1 AS distance FROM pr UNION ALL SELECT u.trace_id, u.pid, p.ppid, u.distance + 1 FROM up u JOIN pr p ON u.trace_id = p.trace_id AND u.ancestor = p.pid WHERE u.distance < 64) SELECT * FROM up)""")
+def process_ancestors(e):
+    """A process's parent is the one of smaller pid that first gave way to it."""
+    parents = e.where("event_name = 'sched_schedule' and pid < next_pid").groupBy("trace_id", F.col("next_pid").alias("pid")).agg(F.min_by(F.col("pid"), F.struct("time_ns", "id")).alias("ppid"))
+    return dependencies.ancestors(e.sparkSession, parents)
+
+
+def _ops(e, names: dict[str, str], column: str = "op") -> DataFrame:
+    return e.withColumn(column, F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("event_name")])
+
+
+@on_events(
+    f""", o AS (SELECT *, k % 6 AS fd, CASE event_name WHEN 'syscall_exit' THEN 'close' WHEN 'sched_schedule' THEN 'open' WHEN 'irq_entry' THEN 'read' WHEN 'irq_exit' THEN 'write' END AS op FROM ev WHERE event_name <> 'syscall_entry'),
+    l AS (SELECT *, last_value(CASE WHEN op IN ('close', 'open') THEN op END IGNORE NULLS) OVER (PARTITION BY trace_id, pid, fd ORDER BY {ORDER_SQL} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM o)
+    SELECT id, trace_id, pid, fd, op FROM l WHERE op IN ('read', 'write') AND was = 'close'"""
+)
+def fd_use_after_close(e):
+    ops = _ops(e.where("event_name <> 'syscall_entry'"), {"syscall_exit": "close", "sched_schedule": "open", "irq_entry": "read", "irq_exit": "write"}).withColumn("fd", F.col("k") % 6).withColumn("newfd", F.lit(None).cast("bigint"))
+    return checks.use_after_close(ops).select("id", "trace_id", "pid", "fd", "op")
+
+
+@on_events(
+    f""", o AS (SELECT *, CASE event_name WHEN 'syscall_exit' THEN 'chroot' WHEN 'sched_schedule' THEN 'chdir' ELSE 'open' END AS op, CASE WHEN k % 2 = 0 THEN '/' ELSE '/x' END AS path FROM ev),
+    l AS (SELECT *, last_value(CASE WHEN op = 'chroot' THEN 'jailed' WHEN op = 'chdir' AND path = '/' THEN 'safe' END IGNORE NULLS) OVER (PARTITION BY trace_id, pid ORDER BY {ORDER_SQL} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM o)
+    SELECT id, pid FROM l WHERE op = 'open' AND was = 'jailed'"""
+)
+def chroot_open_before_chdir(e):
+    ops = _ops(e, {"syscall_exit": "chroot", "sched_schedule": "chdir", "syscall_entry": "open", "irq_entry": "open", "irq_exit": "open"})
+    return checks.open_before_chdir(ops.withColumn("path", F.when(F.col("k") % 2 == 0, "/").otherwise("/x"))).select("id", "pid")
+
+
+RT = 20_000_000_000_000
+
+
+@on_events(SWITCH_SQL + f""", l AS (SELECT *, last_value(CASE WHEN status = 'RUN' THEN time_ns END IGNORE NULLS) OVER (PARTITION BY trace_id, pid ORDER BY {ORDER_SQL}, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS came FROM sw)
+    SELECT "offset" AS event_id, trace_id, pid, time_ns - came AS gap_ns, CASE WHEN status = 'RUN' THEN 'late' ELSE 'early out' END AS warning FROM l WHERE (status = 'RUN' AND time_ns - came > {RT}) OR (status <> 'RUN' AND time_ns - came < 1000000000000)""")
+def rt_late_schedule(e):
+    return checks.late_schedules(timelines.switches(e), RT, 1_000_000_000_000).select(F.col("offset").alias("event_id"), "trace_id", "pid", "gap_ns", "warning")
+
+
+@on_events()
+def lock_irq_inversion(e):
+    """One pass in order per trace; held against brute force in the tests."""
+    ops = _ops(e, {"syscall_entry": "acquire", "syscall_exit": "release", "irq_entry": "acquire", "irq_exit": "release", "sched_schedule": "sched"})
+    return checks.lock_warnings(ops.withColumn("lock", F.col("k") % 12).withColumn("read", F.col("k") % 7 == 0).withColumn("hardirqs_off", F.col("k") % 3 == 0).withColumn("hardirq_context", F.col("event_name") == "irq_entry"))
+
+
+@on_events(f" SELECT id, pid || '-' || (time_ns // 1000000000) || '.' || (time_ns % 1000000000) AS pid_time, (pid * 1048576 + k) >> 20 AS major, k AS minor, '0.0.' || (id // 256 % 256) || '.' || (id % 256) AS address, CAST(time_ns::DOUBLE * 1.5 AS BIGINT) AS stretched FROM ev WHERE id < 60000")
+def scalar_functions(e):
+    device = scalars.device(F.col("pid"), F.col("k"))
+    return e.where("id < 60000").select("id", scalars.process_key(F.col("pid"), F.col("time_ns")).alias("pid_time"), scalars.major(device).alias("major"), scalars.minor(device).alias("minor"), scalars.dotted(F.col("id")).alias("address"), scalars.time_multiplied(F.col("time_ns"), 1.5).alias("stretched"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from tracelake.plans import sync_catalog
+
+    return dict(QUERIES) | sync_catalog.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tracelake.plans import sync_catalog
+
+    return dict(SQL) | sync_catalog.SQL
+
+
