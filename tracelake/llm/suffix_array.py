@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.windows import Units, _window_hashes, applied, removals, runs, united
+from tracelake.llm.windows import Units, applied, byte_values, grams, prefix, removals, runs, united
 
 WINDOW, GRAM = 50, 20
 SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
@@ -93,64 +93,108 @@ def suffix_array(text: str) -> list[int]:
 
 
 def _cores(units: Units, segments):
-    """Windows that two distinct segments may share: per segment, its stretches of such windows (start, end in bytes)."""
-    hashes = [_window_hashes(raw, units)[0] for _, _, raw, _, _ in segments]
-    every = np.concatenate([np.unique(h) for h in hashes])
-    value, count = np.unique(every, return_counts=True)
-    shared = value[count > 1]
-    for h in hashes:
-        flags = np.isin(h, shared, kind="sort").tolist()
-        yield [(a, b) for a, b, _ in runs(flags, False)]
-
-
-def resolve(units: Units, segments):
-    """Verdicts on segments (anchor, seg, bytes, copies, least id) of whole anchors."""
-    window = units.window
-    texts: dict[bytes, list[int]] = {}  # a stretch, and the least id of the segments that hold it
-    least: dict[bytes, int] = {}
-    cores = list(_cores(units, segments))
-    for (_, _, raw, _, i), spans in zip(segments, cores, strict=True):
-        for a, b in spans:
-            piece = raw[a : b + window - 1]
-            least[piece] = i if piece not in least or least[piece] is None else least[piece] if i is None else min(least[piece], i)
-    pieces = list(least)
-    start, starts = 0, []
+    """Windows that two distinct segments may share: per segment, its stretches of such windows (start, end in bytes).
+    One sort of all window hashes; a run of equal ones counts if it comes from more than one segment."""
+    raws = [raw for _, _, raw, _, _ in segments]
+    lengths = np.array([len(raw) for raw in raws])
+    sizes = lengths - units.window + 1
+    owner = np.repeat(np.arange(len(raws)), sizes)
+    first = np.concatenate(([0], np.cumsum(lengths)[:-1])) - np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    every = grams(prefix(byte_values(b"".join(raws))), units.window)[np.arange(len(owner)) + first[owner]]
+    order = np.argsort(every, kind="stable")
+    ranked, from_ = every[order], owner[order]
+    start = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+    shared = np.minimum.reduceat(from_, start) != np.maximum.reduceat(from_, start)
+    flags = np.empty(len(every), bool)
+    flags[order] = np.repeat(shared, np.diff(np.append(start, len(every))))
+    at = 0
+    for size in sizes.tolist():
+        yield [(a, b) for a, b, _ in runs(flags[at : at + size].tolist(), False)]
+        at += size
+
+
+def _lead_pieces(pieces: list[bytes]) -> tuple[list[bytes], dict[bytes, tuple[bytes, int]]]:
+    """Of one anchor's pieces those that no other holds, and for each of the rest one that does and where, if it holds
+    it at one place only."""
+    lead: list[bytes] = []
+    inside: dict[bytes, tuple[bytes, int]] = {}
+    for piece in sorted(pieces, key=len, reverse=True):
+        for whole in lead:
+            if (at := whole.find(piece)) >= 0 and whole.find(piece, at + 1) < 0:
+                inside[piece] = (whole, at)
+                break
+        else:
+            lead.append(piece)
+    return lead, inside
+
+
+def _sorted_lows(pieces: list[bytes], lows: dict[bytes, list[int | None]], window: int) -> None:
+    """Sorts the suffixes of all pieces and gives equal windows the least id among them, in place."""
+    starts, start = [], 0
     for piece in pieces:
         starts.append(start)
         start += len(piece) + 1
     joined = "\1".join(p.decode("latin-1").translate(SHIFT) for p in pieces) + "\0"
-    first = np.full(len(joined), -1, np.int64)
+    owner = np.full(len(joined), -1, np.int64)
     for k, (s, piece) in enumerate(zip(starts, pieces, strict=True)):
-        first[s : s + len(piece) - window + 1] = k
-    owner = first.tolist()
-    found: list[int | None] = [None] * len(joined)
-    group: list[int] = []
+        owner[s : s + len(piece) - window + 1] = k
+    owner = owner.tolist()
+    group: list[tuple[list[int | None], int]] = []
     lead = None
 
     def settle() -> None:
-        ids = [least[pieces[owner[i]]] for i in group]
-        low = min((x for x in ids if x is not None), default=None)
-        for i in group:
-            found[i] = low
+        low = min((x for own, k in group if (x := own[k]) is not None), default=None)
+        for own, k in group:
+            own[k] = low
 
     for i in suffix_array(joined):
-        if owner[i] < 0:
+        if (k := owner[i]) < 0:
             continue
         here = joined[i : i + window]
         if here != lead:
-            if group:
+            if len(group) > 1:
                 settle()
             group, lead = [], here
-        group.append(i)
-    if group:
+        group.append((lows[pieces[k]], i - starts[k]))
+    if len(group) > 1:
         settle()
-    texts = {p: found[s : s + len(p) - window + 1] for s, p in zip(starts, pieces, strict=True)}
+
+
+def resolve(units: Units, segments):
+    """Verdicts on segments (anchor, seg, bytes, copies, least id) of whole anchors.
+
+    Equal windows have equal anchors, so an anchor's pieces are matched among themselves. A piece that lies within
+    another one is not sorted again: its ids go to the other's windows. Only anchors with several pieces of which none
+    holds the rest are sorted."""
+    window = units.window
+    cores = list(_cores(units, segments))
+    least: dict[int, dict[bytes, int | None]] = {}
+    for (anchor, _, raw, _, i), spans in zip(segments, cores, strict=True):
+        own = least.setdefault(anchor, {})
+        for a, b in spans:
+            piece = raw[a : b + window - 1]
+            own[piece] = i if own.get(piece) is None else own[piece] if i is None else min(own[piece], i)
+    lows: dict[int, dict[bytes, list[int | None]]] = {}
+    within: dict[int, dict[bytes, tuple[bytes, int]]] = {}
+    for anchor, own in least.items():
+        lead, inside = _lead_pieces(list(own))
+        found = {p: [own[p]] * (len(p) - window + 1) for p in lead}
+        for piece, (whole, at) in inside.items():
+            into, low = found[whole], own[piece]
+            if low is not None:
+                for k in range(at, at + len(piece) - window + 1):
+                    if into[k] is None or low < into[k]:
+                        into[k] = low
+        lows[anchor], within[anchor] = found, inside
+        if len(lead) > 1:
+            _sorted_lows(lead, found, window)
     for (anchor, seg, raw, copies, i), spans in zip(segments, cores, strict=True):
-        windows = len(raw) - window + 1
-        lows: list[int | None] = [i if copies > 1 else None] * windows
+        out_lows: list[int | None] = [i if copies > 1 else None] * (len(raw) - window + 1)
         for a, b in spans:
-            lows[a:b] = texts[raw[a : b + window - 1]]
-        out = [(a, b, low) for a, b, low in runs(lows)]
+            piece = raw[a : b + window - 1]
+            whole, at = within[anchor].get(piece, (piece, 0))
+            out_lows[a:b] = lows[anchor][whole][at : at + b - a]
+        out = [(a, b, low) for a, b, low in runs(out_lows)]
         if out:
             yield anchor, seg, out
 
