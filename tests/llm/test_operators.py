@@ -70,6 +70,8 @@ def test_exact_dedup(docs):
 
 def test_exact_dedup_is_native(docs):
     plan = exact_dedup.exact_dedup(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    plan = exact_dedup.kept_rows(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "rangepartitioning" in plan and "SortAggregate" in plan
 
 

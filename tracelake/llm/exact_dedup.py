@@ -2,7 +2,8 @@
 
 Sampled splitters (``repartitionByRange``) deal the normalised bytes out by range, the sort of each partition
 (external, spilling) places equal bytes side by side, and the sort aggregate compares each row's full bytes with its
-neighbour's. The range key has a salt after the bytes, so a text with very many copies spans many partitions; what a
+neighbour's. Splitters see the beginning of the bytes and a salt, so what is sampled has a bound, and a text with
+very many copies, or a beginning that very many texts share, spans many partitions; what a
 partition makes of one text is one short row, and those rows meet by SHA-256 of the text, which the result carries.
 
 Defined results: null text counts as empty and empty texts are equal to each other; texts of only white space are
@@ -16,10 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import shuffle_partitions, text_or_empty
+from tracelake.llm.common import shuffle_partitions, text_or_empty, written
 
 #: The characters that normalising deletes: [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\x0c\r"
+#: Characters of the normalised text that splitters compare: what the driver samples is short, however long the texts.
+HEAD = 32
 
 
 def normalised(text: Column) -> Column:
@@ -33,13 +36,14 @@ def _fragments(docs: DataFrame, id_col: str, text_col: str, best: Column, extra:
     rank = F.struct((-F.length(text)).alias("neg_len"), F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"))
     rows = docs.select(
         F.encode(normalised(text), "UTF-8").alias("_norm"),
+        F.substring(normalised(text), 1, HEAD).alias("_head"),
         F.pmod(F.xxhash64(F.col(id_col), F.length(text)), F.lit(n)).alias("_salt"),
         rank.alias("_rank"),
         *extra,
     )
     return (
-        rows.repartitionByRange(n, "_norm", "_salt")
-        .groupBy("_norm", "_salt")
+        rows.repartitionByRange(n, "_head", "_salt")
+        .groupBy("_head", "_norm", "_salt")
         .agg(F.count(F.lit(1)).alias("_n"), best)
         .select(F.sha2("_norm", 256).alias("_sha"), "_n", "_best")
     )
@@ -47,10 +51,12 @@ def _fragments(docs: DataFrame, id_col: str, text_col: str, best: Column, extra:
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    groups = (
+    # Written, so that the join below reads two plain shuffles, of which adaptive execution may split a large partition.
+    groups = written(
         _fragments(docs, id_col, text_col, F.min("_rank").alias("_best"), [])
         .groupBy("_sha")
-        .agg(F.sum("_n").alias("group_size"), F.min("_best").alias("_best"))
+        .agg(F.sum("_n").alias("group_size"), F.min("_best").alias("_best")),
+        "text-groups",
     )
     text = text_or_empty(text_col)
     # Rows equal in id and text meet here, so that one of them stays; the shuffle carries digests, never texts.
