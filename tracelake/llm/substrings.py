@@ -51,10 +51,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def run(batches):
         for batch in batches:
             rows = []
-            for i, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i, text, starts, ends in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = text.encode().split()
                 kept, done = [], 0
-                for a, b in united([(s["a"], s["b"]) for s in found or ()]):
+                for a, b in united(list(zip(starts or (), ends or (), strict=True))):
                     kept += words[done:a]
                     done = b
                 kept += words[done:]

@@ -213,9 +213,9 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches):
         for batch in batches:
             rows = []
-            for i, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i, text, starts, ends in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = text.encode()
-                whole = united([(s["a"], s["b"]) for s in found or ()])
+                whole = united(list(zip(starts or (), ends or (), strict=True)))
                 kept, done = [], 0
                 for a, b in whole:
                     kept.append(raw[done:a])

@@ -161,7 +161,8 @@ def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-PLACES = "doc_id bigint, tag int, pos int, n int, anchor bigint, seg bigint, multi boolean"
+#: As dealt out: n and multi in one number, tag and pos in another, which makes the shuffle shorter.
+PACKED = "doc_id bigint, shape int, loc bigint, anchor bigint, seg bigint"
 
 
 def _places(slim: DataFrame, units: Units) -> DataFrame:
@@ -171,25 +172,27 @@ def _places(slim: DataFrame, units: Units) -> DataFrame:
             for i, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 pos, n, anchor, seg, multi = units.segments(text.encode())
                 if len(pos):
-                    held.append((pa.repeat(pa.scalar(i, pa.int64()), len(pos)), np.full(len(pos), mark, np.int32), pos.astype(np.int32), n.astype(np.int32), anchor, seg, multi))
+                    held.append((pa.repeat(pa.scalar(i, pa.int64()), len(pos)), (n * 2 + multi).astype(np.int32), (mark << 32) + pos, anchor, seg))
             if held:
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays([h[0] for h in held]), *(pa.array(np.concatenate([h[k] for h in held])) for k in range(1, 7))], names=["doc_id", "tag", "pos", "n", "anchor", "seg", "multi"])
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([h[0] for h in held]), *(pa.array(np.concatenate([h[k] for h in held])) for k in range(1, 5))], names=["doc_id", "shape", "loc", "anchor", "seg"])
 
-    return slim.select("doc_id", tag().alias("tag"), "text").mapInArrow(run, PLACES)
+    return slim.select("doc_id", tag().alias("tag"), "text").mapInArrow(run, PACKED)
+
+
+def _unpacked(places: DataFrame) -> DataFrame:
+    loc, shape = F.col("loc"), F.col("shape")
+    return places.select("doc_id", F.shiftright(loc, 32).cast("int").alias("tag"), loc.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos"), F.shiftright(shape, 1).alias("n"), "anchor", "seg", (shape.bitwiseAND(F.lit(1)) == 1).alias("multi"))
 
 
 def _anchors_only(slim: DataFrame, units: Units) -> DataFrame:
-    """anchor, n, multi: the same segments, summed per batch, for counting."""
+    """anchor, c: the same segments for counting, one that may hold a window twice as two."""
 
     def run(batches):
         for batch in batches:
             parts = [units.segments(t.encode()) for t in batch.column(0).to_pylist()]
             anchor = np.concatenate([np.empty(0, np.int64), *(p[2] for p in parts)])
             multi = np.concatenate([np.empty(0, bool), *(p[4] for p in parts)])
-            if len(anchor):
-                value, at, count = np.unique(anchor, return_inverse=True, return_counts=True)
-                count = count + np.bincount(at, weights=multi, minlength=len(value)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(count)], names=["anchor", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(multi + np.int64(1))], names=["anchor", "c"])
 
     return slim.select("text").mapInArrow(run, "anchor bigint, c bigint")
 
@@ -206,7 +209,7 @@ def removals(docs: DataFrame, id_col: str, text_col: str, units: Units, resolve:
     often = written(_anchors_only(slim, units).groupBy("anchor").agg(F.sum("c").alias("c")).where("c > 1").select(F.col("anchor").alias("a2")), "anchors")
     clean_shuffles(spark)
     # 2. Their places.
-    places = written(_places(slim, units).join(often.hint("shuffle_hash"), F.col("anchor") == F.col("a2"), "left_semi"), "places")
+    places = written(_unpacked(_places(slim, units).join(often.hint("shuffle_hash"), F.col("anchor") == F.col("a2"), "left_semi")), "places")
     clean_shuffles(spark)
     # 3. Distinct segments, each with the number of its copies, its least document and one place.
     copy = F.struct("doc_id", "tag", "pos", "n")
@@ -214,7 +217,7 @@ def removals(docs: DataFrame, id_col: str, text_col: str, units: Units, resolve:
         places.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("copies"), F.max("multi").alias("multi"), F.min(copy).alias("at"), F.max("n").alias("n"), F.max("doc_id").alias("most")), "segments"
     )
     kinds = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("copies").alias("total"), F.max("multi").alias("any_multi"))
-    judged = distinct.join(kinds.withColumnRenamed("anchor", "a2"), F.col("anchor") == F.col("a2")).drop("a2")
+    judged = distinct.join(kinds.withColumnRenamed("anchor", "a2").hint("shuffle_hash"), F.col("anchor") == F.col("a2")).drop("a2")
     hard = F.col("any_multi") | (F.col("kinds") > 1) if units.within else F.col("kinds") > 1
     least = F.lit(None).cast("bigint") if units.within else F.col("at.doc_id")
     spread = F.col("total") > 1 if units.within else F.col("most") > F.col("at.doc_id")
@@ -231,7 +234,7 @@ def removals(docs: DataFrame, id_col: str, text_col: str, units: Units, resolve:
     dropped(often, distinct, fetched)
     # 5. Back to the documents. A verdict may meet very many places: that side is small and the join splits.
     found = (
-        places.join(verdicts.select(F.col("anchor").alias("a2"), F.col("seg").alias("s2"), "spans"), (F.col("anchor") == F.col("a2")) & (F.col("seg") == F.col("s2")))
+        places.join(verdicts.select(F.col("anchor").alias("a2"), F.col("seg").alias("s2"), "spans").hint("shuffle_hash"), (F.col("anchor") == F.col("a2")) & (F.col("seg") == F.col("s2")))
         .select("doc_id", "tag", "pos", F.explode("spans").alias("s"))
         .where(F.col("s.least").isNull() | (F.col("doc_id") > F.col("s.least")))
         .groupBy("doc_id", "tag")
@@ -313,8 +316,7 @@ def _counted(fetched: DataFrame, units: Units) -> DataFrame:
 
     windows = fetched.mapInArrow(run, "anchor bigint, seg bigint, at int, copies bigint, id bigint, h bigint, g bigint")
     totals = windows.groupBy("h", "g").agg(F.sum("copies").alias("c"), F.min("id").alias("least")).select(F.col("h").alias("h2"), F.col("g").alias("g2"), "c", "least")
-    repeated = totals.where("c > 1") if units.within else totals
-    hit = windows.join(repeated, (F.col("h") == F.col("h2")) & (F.col("g") == F.col("g2")))
+    hit = windows.join(totals.where("c > 1"), (F.col("h") == F.col("h2")) & (F.col("g") == F.col("g2")))
     least = F.lit(None).cast("bigint") if units.within else F.col("least")
     return hit.groupBy("anchor", "seg").agg(F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + 1).alias("b"), least.alias("least"))).cast(SPANS).alias("spans"))
 
@@ -342,8 +344,8 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def applied(docs: DataFrame, id_col: str, text_col: str, spans: DataFrame, run, schema: str) -> DataFrame:
-    """run over batches of (doc_id, text, spans); the join carries each text once."""
+    """run over batches of (doc_id, text, starts, ends of spans); the join carries each text once."""
     slim = _slim(docs, id_col, text_col).withColumn("mark", tag())
     marked = spans.select(F.col("doc_id").alias("id2"), F.col("tag").alias("mark2"), "spans")
     joined = slim.join(marked, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("mark") == F.col("mark2")), "left")
-    return joined.select("doc_id", "text", "spans").mapInArrow(run, schema)
+    return joined.select("doc_id", "text", F.col("spans.a").alias("starts"), F.col("spans.b").alias("ends")).mapInArrow(run, schema)
