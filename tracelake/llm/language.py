@@ -18,7 +18,6 @@ so 0.5 is a tie; with one learned language it is 1.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 from tracelake.llm.automaton import SuffixAutomaton
 
 #: Bounds of the sample per language; words whose phrase counts a worker holds; longest word that is held.
-DOCS, CHARS, HELD_WORDS, HELD_LENGTH = 48, 80_000, 300_000, 64
+DOCS, CHARS, HELD_WORDS, HELD_LENGTH = 48, 80_000, 100_000, 64
 LANE = 48
 UNKNOWN = "und"
 HELD_OUT = 2
@@ -104,9 +103,15 @@ class CrossParser:
         return self.langs[order[0]], round(score, 6)
 
 
-@lru_cache(maxsize=2)
+_parsers: dict[tuple[tuple[str, str], ...], CrossParser] = {}
+
+
 def _parser(samples: tuple[tuple[str, str], ...]) -> CrossParser:
-    return CrossParser(samples)
+    """The worker's one parser; that of another sample goes before a new one is made."""
+    if samples not in _parsers:
+        _parsers.clear()
+        _parsers[samples] = CrossParser(samples)
+    return _parsers[samples]
 
 
 def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", pred: str = "lang_pred", score: str = "score", samples: dict[str, str] | None = None) -> DataFrame:
