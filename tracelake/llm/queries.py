@@ -66,19 +66,5 @@ WITH d AS (
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM g
 """
 
-OP5_SQL = r"""
-WITH d AS (
-  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents
-), w AS (
-  SELECT doc_id, i, md5(array_to_string(words[i:i + 34], ' ')) AS h FROM d, unnest(range(1, len(words) - 33)) AS t(i)
-), r AS (SELECT doc_id, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)
-), gone AS (SELECT DISTINCT doc_id, i + j AS at FROM r, unnest(range(0, 35)) AS t(j)
-), lost AS (SELECT doc_id, list(at) AS lost FROM gone GROUP BY doc_id)
-SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(len(lost), 0)::BIGINT AS n_removed,
-  sha256(array_to_string(CASE WHEN lost IS NULL THEN words ELSE list_filter(words, (x, i) -> NOT list_contains(lost, i)) END, ' ')) AS kept_sha256
-FROM d LEFT JOIN lost USING (doc_id)
-"""
-
-
 def oracle_sql() -> dict[str, str]:
     return {"op1_exact_dedup": OP1_SQL}
