@@ -410,7 +410,7 @@ def rt_late_schedule(e):
 
 @on_events()
 def lock_irq_inversion(e):
-    """One pass in order per trace; held against brute force in the tests."""
+    """One pass in order per trace; no SQL, and no test of its own yet."""
     ops = _ops(e, {"syscall_entry": "acquire", "syscall_exit": "release", "irq_entry": "acquire", "irq_exit": "release", "sched_schedule": "sched"})
     return checks.lock_warnings(ops.withColumn("lock", F.col("k") % 12).withColumn("read", F.col("k") % 7 == 0).withColumn("hardirqs_off", F.col("k") % 3 == 0).withColumn("hardirq_context", F.col("event_name") == "irq_entry"))
 
