@@ -415,10 +415,10 @@ def lock_irq_inversion(e):
     return checks.lock_warnings(ops.withColumn("lock", F.col("k") % 12).withColumn("read", F.col("k") % 7 == 0).withColumn("hardirqs_off", F.col("k") % 3 == 0).withColumn("hardirq_context", F.col("event_name") == "irq_entry"))
 
 
-@on_events(f" SELECT id, pid || '-' || (time_ns // 1000000000) || '.' || (time_ns % 1000000000) AS pid_time, (pid * 1048576 + k) >> 20 AS major, k AS minor, '0.0.' || (id // 256 % 256) || '.' || (id % 256) AS address, CAST(time_ns::DOUBLE * 1.5 AS BIGINT) AS stretched FROM ev WHERE id < 60000")
+@on_events(f" SELECT id, pid || '-' || (time_ns // 1000000000) || '.' || (time_ns % 1000000000) AS pid_time, (pid * 1048576 + k) >> 20 AS major, k AS minor, (id >> 24 & 255) || '.' || (id >> 16 & 255) || '.' || (id >> 8 & 255) || '.' || (id & 255) AS address, CAST(time_ns::DOUBLE * 1.5 AS BIGINT) AS stretched FROM ev")
 def scalar_functions(e):
     device = scalars.device(F.col("pid"), F.col("k"))
-    return e.where("id < 60000").select("id", scalars.process_key(F.col("pid"), F.col("time_ns")).alias("pid_time"), scalars.major(device).alias("major"), scalars.minor(device).alias("minor"), scalars.dotted(F.col("id")).alias("address"), scalars.time_multiplied(F.col("time_ns"), 1.5).alias("stretched"))
+    return e.select("id", scalars.process_key(F.col("pid"), F.col("time_ns")).alias("pid_time"), scalars.major(device).alias("major"), scalars.minor(device).alias("minor"), scalars.dotted(F.col("id")).alias("address"), scalars.time_multiplied(F.col("time_ns"), 1.5).alias("stretched"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
