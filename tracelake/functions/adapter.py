@@ -29,7 +29,11 @@ def upto(*keys: str | Column) -> Window:
 
 
 def trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return canonical(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def canonical(raw: DataFrame) -> DataFrame:
+    """The driver's events, a table or a stream, as canonical ones."""
     k = F.get_json_object("props", "$.k").cast("bigint")
     name = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])[F.col("event_type")]
     return raw.select(

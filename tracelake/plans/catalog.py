@@ -423,13 +423,15 @@ def scalar_functions(e):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from tracelake.plans import sync_catalog
+    from tracelake.streaming import stream_catalog
 
-    return dict(QUERIES) | sync_catalog.QUERIES
+    return dict(QUERIES) | sync_catalog.QUERIES | stream_catalog.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     from tracelake.plans import sync_catalog
+    from tracelake.streaming import stream_catalog
 
-    return dict(SQL) | sync_catalog.SQL
+    return dict(SQL) | sync_catalog.SQL | stream_catalog.SQL
 
 
