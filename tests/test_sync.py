@@ -78,3 +78,38 @@ def test_text_sources(spark, tmp_path):
     assert sorted(map(tuple, got)) == [(0, 1, 1_500_000_000, 2_250_000_000), (1, 0, 3_000_000_000, 3_000_000_001)]
     assert text.trace_count(spark, str(tmp_path / "m.txt")).first().traces == 2
     assert text.round_trip_times(spark, str(tmp_path / "r.txt")).first().rtt_s == 0.0005
+
+
+def test_time_bounds_are_brute_force():
+    rng = random.Random(5)
+    for _ in range(200):
+        lower = [(rng.randrange(12), rng.randrange(4, 16)) for _ in range(rng.randrange(1, 5))]
+        upper = [(rng.randrange(12), rng.randrange(-4, 8)) for _ in range(rng.randrange(1, 5))]
+        x = rng.randrange(-3, 15)
+        got = sync.time_bounds(sync.half_hull(*zip(*lower), True), sync.half_hull(*zip(*upper), False), x)
+        found = []
+        for step in range(0, 400):
+            slope = step / 20
+            top, bottom = min(y - slope * px for px, y in lower), max(y - slope * px for px, y in upper)
+            if bottom <= top:
+                found += [top + slope * x, bottom + slope * x]
+        if got is None:
+            assert not found
+        else:
+            # The grid's slopes are a subset: it can't go beyond the bounds, and comes near to those that are finite.
+            assert all(got[0] - 1e-9 <= v <= got[1] + 1e-9 for v in found)
+            if found and math.isfinite(got[1]):
+                assert got[1] - max(found) <= 0.05 * 20
+            if found and math.isfinite(got[0]):
+                assert min(found) - got[0] <= 0.05 * 20
+    assert sync.time_bounds([(0, 5)], [], 3) == (-math.inf, math.inf)
+
+
+def test_graphs(spark, tmp_path):
+    from tracelake.operators import graphs
+
+    points = sync.message_points(frame(spark, known_clocks()))
+    graphs.write_graphs(points, sync.factors(points), str(tmp_path / "g"))
+    assert spark.read.csv(str(tmp_path / "g/points")).count() == points.count() and spark.read.csv(str(tmp_path / "g/hulls")).count() == sync.hulls(points).count()
+    text_ = (next((tmp_path / "g/script").glob("part-*"))).read_text()
+    assert 'set output "000-001-TraceTrace.eps"' in text_ and "* x title" in text_

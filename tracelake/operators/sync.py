@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,17 @@ HISTOGRAM_BASE = 10 ** (6 / 998)
 ORDER = ("time_ns", "id")
 
 
+def received_packets(events: DataFrame) -> DataFrame:
+    """Packets as a protocol handled them, with the time at which their device received them.
+
+    events: id, trace_id, time_ns, skb, step ('receive' by the device, 'handle' by the protocol). Buffers are used again:
+    of several receptions in one the last counts, and it serves once, so a packet is known if the event before it in its
+    buffer is a reception."""
+    w = Window.partitionBy("trace_id", "skb").orderBy(*ORDER)
+    both = events.withColumn("_step", F.lag("step").over(w)).withColumn("received_id", F.lag("id").over(w)).withColumn("received_ns", F.lag("time_ns").over(w))
+    return both.where((F.col("step") == "handle") & (F.col("_step") == "receive")).drop("step", "_step")
+
+
 def match_messages(packets: DataFrame, *key: str) -> DataFrame:
     """Sent and received packets of equal keys; packets has id, trace_id, time_ns, direction ('IN' or 'OUT') and key.
 
@@ -192,6 +204,39 @@ def _fallback(lower, upper) -> dict:
     return {"type": "FAIL"} if best is None else {"type": "APPROXIMATE", "drift": best[1], "offset": best[2], "accuracy": float(best[0])}
 
 
+def time_bounds(lower, upper, x: int) -> tuple[float, float] | None:
+    """The least and the greatest value at x of a line that lies on or under all points of lower and on or over all of
+    upper, and doesn't fall; None if there is no such line. Exact: a bound is reached by a line through two hull points
+    or a level one through one, and all of those are tried in whole numbers."""
+    rows = [(p, 1) for p in lower] + [(p, -1) for p in upper]
+    lines = {(Fraction(0), Fraction(p[1])) for p, _ in rows}
+    for k, (p, _) in enumerate(rows):
+        for q, _ in rows[k + 1 :]:
+            if p[0] != q[0] and (slope := Fraction(q[1] - p[1], q[0] - p[0])) >= 0:
+                lines.add((slope, p[1] - slope * p[0]))
+    # Points of one x have no line through them; between them any slope may do, and other lines decide the bounds.
+    fits = [slope * x + base for slope, base in lines if all(sign * (base + slope * p[0] - p[1]) <= 0 for p, sign in rows)]
+    if rows and not fits:
+        return None
+    last, first = max((p[0] for p in lower), default=-math.inf), min((p[0] for p in upper), default=math.inf)
+    high = math.inf if not lower or last < x and last <= first else float(max(fits))
+    low = -math.inf if not upper or first > x and last <= first else float(min(fits))
+    return low, high
+
+
+def pair_bounds(points: DataFrame, x: int) -> DataFrame:
+    """Per pair, between what the second clock can show when the first shows x; null where no line fits. Other than the
+    bisector this says how far off a corrected time may be."""
+    schema = "a long, b long, least double, greatest double"
+
+    def solve(group: pd.DataFrame) -> pd.DataFrame:
+        side = {k: sorted((int(px), int(py)) for px, py in zip(g["x"], g["y"], strict=True)) for k, g in group.groupby("hull")}
+        found = time_bounds(side.get("lower", []), side.get("upper", []), x) or (None, None)
+        return pd.DataFrame([(group["a"].iloc[0], group["b"].iloc[0], *found)], columns=["a", "b", "least", "greatest"])
+
+    return hulls(points).groupBy("a", "b").applyInPandas(solve, schema)
+
+
 def factors(points: DataFrame) -> DataFrame:
     """One line per pair of traces (see pair_line), from message_points."""
     schema = "a long, b long, type string, drift double, offset double, accuracy double, drift_min double, drift_max double"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import scalars
 from tracelake.functions.adapter import EVENTS_SQL, ORDER_SQL, trace_events
-from tracelake.operators import checks, dependencies, ordering, pairing, printing, snapshots, statistics, timelines
+from tracelake.operators import checks, dependencies, fold, ordering, pairing, printing, snapshots, statistics, timelines
 from tracelake.plans.filterlang import compile_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -410,7 +410,7 @@ def rt_late_schedule(e):
 
 @on_events()
 def lock_irq_inversion(e):
-    """One pass in order per trace; no SQL, and no test of its own yet."""
+    """One pass in order per trace; no SQL."""
     ops = _ops(e, {"syscall_entry": "acquire", "syscall_exit": "release", "irq_entry": "acquire", "irq_exit": "release", "sched_schedule": "sched"})
     return checks.lock_warnings(ops.withColumn("lock", F.col("k") % 12).withColumn("read", F.col("k") % 7 == 0).withColumn("hardirqs_off", F.col("k") % 3 == 0).withColumn("hardirq_context", F.col("event_name") == "irq_entry"))
 
@@ -421,6 +421,13 @@ def scalar_functions(e):
     return e.select("id", scalars.process_key(F.col("pid"), F.col("time_ns")).alias("pid_time"), scalars.major(device).alias("major"), scalars.minor(device).alias("minor"), scalars.dotted(F.col("id")).alias("address"), scalars.time_multiplied(F.col("time_ns"), 1.5).alias("stretched"))
 
 
+@on_events()
+def state_after_event(e):
+    """Nested modes, statuses and CPU modes after each event: one pass in order per trace; no SQL."""
+    submode = F.when(F.col("event_name") == "syscall_entry", F.concat(F.lit("syscall "), F.col("syscall_id"))).when(F.col("event_name") == "irq_entry", F.concat(F.lit("irq "), F.col("irq_id")))
+    return fold.state_after(e.withColumn("submode", submode).withColumn("target_pid", F.lit(None).cast("bigint")).withColumn("name", F.lit(None).cast("string")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from tracelake.plans import sync_catalog
     from tracelake.streaming import stream_catalog

@@ -56,6 +56,15 @@ def _exchanges(e):
     return sync.match_exchanges(_messages(e).select("*", flow.alias("conn"), k.alias("seq"), (k * 7 % 101).alias("ack_seq"), (k % 2 == 0).alias("needs_ack"), (k % 3 == 0).alias("is_ack")))
 
 
+@query(f"""WITH {EVENTS_SQL}, w AS (SELECT id, cpu AS trace_id, k AS skb, event_name, time_ns, lag(event_name) OVER w AS was, lag(id) OVER w AS received_id, lag(time_ns) OVER w AS received_ns
+    FROM ev WHERE event_name IN ('irq_entry', 'irq_exit') WINDOW w AS (PARTITION BY cpu, k ORDER BY time_ns, id))
+  SELECT id, trace_id, skb, time_ns, received_id, received_ns FROM w WHERE event_name = 'irq_exit' AND was = 'irq_entry'""")
+def receive_correlation(e):
+    """Interrupts stand for a device's receptions and what returns from them for the protocol's, k for the buffer."""
+    step = F.when(F.col("event_name") == "irq_entry", "receive").otherwise("handle")
+    return sync.received_packets(e.where(F.col("event_name").isin("irq_entry", "irq_exit")).select("id", F.col("cpu").alias("trace_id"), "time_ns", F.col("k").alias("skb"), step.alias("step")))
+
+
 @query(MESSAGES_SQL + " SELECT k, out_id, out_trace, out_ns, in_id, in_trace, in_ns FROM me")
 def tcp_message_match(e):
     return _messages(e)
@@ -106,6 +115,12 @@ def sync_eval_rtt_histogram(e):
     return sync.histogram(_messages(e), (F.col("in_ns") - F.col("out_ns")) / F.lit(1e16))
 
 
+@query()
+def sync_time_bounds(e):
+    """What each pair's second clock can show when the first is at the third day."""
+    return sync.pair_bounds(sync.message_points(_messages(e)), 1_704_067_200_000_000_000 + 2 * 86_400_000_000_000)
+
+
 @query()
 def sync_factors(e):
     """Lines of all pairs and what they come to per trace. The pairs' table is as large as the square of the traces."""
