@@ -7,8 +7,8 @@ from tracelake.operators import checks, dependencies, fold, pairing, statistics
 def run(spark, steps):
     rows = []
     for t, (cpu, name, more) in enumerate(steps, 1):
-        rows.append((t, 0, cpu, name, more.get("submode"), more.get("next_pid"), more.get("prev_state"), more.get("target"), more.get("name"), t * 10, cpu, 0, t))
-    schema = "id long, trace_id long, cpu long, event_name string, submode string, next_pid long, prev_state long, target_pid long, name string, time_ns long, tracefile_id long, block long, offset long"
+        rows.append((t, 0, cpu, name, more.get("submode"), more.get("next_pid"), more.get("prev_state"), more.get("target"), more.get("name"), t * 10, cpu, 0, t, more.get("parent"), more.get("kind"), more.get("address")))
+    schema = "id long, trace_id long, cpu long, event_name string, submode string, next_pid long, prev_state long, target_pid long, name string, time_ns long, tracefile_id long, block long, offset long, parent_pid long, kind string, address long"
     return fold.state_after(spark.createDataFrame(rows, schema)).orderBy("id").collect()
 
 
@@ -74,3 +74,25 @@ def test_statistics_tree(spark):
     stats = spark.createDataFrame([(0, 1, 0, "SYSCALL", "read", 5, 2), (0, 1, 0, "SYSCALL", "open", 7, 1), (0, 2, 1, "IRQ", "irq 1", 1, 1)], "trace_id long, running_pid long, cpu long, mode string, submode string, cpu_time_ns long, events long")
     got = [(r.line, r.cpu_time_ns, r.events) for r in statistics.stats_tree(stats).collect()]
     assert got[:4] == [("0", 13, 4), ("  1", 12, 3), ("    0", 12, 3), ("      SYSCALL", 12, 3)] and len(got) == 10
+
+
+def test_the_list_of_processes(spark):
+    got = run(spark, [
+        (0, "process_state", {"target": 0, "name": "swapper"}), (0, "process_state", {"target": 5, "parent": 1, "name": "sh", "kind": "USER_THREAD"}), (0, "process_state", {"target": 6, "name": "kswapd", "kind": "KERNEL_THREAD"}),
+        sched(0, 8), sched(0, 9, 0), (0, "statedump_end", {}), sched(0, 5), sched(0, 6), sched(0, 8),
+    ])
+    assert got[0].name == "swapper" and got[1].processes == 2 and got[3].mode == "MODE_UNKNOWN"
+    assert (got[5].mode, got[5].depth) == ("SYSCALL", 2)
+    assert [(r.pid, r.ppid, r.name, r.mode, r.depth) for r in got[6:]] == [(5, 0, "sh", "SYSCALL", 2), (6, 0, "kswapd", "SYSCALL", 1), (8, 0, "UNNAMED", "USER_MODE", 1)]
+
+
+def test_functions(spark):
+    got = run(spark, [sched(0, 5), (0, "function_exit", {"address": 1}), (0, "function_entry", {"address": 10}), (0, "function_entry", {"address": 20}), (0, "function_exit", {"address": 10}), (0, "function_exit", {"address": 20}), (0, "function_exit", {"address": 10})])
+    assert [r.function for r in got] == [0, 0, 10, 20, 20, 10, 0]
+
+
+def test_query_over_all_events(spark, sf):
+    from tracelake.plans import catalog
+
+    got = catalog.queries()["state_after_event"](spark, sf)
+    assert got.count() == trace_events(spark, sf).count() and got.where("pid <> 0 and depth > 1").count() > 0

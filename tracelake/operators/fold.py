@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 from tracelake.functions.adapter import ORDER
 
 #: Names of modes and statuses, and the kernel's two states of the dead.
-UNKNOWN, NONE, UNNAMED = "MODE_UNKNOWN", "NONE", "UNNAMED"
+UNKNOWN, NONE, UNNAMED, KERNEL_THREAD = "MODE_UNKNOWN", "NONE", "UNNAMED", "KERNEL_THREAD"
 ENTRIES = {"syscall_entry": "SYSCALL", "trap_entry": "TRAP", "page_fault_entry": "TRAP", "page_fault_nosem_entry": "TRAP", "irq_entry": "IRQ", "softirq_entry": "SOFT_IRQ"}
 EXITS = {"syscall_exit": "SYSCALL", "trap_exit": "TRAP", "page_fault_exit": "TRAP", "page_fault_nosem_exit": "TRAP", "irq_exit": "IRQ", "softirq_exit": "SOFT_IRQ"}
 DEAD_STATES = (32, 64)
 
-COLUMNS = ("id", "trace_id", "cpu", "event_name", "submode", "next_pid", "prev_state", "target_pid", "name", *[c for c in ORDER if c != "trace_id"])
-SCHEMA = "id long, trace_id long, cpu long, time_ns long, pid long, ppid long, name string, mode string, submode string, status string, depth int, entry_ns long, change_ns long, cpu_mode string, target_pid long, processes int"
+COLUMNS = ("id", "trace_id", "cpu", "event_name", "submode", "prev_pid", "next_pid", "prev_state", "target_pid", "name", "parent_pid", "kind", "address", *[c for c in ORDER if c != "trace_id"])
+SCHEMA = "id long, trace_id long, cpu long, time_ns long, pid long, ppid long, name string, mode string, submode string, status string, depth int, function long, entry_ns long, change_ns long, cpu_mode string, target_pid long, processes int"
 
 
 @dataclass
@@ -47,6 +47,7 @@ class Process:
     brand: str = ""
     kind: str = "USER_THREAD"
     frees: int = 0
+    functions: list[int] = field(default_factory=list)
 
 
 @dataclass
@@ -113,7 +114,7 @@ class Trace:
             if thread.stack[-1].status != "DEAD":
                 del thread.stack[1:]
                 thread.stack[0].mode = "SYSCALL"
-            thread.kind = "KERNEL_THREAD"
+            thread.kind = KERNEL_THREAD
         elif kind == "process_exit" and target is not None and self.known(target):
             self.known(target).stack[-1].status = "EXIT"
         elif kind == "process_free" and target is not None and self.known(target):
@@ -122,12 +123,36 @@ class Trace:
             p.name, p.brand = e["name"] or UNNAMED, ""
         elif kind == "thread_brand":
             p.brand = e["name"] or ""
+        elif kind == "function_entry" and e["address"] is not None:
+            p.functions.append(e["address"])
+        elif kind == "function_exit" and p.functions and p.functions[-1] == e["address"]:
+            p.functions.pop()
+        elif kind == "process_state" and target is not None:
+            self.listed(e, t)
+        elif kind == "statedump_end":
+            for known in self.processes.values():
+                resolve(known, t)
+
+    def listed(self, e: dict, t: int) -> None:
+        """A line of the kernel's list of processes, written while it runs; that of process 0 holds for all CPUs."""
+        pid, parent = e["target_pid"], e["parent_pid"] or 0
+        if pid == 0:
+            for key, p in self.processes.items():
+                if key[0] == 0:
+                    p.ppid, p.name, p.kind = parent, e["name"] or UNNAMED, KERNEL_THREAD
+            return
+        p = self.known(pid)
+        if p is None:
+            p = self.processes[pid, None] = Process(pid, [Level(UNKNOWN, "UNKNOWN", t, t, UNNAMED)])
+            parent = parent if self.known(parent) else 0
+        p.ppid, p.name, p.kind = parent, e["name"] or UNNAMED, e["kind"] or p.kind
 
     def switch(self, out: Process, e: dict, cpu: int, t: int) -> None:
         top, state = out.stack[-1], e["prev_state"]
         if out.pid == 0 and top.mode == UNKNOWN:
-            # Process 0 leaves for the first time: it was waiting in the kernel.
-            top.mode, top.status, top.entry, top.change = "SYSCALL", "WAIT", t, t
+            # Process 0 leaves for the first time: it was waiting in the kernel, unless another is said to leave.
+            if not e["prev_pid"]:
+                top.mode, top.status, top.entry, top.change = "SYSCALL", "WAIT", t, t
         else:
             top.status = "ZOMBIE" if top.status == "EXIT" else "WAIT_CPU" if state == 0 else "WAIT"
             top.change = t
@@ -140,9 +165,24 @@ class Trace:
             self.cpus[cpu].append("TRAP")
 
 
+def resolve(p: Process, t: int) -> None:
+    """What is still unknown of a process once the kernel's list ends: its threads were waiting in a call, and so were
+    other processes that have no other mode, on top of user mode, unless they wait for a CPU."""
+    bottom = p.stack[0]
+    if bottom.mode != UNKNOWN:
+        return
+    kernel = p.kind == KERNEL_THREAD
+    bottom.mode, bottom.submode, bottom.entry, bottom.change = "SYSCALL" if kernel else "USER_MODE", NONE, t, t
+    if bottom.status == UNNAMED:
+        bottom.status = "WAIT" if kernel else "RUN"
+    if not kernel and len(p.stack) == 1 and bottom.status != "WAIT_CPU":
+        p.stack.append(Level("SYSCALL", NONE, t, t, "WAIT"))
+
+
 def state_after(events: DataFrame) -> DataFrame:
     """The state of each event's CPU and of the process that runs there once the event was applied; ``processes`` is the
-    number of known ones. events has the canonical order and COLUMNS; what an event lacks is null."""
+    number of known ones. events has the canonical order and COLUMNS; what an event lacks is null, and a column
+    that no event has may be missing."""
 
     def run(batches):
         at, trace = None, Trace()
@@ -154,12 +194,12 @@ def state_after(events: DataFrame) -> DataFrame:
                 trace.apply(e)
                 p = trace.running[e["cpu"]]
                 top = p.stack[-1]
-                rows.append((e["id"], at, e["cpu"], e["time_ns"], p.pid, p.ppid, p.name, top.mode, top.submode, top.status, len(p.stack), top.entry, top.change, trace.cpus[e["cpu"]][-1], -1 if e["target_pid"] is None else e["target_pid"], len(trace.processes)))
+                rows.append((e["id"], at, e["cpu"], e["time_ns"], p.pid, p.ppid, p.name, top.mode, top.submode, top.status, len(p.stack), p.functions[-1] if p.functions else 0, top.entry, top.change, trace.cpus[e["cpu"]][-1], -1 if e["target_pid"] is None else e["target_pid"], len(trace.processes)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
 
     types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
     schema = pa.schema([(n, types[t]) for n, t in (c.split() for c in SCHEMA.split(", "))])
-    longs = {"submode": "string", "event_name": "string", "name": "string"}
-    own = events.select(*[F.col(c).cast(longs.get(c, "long")).alias(c) for c in COLUMNS])
+    strings = {"submode", "event_name", "name", "kind"}
+    own = events.select(*[(F.col(c) if c in events.columns else F.lit(None)).cast("string" if c in strings else "long").alias(c) for c in COLUMNS])
     return own.repartition("trace_id").sortWithinPartitions("trace_id", *ORDER).mapInArrow(run, SCHEMA)

@@ -425,7 +425,7 @@ def scalar_functions(e):
 def state_after_event(e):
     """Nested modes, statuses and CPU modes after each event: one pass in order per trace; no SQL."""
     submode = F.when(F.col("event_name") == "syscall_entry", F.concat(F.lit("syscall "), F.col("syscall_id"))).when(F.col("event_name") == "irq_entry", F.concat(F.lit("irq "), F.col("irq_id")))
-    return fold.state_after(e.withColumn("submode", submode).withColumn("target_pid", F.lit(None).cast("bigint")).withColumn("name", F.lit(None).cast("string")))
+    return fold.state_after(e.withColumn("submode", submode).withColumn("prev_pid", F.col("pid")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
