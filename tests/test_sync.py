@@ -113,3 +113,21 @@ def test_graphs(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "g/points")).count() == points.count() and spark.read.csv(str(tmp_path / "g/hulls")).count() == sync.hulls(points).count()
     text_ = (next((tmp_path / "g/script").glob("part-*"))).read_text()
     assert 'set output "000-001-TraceTrace.eps"' in text_ and "* x title" in text_
+
+
+def test_evaluation_of_corrected_times(spark):
+    messages = frame(spark, known_clocks())
+    pairs = [tuple(p) for p in sync.factors(sync.message_points(messages)).select("a", "b", "type", "drift", "offset", "accuracy").collect()]
+    reduced = spark.createDataFrame(sync.reduce_factors(pairs, 2), "trace int, reference int, drift double, offset double")
+    rtt = spark.createDataFrame([(0, 1, 2)], "a long, b long, rtt_ns long")
+    before = sync.message_quality(messages, rtt).agg({"inversions": "sum"}).first()[0]
+    fixed = sync.corrected_columns(messages, reduced, {"out_ns": "out_trace", "in_ns": "in_trace"})
+    after = sync.message_quality(fixed, rtt).agg({"inversions": "sum"}).first()[0]
+    assert before > 0 and after == 0 and fixed.columns == messages.columns
+
+
+def test_corrected_query(spark, sf):
+    from tracelake.plans import sync_catalog
+
+    rows = sync_catalog.QUERIES["sync_eval_corrected"](spark, sf).collect()
+    assert sum(r.messages for r in rows) == sync_catalog.QUERIES["tcp_message_match"](spark, sf).count()

@@ -293,6 +293,18 @@ def corrected(events: DataFrame, reduced: DataFrame) -> DataFrame:
     return events.join(by, F.col("trace_id") == F.col("_t"), "left").withColumn("time_ns", time).drop("_t", "_d", "_o")
 
 
+def corrected_columns(rows: DataFrame, reduced: DataFrame, times: dict[str, str]) -> DataFrame:
+    """Several clocks' times in one row, each put on the reference's clock; times: column of time to column of trace.
+    With messages {"out_ns": "out_trace", "in_ns": "in_trace"}, an evaluation can be made again after synchronisation."""
+    for trace in sorted(set(times.values())):
+        by = reduced.select(F.col("trace").alias("_t"), F.col("drift").alias("_d"), F.col("offset").alias("_o"))
+        rows = rows.join(by, F.col(trace) == F.col("_t"), "left")
+        for c in (c for c, t in times.items() if t == trace):
+            rows = rows.withColumn(c, F.when(F.col("_t").isNull(), F.col(c)).otherwise(F.round(F.col("_d") * F.col(c) + F.col("_o")).cast("long")))
+        rows = rows.drop("_t", "_d", "_o")
+    return rows
+
+
 def message_quality(messages: DataFrame, rtt: DataFrame) -> DataFrame:
     """Per directed pair: messages, inversions, those faster than half the round trip, those without one. rtt: (a, b,
     rtt_ns), a < b, one row per pair."""

@@ -121,8 +121,22 @@ def sync_time_bounds(e):
     return sync.pair_bounds(sync.message_points(_messages(e)), 1_704_067_200_000_000_000 + 2 * 86_400_000_000_000)
 
 
-@query()
-def sync_factors(e):
-    """Lines of all pairs and what they come to per trace. The pairs' table is as large as the square of the traces."""
+def _reduced(e):
+    """The pairs' table is as large as the square of the traces."""
     pairs = sync.factors(sync.message_points(_messages(e))).select("a", "b", "type", "drift", "offset", "accuracy").collect()
     return e.sparkSession.createDataFrame(sync.reduce_factors([tuple(p) for p in pairs], TRACES), "trace int, reference int, drift double, offset double")
+
+
+@query()
+def sync_factors(e):
+    """Lines of all pairs and what they come to per trace."""
+    return _reduced(e)
+
+
+@query()
+def sync_eval_corrected(e):
+    """The evaluation of messages once more, on corrected times."""
+    reduced = _reduced(e)
+    message, acked = {"out_ns": "out_trace", "in_ns": "in_trace"}, {"acked_out_ns": "in_trace", "acked_in_ns": "out_trace"}
+    exchanges = sync.corrected_columns(_exchanges(e), reduced, message | acked)
+    return sync.message_quality(sync.corrected_columns(_messages(e), reduced, message), sync.least_round_trip(exchanges))
