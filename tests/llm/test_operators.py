@@ -265,6 +265,37 @@ def test_repeats_on_random_texts(spark, words):
         assert as_rows(suffix_array.dedup_bytes(df, window=9, gram=4), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_bytes(rows, 9)
 
 
+def resolved_bytes(rows, window, gram):
+    """brute_bytes' counter by the verdicts of resolve on the segments of all rows."""
+    units, held, places = W.Units(window, gram, False, False), {}, []
+    for i, raw in rows:
+        for pos, n, anchor, seg, _ in zip(*(x.tolist() for x in units.segments(raw)), strict=True):
+            places.append((i, pos, anchor, seg))
+            _, copies, least = held.get((anchor, seg), (b"", 0, i))
+            held[anchor, seg] = raw[pos : pos + n + window - 1], copies + 1, min(least, i)
+    verdicts = {(anchor, seg): spans for anchor, seg, spans in suffix_array.resolve(units, [(*k, *v) for k, v in held.items()])}
+    gone = defaultdict(set)
+    for i, pos, anchor, seg in places:
+        for a, b, low in verdicts.get((anchor, seg), ()):
+            if low is not None and low < i:
+                gone[i].update(range(pos + a, pos + b + window - 1))
+    return {i: len(gone[i]) for i, _ in rows}
+
+
+def test_suffix_array_dedup_of_runs():
+    """Two runs of unequal length with a shared tail or head: a window repeats inside the piece that holds the other."""
+    r = random.Random(11)
+    for k in range(300):
+        unit = "".join(r.choices("-= to", k=r.choice([1, 1, 2, 3, 7, 31])))
+        shared = "".join(r.choices("abcdefghij ", k=120))
+        rows = []
+        for i, size in enumerate(r.choice([(60, 80), (80, 60), (200, 90), (55, 300)])):
+            run, own = (unit * size)[:size], "".join(r.choices("klmnopqrst ", k=90))
+            rows.append((i, (own + run + shared if k % 2 else shared + run + own).encode()))
+        want = {i: n for i, _, n, _, _ in brute_bytes([(i, raw.decode()) for i, raw in rows], 50)}
+        assert resolved_bytes(rows, 50, 20) == want, rows
+
+
 def test_suffix_array():
     r = random.Random(1)
     for _ in range(1500):

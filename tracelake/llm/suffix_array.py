@@ -128,6 +128,12 @@ def _lead_pieces(pieces: list[bytes]) -> tuple[list[bytes], dict[bytes, tuple[by
     return lead, inside
 
 
+def _repeats(piece: bytes, window: int) -> bool:
+    """Whether a piece holds one of its windows at two places."""
+    n = len(piece) - window + 1
+    return len({piece[k : k + window] for k in range(n)}) < n
+
+
 def _sorted_lows(pieces: list[bytes], lows: dict[bytes, list[int | None]], window: int) -> None:
     """Sorts the suffixes of all pieces and gives equal windows the least id among them, in place."""
     starts, start = [], 0
@@ -164,8 +170,8 @@ def resolve(units: Units, segments):
     """Verdicts on segments (anchor, seg, bytes, copies, least id) of whole anchors.
 
     Equal windows have equal anchors, so an anchor's pieces are matched among themselves. A piece that lies within
-    another one is not sorted again: its ids go to the other's windows. Only anchors with several pieces of which none
-    holds the rest are sorted."""
+    another one is not sorted again: its ids go to the other's windows. Sorted are anchors with several pieces of which
+    none holds the rest, and those whose one piece repeats a window, since an id given at one place holds at all."""
     window = units.window
     cores = list(_cores(units, segments))
     least: dict[int, dict[bytes, int | None]] = {}
@@ -186,7 +192,7 @@ def resolve(units: Units, segments):
                     if into[k] is None or low < into[k]:
                         into[k] = low
         lows[anchor], within[anchor] = found, inside
-        if len(lead) > 1:
+        if len(lead) > 1 or inside and _repeats(lead[0], window):
             _sorted_lows(lead, found, window)
     for (anchor, seg, raw, copies, i), spans in zip(segments, cores, strict=True):
         out_lows: list[int | None] = [i if copies > 1 else None] * (len(raw) - window + 1)
