@@ -127,6 +127,20 @@ def test_pii_disguises(text, want):
     assert pii.spell(base) == "" and pii.spell(added) == want
 
 
+@pytest.mark.parametrize("dash", "\u2010\u2011\u2012\u2013\u00a0\u2009\u202f")
+def test_pii_foreign_separators(dash):
+    assert pii.spell(pii.scan(f"card {dash.join(['4111', '1111', '1111', '1111'])} ok")[1]) == "card:5:24"
+    assert pii.spell(pii.scan(f"call +1{dash}555{dash}123{dash}4567 ok")[1]) == "phone:5:20"
+
+
+def test_pii_foreign_digits():
+    zeros = [c for c in range(128, 0x110000) if chr(c).isdecimal() and unicodedata.decimal(chr(c)) == 0]
+    for zero in zeros:
+        text = "".join(chr(zero + int(d)) for d in "4111111111111111")
+        assert pii.spell(pii.scan(text)[1]) == "card:0:16", hex(zero)
+    assert pii.FOLDABLE >= set(pii.LOOKALIKES) and len(zeros) > 60
+
+
 def test_redact():
     assert pii.redact("a a.b@c.de b 1.2.3.4 c") == "a [EMAIL] b [IP] c"
     assert pii.redact(None) is None
