@@ -141,6 +141,19 @@ def test_pii_foreign_digits():
     assert pii.FOLDABLE >= set(pii.LOOKALIKES) and len(zeros) > 60
 
 
+@pytest.mark.parametrize(
+    "text, base, want",
+    [
+        ("jоhn@mail.com", "email:2:13", "email:0:13"), ("john [dot] smith@mail.com", "email:11:25", "email:0:25"), ("x@mail.example [dot] com", "email:0:14", "email:0:24"),
+        ("plain@mail.com кот", "email:0:14", ""), ("x@foo.one.two.com", "email:0:17", ""),
+    ],
+)
+def test_pii_disguises_with_plain_fragments(text, base, want):
+    found, added = pii.scan(text)
+    assert pii.spell(found) == base and pii.spell(added) == want
+    assert pii.redact(text) == ("[EMAIL]" if want else text.replace(text[: int(base.split(":")[2])], "[EMAIL]"))
+
+
 def test_redact():
     assert pii.redact("a a.b@c.de b 1.2.3.4 c") == "a [EMAIL] b [IP] c"
     assert pii.redact(None) is None

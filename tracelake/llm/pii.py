@@ -3,7 +3,7 @@
 Three small transducers rewrite a text and remember, for each character they write, the source characters it stands
 for: (1) homoglyphs one for one, (2) spelled digits ("four two" gives 42, in runs), (3) at/dot disguises ("(at)",
 "[dot]", " at ... dot "). The identifier patterns run on the plain text, which gives the base spans, and on the
-rewritten text; spans found there are mapped back to source offsets and added where they touch no base span.
+rewritten text; spans found there are mapped back to source offsets and added unless one base span holds them whole.
 
 Defined results: null text counts as empty; offsets are code points of the source, end exclusive; base matches are
 leftmost and non-overlapping per kind, and those that fail their check are dropped without a retry; other columns are
@@ -202,7 +202,7 @@ def scan(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tu
         for kind, spans in find(tape.text).items():
             for start, end in spans:
                 a, b = tape.offset(start, False), tape.offset(end - 1, True)
-                if all(b <= x or y <= a for x, y in base[kind]) and not _plain(text, a, b, tape.text[start:end]):
+                if not any(x <= a and b <= y for x, y in base[kind]) and not _plain(text, a, b, tape.text[start:end]):
                     added[kind].append((a, b))
     return base, added
 
