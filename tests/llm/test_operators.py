@@ -427,6 +427,14 @@ def test_language_hard(hard):
     assert kept.columns == hard.columns and not {1, 2, 3, 14} & {r.doc_id for r in kept.collect()}
 
 
+def test_language_of_numerals():
+    """Signs that are words to the parser and no letters."""
+    parser = language.CrossParser((("de", " der die "), ("en", " the of ")))
+    for text in ("½ ² ①", "½ ² ① Ⅷ", "½ ² ① Ⅷ " * 9):
+        assert parser.predict(text) == ("und", 0.0)
+    assert parser.predict("½ ² ① Ⅷ the")[0] == "en"
+
+
 def test_media(docs):
     want = Counter()
     for i, t in listed(docs):

@@ -84,7 +84,7 @@ class CrossParser:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = WORD.findall(text.lower()) if text else []
-        if not self.langs or (len(words) < 4 and not any(map(str.isalpha, "".join(words)))):
+        if not self.langs or not any(c.isalpha() for w in words for c in w):
             return UNKNOWN, 0.0
         held = self.held
         new = set(words).difference(held)
