@@ -186,6 +186,31 @@ def test_html_differencing():
     assert html._kept(mine, (1, "", "g", "/a/2", mine[4], False), None) == mine[4]
 
 
+def test_html_any_partition_count(spark):
+    """Every page meets its nearest neighbour, whichever partitions the two are in."""
+    r, rows = random.Random(12), []
+    for k in range(60):
+        host, path = f"h{k // 3 % 7}", r.choice(["/a/", "/b/", "/a/c/"]) + str(k)
+        top = [f"{host} top", *r.sample(["one", "two", "three"], 2)]
+        rows.append((None if k == 5 else k, None if k == 9 else f"http://{host}{path}", "".join(f"<p>{x}</p>" for x in [*top, f"own {k}", "end"])))
+    rows += [rows[0], rows[7], (rows[7][0], rows[7][1], rows[7][2] + "<p>more</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages = []
+    for i, url, text in rows:
+        host, path = re.match("http://([^/]*)(.*)", url).groups() if url else ("", "")
+        mark = df.where(df.html == text).selectExpr("xxhash64(html) as m").first().m if rows.count((i, url, text)) > 1 or (i, url) == rows[7][:2] else 0
+        pages.append(((host, path, i is not None, i or 0, url or "", mark), (i, url, host, path, *html.candidates(text))))
+    pages = [None, *(p for _, p in sorted(pages, key=lambda p: p[0])), None]
+    want = Counter((p[0], p[1], "\n\n".join(html._kept(p, a, b))) for a, p, b in zip(pages, pages[1:], pages[2:], strict=False))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 3, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert as_rows(html.extract_main_text(df.repartition(3)), "page_id", "url", "text") == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 @pytest.mark.parametrize("cells", [3, 4_000_000])
 def test_lcs(monkeypatch, cells):
     monkeypatch.setattr(html, "TABLE_CELLS", cells)

@@ -7,8 +7,9 @@ inside elements that never hold an article (menus, headers, footers, sidebars, n
 Where a page names its article (``article``, ``main`` or the like), lines outside it go and lines inside it are never
 judged by the neighbour, so a text that two pages of a host both print stays whole.
 
-Pairs are formed within one sorted run: a run's first and last page have one neighbour. Only line hashes of pages
-without a named article travel beside the page, and a pair holds two pages, so memory is bounded by the longest page.
+Pages are dealt out in sorted runs, and a copy of a run's first and last page goes to the run beside it, so every page
+meets its nearest neighbours however many runs there are. The driver holds two keys a run; a worker holds three pages,
+so memory is bounded by the longest page. Pages equal in host, path, id and url are in order of a hash of the html.
 
 Defined results: null or empty html gives empty text; a page without a neighbour on its host keeps its lines; a null
 url is a host of its own; if differencing would take every line of a page, it takes none (the two are copies);
@@ -18,6 +19,7 @@ repeated rows are separate pages; an empty table gives an empty result; other co
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 from html import unescape
 
@@ -242,13 +244,47 @@ def _kept(here: tuple, before: tuple | None, after: tuple | None) -> list[str]:
     return here[4] if len(gone) == len(here[4]) else [x for k, x in enumerate(here[4]) if k not in gone]
 
 
+#: What pages are in order of.
+KEYS = ("host", "path", "page_id", "url", "mark")
+
+
+def _ordered(key: tuple) -> tuple:
+    """A key that Python orders as Spark does, nulls first."""
+    host, path, i, url, mark = key
+    return host, path, i is not None, i or 0, url is not None, url or "", mark
+
+
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
 
+    n = shuffle_partitions(pages.sparkSession)
+    read = pages.selectExpr(f"cast(`{id_col}` as bigint) as page_id", f"cast(`{url_col}` as string) as url", f"cast(`{html_col}` as string) as html")
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    path = F.regexp_extract(F.coalesce("url", F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    read = read.select(host.alias("host"), path.alias("path"), "page_id", "url", F.xxhash64("html").alias("mark"), "html")
+    ends = read.select(*KEYS).repartitionByRange(n, *KEYS).groupBy(F.spark_partition_id().alias("k")).agg(F.min(F.struct(*KEYS)).alias("a"), F.max(F.struct(*KEYS)).alias("b")).collect()
+    ends = sorted((_ordered(r.a), _ordered(r.b)) for r in ends)
+    firsts, lasts = [a for a, _ in ends], [b for _, b in ends]
+
+    def runs(key: tuple) -> list[tuple[int, bool]]:
+        """The run of a page, and those beside it that get a copy; whether it is a copy."""
+        k = bisect_right(firsts, key) - 1
+        out = [(k, False)]
+        if key == firsts[k] and k and lasts[k - 1][0] == key[0]:
+            out.append((k - 1, True))
+        if key == lasts[k] and k + 1 < len(firsts) and firsts[k + 1][0] == key[0]:
+            out.append((k + 1, True))
+        return out
+
     def parse(batches):
         for batch in batches:
-            found = [candidates(h) for h in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.list_(pa.string())), pa.array([f[1] for f in found])], names=["page_id", "url", "lines", "named"])
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(len(KEYS))), strict=True))
+            dealt = [(row, *run) for row, key in enumerate(keys) for run in runs(_ordered(key))]
+            found = [candidates(h) for h in batch.column(len(KEYS)).to_pylist()]
+            at = pa.array([d[0] for d in dealt], pa.int32())
+            columns = [batch.column(k).take(at) for k in range(len(KEYS))]
+            columns += [pa.array([found[d[0]][0] for d in dealt], pa.list_(pa.string())), pa.array([found[d[0]][1] for d in dealt], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([d[1] for d in dealt], pa.int32()), pa.array([d[2] for d in dealt], pa.bool_())], names=[*KEYS, "lines", "named", "run", "copy"])
 
     def differ(batches):
         before = here = None
@@ -256,11 +292,12 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
         def rows():
             nonlocal before, here
             for batch in batches:
-                for after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if here is not None:
+                for host, path, i, url, _, found, named, _, copy in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    after = (i, url, host, path, found, named, copy)
+                    if here is not None and not here[6]:
                         yield here, "\n\n".join(_kept(here, before, after))
                     before, here = here, after
-            if here is not None:
+            if here is not None and not here[6]:
                 yield here, "\n\n".join(_kept(here, before, None))
 
         out, size = [], 0
@@ -276,13 +313,9 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     def _batch(out):
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["page_id", "url", "text", "n_chars"])
 
-    n = shuffle_partitions(pages.sparkSession)
-    parsed = pages.selectExpr(f"cast(`{id_col}` as bigint) as page_id", f"cast(`{url_col}` as string) as url", f"cast(`{html_col}` as string) as html").mapInArrow(parse, "page_id bigint, url string, lines array<string>, named boolean")
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    path = F.regexp_extract(F.coalesce("url", F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    dealt = read.mapInArrow(parse, "host string, path string, page_id bigint, url string, mark bigint, lines array<string>, named boolean, run int, copy boolean")
     return (
-        parsed.select("page_id", "url", host.alias("host"), path.alias("path"), "lines", "named")
-        .repartitionByRange(n, "host", "path", "page_id")
-        .sortWithinPartitions("host", "path", "page_id", "url")
+        dealt.repartitionById(max(1, len(ends)), F.col("run"))
+        .sortWithinPartitions(*KEYS)
         .mapInArrow(differ, "page_id bigint, url string, text string, n_chars bigint")
     )
