@@ -532,3 +532,27 @@ def test_bpe_on_random_texts():
 def test_empty_tables(empty, spark):
     for f in (exact_dedup.exact_dedup, pii.find_pii, packing.pack, substrings.dedup_substrings, simhash.near_duplicates, language.identify, suffix_array.dedup_bytes, media.text_round_trip, bpe.encode_decode):
         assert f(empty).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["one " + "1" * 1_000_000 + "a", "one " * 1_000_000 + "onex", "x (at) y" + " " * 1_000_000, "x at y " + " " * 1_000_000 + "dot", "+1" + "(" * 1_000_000, "x at " + "a." * 500_000, "аa@b.cc " * 50_000, "a at b dot " * 50_000],
+    ids=lambda t: t[:12],
+)
+def test_pii_takes_linear_time(text):
+    import time
+
+    began = time.perf_counter()
+    pii.scan(text)
+    assert time.perf_counter() - began < 4
+
+
+def test_pii_spelled_runs_against_one_pattern():
+    """The run that one backtracking pattern finds in short texts."""
+    word = "|".join(pii.DIGIT_WORDS)
+    whole = re.compile(rf"(?i)(?<![A-Za-z0-9])(?:(?:plus|{word})[ .,-]*+)(?:(?:{word}|dot|point|dash|hyphen|[0-9]++)[ .,-]*+)*(?:{word}|[0-9]++)(?![A-Za-z0-9])")
+    r = random.Random(21)
+    items = ["one", "two", "plus", "dot", "dash", "12", "3", " ", " ", " ", ", ", ".", "x", "someone", "oneone", "\n", "ONE"]
+    for _ in range(5000):
+        text = "".join(r.choice(items) for _ in range(r.randrange(14)))
+        assert [(run[0].start(), run[-1].end()) for run in pii._spelled_runs(text)] == [m.span() for m in whole.finditer(text)], text

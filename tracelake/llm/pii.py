@@ -5,9 +5,13 @@ for: (1) homoglyphs one for one, (2) spelled digits ("four two" gives 42, in run
 "[dot]", " at ... dot "). The identifier patterns run on the plain text, which gives the base spans, and on the
 rewritten text; spans found there are mapped back to source offsets and added unless one base span holds them whole.
 
+Every pattern takes what it has read for good, so time is linear in the text: a run of a million digits, spaces or
+spelled digits costs what any other text of that length does.
+
 Defined results: null text counts as empty; offsets are code points of the source, end exclusive; base matches are
-leftmost and non-overlapping per kind, and those that fail their check are dropped without a retry; other columns are
-untouched, and ``redact`` writes ``[EMAIL]`` and so on over each span, overlapping spans as one.
+leftmost and non-overlapping per kind, and those that fail their check are dropped without a retry; a null id is
+returned as null, repeated rows give repeated rows, an empty table gives an empty result; other columns are untouched,
+and ``redact`` writes ``[EMAIL]`` and so on over each span, overlapping spans as one.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ import re
 import sys
 import unicodedata
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,15 +46,16 @@ DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "fo
 MARKS = {"plus": "+", "dot": ".", "point": ".", "dash": "-", "hyphen": "-"}
 
 _word = "|".join(DIGIT_WORDS)
-#: A run of two or more spelled digits, which may have digits, marks and separators among them.
-SPELLED = re.compile(rf"(?i)(?<![A-Za-z0-9])(?:(?:plus|{_word})[ .,-]*+)(?:(?:{_word}|dot|point|dash|hyphen|[0-9]+)[ .,-]*+)*(?:{_word}|[0-9]+)(?![A-Za-z0-9])")
-SPELLED_HINT = re.compile(rf"(?i)\b(?:{_word})\b[ .,-]+(?:{_word}|dot|point|dash|hyphen|[0-9])")
-PIECE = re.compile(rf"(?i){_word}|plus|dot|point|dash|hyphen|[0-9]+|[ .,-]+")
-AT = r"[ \t]*(?:\(\s?at\s?\)|\[\s?at\s?\]|\{\s?at\s?\}|<\s?at\s?>|\(\s?@\s?\)|\[\s?@\s?\]|&#64;)[ \t]*"
-DOT = r"[ \t]*(?:\(\s?(?:dot|\.)\s?\)|\[\s?(?:dot|\.)\s?\]|\{\s?(?:dot|\.)\s?\}|<\s?dot\s?>|&#46;)[ \t]*"
-BARE = r"(?<=[A-Za-z0-9])[ \t]+at[ \t]+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+|[ \t]+dot[ \t]+[A-Za-z0-9-]+)*[ \t]+dot[ \t]+[A-Za-z]{2,})"
-SPACED = r"(?<=[A-Za-z0-9])[ \t]+@[ \t]+(?=[A-Za-z0-9-]+[ \t]*\.[ \t]*[A-Za-z])"
-DISGUISE = re.compile(rf"(?i)(?P<at>{AT}|{BARE}|{SPACED})|(?P<dot>{DOT}|(?<=[A-Za-z0-9])[ \t]+dot[ \t]+(?=[A-Za-z0-9]))")
+#: What a run of spelled digits is made of, and a run with its separators, as long as it goes.
+ITEM = re.compile(rf"(?i)(?P<digit>{_word}|[0-9]++)|plus|dot|point|dash|hyphen")
+CHAIN = re.compile(rf"(?i)(?<![A-Za-z0-9])(?:plus|{_word})(?:[ .,-]*+(?:{_word}|dot|point|dash|hyphen|[0-9]++))*+")
+SPELLED_HINT = re.compile(rf"(?i)\b(?:{_word})\b[ .,-]++(?:{_word}|dot|point|dash|hyphen|[0-9])")
+#: Disguises of @ and of the dot. Those in brackets are matched without the blanks before them, which are added after.
+AT = r"(?:\(\s?at\s?\)|\[\s?at\s?\]|\{\s?at\s?\}|<\s?at\s?>|\(\s?@\s?\)|\[\s?@\s?\]|&#64;)[ \t]*+"
+DOT = r"(?:\(\s?(?:dot|\.)\s?\)|\[\s?(?:dot|\.)\s?\]|\{\s?(?:dot|\.)\s?\}|<\s?dot\s?>|&#46;)[ \t]*+"
+BARE = r"(?<=[A-Za-z0-9])[ \t]++at[ \t]++(?=[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++|[ \t]++dot[ \t]++[A-Za-z0-9-]++)*?[ \t]++dot[ \t]++[A-Za-z]{2,})"
+SPACED = r"(?<=[A-Za-z0-9])[ \t]++@[ \t]++(?=[A-Za-z0-9-]++[ \t]*+\.[ \t]*+[A-Za-z])"
+DISGUISE = re.compile(rf"(?i)(?P<at>{AT}|{BARE}|{SPACED})|(?P<dot>{DOT}|(?<=[A-Za-z0-9])[ \t]++dot[ \t]++(?=[A-Za-z0-9]))")
 DISGUISE_HINT = re.compile(r"(?i)[(\[{<]\s?(?:at|@|dot|\.)\s?[)\]}>]|&#(?:64|46);|\sdot\s|\s@\s")
 
 
@@ -158,31 +164,55 @@ class Tape:
         return i + 1 if last else i
 
 
+def _spelled_runs(text: str) -> Iterator[list[re.Match]]:
+    """Runs of two or more items, from a spelled digit or plus to a digit, whole words at both ends."""
+    for chain in CHAIN.finditer(text):
+        run = list(ITEM.finditer(text, *chain.span()))
+        while run and (run[-1].lastgroup != "digit" or _alnum(text, run[-1].end())):
+            run.pop()
+        if len(run) > 1:
+            yield run
+
+
+def _alnum(text: str, at: int) -> bool:
+    return 0 <= at < len(text) and text[at].isascii() and text[at].isalnum()
+
+
 def _spelled_edits(text: str) -> list[tuple[int, int, str, list[int]]]:
     edits = []
-    for m in SPELLED.finditer(text):
-        if sum(1 for p in PIECE.finditer(m[0]) if p[0].lower() in DIGIT_WORDS) < 2:
-            continue
-        new, places, pending = "", [], None
-        for p in PIECE.finditer(m[0]):
-            w, at = p[0].lower(), m.start() + p.start()
-            if w in DIGIT_WORDS or w in MARKS:
-                if pending and not (w in DIGIT_WORDS and new[-1:].isdigit() and len(pending[0].strip()) == 0):
-                    if "." in pending[0] or "," in pending[0]:
-                        new, places = new + " ", [*places, pending[1]]
-                new, places = new + (DIGIT_WORDS.get(w) or MARKS[w]), [*places, at]
-            elif w[0].isdigit():
-                new, places = new + p[0], [*places, *range(at, at + len(w))]
+    for run in _spelled_runs(text):
+        new: list[str] = []
+        places: list[int] = []
+        words, end = 0, run[0].start()
+        for m in run:
+            at, w = m.start(), m[0]
+            if w[0] in "0123456789":
+                new.append(w)
+                places += range(at, m.end())
             else:
-                pending = (p[0], at)
-                continue
-            pending = None
-        edits.append((m.start(), m.end(), new, places))
+                gap = text[end:at]
+                if "." in gap or "," in gap:
+                    new.append(" ")
+                    places.append(end)
+                digit = DIGIT_WORDS.get(w.lower())
+                words += digit is not None
+                new.append(digit or MARKS[w.lower()])
+                places.append(at)
+            end = m.end()
+        if words > 1:
+            edits.append((run[0].start(), end, "".join(new), places))
     return edits
 
 
 def _disguise_edits(text: str) -> list[tuple[int, int, str, list[int]]]:
-    return [(m.start(), m.end(), "@" if m["at"] else ".", [m.start()]) for m in DISGUISE.finditer(text)]
+    edits, done = [], 0
+    for m in DISGUISE.finditer(text):
+        start = m.start()
+        while start > done and text[start - 1] in " \t":
+            start -= 1
+        edits.append((start, m.end(), "@" if m["at"] else ".", [start]))
+        done = m.end()
+    return edits
 
 
 def scan(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
@@ -202,7 +232,9 @@ def scan(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tu
         for kind, spans in find(tape.text).items():
             for start, end in spans:
                 a, b = tape.offset(start, False), tape.offset(end - 1, True)
-                if not any(x <= a and b <= y for x, y in base[kind]) and not _plain(text, a, b, tape.text[start:end]):
+                # Base spans of a kind don't overlap, so only the last one that begins by a may hold this one.
+                k = bisect_right(base[kind], a, key=lambda span: span[0]) - 1
+                if not (k >= 0 and b <= base[kind][k][1]) and not _plain(text, a, b, tape.text[start:end]):
                     added[kind].append((a, b))
     return base, added
 
