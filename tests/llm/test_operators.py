@@ -387,7 +387,18 @@ def test_simhash(docs):
     assert as_rows(simhash.near_duplicates(docs), "doc_id", "fingerprint", "component_id") == want
     kept = simhash.kept_rows(docs)
     assert kept.columns == docs.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter({least.get(root(f)) for _, f in rows})
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(least.get(f) for f in {root(f) for _, f in rows})
+
+
+def test_simhash_kept_rows(spark):
+    """Rows that share an id stay apart, a component keeps one row, and columns of any name come back."""
+    one, two = "alpha beta gamma delta epsilon zeta eta theta iota kappa", "some other text of quite another kind and length than that"
+    rows = [(3, one, 1, 1, 1), (5, one, 2, 2, 2), (5, two, 3, 3, 3), (None, two, 4, 4, 4), (None, None, 5, 5, 5), (7, "", 6, 6, 6), (7, "", 7, 7, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row long, _keep long, _MARK long").repartition(3)
+    got = simhash.kept_rows(df)
+    assert got.columns == df.columns
+    kept = sorted(tuple(r)[:3] for r in got.collect())
+    assert kept[:2] == [(3, one, 1), (5, two, 3)] and kept[2][0] == 7 and len(kept) == 3
 
 
 def test_golay_keys():
@@ -452,6 +463,50 @@ def test_language_hard(hard):
     assert kept.columns == hard.columns and not {1, 2, 3, 14} & {r.doc_id for r in kept.collect()}
 
 
+def brute_phrases(text, sample):
+    n = at = 0
+    while at < len(text):
+        end = at + (text[at] not in sample)
+        while end < len(text) and text[(at + (text[at] not in sample)) : end + 1] in sample:
+            end += 1
+        at, n = end, n + 1
+    return n
+
+
+def test_language_phrases():
+    """Against a parse by plain substring search; phrases go on across words."""
+    r = random.Random(31)
+    for _ in range(300):
+        samples = [language.spaced(["".join(r.choices("abc", k=r.randrange(1, 5))) for _ in range(12)]) for _ in range(2)]
+        parser = language.CrossParser(tuple(zip("xy", samples, strict=True)))
+        text = language.spaced(["".join(r.choices("abcd", k=r.randrange(1, 5))) for _ in range(8)])
+        assert parser.phrases(text) == [brute_phrases(text, s) for s in samples]
+    parser = language.CrossParser((("en", " the old man and the sea "),))
+    assert parser.phrases(" old man and the ") == [1] and parser.phrases(" the man ") == [2]
+
+
+def test_language_by_brute_force(small):
+    """Predictions and scores of a whole table by substring search in the same samples."""
+    from math import log2
+
+    sample = language.training_sample(small, "doc_id", "text", "lang")
+    assert sorted(sample) == ["de", "en", "es", "fr"] and all(len(t.replace(" ", "")) <= language.CHARS + 100 for t in sample.values())
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(small).collect()}
+    texts = sorted((len(t), i, t) for i, t in listed(small))[:60]
+    for _, i, t in texts:
+        words = language.WORD.findall(t.lower())
+        if any(c.isalpha() for w in words for c in w):
+            costs = sorted((brute_phrases(language.spaced(words), s) * log2(len(s)), lang) for lang, s in sample.items())
+            assert got[i] == (costs[0][1], round(costs[1][0] / (costs[0][0] + costs[1][0]), 6))
+        else:
+            assert got[i] == ("und", 0.0)
+
+
+def test_language_clashing_names(spark):
+    df = spark.createDataFrame([(1, "the house and the garden", "en", 1, 2), (2, "12", "en", 3, 4), (3, "das haus und der garten", "de", 5, 6)], "doc_id long, text string, lang string, _lang_pred long, _LANG_SCORE long")
+    assert {tuple(r) for r in language.accepted(df).collect()} == {(1, "the house and the garden", "en", 1, 2), (3, "das haus und der garten", "de", 5, 6)}
+
+
 def test_language_of_numerals():
     """Signs that are words to the parser and no letters."""
     parser = language.CrossParser((("de", " der die "), ("en", " the of ")))

@@ -1,33 +1,36 @@
 """Language ID by cross-parsing entropy.
 
-For each language a suffix automaton holds the words of a bounded sample of labelled text. A text is parsed against
-each automaton into phrases, each the longest stretch of a word (with its borders) that occurs in the sample; few
-phrases mean that the text is cheap to write in terms of that language. The language with the fewest phrases per
-character wins. Words are parsed once and their phrase counts remembered, and a text's count is the sum over all of
-its words, to the last.
+For each language a suffix automaton holds a bounded sample of labelled text. A text's words, in lower case and joined
+by single spaces, are parsed against each automaton into phrases, each the longest match from where the one before
+ended, across words as far as it goes. A phrase of a sample of N characters costs about log N, so phrases are
+normalised to log N for each; the language whose normalised phrases are fewest wins. Whole texts are parsed, to the
+last character.
 
 The sample: per language, the ``DOCS`` labelled documents with the smallest hash of the id outside the held-out
-quarter, their first ``CHARS`` letters together. It is the classifier's only bound; prediction reads whole texts.
+quarter, of each its first ``DOC_CHARS`` characters, of which the first ``CHARS`` letters together are taken. It is the
+classifier's only bound; prediction reads whole texts. One scan picks the documents of all languages, one fetches them.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter; ties go to the language that sorts
-first; with no labelled text at all every result is ``und``; rows are independent; an empty table gives an empty
-result; lang, source and id are never read for a prediction. The score is the runner-up's phrases over the sum of both,
-so 0.5 is a tie; with one learned language it is 1.
+first; with no labelled text at all every result is ``und``; rows are independent, so repeated rows repeat their
+result; a null id is never a training row and is not held out; an empty table gives an empty result; lang, source and
+id are never read for a prediction. The score is the runner-up's normalised phrases over the sum of both, so 0.5 is a
+tie; with one learned language it is 1.
 """
 
 from __future__ import annotations
 
 import re
+from math import log2
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm.automaton import SuffixAutomaton
+from tracelake.llm.common import fresh
 
-#: Bounds of the sample per language; words whose phrase counts a worker holds; longest word that is held.
-DOCS, CHARS, HELD_WORDS, HELD_LENGTH = 48, 80_000, 100_000, 64
-LANE = 48
+#: Bounds of the sample: documents of a language, characters of a document, letters of a language.
+DOCS, DOC_CHARS, CHARS = 48, 20_000, 80_000
 UNKNOWN = "und"
 HELD_OUT = 2
 WORD = re.compile(r"[^\W\d_]+")
@@ -41,62 +44,62 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str)
     """Text per language, at most CHARS letters each: the driver's only copy of corpus text, of bounded size."""
     labelled = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l"))
     labelled = labelled.where(F.col("l").isNotNull() & F.col("t").isNotNull() & ~F.coalesce(held_out("i"), F.lit(True)))
-    langs = sorted(r.l for r in labelled.groupBy("l").count().collect())
-    out = {}
-    for lang in langs:
-        rows = labelled.where(F.col("l") == lang).select("t", F.xxhash64("i").alias("h"), "i").orderBy("h", "i", "t").limit(DOCS).select(F.substring("t", 1, CHARS).alias("t")).collect()
-        words, size = [], 0
-        for r in rows:
-            for w in WORD.findall(r.t.lower()):
-                if size < CHARS:
-                    words.append(w)
-                    size += len(w)
-        if words:
-            out[lang] = " " + " ".join(words) + " "
-    return out
+    # Ranks are cut to DOCS a language in each task before anything is shuffled, and no text is.
+    order = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i", F.xxhash64("t"))
+    chosen = labelled.select("l", "i", "t").withColumn("k", F.row_number().over(order)).where(F.col("k") <= DOCS)
+    chosen = chosen.select("l", "i", "k", F.substring("t", 1, DOC_CHARS).alias("t")).orderBy("l", "k")
+    words: dict[str, list[str]] = {}
+    sizes: dict[str, int] = {}
+    for r in chosen.toLocalIterator():
+        held, size = words.setdefault(r.l, []), sizes.get(r.l, 0)
+        for w in WORD.findall(r.t.lower()):
+            if size < CHARS:
+                held.append(w)
+                size += len(w)
+        sizes[r.l] = size
+    return {lang: spaced(held) for lang, held in words.items() if held}
+
+
+def spaced(words: list[str]) -> str:
+    return f" {' '.join(words)} "
+
+
+def _nodes(sample: str) -> dict:
+    """The root of the sample's suffix automaton, each state a table from a character to the next state's table."""
+    automaton = SuffixAutomaton()
+    automaton.add(sample)
+    tables: list[dict] = [{} for _ in automaton.following]
+    for table, following in zip(tables, automaton.following, strict=True):
+        table.update((c, tables[to]) for c, to in following.items())
+    return tables[0]
 
 
 class CrossParser:
     def __init__(self, samples: tuple[tuple[str, str], ...]):
         self.langs = [lang for lang, _ in samples]
-        self.following = []
-        for _, text in samples:
-            automaton = SuffixAutomaton()
-            automaton.add(text)
-            self.following.append(automaton.following)
-        #: Per word its phrases, a lane of LANE bits for each language, so that one addition adds them all.
-        self.held: dict[str, int] = {}
-
-    def phrases(self, word: str) -> int:
-        """Phrases of the word with its borders, per language."""
-        lanes, bordered = 0, f" {word} "
-        for following in reversed(self.following):
-            n, root = 1, following[0]
-            state = root
-            for c in bordered:
+        self.roots = [_nodes(text) for _, text in samples]
+        self.costs = [log2(len(text)) for _, text in samples]
+
+    def phrases(self, text: str) -> list[int]:
+        """The number of phrases of a text for each language; a character that a sample lacks begins a phrase, which goes
+        on with the longest match after it."""
+        out = []
+        for root in self.roots:
+            n, state = 1, root
+            for c in text:
                 if c in state:
-                    state = following[state[c]]
+                    state = state[c]
                 else:
                     n += 1
-                    state = following[root[c]] if c in root else root
-            lanes = lanes << LANE | n
-        return lanes
+                    state = root[c] if c in root else root
+            out.append(n)
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = WORD.findall(text.lower()) if text else []
         if not self.langs or not any(c.isalpha() for w in words for c in w):
             return UNKNOWN, 0.0
-        held = self.held
-        new = set(words).difference(held)
-        for word in new:
-            held[word] = self.phrases(word)
-        lanes = sum(map(held.__getitem__, words))
-        for word in new:
-            if len(word) > HELD_LENGTH:
-                del held[word]
-        if len(held) > HELD_WORDS:
-            held.clear()
-        totals = [lanes >> LANE * k & (1 << LANE) - 1 for k in range(len(self.langs))]
+        totals = [n * cost for n, cost in zip(self.phrases(spaced(words)), self.costs, strict=True)]
         order = sorted(range(len(totals)), key=totals.__getitem__)
         best = totals[order[0]]
         score = totals[order[1]] / (best + totals[order[1]]) if len(order) > 1 else 1.0
@@ -142,5 +145,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs without those whose language can't be told."""
-    return with_language(docs, id_col, text_col, lang_col, "_lang_pred", "_lang_score").where(F.col("_lang_pred") != UNKNOWN).drop("_lang_pred", "_lang_score")
+    """docs without those whose language can't be told; columns of any name pass."""
+    pred, score = fresh(docs, "lang_pred", "score")
+    return with_language(docs, id_col, text_col, lang_col, pred, score).where(F.col(pred) != UNKNOWN).drop(pred, score)
