@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import clean_shuffles, dropped, written
+from tracelake.llm.common import clean_shuffles, dropped, fresh, written
 
 DISTANCE, SEED, SHINGLE = 2, 42, 3
 #: (shift, bits) of the segments; buckets up to PAIRS compare all pairs, larger ones look up every possible neighbour.
@@ -129,15 +129,17 @@ def links(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return roots[others], others
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, mark_col: str | None = None) -> DataFrame:
+    """doc_id, fp (the fingerprint's 64 bits as a signed long), and the column mark_col as mark if it is given."""
+    names = ["doc_id", "fp"] + ["mark"] * (mark_col is not None)
 
     def run(batches):
         for batch in batches:
             prints = [fingerprint((t or "").encode().lower(), size) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64)), *batch.columns[2:]], names=names)
 
-    return docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"cast(`{text_col}` as string) as text").mapInArrow(run, "doc_id bigint, fp bigint")
+    columns = [f"cast(`{id_col}` as bigint) as doc_id", f"cast(`{text_col}` as string) as text"] + [f"`{mark_col}` as mark"] * (mark_col is not None)
+    return docs.selectExpr(*columns).mapInArrow(run, "doc_id bigint, fp bigint" + ", mark string" * (mark_col is not None))
 
 
 def _keyed(batches):
@@ -221,28 +223,35 @@ def components(edges: DataFrame) -> DataFrame:
         edges = small
 
 
-def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) and (fp, component_id)."""
-    rows = written(fingerprints(docs, id_col, text_col, size), "fingerprints")
+def _labelled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows: doc_id, fp. (fp, least id) of the distinct fingerprints, and (fp, root) with one root for each component."""
     prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
     roots = components(fingerprint_links(prints))
-    clean_shuffles(docs.sparkSession)
-    rooted = prints.join(roots, prints.fp == roots.v, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows, rooted.join(named, "root").select(F.col("fp").alias("fp2"), "component_id")
+    clean_shuffles(rows.sparkSession)
+    return prints, prints.join(roots, prints.fp == roots.v, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, fingerprint, component_id."""
-    rows, names = _labelled(docs, id_col, text_col, size)
+    rows = written(fingerprints(docs, id_col, text_col, size), "fingerprints")
+    _, rooted = _labelled(rows)
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    names = rooted.join(named, "root").select(F.col("fp").alias("fp2"), "component_id")
     return rows.join(names, rows.fp == names.fp2).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """One row of each component, that of the smallest id, with all its columns; of rows equal in id, one."""
-    rows, names = _labelled(docs, id_col, text_col, size)
-    # Ids that stay: one per component, whatever the number of its rows.
-    keep = names.groupBy("component_id").agg(F.count(F.lit(1)).alias("_n")).select(F.col("component_id").alias("_keep"))
-    kept = docs.join(keep, F.col(f"`{id_col}`").eqNullSafe(F.col("_keep")), "left_semi")
-    first = Window.partitionBy(F.col(f"`{id_col}`")).orderBy(F.xxhash64(F.col(f"`{text_col}`")))
-    return kept.withColumn("_row", F.row_number().over(first)).where("_row = 1").drop("_row")
+    """One row of each component with all its columns: the smallest id, null ids last; of rows equal in id the one
+    whose text has the smallest digest, and of rows equal in both any one."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    ident, mark, place, two, three = fresh(docs, "id", "mark", "place", "id2", "mark2")
+    marked = docs.withColumns({ident: F.col(f"`{id_col}`").cast("long"), mark: F.sha2(text, 256)})
+    rows = written(fingerprints(marked.select(F.col(ident).alias("doc_id"), text.alias("text"), F.col(mark).alias("mark")), "doc_id", "text", size, "mark"), "fingerprints")
+    prints, rooted = _labelled(rows)
+    # The best row of each fingerprint before that of each component: both are summed in each task first.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")
+    firsts = rows.groupBy("fp").agg(first).join(rooted.select(F.col("fp").alias("fp2"), "root"), F.col("fp") == F.col("fp2"))
+    keep = firsts.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias(two), F.col("first.mark").alias(three))
+    kept = marked.join(keep, F.col(ident).eqNullSafe(F.col(two)) & (F.col(mark) == F.col(three)), "left_semi")
+    one = Window.partitionBy(ident, mark).orderBy(ident)
+    return kept.withColumn(place, F.row_number().over(one)).where(F.col(place) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
