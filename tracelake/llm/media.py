@@ -2,12 +2,17 @@
 
 ``read_pages`` walks the image directories of a file (either byte order), decodes uncompressed, PackBits, LZW or
 deflate strips and tiles, undoes horizontal differencing, and gives one page per directory; ``tiff_pages`` emits these
-as one row per page. ``write_tiff`` stores bytes as 8-bit samples over pages of at most 64 KiB, of which every third
-has deflate strips, deflate tiles and PackBits strips in turn, the deflate ones with horizontal differencing.
+as one row per page. Samples of 1, 2 and 4 bits come back as a byte each, separate planes side by side. ``write_tiff``
+stores bytes as 8-bit samples over pages of at most 64 KiB, whose forms take turns: deflate strips, deflate tiles,
+PackBits strips, LZW strips and plain tiles, the deflate and LZW ones with horizontal differencing.
 
-Defined results: null text counts as empty, whose payload is 64 zero bytes; a null file gives no rows; a file that is
-no TIFF, is cut short, or whose directories form a loop gives one row with ``error`` set; equal texts give equal
-values; other columns are not read.
+Sizes in a directory are believed only as far as the bytes behind them allow: no page is larger than its compressed
+segments can expand to, nor than ``PAGE_BYTES``, which is checked before memory is taken.
+
+Defined results: null text counts as empty, whose payload is 64 zero bytes; a null file gives no rows; a null id is
+returned as null; of a file that is no TIFF, is cut short, or whose directories form a loop, the pages before the
+fault are rows and the fault is one more row with ``error`` set; equal texts give equal values, repeated rows give
+repeated rows, an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -15,17 +20,24 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-WIDTH, PAGE_ROWS, STRIP_ROWS, TILE = 64, 1024, 256, 64
+WIDTH, PAGE_ROWS, STRIP_ROWS, TILE = 64, 1024, 256, 32
+#: The largest page that is decoded.
+PAGE_BYTES = 1 << 30
 # Fixed values of the TIFF 6.0 format: field types' sizes, compressions and tags.
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 PLAIN, LZW, ADOBE_DEFLATE, PACKBITS, DEFLATE = 1, 5, 8, 32773, 32946
 SUBFILE, COLS, ROWS, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR, TILE_WIDTH, TILE_ROWS, TILE_AT, TILE_BYTES = 254, 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325
+#: How many bytes a compressed byte stands for at most: a repeat of 128 from two bytes, a string of 4096 from 12 bits
+#: or less, and deflate's own bound.
+GROWTH = {PLAIN: 1, PACKBITS: 64, LZW: 3641, ADOBE_DEFLATE: 1032, DEFLATE: 1032}
 
 
 class BadTiff(ValueError):
@@ -187,6 +199,12 @@ def _directories(data: bytes):
 
 
 def _undo(block: bytes, rows: int, cols: int, samples: int, bits: int, predictor: int, e: str) -> np.ndarray:
+    if bits < 8:
+        if predictor != 1:
+            raise BadTiff("predictor on samples of less than a byte")
+        each = np.unpackbits(np.frombuffer(block, np.uint8).reshape(rows, -1), axis=1)
+        weights = 1 << np.arange(bits - 1, -1, -1, dtype=np.uint8)
+        return (each.reshape(rows, -1, bits) * weights).sum(2, dtype=np.uint8)[:, : cols * samples].reshape(rows, cols, samples)
     a = np.frombuffer(block, np.dtype(f"{e}u{bits // 8}")).reshape(rows, cols, samples)
     if predictor == 2:
         a = np.cumsum(a, axis=1, dtype=a.dtype.newbyteorder("="))
@@ -195,34 +213,57 @@ def _undo(block: bytes, rows: int, cols: int, samples: int, bits: int, predictor
     return a
 
 
-def read_pages(data: bytes) -> list[Page]:
-    out = []
+def _page(data: bytes, e: str, f: dict[int, tuple[int, ...]]) -> Page:
+    def one(tag: int, default: int) -> int:
+        return f.get(tag, (default,))[0]
+
+    width, height, samples, bits = one(COLS, 0), one(ROWS, 0), one(SAMPLES, 1), one(BITS, 1)
+    compression, predictor, planes = one(COMPRESSION, PLAIN), one(PREDICTOR, 1), samples if one(PLANAR, 1) == 2 else 1
+    if bits not in (1, 2, 4, 8, 16) or len(set(f.get(BITS, ()))) > 1:
+        raise BadTiff("samples of other than 1, 2, 4, 8 or 16 bits")
+    if compression not in GROWTH:
+        raise BadTiff(f"compression {compression}")
+    if not (width and height and samples):
+        raise BadTiff("a page without samples")
+    tiled, each = TILE_AT in f, samples // planes
+    at, lengths = (f[TILE_AT], f[TILE_BYTES]) if tiled else (f[STRIP_AT], f[STRIP_BYTES])
+    high, wide = (one(TILE_ROWS, 0), one(TILE_WIDTH, 0)) if tiled else (min(one(ROWS_PER_STRIP, height), height), width)
+    if not (high and wide):
+        raise BadTiff("segments without rows or columns")
+    down, across = -(-height // high), -(-width // wide)
+    if not len(at) == len(lengths) == down * across * planes:
+        raise BadTiff("the number of segments doesn't fit the page")
+    row_bytes = -(-wide * each * bits // 8)
+    held = sum(min(n, max(0, len(data) - a)) for a, n in zip(at, lengths, strict=True))
+    if down * across * planes * row_bytes * (high if tiled else 1) > held * GROWTH[compression] or width * height * samples * max(1, bits // 8) > min(PAGE_BYTES, held * GROWTH[compression] * max(1, 8 // bits)):
+        raise BadTiff("the page is larger than its segments can hold")
+    page = np.zeros((height, width, samples), f"u{max(8, bits) // 8}")
+    for k, (start, size) in enumerate(zip(at, lengths, strict=True)):
+        plane, place = divmod(k, down * across)
+        r, c = place // across * high, place % across * wide
+        rows = high if tiled else min(high, height - r)
+        block = _undo(_expand(data[start : start + size], compression, rows * row_bytes), rows, wide, each, bits, predictor, e)
+        h, w = min(rows, height - r), min(wide, width - c)
+        page[r : r + h, c : c + w, plane * each : (plane + 1) * each] = block[:h, :w]
+    return Page(width, height, samples, bits, compression, tiled, page.tobytes())
+
+
+def pages_of(data: bytes) -> Iterator[Page]:
+    """The pages in turn; BadTiff at the first fault, after the pages before it."""
     try:
-        for e, f in _directories(data):
-            one = lambda tag, default: f.get(tag, (default,))[0]  # noqa: B023, E731
-            width, height, samples, bits = one(COLS, 0), one(ROWS, 0), one(SAMPLES, 1), one(BITS, 1)
-            compression, predictor = one(COMPRESSION, PLAIN), one(PREDICTOR, 1)
-            if bits not in (8, 16) or one(PLANAR, 1) != 1:
-                raise BadTiff("only 8 and 16 bit samples side by side")
-            step = samples * bits // 8
-            page = np.zeros((height, width, samples), f"u{bits // 8}")
-            if tiled := TILE_AT in f:
-                tw, th = one(TILE_WIDTH, 0), one(TILE_ROWS, 0)
-                across = -(-width // tw)
-                places = [(k // across * th, k % across * tw, th, tw) for k in range(len(f[TILE_AT]))]
-                segments = zip(f[TILE_AT], f[TILE_BYTES], places, strict=True)
-            else:
-                each = min(one(ROWS_PER_STRIP, height), height)
-                places = [(r, 0, min(each, height - r), width) for r in range(0, height, each)]
-                segments = zip(f[STRIP_AT], f[STRIP_BYTES], places, strict=True)
-            for at, size, (r, c, rows, cols) in segments:
-                block = _undo(_expand(data[at : at + size], compression, rows * cols * step), rows, cols, samples, bits, predictor, e)
-                h, w = min(rows, height - r), min(cols, width - c)
-                page[r : r + h, c : c + w] = block[:h, :w]
-            out.append(Page(width, height, samples, bits, compression, tiled, page.tobytes()))
-    except (struct.error, zlib.error, KeyError, IndexError, ValueError, ZeroDivisionError) as error:
+        for e, fields in _directories(data):
+            yield _page(data, e, fields)
+    except (struct.error, zlib.error, KeyError, IndexError, ValueError) as error:
         raise BadTiff(str(error)) from error
-    return out
+
+
+def read_pages(data: bytes) -> list[Page]:
+    return list(pages_of(data))
+
+
+#: The forms that the pages of a written file take in turn, and how each compression packs a block.
+FORMS = ((ADOBE_DEFLATE, False), (ADOBE_DEFLATE, True), (PACKBITS, False), (LZW, False), (PLAIN, True))
+PACK = {ADOBE_DEFLATE: lambda block: zlib.compress(block, 1), PACKBITS: packbits_encode, LZW: lzw_encode, PLAIN: bytes}
 
 
 def write_tiff(payload: bytes) -> bytes:
@@ -232,18 +273,15 @@ def write_tiff(payload: bytes) -> bytes:
     rows, out, link = len(payload) // WIDTH, [b"II*\0\0\0\0\0"], (0, 4)
     size = 8
     for number, top in enumerate(range(0, rows, PAGE_ROWS)):
-        height, form = min(PAGE_ROWS, rows - top), number % 3
+        height, (compression, tiled) = min(PAGE_ROWS, rows - top), FORMS[number % len(FORMS)]
         grid = np.frombuffer(payload, np.uint8, height * WIDTH, top * WIDTH).reshape(height, WIDTH)
-        step = TILE if form == 1 else STRIP_ROWS
-        blocks = []
-        for r in range(0, height, step):
-            block = grid[r : r + step]
-            if form == 1 and len(block) < TILE:
-                block = np.vstack((block, np.zeros((TILE - len(block), WIDTH), np.uint8)))
-            if form == 2:
-                blocks.append(packbits_encode(block.tobytes()))
-            else:
-                blocks.append(zlib.compress(np.diff(block, axis=1, prepend=np.uint8(0)).tobytes(), 1))
+        predictor = 2 if compression in (ADOBE_DEFLATE, LZW) else 1
+        if tiled:
+            whole = np.vstack((grid, np.zeros((-height % TILE, WIDTH), np.uint8)))
+            cut = [whole[r : r + TILE, c : c + TILE] for r in range(0, height, TILE) for c in range(0, WIDTH, TILE)]
+        else:
+            cut = [grid[r : r + STRIP_ROWS] for r in range(0, height, STRIP_ROWS)]
+        blocks = [PACK[compression]((np.diff(block, axis=1, prepend=np.uint8(0)) if predictor == 2 else block).tobytes()) for block in cut]
         places = []
         for b in blocks:
             places.append(size)
@@ -251,8 +289,8 @@ def write_tiff(payload: bytes) -> bytes:
             out.append(b)
             size += len(b)
         lengths = [len(b) for b in blocks]
-        tags = [(SUBFILE, 4, [2]), (COLS, 4, [WIDTH]), (ROWS, 4, [height]), (BITS, 3, [8]), (COMPRESSION, 3, [PACKBITS if form == 2 else ADOBE_DEFLATE]), (PHOTOMETRIC, 3, [1]), (SAMPLES, 3, [1]), (PREDICTOR, 3, [1 if form == 2 else 2])]
-        tags += [(TILE_WIDTH, 4, [WIDTH]), (TILE_ROWS, 4, [TILE]), (TILE_AT, 4, places), (TILE_BYTES, 4, lengths)] if form == 1 else [(STRIP_AT, 4, places), (ROWS_PER_STRIP, 4, [STRIP_ROWS]), (STRIP_BYTES, 4, lengths)]
+        tags = [(SUBFILE, 4, [2]), (COLS, 4, [WIDTH]), (ROWS, 4, [height]), (BITS, 3, [8]), (COMPRESSION, 3, [compression]), (PHOTOMETRIC, 3, [1]), (SAMPLES, 3, [1]), (PREDICTOR, 3, [predictor])]
+        tags += [(TILE_WIDTH, 4, [TILE]), (TILE_ROWS, 4, [TILE]), (TILE_AT, 4, places), (TILE_BYTES, 4, lengths)] if tiled else [(STRIP_AT, 4, places), (ROWS_PER_STRIP, 4, [STRIP_ROWS]), (STRIP_BYTES, 4, lengths)]
         fields = []
         for tag, kind, values in sorted(tags):
             raw = struct.pack(f"<{len(values)}{'I' if kind == 4 else 'H'}", *values)
@@ -290,11 +328,19 @@ def tiff_pages(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
             for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if data is None:
                     continue
-                try:
-                    rows = [(i, k, p.width, p.height, p.samples, p.bits, p.compression, p.tiled, p.data, None) for k, p in enumerate(read_pages(data))]
-                except BadTiff as error:
-                    rows = [(i, *[None] * 8, str(error))]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+                pages = pages_of(data)
+                for k in count():
+                    try:
+                        p = next(pages, None)
+                    except BadTiff as error:
+                        row = (i, *[None] * 8, str(error))
+                    else:
+                        if p is None:
+                            break
+                        row = (i, k, p.width, p.height, p.samples, p.bits, p.compression, p.tiled, p.data, None)
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=names)
+                    if row[-1]:
+                        break
 
     schema = "id bigint, page int, width int, height int, samples int, bits int, compression int, tiled boolean, data binary, error string"
     return df.selectExpr(f"cast(`{id_col}` as bigint) as id", f"`{media_col}` as media").mapInArrow(run, schema)
