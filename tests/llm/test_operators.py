@@ -75,6 +75,27 @@ def test_exact_dedup_is_native(docs):
     assert "Python" not in plan and "Arrow" not in plan and "rangepartitioning" in plan and "SortAggregate" in plan
 
 
+def test_exact_dedup_sort_merges_all_but_hot_texts(spark, sf):
+    """Equal texts meet in the content sort, however many partitions; hot ones are combined before it."""
+    rows = [(i, f"text {i % 300} " + "same beginning of very many texts " * 3, 1) for i in range(900)] + [(1000 + i, "hot  text" if i % 2 else "hot text", 1) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _norm long").repartition(5)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (2, 51, 200):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            from pyspark.sql import functions as F
+
+            texts = exact_dedup._texts(df.drop("_norm"), "doc_id", "text", F.min("_rank").alias("_best"), [])
+            assert Counter(r._n for r in texts.collect()) == Counter({3: 300, 900: 1})
+            hot = exact_dedup._hot_texts(df, "text", n).count()
+            assert hot <= exact_dedup.HOT_SHARE * n and (hot == 1 or n == 200)
+            got = exact_dedup.exact_dedup(df)
+            assert Counter((r.group_size, r.kept) for r in got.collect()) == Counter({(3, True): 300, (3, False): 600, (900, True): 1, (900, False): 899})
+            assert exact_dedup.kept_rows(df).columns == df.columns and exact_dedup.kept_rows(df).count() == 301
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 PATTERNS = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
@@ -550,11 +571,65 @@ def test_media_foreign_file():
     assert (np.frombuffer(page.data, "u2").reshape(6, 5) == grid).all()
 
 
+def tiff(tags, body, e="<"):
+    """One directory after the bytes of body, which begin at 8."""
+    import struct
+
+    code = {1: "B", 3: "H", 4: "I"}
+    head = (b"II*\0" if e == "<" else b"MM\0*") + struct.pack(e + "I", 8 + len(body))
+    fields = b""
+    for tag, kind, value in sorted(tags):
+        raw = struct.pack(e + code[kind], value) if isinstance(value, int) else value[0]
+        fields += struct.pack(e + "HHI", tag, kind, 1 if isinstance(value, int) else value[1]) + raw.ljust(4, b"\0")
+    return head + body + struct.pack(e + "H", len(tags)) + fields + b"\0" * 4
+
+
+def test_media_small_samples_and_planes():
+    r = np.random.default_rng(3)
+    for bits in (1, 2, 4):
+        grid = r.integers(0, 1 << bits, (5, 11), dtype=np.uint8)
+        each = (grid[:, :, None] >> np.arange(bits - 1, -1, -1) & 1).astype(np.uint8).reshape(5, -1)
+        body = np.packbits(each, axis=1).tobytes()
+        (page,) = media.read_pages(tiff([(256, 3, 11), (257, 3, 5), (258, 3, bits), (259, 3, 1), (273, 4, 8), (278, 3, 5), (279, 4, len(body))], body))
+        assert (np.frombuffer(page.data, np.uint8).reshape(5, 11) == grid).all()
+    a, b = (r.integers(0, 256, (3, 2), dtype=np.uint8) for _ in range(2))
+    import struct
+
+    body = a.tobytes() + b.tobytes() + struct.pack("<2I2I", 8, 14, 6, 6)
+    (page,) = media.read_pages(tiff([(256, 3, 2), (257, 3, 3), (258, 3, 8), (259, 3, 1), (273, 4, (struct.pack("<I", 20), 2)), (277, 3, 2), (278, 3, 3), (279, 4, (struct.pack("<I", 28), 2)), (284, 3, 2)], body))
+    assert (np.frombuffer(page.data, np.uint8).reshape(3, 2, 2) == np.stack((a, b), axis=2)).all()
+
+
+def test_media_sizes_are_checked_first():
+    """A short file that claims a vast page takes no memory."""
+    for compression in (1, 5, 8, 32773, 32946):
+        vast = [(256, 4, 2**31), (257, 4, 2**31), (258, 3, 8), (259, 3, compression), (273, 4, 8), (278, 4, 2**31), (279, 4, 4)]
+        with pytest.raises(media.BadTiff, match="larger"):
+            media.read_pages(tiff(vast, b"abcd"))
+        rows = [(256, 4, 2**31), (257, 4, 2**31), (258, 3, 8), (259, 3, compression), (273, 4, 8), (278, 4, 1), (279, 4, 4)]
+        with pytest.raises(media.BadTiff, match="number of segments"):
+            media.read_pages(tiff(rows, b"abcd"))
+    with pytest.raises(media.BadTiff):
+        media.read_pages(tiff([(256, 4, 0), (257, 4, 5), (273, 4, 8), (279, 4, 4)], b"abcd"))
+
+
+def test_media_feature_and_digest():
+    from math import log2
+
+    payload = bytes(range(64)) * 2
+    counts = Counter(payload)
+    entropy = -sum(c / 128 * log2(c / 128) for c in counts.values())
+    assert media.feature(payload) == f"mean=31.5000;std={np.std(list(payload)):.4f};entropy={entropy:.4f};step=1.0000;distinct=64"
+    big = media.write_tiff(media.padded(random.Random(2).randbytes(330_000)))
+    assert [(p.compression, p.tiled) for p in media.read_pages(big)] == [*media.FORMS, media.FORMS[0]]
+
+
 def test_tiff_pages(spark):
-    rows = [(1, media.write_tiff(media.padded(b"x" * 150_000))), (2, None), (3, b"no tiff"), (4, media.write_tiff(bytes(64))[:40])]
+    cut = media.write_tiff(media.padded(random.Random(1).randbytes(100_000)))[:-300]
+    rows = [(1, media.write_tiff(media.padded(b"x" * 150_000))), (2, None), (3, b"no tiff"), (4, media.write_tiff(bytes(64))[:40]), (5, cut)]
     got = media.tiff_pages(spark.createDataFrame(rows, "k long, file binary"), "k", "file").collect()
-    assert [(r.id, r.page, r.compression, r.tiled) for r in got if r.error is None] == [(1, 0, 8, False), (1, 1, 8, True), (1, 2, 32773, False)]
-    assert {r.id for r in got if r.error} == {3, 4}
+    assert [(r.id, r.page, r.compression, r.tiled) for r in got if r.error is None] == [(1, 0, 8, False), (1, 1, 8, True), (1, 2, 32773, False), (5, 0, 8, False)]
+    assert {r.id for r in got if r.error} == {3, 4, 5}
 
 
 def test_bpe(docs):

@@ -1,10 +1,13 @@
 """Exact dedup by content sort, native DataFrame operations only.
 
-Sampled splitters (``repartitionByRange``) deal the normalised bytes out by range, the sort of each partition
-(external, spilling) places equal bytes side by side, and the sort aggregate compares each row's full bytes with its
-neighbour's. Splitters see the beginning of the bytes and a salt, so what is sampled has a bound, and a text with
-very many copies, or a beginning that very many texts share, spans many partitions; what a
-partition makes of one text is one short row, and those rows meet by SHA-256 of the text, which the result carries.
+Sampled splitters (``repartitionByRange``) deal the normalised texts out by content, equal ones to one partition; the
+sort of each partition (external, spilling) places equal bytes side by side, and the sort aggregate compares each
+row's full bytes with its neighbour's and keeps the best identifier. Splitters compare the beginning of a text and a
+hash of the whole, so what the driver samples is short however long the texts are.
+
+A text with so many copies that they would fill a good part of a partition (more than a quarter of an even share) is
+combined in each task before it is dealt out. There are at most four such texts for each partition, so their list has
+a bound and is broadcast; they are found by an exact count of hashes, and grouped by their full bytes as well.
 
 Defined results: null text counts as empty and empty texts are equal to each other; texts of only white space are
 empty; ties go to the longer original, then the smaller id, null ids last; of rows equal in id and text one is kept;
@@ -21,43 +24,38 @@ from tracelake.llm.common import shuffle_partitions, text_or_empty, written
 
 #: The characters that normalising deletes: [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\x0c\r"
-#: Characters of the normalised text that splitters compare: what the driver samples is short, however long the texts.
-HEAD = 32
+#: Characters of the normalised text that splitters compare before the hash, and hot texts for each partition at most.
+HEAD, HOT_SHARE = 32, 4
 
 
 def normalised(text: Column) -> Column:
     return F.translate(text, WHITE, "")
 
 
-def _fragments(docs: DataFrame, id_col: str, text_col: str, best: Column, extra: list[Column]) -> DataFrame:
-    """One row for each text and salt: its digest, number of rows and best row."""
+def _hot_texts(docs: DataFrame, text_col: str, n: int) -> DataFrame:
+    """Hashes of the texts with more rows than a HOT_SHARE-th of an even partition: at most HOT_SHARE * n."""
+    counts = docs.select(F.xxhash64(normalised(text_or_empty(text_col))).alias("_hot")).groupBy("_hot").agg(F.count(F.lit(1)).alias("_n"))
+    return counts.where(F.col("_n") > max(1, docs.count() // (HOT_SHARE * n))).select("_hot")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str, best: Column, extra: list[Column]) -> DataFrame:
+    """One row for each distinct text: its digest, number of rows and best row."""
     n = shuffle_partitions(docs.sparkSession)
     text = text_or_empty(text_col)
     rank = F.struct((-F.length(text)).alias("neg_len"), F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"))
-    rows = docs.select(
-        F.encode(normalised(text), "UTF-8").alias("_norm"),
-        F.substring(normalised(text), 1, HEAD).alias("_head"),
-        F.pmod(F.xxhash64(F.col(id_col), F.length(text)), F.lit(n)).alias("_salt"),
-        rank.alias("_rank"),
-        *extra,
-    )
-    return (
-        rows.repartitionByRange(n, "_head", "_salt")
-        .groupBy("_head", "_norm", "_salt")
-        .agg(F.count(F.lit(1)).alias("_n"), best)
-        .select(F.sha2("_norm", 256).alias("_sha"), "_n", "_best")
-    )
+    norm = normalised(text)
+    rows = docs.select(F.encode(norm, "UTF-8").alias("_norm"), F.substring(norm, 1, HEAD).alias("_head"), F.xxhash64(norm).alias("_hash"), rank.alias("_rank"), *extra)
+    hot = F.broadcast(_hot_texts(docs, text_col, n))
+    sorted_out = rows.join(hot, F.col("_hash") == F.col("_hot"), "left_anti").repartitionByRange(n, "_head", "_hash")
+    combined = rows.join(hot, F.col("_hash") == F.col("_hot"), "left_semi")
+    made = [part.groupBy("_head", "_hash", "_norm").agg(F.count(F.lit(1)).alias("_n"), best).select(F.sha2("_norm", 256).alias("_sha"), "_n", "_best") for part in (sorted_out, combined)]
+    return made[0].unionByName(made[1])
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     # Written, so that the join below reads two plain shuffles, of which adaptive execution may split a large partition.
-    groups = written(
-        _fragments(docs, id_col, text_col, F.min("_rank").alias("_best"), [])
-        .groupBy("_sha")
-        .agg(F.sum("_n").alias("group_size"), F.min("_best").alias("_best")),
-        "text-groups",
-    )
+    groups = written(_texts(docs, id_col, text_col, F.min("_rank").alias("_best"), []).withColumnRenamed("_n", "group_size"), "text-groups")
     text = text_or_empty(text_col)
     # Rows equal in id and text meet here, so that one of them stays; the shuffle carries digests, never texts.
     rows = (
@@ -76,11 +74,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The row that stays of each text, with all its columns."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    whole = F.struct(F.col("_rank"), F.col("_row"))
-    best = F.min_by(whole, F.col("_rank")).alias("_best")
-    return (
-        _fragments(docs, id_col, text_col, best, [row])
-        .groupBy("_sha")
-        .agg(F.min_by("_best", F.col("_best._rank")).alias("_best"))
-        .select("_best._row.*")
-    )
+    return _texts(docs, id_col, text_col, F.min_by("_row", "_rank").alias("_best"), [row]).select("_best.*")
