@@ -1,6 +1,7 @@
 """The operators against brute force, on the smallest table and on a table of hard cases."""
 
 import hashlib
+import os
 import random
 import re
 import unicodedata
@@ -200,11 +201,35 @@ def test_html(spark):
     assert html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").where("false")).count() == 0
 
 
+def page(i, path, html_text, host="h"):
+    return html.Page(i, "", host, path, *html.parsed(html_text))
+
+
 def test_html_differencing():
-    mine = (2, "", "h", "/a/2", ["Top", "second", "Bottom"], False)
-    other = (3, "", "h", "/a/3", ["Top", "third", "Bottom"], False)
+    plain = "<p>Top<p>{}<p>Bottom"
+    mine, other = page(2, "/a/2", plain.format("second")), page(3, "/a/3", plain.format("third"))
     assert html._kept(mine, None, other) == ["second"]
-    assert html._kept(mine, (1, "", "g", "/a/2", mine[4], False), None) == mine[4]
+    assert html._kept(mine, page(1, "/a/2", plain.format("first"), "g"), None) == ["Top", "second", "Bottom"]
+    # In a named article a line goes if both pages also print it as furniture, and stays if one or none does.
+    named = "<nav><p>Follow us</nav><article><p>{}<p>Follow us<p>Said twice</article>"
+    mine, other = page(2, "/a/2", named.format("second")), page(3, "/a/3", named.format("third"))
+    assert html._kept(mine, None, other) == ["second", "Said twice"] and html._kept(other, mine, None) == ["third", "Said twice"]
+    other = page(3, "/a/3", "<nav><p>Said twice<p>second</nav><article><p>third<p>Follow us<p>Said twice</article>")
+    assert html._kept(mine, None, other) == ["second", "Follow us", "Said twice"]
+    # An unnamed page beside a named one loses what is furniture there.
+    assert html._kept(page(4, "/a/4", "<p>Said twice<p>fourth"), other, None) == ["fourth"]
+
+
+@pytest.mark.parametrize(
+    "markup, want",
+    [
+        ('<div class="has-sidebar"><p>Article', ["Article"]), ('<article><div class="article-header"><h1>Title</h1></div><div class="related-work"><p>Work</div></article>', ["Title", "Work"]),
+        ("<p title=Bob's>Hello it's me</p>", ["Hello it's me"]), ('<div class="sidebar left">x</div><p>y', ["y"]), ('<div class="site-header">x</div><div class="comment-list">x</div><p>y', ["y"]),
+        ('<p data-x="a>b" class=\'ad\'>x</p><p a=b="c d">y', ["y"]), ('<div id="cookie_banner">x</div><div class="Post_Content"><p>y</div><p>z', ["y"]), ('<a href="unclosed>x</a><p>y</p>', ["x", "y"]),
+    ],
+)
+def test_html_names_and_attributes(markup, want):
+    assert html.parsed(markup)[2] == want
 
 
 def test_html_any_partition_count(spark):
@@ -220,9 +245,9 @@ def test_html_any_partition_count(spark):
     for i, url, text in rows:
         host, path = re.match("http://([^/]*)(.*)", url).groups() if url else ("", "")
         mark = df.where(df.html == text).selectExpr("xxhash64(html) as m").first().m if rows.count((i, url, text)) > 1 or (i, url) == rows[7][:2] else 0
-        pages.append(((host, path, i is not None, i or 0, url or "", mark), (i, url, host, path, *html.candidates(text))))
+        pages.append(((host, path, i is not None, i or 0, url or "", mark), html.Page(i, url, host, path, *html.parsed(text))))
     pages = [None, *(p for _, p in sorted(pages, key=lambda p: p[0])), None]
-    want = Counter((p[0], p[1], "\n\n".join(html._kept(p, a, b))) for a, p, b in zip(pages, pages[1:], pages[2:], strict=False))
+    want = Counter((p.page_id, p.url, "\n\n".join(html._kept(p, a, b))) for a, p, b in zip(pages, pages[1:], pages[2:], strict=False))
     old = spark.conf.get("spark.sql.shuffle.partitions")
     try:
         for n in (1, 3, 40):
@@ -243,8 +268,8 @@ def test_lcs(monkeypatch, cells):
             for j, y in enumerate(b):
                 best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
         got = html.shared_lines(a, b)
-        rest = iter(b)
-        assert len(got) == best[-1][-1] and all(a[i] in rest for i in sorted(got))
+        assert len(got) == best[-1][-1] and all(a[i] == b[j] for i, j in got)
+        assert all(x < y for p, q in zip(got, got[1:], strict=False) for x, y in zip(p, q, strict=True))
 
 
 def test_html_on_pages(spark, sf):
@@ -259,6 +284,32 @@ def test_html_on_pages(spark, sf):
         assert got[i] == "\n\n".join(b for b in blocks if b)
 
 
+def test_html_against_differencing_by_brute_force(spark):
+    """Whole extraction, with named and unnamed pages of one host, by a plain rule over all pairs of neighbours."""
+    from difflib import SequenceMatcher
+
+    r, rows, want = random.Random(41), [], {}
+    for k in range(40):
+        own = [f"own {k} {j}" for j in range(r.randrange(1, 4))]
+        named = k % 3 == 0
+        body = "".join(f"<p>{x}</p>" for x in own)
+        rows.append((k, f"https://host.example/{k:03d}", f"<nav>menu</nav><p>Banner {k % 2}</p><p>Welcome</p>" + (f"<article>{body}<p>Welcome back</p></article>" if named else body + "<p>Welcome back</p>") + "<footer>f</footer><p>Imprint</p>"))
+        want[k] = own
+    got = {x.page_id: x.text.split("\n\n") for x in html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(40):
+        lines = [f"Banner {k % 2}", "Welcome", *want[k], "Welcome back", "Imprint"]
+        if k % 3 == 0:
+            # Its neighbour has no named article, so "Welcome back" may be text there and stays.
+            assert got[k] == [*want[k], "Welcome back"]
+        else:
+            # Paths have equal common beginnings, or that of the page of the same ten, before comes first.
+            near = [j for j in (k - 1, k + 1) if 0 <= j < 40]
+            other = max(near, key=lambda j: len(os.path.commonprefix([f"/{j:03d}", f"/{k:03d}"])))
+            there = [f"Banner {other % 2}", "Welcome", *want[other], "Welcome back", "Imprint"]
+            gone = {x for m in SequenceMatcher(None, lines, there, autojunk=False).get_matching_blocks() for x in lines[m.a : m.a + m.size]}
+            assert got[k] == [x for x in lines if x not in gone]
+
+
 def test_packing(docs):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -1,15 +1,18 @@
 """HTML extraction by nearest-URL page differencing.
 
-A page is read into text lines, one per block, each with the elements around it. Pages are sorted by host and URL path,
-and each is paired with the one of its two neighbours there whose path has the longer common beginning. The lines of
-a pair are aligned by longest common subsequence, and lines that both pages share are furniture and go, as do lines
-inside elements that never hold an article (menus, headers, footers, sidebars, notices, adverts, forms, comments).
-Where a page names its article (``article``, ``main`` or the like), lines outside it go and lines inside it are never
-judged by the neighbour, so a text that two pages of a host both print stays whole.
+A page is read into text lines, one per block, each with the elements around it. Lines inside elements that never hold
+an article (menus, headers, footers, sidebars, notices, adverts, forms, comments) are furniture, and where a page names
+its article (``article``, ``main`` or the like) so are the lines outside it. Pages are sorted by host and URL path, and
+each is paired with the one of its two neighbours there whose path has the longer common beginning. All lines of a pair
+are aligned by longest common subsequence. Of a page that names no article, every line that both pages share goes. Of
+a page that does, a shared line of its article goes only if both pages print it among their furniture as well: a text
+that two pages of a host both print as their article stays whole, and so does one that the other page quotes in an
+advert.
 
 Pages are dealt out in sorted runs, and a copy of a run's first and last page goes to the run beside it, so every page
 meets its nearest neighbours however many runs there are. The driver holds two keys a run; a worker holds three pages,
-so memory is bounded by the longest page. Pages equal in host, path, id and url are in order of a hash of the html.
+so memory is bounded by the longest page. A line is dealt out as its text if it may be kept, and as a hash. Pages equal
+in host, path, id and url are in order of a hash of the html.
 
 Defined results: null or empty html gives empty text; a page without a neighbour on its host keeps its lines; a null
 url is a host of its own; if differencing would take every line of a page, it takes none (the two are copies);
@@ -27,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from tracelake.llm.common import shuffle_partitions
 
@@ -36,18 +40,18 @@ DROPPED = frozenset("nav header footer aside form menu dialog head title script
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
 ARTICLE = frozenset(("article", "main"))
-FURNITURE = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|comment-?list|cookies?|consent|copyright|disclaimer|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|overlay|pager|pagination|popup|promos?|promotion|related|replies|responses|share|sharing|sidebar|social|sponsor(?:ed|s)?|subscribe|subscription|toolbar|widgets?)(?:$|[\s_-])"
-)
-ARTICLE_NAME = re.compile(r"(?i)(?:^|[\s_-])(?:article-?body|articlebody|entry-content|post-?content|post-?body|article-?content|story-?body|main-?content)(?:$|[\s_-])")
+FURNITURE = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent copyright disclaimer disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice overlay pager pagination popup promo promos promotion related replies responses share sharing sidebar social sponsor sponsors sponsored subscribe subscription toolbar widget widgets".split())
+QUALIFIERS = frozenset("area bar block bottom box buttons column container form global inner item left links list main outer page panel primary right row secondary section site slot small large top unit wrap wrapper".split())
+ARTICLE_NAMES = frozenset("article-body articlebody entry-content post-content postcontent post-body postbody article-content articlecontent story-body storybody main-content maincontent".split())
 ARTICLE_ROLES, DROPPED_ROLES = frozenset(("main", "article")), frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"))
 #: Start tags that end an open p, and elements of which a new one ends an open one.
 ENDS_P = BLOCKS - {"body", "html", "option", "optgroup", "title", "tbody", "td", "tfoot", "th", "thead", "tr", "caption", "legend", "summary", "li", "dd", "dt"} | {"li", "dd", "dt"}
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 HOLDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "option": ("select", "datalist"), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|([^<]+|<)", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Attributes as a browser reads them: quotes delimit a value only right after the equals sign.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)|[^>])*+)(?:>|\Z)|([^<]+|<)", re.S)
+ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)))?")
 SPACE = re.compile(r"\s+")
 #: Cells of an alignment table that is held whole.
 TABLE_CELLS = 4_000_000
@@ -60,26 +64,36 @@ class Line:
     article: bool
 
 
+def _furniture(names: list[str]) -> bool:
+    """Whether one of the class names, as a whole, is a word for furniture, alone or with words that add nothing to it:
+    ``site-header`` and ``comment-list`` are, ``article-header`` and ``has-sidebar`` are not."""
+    for name in names:
+        parts = re.split(r"[-_]+", name)
+        if any(p in FURNITURE for p in parts) and all(p in FURNITURE or p in QUALIFIERS or not p for p in parts):
+            return True
+    return False
+
+
 def _about(name: str, attributes: str) -> tuple[bool, bool]:
     """Whether an element is furniture, and whether it is named as the article."""
     dropped, article = name in DROPPED, name in ARTICLE
     if attributes and attributes.strip():
         for m in ATTRIBUTE.finditer(attributes):
             key = m[1].lower()
-            value = unescape(m[2] or m[3] or m[4] or "")
+            value = unescape(m[2] or m[3] or m[4] or "").lower()
             if key in ("class", "id"):
+                names = value.split()
                 if name not in ("html", "body") and not article:
-                    article = bool(ARTICLE_NAME.search(value))
-                    dropped = dropped or not article and bool(FURNITURE.search(value))
-                elif name == "article":
-                    if re.search(r"(?i)(?:^|[\s_-])comments?(?:$|[\s_-])", value):
-                        dropped, article = True, False
+                    article = not ARTICLE_NAMES.isdisjoint(x.replace("_", "-") for x in names)
+                    dropped = dropped or not article and _furniture(names)
+                elif name == "article" and ("comment" in names or "comments" in names):
+                    dropped, article = True, False
             elif key == "role":
-                dropped = dropped or value.lower() in DROPPED_ROLES
-                article = article or value.lower() in ARTICLE_ROLES
-            elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+                dropped = dropped or value in DROPPED_ROLES
+                article = article or value in ARTICLE_ROLES
+            elif key == "hidden" or key == "aria-hidden" and value == "true":
                 dropped = True
-            elif key == "itemprop" and value.lower() == "articlebody":
+            elif key == "itemprop" and value == "articlebody":
                 article = True
     return dropped, article and not dropped
 
@@ -164,12 +178,32 @@ def lines(html: str) -> list[Line]:
     return out
 
 
-def candidates(html: str | None) -> tuple[list[str], bool]:
-    """The lines that may be the article, and whether the page itself names it (then they are all of it)."""
-    found = [x for x in lines(html or "") if not x.dropped]
-    if any(x.article for x in found):
-        return [x.text for x in found if x.article], True
-    return [x.text for x in found], False
+def _code(text: str) -> int:
+    return xxh64_intdigest(text) - (1 << 63)
+
+
+@dataclass(slots=True)
+class Page:
+    """A page as it is dealt out: all its lines as hashes, which of them may be kept (1) or are furniture (0), the
+    texts of the former, and whether the page names its article."""
+
+    page_id: int | None
+    url: str | None
+    host: str
+    path: str
+    codes: list[int]
+    flags: bytes
+    texts: list[str]
+    named: bool
+    copy: bool = False
+
+
+def parsed(html: str | None) -> tuple[list[int], bytes, list[str], bool]:
+    """The last columns of a Page but one: codes, flags, texts and named."""
+    found = lines(html or "")
+    named = any(x.article and not x.dropped for x in found)
+    flags = bytes(not x.dropped and (x.article or not named) for x in found)
+    return [_code(x.text) for x in found], flags, [x.text for x, keep in zip(found, flags, strict=True) if keep], named
 
 
 def _row(table: np.ndarray, y: np.ndarray, code: int) -> np.ndarray:
@@ -178,12 +212,14 @@ def _row(table: np.ndarray, y: np.ndarray, code: int) -> np.ndarray:
     return np.maximum.accumulate(np.maximum(table, hit)).astype(np.int32)
 
 
-def _subsequence(x: np.ndarray, y: np.ndarray, at: int) -> list[int]:
-    """Positions of x, counted from ``at``, on a longest common subsequence; halves x while the table would be large."""
+def _subsequence(x: np.ndarray, y: np.ndarray, i0: int, j0: int) -> list[tuple[int, int]]:
+    """Pairs of positions, counted from i0 and j0, of a longest common subsequence; halves x while the table would be
+    large."""
     if not len(x) or not len(y):
         return []
     if len(x) == 1:
-        return [at] if (y == x[0]).any() else []
+        at = np.flatnonzero(y == x[0])
+        return [(i0, j0 + int(at[0]))] if len(at) else []
     if len(x) * len(y) > TABLE_CELLS:
         half = len(x) // 2
         front = back = np.zeros(len(y) + 1, np.int32)
@@ -192,7 +228,7 @@ def _subsequence(x: np.ndarray, y: np.ndarray, at: int) -> list[int]:
         for code in x[:half - 1 : -1] if half else x[::-1]:
             back = _row(back, y[::-1], code)
         cut = int(np.argmax(front + back[::-1]))
-        return _subsequence(x[:half], y[:cut], at) + _subsequence(x[half:], y[cut:], at + half)
+        return _subsequence(x[:half], y[:cut], i0, j0) + _subsequence(x[half:], y[cut:], i0 + half, j0 + cut)
     table = [np.zeros(len(y) + 1, np.int32)]
     for code in x:
         table.append(_row(table[-1], y, code))
@@ -204,12 +240,12 @@ def _subsequence(x: np.ndarray, y: np.ndarray, at: int) -> list[int]:
             j -= 1
         else:
             i, j = i - 1, j - 1
-            out.append(at + i)
+            out.append((i0 + i, j0 + j))
     return out[::-1]
 
 
-def shared_lines(a: list, b: list) -> set[int]:
-    """Positions of a on a longest common subsequence of a and b: equal ends first, then what lies between."""
+def shared_lines(a: list, b: list) -> list[tuple[int, int]]:
+    """Positions in a and b of a longest common subsequence: equal ends first, then what lies between."""
     start = 0
     while start < min(len(a), len(b)) and a[start] == b[start]:
         start += 1
@@ -218,9 +254,9 @@ def shared_lines(a: list, b: list) -> set[int]:
         end += 1
     names = {v: k for k, v in enumerate(set(a[start : len(a) - end]) & set(b[start : len(b) - end]))}
     x = [i for i in range(start, len(a) - end) if a[i] in names]
-    y = [names[v] for v in b[start : len(b) - end] if v in names]
-    found = _subsequence(np.array([names[a[i]] for i in x], np.int64), np.array(y, np.int64), 0)
-    return {*range(start), *range(len(a) - end, len(a)), *(x[k] for k in found)}
+    y = [j for j in range(start, len(b) - end) if b[j] in names]
+    found = _subsequence(np.array([names[a[i]] for i in x], np.int64), np.array([names[b[j]] for j in y], np.int64), 0, 0)
+    return [*((k, k) for k in range(start)), *((x[i], y[j]) for i, j in found), *((len(a) - k, len(b) - k) for k in range(end, 0, -1))]
 
 
 def _common(a: str, b: str) -> int:
@@ -232,16 +268,21 @@ def _common(a: str, b: str) -> int:
     return n
 
 
-def _kept(here: tuple, before: tuple | None, after: tuple | None) -> list[str]:
-    """The lines of a page that stay, given its neighbours. A page: id, url, host, path, lines, named."""
-    if here[5]:
-        return here[4]
-    near = [p for p in (before, after) if p is not None and p[2] == here[2]]
-    if not near:
-        return here[4]
-    other = max(near, key=lambda p: _common(p[3], here[3]))
-    gone = shared_lines(here[4], other[4])
-    return here[4] if len(gone) == len(here[4]) else [x for k, x in enumerate(here[4]) if k not in gone]
+def _kept(here: Page, before: Page | None, after: Page | None) -> list[str]:
+    """The lines of a page that stay, given its neighbours."""
+    near = [p for p in (before, after) if p is not None and p.host == here.host]
+    if not near or not here.texts:
+        return here.texts
+    other = max(near, key=lambda p: _common(p.path, here.path))
+    shared = set(here.codes).intersection(other.codes)
+    if here.named:
+        shared &= {c for c, flag in zip(here.codes, here.flags, strict=True) if not flag}
+        shared &= {c for c, flag in zip(other.codes, other.flags, strict=True) if not flag}
+    if shared.isdisjoint(c for c, flag in zip(here.codes, here.flags, strict=True) if flag):
+        return here.texts
+    gone = {i for i, j in shared_lines(here.codes, other.codes) if here.flags[i] and here.codes[i] in shared and (other.flags[j] or not here.named)}
+    places = [i for i, flag in enumerate(here.flags) if flag]
+    return here.texts if len(gone) == len(places) else [x for i, x in zip(places, here.texts, strict=True) if i not in gone]
 
 
 #: What pages are in order of.
@@ -280,11 +321,11 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
         for batch in batches:
             keys = list(zip(*(batch.column(k).to_pylist() for k in range(len(KEYS))), strict=True))
             dealt = [(row, *run) for row, key in enumerate(keys) for run in runs(_ordered(key))]
-            found = [candidates(h) for h in batch.column(len(KEYS)).to_pylist()]
+            found = [parsed(h) for h in batch.column(len(KEYS)).to_pylist()]
             at = pa.array([d[0] for d in dealt], pa.int32())
             columns = [batch.column(k).take(at) for k in range(len(KEYS))]
-            columns += [pa.array([found[d[0]][0] for d in dealt], pa.list_(pa.string())), pa.array([found[d[0]][1] for d in dealt], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([d[1] for d in dealt], pa.int32()), pa.array([d[2] for d in dealt], pa.bool_())], names=[*KEYS, "lines", "named", "run", "copy"])
+            columns += [pa.array([found[d[0]][k] for d in dealt], kind) for k, kind in enumerate((pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string()), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([d[1] for d in dealt], pa.int32()), pa.array([d[2] for d in dealt], pa.bool_())], names=[*KEYS, "codes", "flags", "texts", "named", "run", "copy"])
 
     def differ(batches):
         before = here = None
@@ -292,17 +333,17 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
         def rows():
             nonlocal before, here
             for batch in batches:
-                for host, path, i, url, _, found, named, _, copy in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    after = (i, url, host, path, found, named, copy)
-                    if here is not None and not here[6]:
+                for host, path, i, url, _, codes, flags, texts, named, _, copy in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    after = Page(i, url, host, path, codes, flags, texts, named, copy)
+                    if here is not None and not here.copy:
                         yield here, "\n\n".join(_kept(here, before, after))
                     before, here = here, after
-            if here is not None and not here[6]:
+            if here is not None and not here.copy:
                 yield here, "\n\n".join(_kept(here, before, None))
 
         out, size = [], 0
         for page, text in rows():
-            out.append((page[0], page[1], text, len(text)))
+            out.append((page.page_id, page.url, text, len(text)))
             size += len(text)
             if len(out) == 500 or size > 4 << 20:
                 yield _batch(out)
@@ -313,7 +354,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     def _batch(out):
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["page_id", "url", "text", "n_chars"])
 
-    dealt = read.mapInArrow(parse, "host string, path string, page_id bigint, url string, mark bigint, lines array<string>, named boolean, run int, copy boolean")
+    dealt = read.mapInArrow(parse, "host string, path string, page_id bigint, url string, mark bigint, codes array<bigint>, flags binary, texts array<string>, named boolean, run int, copy boolean")
     return (
         dealt.repartitionById(max(1, len(ends)), F.col("run"))
         .sortWithinPartitions(*KEYS)
