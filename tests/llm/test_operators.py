@@ -545,14 +545,18 @@ def brute_phrases(text, sample):
     return n
 
 
-def test_language_phrases():
+def test_language_phrases(monkeypatch):
     """Against a parse by plain substring search; phrases go on across words."""
     r = random.Random(31)
     for _ in range(300):
         samples = [language.spaced(["".join(r.choices("abc", k=r.randrange(1, 5))) for _ in range(12)]) for _ in range(2)]
         parser = language.CrossParser(tuple(zip("xy", samples, strict=True)))
         text = language.spaced(["".join(r.choices("abcd", k=r.randrange(1, 5))) for _ in range(8)])
-        assert parser.phrases(text) == [brute_phrases(text, s) for s in samples]
+        want = [brute_phrases(text, s) for s in samples]
+        assert parser.phrases(text) == want
+        monkeypatch.setattr(language, "STRETCH", r.randrange(1, 9))
+        k = min((0, 1), key=lambda k: (want[k] * parser.costs[k], k))
+        assert parser.cheapest(text) == (k, want[k])
     parser = language.CrossParser((("en", " the old man and the sea "),))
     assert parser.phrases(" old man and the ") == [1] and parser.phrases(" the man ") == [2]
 
@@ -568,8 +572,10 @@ def test_language_by_brute_force(small):
     for _, i, t in texts:
         words = language.WORD.findall(t.lower())
         if any(c.isalpha() for w in words for c in w):
-            costs = sorted((brute_phrases(language.spaced(words), s) * log2(len(s)), lang) for lang, s in sample.items())
-            assert got[i] == (costs[0][1], round(costs[1][0] / (costs[0][0] + costs[1][0]), 6))
+            text = language.spaced(words)
+            counts = {lang: brute_phrases(text, s) for lang, s in sample.items()}
+            best = min(sample, key=lambda lang: (counts[lang] * log2(len(sample[lang])), lang))
+            assert got[i] == (best, round(1 - counts[best] / len(text), 6))
         else:
             assert got[i] == ("und", 0.0)
 

@@ -3,8 +3,7 @@
 For each language a suffix automaton holds a bounded sample of labelled text. A text's words, in lower case and joined
 by single spaces, are parsed against each automaton into phrases, each the longest match from where the one before
 ended, across words as far as it goes. A phrase of a sample of N characters costs about log N, so phrases are
-normalised to log N for each; the language whose normalised phrases are fewest wins. Whole texts are parsed, to the
-last character.
+normalised to log N for each; the language whose normalised phrases of the whole text are fewest wins.
 
 The sample: per language, the ``DOCS`` labelled documents with the smallest hash of the id outside the held-out
 quarter, of each its first ``DOC_CHARS`` characters, of which the first ``CHARS`` letters together are taken. It is the
@@ -13,13 +12,13 @@ classifier's only bound; prediction reads whole texts. One scan picks the docume
 Defined results: ``und`` with score 0 for a null text or one without a letter; ties go to the language that sorts
 first; with no labelled text at all every result is ``und``; rows are independent, so repeated rows repeat their
 result; a null id is never a training row and is not held out; an empty table gives an empty result; lang, source and
-id are never read for a prediction. The score is the runner-up's normalised phrases over the sum of both, so 0.5 is a
-tie; with one learned language it is 1.
+id are never read for a prediction. The score is one less the phrases per character: 0 if each character is a phrase.
 """
 
 from __future__ import annotations
 
 import re
+from heapq import heapify, heapreplace
 from math import log2
 
 import pyarrow as pa
@@ -31,6 +30,8 @@ from tracelake.llm.common import fresh
 
 #: Bounds of the sample: documents of a language, characters of a document, letters of a language.
 DOCS, DOC_CHARS, CHARS = 48, 20_000, 80_000
+#: Characters that a language is read on for before the cheapest is chosen anew.
+STRETCH = 256
 UNKNOWN = "und"
 HELD_OUT = 2
 WORD = re.compile(r"[^\W\d_]+")
@@ -80,30 +81,42 @@ class CrossParser:
         self.roots = [_nodes(text) for _, text in samples]
         self.costs = [log2(len(text)) for _, text in samples]
 
+    def advance(self, k: int, state: dict, text: str) -> tuple[int, dict]:
+        """Phrases that begin in a stretch of text after its first character, and the state at its end. A character
+        that a sample lacks begins a phrase, which goes on with the longest match after it."""
+        n, root = 0, self.roots[k]
+        for c in text:
+            if c in state:
+                state = state[c]
+            else:
+                n += 1
+                state = root[c] if c in root else root
+        return n, state
+
     def phrases(self, text: str) -> list[int]:
-        """The number of phrases of a text for each language; a character that a sample lacks begins a phrase, which goes
-        on with the longest match after it."""
-        out = []
-        for root in self.roots:
-            n, state = 1, root
-            for c in text:
-                if c in state:
-                    state = state[c]
-                else:
-                    n += 1
-                    state = root[c] if c in root else root
-            out.append(n)
-        return out
+        """The number of phrases of a text for each language."""
+        return [1 + self.advance(k, root, text)[0] for k, root in enumerate(self.roots)]
+
+    def cheapest(self, text: str) -> tuple[int, int]:
+        """The language whose normalised phrases of the whole text are fewest, and their number. Languages are read in
+        stretches, always the one that is cheapest so far; as costs only grow, the first to reach the end has won, and
+        the others need not be read further."""
+        heap = [(cost, k, 1, 0, root) for k, (cost, root) in enumerate(zip(self.costs, self.roots, strict=True))]
+        heapify(heap)
+        while True:
+            _, k, n, at, state = heap[0]
+            if at >= len(text):
+                return k, n
+            more, state = self.advance(k, state, text[at : at + STRETCH])
+            heapreplace(heap, ((n + more) * self.costs[k], k, n + more, at + STRETCH, state))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = WORD.findall(text.lower()) if text else []
         if not self.langs or not any(c.isalpha() for w in words for c in w):
             return UNKNOWN, 0.0
-        totals = [n * cost for n, cost in zip(self.phrases(spaced(words)), self.costs, strict=True)]
-        order = sorted(range(len(totals)), key=totals.__getitem__)
-        best = totals[order[0]]
-        score = totals[order[1]] / (best + totals[order[1]]) if len(order) > 1 else 1.0
-        return self.langs[order[0]], round(score, 6)
+        text = spaced(words)
+        k, n = self.cheapest(text)
+        return self.langs[k], round(1 - n / len(text), 6)
 
 
 _parsers: dict[tuple[tuple[str, str], ...], CrossParser] = {}
