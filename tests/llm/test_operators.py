@@ -86,7 +86,7 @@ def test_exact_dedup_sort_merges_all_but_hot_texts(spark, sf):
             spark.conf.set("spark.sql.shuffle.partitions", n)
             from pyspark.sql import functions as F
 
-            texts = exact_dedup._texts(df.drop("_norm"), "doc_id", "text", F.min("_rank").alias("_best"), [])
+            texts = exact_dedup._texts(df.drop("_norm"), "doc_id", "text", F.min("_rank").alias("_best"))
             assert Counter(r._n for r in texts.collect()) == Counter({3: 300, 900: 1})
             hot = exact_dedup._hot_texts(df, "text", n).count()
             assert hot <= exact_dedup.HOT_SHARE * n and (hot == 1 or n == 200)
@@ -345,10 +345,9 @@ def brute_substrings(rows, window):
     return out
 
 
-@pytest.mark.parametrize("hot", [W.HOT, 1])
-def test_substrings(docs, monkeypatch, hot):
-    monkeypatch.setattr(W, "HOT", hot)
-    got = substrings.dedup_substrings(docs)
+@pytest.mark.parametrize("split", [W.SPLIT, 1])
+def test_substrings(docs, split):
+    got = substrings.dedup_substrings(docs, split=split)
     assert as_rows(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_substrings(listed(docs), 35)
 
 
@@ -370,10 +369,9 @@ def brute_bytes(rows, window):
     return out
 
 
-@pytest.mark.parametrize("hot", [W.HOT, 1])
-def test_suffix_array_dedup(docs, monkeypatch, hot):
-    monkeypatch.setattr(W, "HOT", hot)
-    got = suffix_array.dedup_bytes(docs)
+@pytest.mark.parametrize("split", [W.SPLIT, 1])
+def test_suffix_array_dedup(docs, split):
+    got = suffix_array.dedup_bytes(docs, split=split)
     assert as_rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_bytes(listed(docs), 50)
 
 
@@ -393,14 +391,16 @@ def resolved_bytes(rows, window, gram):
     """brute_bytes' counter by the verdicts of resolve on the segments of all rows."""
     units, held, places = W.Units(window, gram, False, False), {}, []
     for i, raw in rows:
-        for pos, n, anchor, seg, _ in zip(*(x.tolist() for x in units.segments(raw)), strict=True):
-            places.append((i, pos, anchor, seg))
-            _, copies, least = held.get((anchor, seg), (b"", 0, i))
-            held[anchor, seg] = raw[pos : pos + n + window - 1], copies + 1, min(least, i)
-    verdicts = {(anchor, seg): spans for anchor, seg, spans in suffix_array.resolve(units, [(*k, *v) for k, v in held.items()])}
+        for pos, n, anchor, _ in zip(*(x.tolist() for x in units.segments(units.values(raw))), strict=True):
+            piece = raw[pos : pos + n + window - 1]
+            places.append((i, pos, piece))
+            _, copies, least = held.get(piece, (anchor, 0, i))
+            held[piece] = anchor, copies + 1, min(least, i)
+    pieces = sorted(held, key=lambda p: held[p][0])
+    verdicts = dict(suffix_array.resolve(units, [(held[p][0], k, p, *held[p][1:]) for k, p in enumerate(pieces)]))
     gone = defaultdict(set)
-    for i, pos, anchor, seg in places:
-        for a, b, low in verdicts.get((anchor, seg), ()):
+    for i, pos, piece in places:
+        for a, b, low in verdicts.get(pieces.index(piece), ()):
             if low is not None and low < i:
                 gone[i].update(range(pos + a, pos + b + window - 1))
     return {i: len(gone[i]) for i, _ in rows}
@@ -420,6 +420,55 @@ def test_suffix_array_dedup_of_runs():
         assert resolved_bytes(rows, 50, 20) == want, rows
 
 
+def test_equal_hashes_of_unequal_words(spark):
+    """Words whose polynomial hashes modulo 2**64 collide whatever the odd base: units decide, not hashes."""
+    odd = "".join("ab"[k.bit_count() % 2] for k in range(4096))
+    even = "".join("ba"[k.bit_count() % 2] for k in range(4096))
+    assert len(set(W.word_values(f"{odd} {even}".encode())[0].tolist())) == 1
+    same = " ".join(f"w{k}" for k in range(34))
+    rows = [(1, f"{same} {odd}"), (2, f"{same} {even}"), (3, f"{odd} " * 40), (4, f"{odd} " * 39 + even), (5, odd + "x" + even), (6, even + "y" + odd)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for split in (W.SPLIT, 1):
+        got = as_rows(substrings.dedup_substrings(df, split=split), "doc_id", "n_words", "n_removed", "kept_sha256")
+        assert got == brute_substrings(rows, 35) and {r[0]: r[2] for r in got}[1] == 0
+        assert as_rows(suffix_array.dedup_bytes(df, split=split), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_bytes(rows, 50)
+
+
+def test_repeats_at_any_partition_count(spark, small):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    want = brute_substrings(listed(small), 35), brute_bytes(listed(small), 50)
+    try:
+        for n in (1, 23):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert as_rows(substrings.dedup_substrings(small), "doc_id", "n_words", "n_removed", "kept_sha256") == want[0]
+            assert as_rows(suffix_array.dedup_bytes(small), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want[1]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_suffix_array_takes_linear_time():
+    """Increasing, decreasing, equal and random symbols, periods, and Fibonacci words."""
+    import time
+
+    a, b = "a", "ab"
+    while len(b) < 64_000:
+        a, b = b, b + a
+    makers = {
+        "up": lambda n: "".join(map(chr, range(256, 256 + n))), "down": lambda n: "".join(map(chr, range(256 + n, 256, -1))), "same": lambda n: "a" * n,
+        "two": lambda n: "ab" * (n // 2), "saw": lambda n: ("".join(map(chr, range(97, 197))) * n)[:n], "fibonacci": lambda n: b[:n], "random": lambda n: "".join(random.Random(n).choices("abcd", k=n)),
+    }
+    for name, make in makers.items():
+        took = []
+        for n in (8_000, 32_000):
+            text = make(n) + "\0"
+            began = time.perf_counter()
+            got = suffix_array.suffix_array(text)
+            took.append(time.perf_counter() - began)
+            if n == 8_000 and name != "same":
+                assert got == sorted(range(len(text)), key=lambda i: text[i:])
+        assert took[1] < 12 * took[0] + 0.2, (name, took)
+
+
 def test_suffix_array():
     r = random.Random(1)
     for _ in range(1500):

@@ -22,45 +22,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tracelake.llm.automaton import SuffixAutomaton
-from tracelake.llm.windows import Units, applied, removals, runs, united
+from tracelake.llm.windows import SPLIT, Units, runs, without_repeats
 
 WINDOW, GRAM = 35, 14
 SCHEMA = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
 
 
 def resolve(units: Units, segments):
-    """Verdicts on segments (anchor, seg, words joined by a space, copies, id) of whole anchors."""
+    """Verdicts on segments (anchor, number, words joined by a space, copies, id) of whole anchors."""
     automaton = SuffixAutomaton()
     parts = [raw.split(b" ") for _, _, raw, _, _ in segments]
     for words, (_, _, _, copies, _) in zip(parts, segments, strict=True):
         automaton.add(words, copies, units.window)
     total = automaton.counted()
-    for words, (anchor, seg, _, _, _) in zip(parts, segments, strict=True):
+    for words, (_, number, _, _, _) in zip(parts, segments, strict=True):
         ends = [state >= 0 and total[state] > 1 for _, state in automaton.states(words, units.window)]
         spans = [(a, b, None) for a, b, _ in runs(ends[units.window - 1 :], False)]
         if spans:
-            yield anchor, seg, spans
+            yield number, spans
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, split: int = SPLIT, with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256; with_text adds the kept words."""
-    units = Units(window, min(gram, window), True, True)
-    spans = removals(docs, id_col, text_col, units, resolve)
     names = [c.split()[0] for c in SCHEMA.split(", ")] + ["kept"] * with_text
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for i, text, starts, ends in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = text.encode().split()
-                kept, done = [], 0
-                for a, b in united(list(zip(starts or (), ends or (), strict=True))):
-                    kept += words[done:a]
-                    done = b
-                kept += words[done:]
-                out = b" ".join(kept)
-                rows.append((i, len(words), len(words) - len(kept), hashlib.sha256(out).hexdigest(), out.decode()))
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(cols[k], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())[: len(names)])], names=names)
-
-    return applied(docs, id_col, text_col, spans, run, SCHEMA + ", kept string" * with_text)
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()][: len(names)]
+
+    def finish(documents):
+        rows = []
+        for i, raw, spans in documents:
+            words = raw.split()
+            kept, done = [], 0
+            for a, b in spans:
+                kept += words[done:a]
+                done = b
+            kept += words[done:]
+            out = b" ".join(kept)
+            rows.append((i, len(words), len(words) - len(kept), hashlib.sha256(out).hexdigest(), out.decode() if with_text else None))
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+
+    return without_repeats(docs, id_col, text_col, Units(window, min(gram, window), True, True, split), resolve, finish, SCHEMA + ", kept string" * with_text)

@@ -19,58 +19,81 @@ read.
 from __future__ import annotations
 
 import hashlib
-import heapq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.windows import Units, applied, byte_values, grams, prefix, removals, runs, united
+from tracelake.llm.windows import SPLIT, Units, byte_values, grams, prefix, runs, without_repeats
 
 WINDOW, GRAM = 50, 20
 SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-#: Turns a symbol's order round, so that the least of a heap is the greatest group; ends a group's name.
-TOP = 0x10FFFF
 
 
 def suffix_array(text: str) -> list[int]:
-    """Starts of all suffixes in order. text: symbols by code point; its last one is smaller than every other."""
+    """Starts of all suffixes in order. text: symbols by code point; its last one is smaller than every other.
+
+    Groups are numbers in a list linked downwards, so a group that grows out of another is put right above it; moves
+    are as many as there are suffixes, so time is linear but for ordering the symbols themselves."""
     n = len(text)
     if not n:
         return []
-    # Names are written in turned symbols: the name that is least is the group that is greatest.
-    turn = {c: chr(TOP - 1 - ord(c)) for c in set(text)}
-    end = chr(TOP)
-    name = [turn[c] for c in text]
-    members: dict[str, list[int]] = {}
-    for i, c in enumerate(name):
-        members.setdefault(c, []).append(i)
-    heap = [c + end for c in members]
-    heapq.heapify(heap)
+    first = {c: k for k, c in enumerate(sorted(set(text)))}
+    group = [first[c] for c in text]
+    members: list[list[int]] = [[] for _ in first]
+    for i, g in enumerate(group):
+        members[g].append(i)
+    below, above = list(range(-1, len(members) - 1)), [*range(1, len(members)), -1]
     before, taken, order = [-1] * n, bytearray(n), []
-    while heap:
-        group = heapq.heappop(heap)[:-1]
-        grown: dict[int, None] = {}
-        own = sorted(i for i in members.pop(group) if name[i] == group)
+    at = len(members) - 1
+    while at >= 0:
+        own = [i for i in members[at] if group[i] == at]
+        members[at] = own
+        for start in own:
+            # The nearest suffix before it of a lower group; those of this group are settled on the way.
+            if taken[start]:
+                continue
+            waiting, places = [start], [start - 1]
+            while waiting:
+                j = places[-1]
+                while j >= 0 and taken[j]:
+                    j = before[j]
+                if j >= 0 and group[j] == at:
+                    places[-1] = j
+                    waiting.append(j)
+                    places.append(j - 1)
+                else:
+                    i = waiting.pop()
+                    places.pop()
+                    before[i] = j
+                    taken[i] = 1
+        # A suffix grows once for each of the group's that has it before: round by round, into the group just above.
+        times: dict[int, int] = {}
         for i in own:
-            taken[i] = 1
-            j = i - 1
-            while j >= 0 and taken[j]:
-                j = before[j]
-            before[i] = j
-            if j >= 0:
-                name[j] += group
-                grown[j] = None
-        for j in grown:
-            new = name[j]
-            if new in members:
+            if (j := before[i]) >= 0:
+                times[j] = times.get(j, 0) + 1
+        growing, done = list(times), 0
+        while growing:
+            done += 1
+            grown: dict[int, int] = {}
+            for j in growing:
+                old = group[j]
+                if (new := grown.get(old)) is None:
+                    new = grown[old] = len(members)
+                    members.append([])
+                    up = above[old]
+                    below.append(old)
+                    above.append(up)
+                    above[old] = new
+                    if up >= 0:
+                        below[up] = new
+                group[j] = new
                 members[new].append(j)
-            else:
-                members[new] = [j]
-                heapq.heappush(heap, new + end)
+            growing = [j for j in growing if times[j] > done]
         if own:
             order.append(own)
+        at = below[at]
     place, free, at = [0] * n, [], 0
     for k, own in enumerate(reversed(order)):
         free.append(at)
@@ -194,7 +217,7 @@ def resolve(units: Units, segments):
         lows[anchor], within[anchor] = found, inside
         if len(lead) > 1 or inside and _repeats(lead[0], window):
             _sorted_lows(lead, found, window)
-    for (anchor, seg, raw, copies, i), spans in zip(segments, cores, strict=True):
+    for (anchor, number, raw, copies, i), spans in zip(segments, cores, strict=True):
         out_lows: list[int | None] = [i if copies > 1 else None] * (len(raw) - window + 1)
         for a, b in spans:
             piece = raw[a : b + window - 1]
@@ -202,32 +225,27 @@ def resolve(units: Units, segments):
             out_lows[a:b] = lows[anchor][whole][at : at + b - a]
         out = [(a, b, low) for a, b, low in runs(out_lows)]
         if out:
-            yield anchor, seg, out
+            yield number, out
 
 
 #: Bytes move up by two, so that separators are smaller than all of them.
 SHIFT = {b: b + 2 for b in range(256)}
 
 
-def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
+def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, split: int = SPLIT, with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text adds the bytes that stay."""
-    units = Units(window, min(gram, window), False, False)
-    spans = removals(docs.where(F.col(id_col).isNotNull()), id_col, text_col, units, resolve)
     names = [c.split()[0] for c in SCHEMA.split(", ")] + ["kept"] * with_text
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for i, text, starts, ends in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = text.encode()
-                whole = united(list(zip(starts or (), ends or (), strict=True)))
-                kept, done = [], 0
-                for a, b in whole:
-                    kept.append(raw[done:a])
-                    done = b
-                out = b"".join([*kept, raw[done:]])
-                rows.append((i, len(raw), len(raw) - len(out), len(whole), hashlib.sha256(out).hexdigest(), out))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds[: len(names)])], names=names)
-
-    return applied(docs, id_col, text_col, spans, run, SCHEMA + ", kept binary" * with_text)
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: len(names)]
+
+    def finish(documents):
+        rows = []
+        for i, raw, spans in documents:
+            kept, done = [], 0
+            for a, b in spans if i is not None else ():
+                kept.append(raw[done:a])
+                done = b
+            out = b"".join([*kept, raw[done:]])
+            rows.append((i, len(raw), len(raw) - len(out), len(kept), hashlib.sha256(out).hexdigest(), out))
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+
+    return without_repeats(docs, id_col, text_col, Units(window, min(gram, window), False, False, split), resolve, finish, SCHEMA + ", kept binary" * with_text)

@@ -1,24 +1,31 @@
 """Finding repeated windows of units (words or bytes) across a corpus without comparing documents pairwise.
 
-Each window of W units has an anchor, the least hash of its K-unit grams, so equal windows have equal anchors
-wherever they are. Consecutive windows with one anchor form a *segment* (their units together). What is dealt out is
-one short row per segment: anchor, hash of the segment, document and place. Anchors that occur once cannot hold a
-repeated window and go. The segments of an anchor are collapsed by hash before the shuffle, so a passage in a third of
-all documents is one row per task. An anchor with one distinct segment needs no more: each of its windows occurs as
-often as the segment. For the others the text of one copy of each distinct segment is fetched, and an index over these
-texts (the operators' own: suffix automaton, suffix array) says which windows repeat. An anchor with more than ``HOT``
-distinct segments would make one large index; its windows are instead counted in the plan, by hash of each window,
-summed before the shuffle.
-
-Rows of the tables: ``places`` (doc_id, tag, pos, n, anchor, seg, multi) with tag 31 bits of the text's hash, which
-keeps rows apart that share an id; pos the segment's first unit; n its windows; multi whether it may hold a window
-twice. ``verdicts`` (anchor, seg, spans) with spans of (from, to, least) in units from pos, windows starting in
-[from, to) to be removed in documents whose id is greater than least, or in all if least is null.
+Each window of W units has an anchor, the least hash of its K-unit grams, so equal windows have equal anchors wherever
+they are. Consecutive windows with one anchor form a *segment* (their units together). Documents are dealt into groups
+by a hash of id and text, anchors into buckets, and the two take turns:
+
+1. by group: the distinct anchors of a group go to their buckets, each with the units of its segments;
+2. by bucket: anchors that two places have, or one place twice, come back to the groups that have them. One whose
+   segments are together longer than ``SPLIT`` units is marked;
+3. by group: the units of each segment with such an anchor go to its bucket, equal ones of a group once with their
+   number; of a marked anchor every window goes on its own, to the bucket of its own hash, so that no anchor makes a
+   large index, however common it is;
+4. by bucket: an index over the texts of whole anchors (the operators' own: suffix automaton, suffix array) says which
+   windows repeat, and the verdicts come back to the groups;
+5. by group: verdicts meet their places, and spans their documents.
+
+Hashes only say where units meet; whether they are equal is decided by comparing the units themselves. A bucket hears
+of an anchor or of a text at most once from a group, however often the group has it, so a passage in a third of all
+documents is one short row a group. What travels are columns of numbers packed for each pair of group and bucket.
+
+A group's rows are of equal id and text or differ in their mark, a 64-bit hash of the text; a null id is kept apart
+from every number by the mark.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import struct
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,10 +35,12 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.common import clean_shuffles, dropped, shuffle_partitions, written
 
-#: Distinct segments of an anchor up to which an index is built for it; units of text in one index; windows of a segment.
-HOT, INDEX_UNITS, SEGMENT_WINDOWS = 2000, 200_000, 512
-#: Units that are hashed at once.
-BLOCK = 1 << 20
+#: Units of an anchor's segments from which it is split into windows; units of text in one index; windows of a segment.
+SPLIT, INDEX_UNITS, SEGMENT_WINDOWS = 100_000, 200_000, 512
+#: Units that are hashed at once; segments of a group, and bytes of their texts, that are held before they are sent.
+BLOCK, HELD_SEGMENTS, HELD_BYTES = 1 << 20, 2_000_000, 64 << 20
+#: Buckets for each partition, which a task takes one after the other.
+BUCKETS = 4
 
 _U = np.uint64
 _GROW = 0x9E3779B97F4A7C15
@@ -110,30 +119,26 @@ def byte_values(raw: bytes) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Units:
-    """How a text is cut: window and gram lengths, and whether a window counts when its own document repeats it."""
+    """How a text is cut: window and gram lengths, whether units are words, whether a window counts when its own
+    document repeats it, and from how many units an anchor is split into windows."""
 
     window: int
     gram: int
     words: bool
     within: bool
+    split: int = SPLIT
 
     def values(self, raw: bytes) -> np.ndarray:
         return word_values(raw)[0] if self.words else byte_values(raw)
 
-    def segments(self, raw: bytes) -> tuple[np.ndarray, ...]:
-        """(pos, n, anchor, seg, multi) of every segment."""
-        parts = [self._segments(values, at) for at, values in self._blocks(self.values(raw))]
-        return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64, bool))
-
-    def _blocks(self, values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Blocks overlap so that every window is in exactly one."""
-        for at in range(0, len(values) - self.window + 1, BLOCK):
-            yield at, values[at : at + BLOCK + self.window - 1]
+    def segments(self, values: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(pos, windows, anchor, multi) of every segment; multi: it may hold a window twice. Anchors are even."""
+        parts = [self._segments(values[at : at + BLOCK + self.window - 1], at) for at in range(0, len(values) - self.window + 1, BLOCK)]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else tuple(np.empty(0, t) for t in (np.int64, np.int64, _U, bool))
 
     def _segments(self, values: np.ndarray, at: int) -> tuple[np.ndarray, ...]:
         w = self.window - self.gram + 1
-        sums = prefix(values)
-        gram = grams(sums, self.gram)
+        gram = grams(prefix(values), self.gram) & ~_U(1)
         least = sliding_least(gram, w)
         fresh = np.concatenate(([True], least[1:] != least[:-1]))
         start = np.flatnonzero(fresh)
@@ -142,183 +147,416 @@ class Units:
             start = np.concatenate([np.arange(s, s + n, SEGMENT_WINDOWS) for s, n in zip(start.tolist(), size.tolist(), strict=True)])
             size = np.diff(np.append(start, len(least)))
         anchor = least[start]
-        seg = stretches(sums, start, start + size + self.window - 1)
         multi = np.zeros(len(start), bool)
         if self.within:
-            for i in range(0, len(start), 4096):
-                s, n = start[i : i + 4096], size[i : i + 4096]
-                reach = np.minimum(s[:, None] + np.arange(int(n.max()) + w - 1), len(gram) - 1)
-                inside = np.arange(reach.shape[1]) < (n + w - 1)[:, None]
-                multi[i : i + 4096] = ((gram[reach] == anchor[i : i + 4096, None]) & inside).sum(1) > 1
-        return start + at, size, anchor.view(np.int64), seg.view(np.int64), multi
+            # How often the anchor is among the grams of its segment: places of equal grams, counted between two ends.
+            order = np.argsort(gram, kind="stable")
+            ranked = gram[order]
+            for k in np.flatnonzero(np.searchsorted(ranked, anchor, "right") - np.searchsorted(ranked, anchor, "left") > 1).tolist():
+                places = order[np.searchsorted(ranked, anchor[k], "left") : np.searchsorted(ranked, anchor[k], "right")]
+                multi[k] = np.searchsorted(places, start[k] + size[k] + w - 1) - np.searchsorted(places, start[k]) > 1
+        return start + at, size, anchor, multi
+
+    def cutter(self, raw: bytes) -> Callable[[int, int], bytes]:
+        """Gives the units [a, b) of a text; words by one space."""
+        if not self.words:
+            return lambda a, b: raw[a:b]
+        words = raw.split()
+        return lambda a, b: b" ".join(words[a:b])
+
+
+def packed(*columns: np.ndarray | bytes) -> bytes:
+    """Columns as one compressed value: their sizes in bytes, then they themselves."""
+    parts = [c if isinstance(c, bytes) else c.tobytes() for c in columns]
+    raw = struct.pack(f"<{len(parts)}Q", *map(len, parts)) + b"".join(parts)
+    return struct.pack("<Q", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(blob: bytes, *kinds: str) -> list:
+    """The columns of packed(); a kind of "" gives bytes."""
+    raw = pa.decompress(blob[8:], struct.unpack_from("<Q", blob)[0], codec="zstd", asbytes=True)
+    at, out = 8 * len(kinds), []
+    for size, kind in zip(struct.unpack_from(f"<{len(kinds)}Q", raw), kinds, strict=True):
+        out.append((np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at) if size else np.empty(0, kind)) if kind else raw[at : at + size])
+        at += size
+    return out
 
 
-def tag(text: str = "text"):
-    return F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (mixed(keys) % _U(buckets)).astype(np.int64)
 
 
-def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def _by(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each value of key with the positions that have it."""
+    order = np.argsort(key, kind="stable")
+    ranked = key[order]
+    edges = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1], [True]))) if len(key) else []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield int(ranked[a]), order[a:b]
 
 
-#: As dealt out: n and multi in one number, tag and pos in another, which makes the shuffle shorter.
-PACKED = "doc_id bigint, shape int, loc bigint, anchor bigint, seg bigint"
+def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
 
-def _places(slim: DataFrame, units: Units) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            held: list[tuple] = []
-            for i, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                pos, n, anchor, seg, multi = units.segments(text.encode())
-                if len(pos):
-                    held.append((pa.repeat(pa.scalar(i, pa.int64()), len(pos)), (n * 2 + multi).astype(np.int32), (mark << 32) + pos, anchor, seg))
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays([h[0] for h in held]), *(pa.array(np.concatenate([h[k] for h in held])) for k in range(1, 5))], names=["doc_id", "shape", "loc", "anchor", "seg"])
+def _batches(rows: Iterable[tuple], schema: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows whose last column is bytes, in batches of bounded size."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [{"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}[c.split()[1]] for c in schema.split(", ")]
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1]) + 100
+        if size > most:
+            yield _batch(held, names, kinds)
+            held, size = [], 0
+    if held:
+        yield _batch(held, names, kinds)
 
-    return slim.select("doc_id", tag().alias("tag"), "text").mapInArrow(run, PACKED)
 
+def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
-def _unpacked(places: DataFrame) -> DataFrame:
-    loc, shape = F.col("loc"), F.col("shape")
-    return places.select("doc_id", F.shiftright(loc, 32).cast("int").alias("tag"), loc.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos"), F.shiftright(shape, 1).alias("n"), "anchor", "seg", (shape.bitwiseAND(F.lit(1)) == 1).alias("multi"))
 
+def _grouped(rows: Iterable[tuple]) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows come sorted by their first column: each value with its rows, without it."""
+    key, held = None, []
+    for first, *rest in rows:
+        if held and first != key:
+            yield key, held
+            held = []
+        key = first
+        held.append(tuple(rest))
+    if held:
+        yield key, held
 
-def _anchors_only(slim: DataFrame, units: Units) -> DataFrame:
-    """anchor, c: the same segments for counting, one that may hold a window twice as two."""
 
-    def run(batches):
-        for batch in batches:
-            parts = [units.segments(t.encode()) for t in batch.column(0).to_pylist()]
-            anchor = np.concatenate([np.empty(0, np.int64), *(p[2] for p in parts)])
-            multi = np.concatenate([np.empty(0, bool), *(p[4] for p in parts)])
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(multi + np.int64(1))], names=["anchor", "c"])
+#: A column of documents as groups see them: what comes before them, if anything, has a smaller kind.
+DOCS = ("g", "kind", "doc_id", "mark", "text", "blob")
 
-    return slim.select("text").mapInArrow(run, "anchor bigint, c bigint")
 
+def _documents(docs: DataFrame, id_col: str, text_col: str, n: int, kind: int) -> DataFrame:
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
+    mark = F.xxhash64("text", F.col("doc_id").isNull())
+    return slim.select(F.pmod(F.xxhash64("doc_id", mark), F.lit(n)).cast("int").alias("g"), F.lit(kind).alias("kind"), "doc_id", mark.alias("mark"), "text", F.lit(None).cast("binary").alias("blob"))
 
-Resolver = Callable[[Units, list[tuple[int, int, bytes, int, int | None]]], Iterator[tuple[int, int, list[tuple[int, int, int | None]]]]]
-SPANS = "array<struct<a:int,b:int,least:bigint>>"
 
+def _blobs(df: DataFrame, kind: int) -> DataFrame:
+    return df.select("g", F.lit(kind).alias("kind"), F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("mark"), F.lit(None).cast("string").alias("text"), "blob")
 
-def removals(docs: DataFrame, id_col: str, text_col: str, units: Units, resolve: Resolver) -> DataFrame:
-    """doc_id, tag, spans: for each document with a repeated window, the (start, end) of the units to remove, sorted."""
-    slim = _slim(docs, id_col, text_col)
-    spark = docs.sparkSession
-    # 1. Anchors that occur twice or may hold a window twice.
-    often = written(_anchors_only(slim, units).groupBy("anchor").agg(F.sum("c").alias("c")).where("c > 1").select(F.col("anchor").alias("a2")), "anchors")
-    clean_shuffles(spark)
-    # 2. Their places.
-    places = written(_unpacked(_places(slim, units).join(often.hint("shuffle_hash"), F.col("anchor") == F.col("a2"), "left_semi")), "places")
-    clean_shuffles(spark)
-    # 3. Distinct segments, each with the number of its copies, its least document and one place.
-    copy = F.struct("doc_id", "tag", "pos", "n")
-    distinct = written(
-        places.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("copies"), F.max("multi").alias("multi"), F.min(copy).alias("at"), F.max("n").alias("n"), F.max("doc_id").alias("most")), "segments"
-    )
-    kinds = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("copies").alias("total"), F.max("multi").alias("any_multi"))
-    judged = distinct.join(kinds.withColumnRenamed("anchor", "a2").hint("shuffle_hash"), F.col("anchor") == F.col("a2")).drop("a2")
-    hard = F.col("any_multi") | (F.col("kinds") > 1) if units.within else F.col("kinds") > 1
-    least = F.lit(None).cast("bigint") if units.within else F.col("at.doc_id")
-    spread = F.col("total") > 1 if units.within else F.col("most") > F.col("at.doc_id")
-    easy = judged.where(~hard & spread).select("anchor", "seg", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"), least.alias("least"))).cast(SPANS).alias("spans"))
-    # 4. The text of the rest, one copy each.
-    wanted = judged.where(hard).select("anchor", "seg", "kinds", "copies", F.col("at.doc_id").alias("id"), F.col("at.tag").alias("mark"), F.col("at.pos").alias("pos"), F.col("at.n").alias("n"))
-    asked = wanted.groupBy("id", "mark").agg(F.collect_list(F.struct("anchor", "seg", "kinds", "copies", "pos", "n")).alias("asks"))
-    texts = slim.withColumn("mark2", tag()).withColumnRenamed("doc_id", "id2")
-    fetched = written(asked.join(texts, F.col("id").eqNullSafe(F.col("id2")) & (F.col("mark") == F.col("mark2"))).select("id", "text", "asks").mapInArrow(_cut(units), "anchor bigint, seg bigint, kinds bigint, copies bigint, id bigint, units binary").dropDuplicates(["anchor", "seg"]), "fetched")
-    clean_shuffles(spark)
-    n = shuffle_partitions(spark)
-    indexed = fetched.where(F.col("kinds") <= HOT).repartition(n, "anchor").sortWithinPartitions("anchor", "seg").mapInArrow(_indexed(units, resolve), f"anchor bigint, seg bigint, spans {SPANS}")
-    verdicts = written(easy.unionByName(indexed).unionByName(_counted(fetched.where(F.col("kinds") > HOT), units)), "verdicts")
-    dropped(often, distinct, fetched)
-    # 5. Back to the documents. A verdict may meet very many places: that side is small and the join splits.
-    found = (
-        places.join(verdicts.select(F.col("anchor").alias("a2"), F.col("seg").alias("s2"), "spans").hint("shuffle_hash"), (F.col("anchor") == F.col("a2")) & (F.col("seg") == F.col("s2")))
-        .select("doc_id", "tag", "pos", F.explode("spans").alias("s"))
-        .where(F.col("s.least").isNull() | (F.col("doc_id") > F.col("s.least")))
-        .groupBy("doc_id", "tag")
-        .agg(F.sort_array(F.collect_list(F.struct((F.col("pos") + F.col("s.a")).alias("a"), (F.col("pos") + F.col("s.b") + (units.window - 1)).alias("b")))).alias("spans"))
-    )
-    out = written(found, "removals")
-    dropped(places, verdicts)
-    clean_shuffles(spark)
-    return out
 
+def _anchors(units: Units, buckets: int):
+    """Step 1. Rows (g, text) of one group."""
 
-def _cut(units: Units):
-    """The bytes of each segment that is asked for; words keep their own bytes, joined by one space."""
+    def sent(g: int, held: list[tuple]) -> Iterator[tuple]:
+        anchor, size, multi = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(anchor, kind="stable")
+        anchor, size, multi = anchor[order], size[order], multi[order]
+        start = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1]))) if len(anchor) else np.empty(0, np.int64)
+        if len(start):
+            places = np.diff(np.append(start, len(anchor)))
+            twice = (places > 1) | np.logical_or.reduceat(multi, start)
+            total = np.minimum(np.add.reduceat(size, start), units.split + 1).astype(np.uint32)
+            each = anchor[start] | twice.astype(_U)
+            for bucket, at in _by(bucket_of(anchor[start], buckets)):
+                yield bucket, g, packed(each[at], total[at])
+
+    def rows(batches):
+        held: list[tuple] = []
+        size, last = 0, None
+        for g, text in _rows(batches):
+            if held and (g != last or size > HELD_SEGMENTS):
+                yield from sent(last, held)
+                held, size = [], 0
+            _, n, anchor, multi = units.segments(units.values(text.encode()))
+            held.append((anchor, n + units.window - 1, multi))
+            size, last = size + len(n), g
+        if held:
+            yield from sent(last, held)
 
     def run(batches):
-        for batch in batches:
-            rows = []
-            for i, text, asks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = text.encode()
-                words = raw.split() if units.words else None
-                for x in asks:
-                    end = x["pos"] + x["n"] + units.window - 1
-                    piece = raw[x["pos"] : end] if words is None else b" ".join(words[x["pos"] : end])
-                    rows.append((x["anchor"], x["seg"], x["kinds"], x["copies"], i, piece))
-            for k in range(0, len(rows), 20_000):
-                part = list(zip(*rows[k : k + 20_000], strict=True))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in part[:5]), pa.array(part[5], pa.binary())], names=["anchor", "seg", "kinds", "copies", "id", "units"])
+        yield from _batches(rows(batches), "bucket int, g int, blob binary")
 
     return run
 
 
-def _verdict_batch(rows: list[tuple[int, int, list[tuple[int, int, int | None]]]]) -> pa.RecordBatch:
-    span = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("least", pa.int64())])
-    spans = pa.array([[{"a": a, "b": b, "least": m} for a, b, m in r[2]] for r in rows], pa.list_(span))
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), spans], names=["anchor", "seg", "spans"])
-
+def _repeated(units: Units):
+    """Step 2. Rows (bucket, g, blob) sorted by bucket; the anchors that repeat, odd if they are to be split."""
 
-def _indexed(units: Units, resolve: Resolver):
-    """Rows come sorted by anchor; whole anchors are gathered to about INDEX_UNITS units and indexed together."""
+    def rows(batches):
+        for _, held in _grouped(_rows(batches)):
+            parts = [unpacked(blob, "<u8", "<u4") for _, blob in held]
+            flat, sizes = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+            anchors, which, places = np.unique(flat & ~_U(1), return_inverse=True, return_counts=True)
+            often = (places > 1) | (np.bincount(which, flat & _U(1)) > 0)
+            told = anchors | (np.bincount(which, sizes) > units.split).astype(_U)
+            at = 0
+            for (g, _), (own, _) in zip(held, parts, strict=True):
+                here = which[at : at + len(own)]
+                at += len(own)
+                if len(found := told[here[often[here]]]):
+                    yield g, packed(found)
 
     def run(batches):
-        held: list[tuple] = []
-        size = 0
+        yield from _batches(rows(batches), "g int, blob binary")
 
-        def rows():
-            for batch in batches:
-                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+    return run
 
-        last = None
-        for anchor, seg, _, copies, i, raw in rows():
-            if size >= INDEX_UNITS and anchor != last:
-                yield _verdict_batch(list(resolve(units, held)))
-                held, size = [], 0
-            held.append((anchor, seg, raw, copies, i))
-            size += raw.count(b" ") + 1 if units.words else len(raw)
-            last = anchor
-        if held:
-            yield _verdict_batch(list(resolve(units, held)))
+
+class _Texts:
+    """Step 3: the distinct texts of a group's segments, and the places that have them."""
+
+    def __init__(self, units: Units, repeated: np.ndarray):
+        self.units = units
+        self.repeated = np.sort(repeated)
+        self.keys = self.repeated & ~_U(1)
+        self.base = 0
+        self.clear()
+
+    def clear(self) -> None:
+        self.refs: dict[bytes, int] = {}
+        self.anchors: list[int] = []
+        self.copies: list[int] = []
+        self.least: list[int] = []
+        self.bytes = 0
+        self.docs: list[tuple[int, int, int]] = []  # id, mark, places
+        self.places: list[tuple[list[int], list[int]]] = []  # positions and texts
+
+    def text(self, piece: bytes, anchor: int, doc_id: int) -> int:
+        ref = self.refs.get(piece)
+        if ref is None:
+            ref = self.refs[piece] = len(self.anchors)
+            self.anchors.append(anchor)
+            self.copies.append(1)
+            self.least.append(doc_id)
+            self.bytes += len(piece) + 100
+        else:
+            self.copies[ref] += 1
+            if doc_id < self.least[ref]:
+                self.least[ref] = doc_id
+        return ref
+
+    def add(self, doc_id: int | None, mark: int, raw: bytes) -> None:
+        units, window = self.units, self.units.window
+        values = units.values(raw)
+        pos, n, anchor, _ = units.segments(values)
+        if not len(pos) or not len(self.keys):
+            return
+        found = np.minimum(np.searchsorted(self.keys, anchor), len(self.keys) - 1)
+        hit = self.keys[found] == anchor
+        if not hit.any():
+            return
+        pos, n, anchor, split = pos[hit], n[hit], anchor[hit], (self.repeated[found[hit]] & _U(1)).tolist()
+        cut, at, refs, key = units.cutter(raw), [], [], doc_id or 0
+        windows = grams(prefix(values), window).tolist() if any(split) else None
+        for p, m, a, apart in zip(pos.tolist(), n.tolist(), anchor.tolist(), split, strict=True):
+            if apart:
+                for k in range(p, p + m):
+                    at.append(k)
+                    refs.append(self.text(cut(k, k + window), windows[k], key))
+            else:
+                at.append(p)
+                refs.append(self.text(cut(p, p + m + window - 1), a, key))
+        self.docs.append((key, mark, len(at)))
+        self.places.append((at, refs))
+
+    def sent(self, g: int, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+        """(kind 0, bucket, texts) and (kind 1, g, places)."""
+        if self.docs:
+            pieces, anchors = list(self.refs), np.array(self.anchors, _U)
+            copies, least = np.array(self.copies, "<u4"), np.array(self.least, "<i8")
+            sizes = np.array([len(p) for p in pieces], "<u4")
+            for bucket, at in _by(bucket_of(anchors, buckets)):
+                refs = (at + self.base).astype("<u4")
+                yield 0, bucket, struct.pack("<I", g) + packed(anchors[at], copies[at], least[at], refs, sizes[at], b"".join([pieces[k] for k in at.tolist()]))
+            at = np.concatenate([np.array(p, "<u4") for p, _ in self.places])
+            refs = np.concatenate([np.array(r, "<u4") for _, r in self.places]) + np.uint32(self.base)
+            ids, marks, counts = (np.array(x, kind) for x, kind in zip(zip(*self.docs, strict=True), ("<i8", "<i8", "<u4"), strict=True))
+            yield 1, g, packed(ids, marks, counts, at, refs)
+            self.base += len(pieces)
+            self.clear()
+
+
+def _texts(units: Units, buckets: int):
+    """Step 3. Rows of DOCS, a group's repeated anchors before its documents."""
+
+    def rows(batches):
+        held, last, blobs = None, None, []
+        for g, kind, doc_id, mark, text, blob in _rows(batches):
+            if g != last:
+                if held is not None:
+                    yield from held.sent(last, buckets)
+                held, last, blobs = None, g, []
+            if kind == 0:
+                blobs.append(unpacked(blob, "<u8")[0])
+                continue
+            if held is None:
+                held = _Texts(units, np.concatenate([np.empty(0, _U), *blobs]))
+            held.add(doc_id, mark, text.encode())
+            if held.bytes > HELD_BYTES:
+                yield from held.sent(g, buckets)
+        if held is not None:
+            yield from held.sent(last, buckets)
+
+    def run(batches):
+        yield from _batches(rows(batches), "kind int, key int, blob binary")
 
     return run
 
 
-def _window_hashes(raw: bytes, units: Units) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of every window."""
-    values = units.values(raw)
-    other = mixed(values ^ _U(0x5851F42D4C957F2D))
-    return grams(prefix(values), units.window).view(np.int64), grams(prefix(other), units.window).view(np.int64)
+#: (anchor, number of the text, its units, copies, least id), and (number of the text, spans of windows to remove).
+Segment = tuple[int, int, bytes, int, int]
+Resolver = Callable[[Units, list[Segment]], Iterator[tuple[int, list[tuple[int, int, int | None]]]]]
+#: Stands for no least id: the window goes wherever it is.
+ANY = -(1 << 63)
+
+
+def _verdicts(units: Units, resolve: Resolver):
+    """Step 4. Rows (bucket, blob) sorted by bucket; whole anchors are indexed together up to INDEX_UNITS units."""
+
+    def bucket_rows(held: list[tuple]) -> Iterator[tuple[int, bytes]]:
+        parts = [(struct.unpack_from("<I", blob)[0], unpacked(blob[4:], "<u8", "<u4", "<i8", "<u4", "<u4", "")) for (blob,) in held]
+        anchors = np.concatenate([p[0] for _, p in parts])
+        source = np.repeat(np.arange(len(parts)), [len(p[0]) for _, p in parts])
+        within = np.concatenate([np.arange(len(p[0])) for _, p in parts])
+        ends = [np.cumsum(p[4], dtype=np.int64).tolist() for _, p in parts]
+        columns = [(p[1].tolist(), p[2].tolist(), p[3].tolist(), p[5]) for _, p in parts]
+        order = np.argsort(anchors, kind="stable")
+        owners: list[list[tuple[int, int]]] = []  # for each text, its groups and their numbers for it
+        out: dict[int, list[tuple[int, int, int, int]]] = {}
+        index: list[Segment] = []
+        group: dict[bytes, list[int]] = {}
+        size, last = 0, None
+
+        def judged() -> None:
+            for number, spans in resolve(units, index) if index else ():
+                for g, ref in owners[number]:
+                    out.setdefault(g, []).extend((ref, a, b, ANY if low is None else low) for a, b, low in spans)
+            index.clear()
+            owners.clear()
+
+        def settled() -> None:
+            nonlocal size
+            if len(group) == 1 and not units.within:
+                # One text: there is nothing to sort, all its windows are where the text is.
+                ((piece, (number, copies, least)),) = group.items()
+                for g, ref in owners[number] if copies > 1 else ():
+                    out.setdefault(g, []).append((ref, 0, len(piece) - units.window + 1, least))
+                group.clear()
+                return
+            for piece, (number, copies, least) in group.items():
+                index.append((last, number, piece, copies, least))
+                size += piece.count(b" ") + 1 if units.words else len(piece)
+            group.clear()
+            if size >= INDEX_UNITS:
+                judged()
+                size = 0
+
+        for anchor, s, k in zip(anchors[order].tolist(), source[order].tolist(), within[order].tolist(), strict=True):
+            if anchor != last:
+                settled()
+                last = anchor
+            copies, least, refs, text = columns[s]
+            piece = text[ends[s][k - 1] if k else 0 : ends[s][k]]
+            if (found := group.get(piece)) is None:
+                group[piece] = [len(owners), copies[k], least[k]]
+                owners.append([(parts[s][0], refs[k])])
+            else:
+                found[1] += copies[k]
+                found[2] = min(found[2], least[k])
+                owners[found[0]].append((parts[s][0], refs[k]))
+        settled()
+        judged()
+        for g, rows in out.items():
+            cols = list(zip(*rows, strict=True))
+            yield g, packed(*(np.array(c, kind) for c, kind in zip(cols, ("<u4", "<u4", "<u4", "<i8"), strict=True)))
 
+    def run(batches):
+        yield from _batches((row for _, held in _grouped(_rows(batches)) for row in bucket_rows(held)), "g int, blob binary")
+
+    return run
 
-def _counted(fetched: DataFrame, units: Units) -> DataFrame:
-    """Verdicts of anchors with very many distinct segments: each window is a row, counted by 128 bits of hash."""
+
+def _spans(units: Units, places: list[bytes], verdicts: list[bytes]) -> dict[tuple[int, int], list[tuple[int, int]]]:
+    """Step 5: the spans of units to remove from each document (id or 0, mark) of a group, sorted and united."""
+    told = [unpacked(v, "<u4", "<u4", "<u4", "<i8") for v in verdicts]
+    if not told or not places:
+        return {}
+    ref, a, b, low = (np.concatenate([t[k] for t in told]) for k in range(4))
+    order = np.argsort(ref, kind="stable")
+    ref, a, b, low = ref[order], a[order].astype(np.int64), b[order].astype(np.int64), low[order]
+    out: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for blob in places:
+        ids, marks, counts, at, refs = unpacked(blob, "<i8", "<i8", "<u4", "<u4", "<u4")
+        first, last = np.searchsorted(ref, refs, "left"), np.searchsorted(ref, refs, "right")
+        times = last - first
+        place = np.repeat(np.arange(len(refs)), times)
+        said = np.arange(len(place)) - np.repeat(np.cumsum(times) - times, times) + first[place]
+        doc = np.repeat(np.arange(len(ids)), counts)[place]
+        goes = (low[said] == ANY) | (ids[doc] > low[said])
+        place, said, doc = place[goes], said[goes], doc[goes]
+        start = at[place].astype(np.int64) + a[said]
+        end = at[place].astype(np.int64) + b[said] + (units.window - 1)
+        for d, held in _by(doc):
+            mine = out.setdefault((int(ids[d]), int(marks[d])), [])
+            mine += zip(start[held].tolist(), end[held].tolist(), strict=True)
+    return {key: united(sorted(spans)) for key, spans in out.items()}
+
+
+#: Called with (id, text, spans) of some documents; gives a batch of what is returned for them.
+Finish = Callable[[list[tuple[int | None, bytes, list[tuple[int, int]]]]], pa.RecordBatch]
+
+
+def _applied(units: Units, finish: Finish):
+    """Step 5. Rows of DOCS: a group's places (kind 0), verdicts (1), documents (2)."""
 
     def run(batches):
-        for batch in batches:
-            for anchor, seg, _, copies, i, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h, g = _window_hashes(raw, units)
-                n = len(h)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, anchor)), pa.array(np.full(n, seg)), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, copies)), pa.repeat(pa.scalar(i, pa.int64()), n), pa.array(h), pa.array(g)], names=["anchor", "seg", "at", "copies", "id", "h", "g"])
+        last, blobs, spans = None, ([], []), None
+        held: list[tuple] = []
+        size = 0
+        for g, kind, doc_id, mark, text, blob in _rows(batches):
+            if g != last:
+                last, blobs, spans = g, ([], []), None
+            if kind < 2:
+                blobs[kind].append(blob)
+                continue
+            if spans is None:
+                spans = _spans(units, *blobs)
+            raw = text.encode()
+            held.append((doc_id, raw, spans.get((doc_id or 0, mark), [])))
+            size += len(raw)
+            if len(held) == 1000 or size > 8 << 20:
+                yield finish(held)
+                held, size = [], 0
+        if held:
+            yield finish(held)
 
-    windows = fetched.mapInArrow(run, "anchor bigint, seg bigint, at int, copies bigint, id bigint, h bigint, g bigint")
-    totals = windows.groupBy("h", "g").agg(F.sum("copies").alias("c"), F.min("id").alias("least")).select(F.col("h").alias("h2"), F.col("g").alias("g2"), "c", "least")
-    hit = windows.join(totals.where("c > 1"), (F.col("h") == F.col("h2")) & (F.col("g") == F.col("g2")))
-    least = F.lit(None).cast("bigint") if units.within else F.col("least")
-    return hit.groupBy("anchor", "seg").agg(F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + 1).alias("b"), least.alias("least"))).cast(SPANS).alias("spans"))
+    return run
+
+
+def without_repeats(docs: DataFrame, id_col: str, text_col: str, units: Units, resolve: Resolver, finish: Finish, schema: str) -> DataFrame:
+    """finish over all documents with the spans of units that repeated windows cover."""
+    spark = docs.sparkSession
+    n = shuffle_partitions(spark)
+    buckets = BUCKETS * n
+    here = F.pmod("bucket", F.lit(n)).cast("int")
+    # Where only documents with a smaller id count, those without an id neither lose nor take.
+    grouped = _documents(docs if units.within else docs.where(F.col(f"`{id_col}`").isNotNull()), id_col, text_col, n, 1)
+    anchors = grouped.select("g", "text").repartitionById(n, F.col("g")).mapInArrow(_anchors(units, buckets), "bucket int, g int, blob binary")
+    repeated = written(anchors.repartitionById(n, here).sortWithinPartitions("bucket").mapInArrow(_repeated(units), "g int, blob binary"), "repeated-anchors")
+    clean_shuffles(spark)
+    both = _blobs(repeated, 0).unionByName(grouped)
+    texts = written(both.repartitionById(n, F.col("g")).sortWithinPartitions("g", "kind").mapInArrow(_texts(units, buckets), "kind int, key int, blob binary"), "segment-texts", "kind")
+    dropped(repeated)
+    clean_shuffles(spark)
+    dealt = texts.where("kind = 0").select(F.col("key").alias("bucket"), "blob").repartitionById(n, here).sortWithinPartitions("bucket")
+    verdicts = written(dealt.mapInArrow(_verdicts(units, resolve), "g int, blob binary"), "verdicts")
+    clean_shuffles(spark)
+    places = texts.where("kind = 1").select(F.col("key").alias("g"), "blob")
+    all_rows = _blobs(places, 0).unionByName(_blobs(verdicts, 1)).unionByName(_documents(docs, id_col, text_col, n, 2))
+    return all_rows.repartitionById(n, F.col("g")).sortWithinPartitions("g", "kind").mapInArrow(_applied(units, finish), schema)
 
 
 def runs(flags: list[int | None] | list[bool], none: object = None) -> Iterator[tuple[int, int, object]]:
@@ -341,11 +579,3 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
         else:
             out.append((a, b))
     return out
-
-
-def applied(docs: DataFrame, id_col: str, text_col: str, spans: DataFrame, run, schema: str) -> DataFrame:
-    """run over batches of (doc_id, text, starts, ends of spans); the join carries each text once."""
-    slim = _slim(docs, id_col, text_col).withColumn("mark", tag())
-    marked = spans.select(F.col("doc_id").alias("id2"), F.col("tag").alias("mark2"), "spans")
-    joined = slim.join(marked, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("mark") == F.col("mark2")), "left")
-    return joined.select("doc_id", "text", F.col("spans.a").alias("starts"), F.col("spans.b").alias("ends")).mapInArrow(run, schema)
