@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,11 +60,12 @@ def dropped(*frames: DataFrame) -> None:
 
 
 def clean_shuffles(spark: SparkSession) -> None:
-    """Asks the driver's JVM to collect garbage: only then does Spark delete shuffle files of jobs that are over."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Asks the driver's JVM to collect garbage: only then does Spark delete shuffle files of jobs that are over. What
+    the first round frees is what holds the last job's shuffles, which go in the second."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def text_or_empty(col: str = "text"):

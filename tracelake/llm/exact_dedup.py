@@ -5,9 +5,10 @@ sort of each partition (external, spilling) places equal bytes side by side, and
 row's full bytes with its neighbour's and keeps the best identifier. Splitters compare the beginning of a text and a
 hash of the whole, so what the driver samples is short however long the texts are.
 
-A text with so many copies that they would fill a good part of a partition (more than a quarter of an even share) is
-combined in each task before it is dealt out. There are at most four such texts for each partition, so their list has
-a bound and is broadcast; they are found by an exact count of hashes, and grouped by their full bytes as well.
+A text with so many copies that they would fill a good part of a partition (more than a quarter of an even share) gets
+a salt from its rows' ids, and spans many partitions; its parts, one short row for each salt, are added up after the
+sort. There are at most four such texts for each partition, so their list has a bound and is broadcast; they are found
+by an exact count of hashes. No other text has a salt: all its copies meet in the sort.
 
 Defined results: null text counts as empty and empty texts are equal to each other; texts of only white space are
 empty; ties go to the longer original, then the smaller id, null ids last; of rows equal in id and text one is kept;
@@ -24,38 +25,45 @@ from tracelake.llm.common import shuffle_partitions, text_or_empty, written
 
 #: The characters that normalising deletes: [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\x0c\r"
-#: Characters of the normalised text that splitters compare before the hash, and hot texts for each partition at most.
-HEAD, HOT_SHARE = 32, 4
+#: Characters of the normalised text that splitters compare before the hash; hot texts for each partition at most; rows
+#: up to which a text is never hot.
+HEAD, HOT_SHARE, FEW = 32, 4, 32
 
 
 def normalised(text: Column) -> Column:
-    return F.translate(text, WHITE, "")
+    for c in WHITE:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
 
 
 def _hot_texts(docs: DataFrame, text_col: str, n: int) -> DataFrame:
-    """Hashes of the texts with more rows than a HOT_SHARE-th of an even partition: at most HOT_SHARE * n."""
+    """Hashes of the texts with more rows than FEW and than a HOT_SHARE-th of an even partition: at most HOT_SHARE * n."""
     counts = docs.select(F.xxhash64(normalised(text_or_empty(text_col))).alias("_hot")).groupBy("_hot").agg(F.count(F.lit(1)).alias("_n"))
-    return counts.where(F.col("_n") > max(1, docs.count() // (HOT_SHARE * n))).select("_hot")
+    return counts.where(F.col("_n") > max(FEW, docs.count() // (HOT_SHARE * n))).select("_hot")
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str, best: Column, extra: list[Column]) -> DataFrame:
-    """One row for each distinct text: its digest, number of rows and best row."""
+def _fragments(docs: DataFrame, id_col: str, text_col: str, best: Column, row: Column | None = None) -> DataFrame:
+    """What the sort makes of each text: its digest, number of rows and best row; hot texts have a row for each salt."""
     n = shuffle_partitions(docs.sparkSession)
     text = text_or_empty(text_col)
     rank = F.struct((-F.length(text)).alias("neg_len"), F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"))
-    norm = normalised(text)
-    rows = docs.select(F.encode(norm, "UTF-8").alias("_norm"), F.substring(norm, 1, HEAD).alias("_head"), F.xxhash64(norm).alias("_hash"), rank.alias("_rank"), *extra)
-    hot = F.broadcast(_hot_texts(docs, text_col, n))
-    sorted_out = rows.join(hot, F.col("_hash") == F.col("_hot"), "left_anti").repartitionByRange(n, "_head", "_hash")
-    combined = rows.join(hot, F.col("_hash") == F.col("_hot"), "left_semi")
-    made = [part.groupBy("_head", "_hash", "_norm").agg(F.count(F.lit(1)).alias("_n"), best).select(F.sha2("_norm", 256).alias("_sha"), "_n", "_best") for part in (sorted_out, combined)]
-    return made[0].unionByName(made[1])
+    rows = docs.select(normalised(text).alias("_text"), rank.alias("_rank"), *([row.alias("_row")] if row is not None else [])).withColumn("_hash", F.xxhash64("_text"))
+    salted = rows.join(F.broadcast(_hot_texts(docs, text_col, n)), F.col("_hash") == F.col("_hot"), "left")
+    salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64("_rank.id", "_rank.neg_len"), F.lit(n)))
+    keyed = salted.select(F.encode("_text", "UTF-8").alias("_norm"), F.substring("_text", 1, HEAD).alias("_head"), "_hash", salt.alias("_salt"), "_rank", *(["_row"] if row is not None else []))
+    return (
+        keyed.repartitionByRange(n, "_head", "_hash", "_salt")
+        .groupBy("_head", "_hash", "_salt", "_norm")
+        .agg(F.count(F.lit(1)).alias("_n"), best)
+        .select(F.sha2("_norm", 256).alias("_sha"), "_salt", "_n", "_best")
+    )
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     # Written, so that the join below reads two plain shuffles, of which adaptive execution may split a large partition.
-    groups = written(_texts(docs, id_col, text_col, F.min("_rank").alias("_best"), []).withColumnRenamed("_n", "group_size"), "text-groups")
+    parts = _fragments(docs, id_col, text_col, F.min("_rank").alias("_best"))
+    groups = written(parts.groupBy("_sha").agg(F.sum("_n").alias("group_size"), F.min("_best").alias("_best")), "text-groups")
     text = text_or_empty(text_col)
     # Rows equal in id and text meet here, so that one of them stays; the shuffle carries digests, never texts.
     rows = (
@@ -73,5 +81,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The row that stays of each text, with all its columns."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    return _texts(docs, id_col, text_col, F.min_by("_row", "_rank").alias("_best"), [row]).select("_best.*")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = F.min_by(F.struct("_rank", "_row"), "_rank").alias("_best")
+    parts = _fragments(docs, id_col, text_col, whole, row)
+    return parts.groupBy("_sha").agg(F.min_by("_best", "_best._rank").alias("_best")).select("_best._row.*")
