@@ -1,14 +1,14 @@
-"""Property checks: state machines per key, as windows where the machine is a matter of the last relevant event."""
+"""Property checks: state machines per key, as scans in slots (see ``blocks``) of the last relevant event."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.functions.adapter import ORDER, before
+from tracelake.functions.adapter import ORDER
+from tracelake.functions.tables import settled
+from tracelake.operators import blocks
+from tracelake.operators.pairing import interval_lookup
 
 
 def use_after_close(ops: DataFrame) -> DataFrame:
@@ -17,71 +17,60 @@ def use_after_close(ops: DataFrame) -> DataFrame:
     op = F.col("op")
     opened = ops.where("op = 'dup3'").withColumn("fd", F.col("newfd")).withColumn("op", F.lit("open"))
     own = ops.where("op <> 'dup3'").unionByName(opened)
-    exits = own.where("op = 'exit'").select("trace_id", "pid", F.struct(*ORDER).alias("_exit"))
-    last = own.where("op <> 'exit'").withColumn("_last", F.last(F.when(op.isin("close", "open"), F.struct(op.alias("op"), *ORDER)), ignorenulls=True).over(before("trace_id", "pid", "fd")))
-    found = last.where(op.isin("read", "write") & (F.col("_last.op") == "close"))
-    here, there = F.struct(*ORDER), F.struct(*[F.col(f"_last.{c}") for c in ORDER])
-    warned = found.withColumn("_here", here).withColumn("_there", there)
-    e = exits.select(F.col("trace_id").alias("t2"), F.col("pid").alias("p2"), "_exit")
-    return warned.join(e, (F.col("trace_id") == F.col("t2")) & (F.col("pid") == F.col("p2")) & (F.col("_exit") > F.col("_there")) & (F.col("_exit") < F.col("_here")), "left_anti").drop("_here", "_there", "_last")
+    own = settled(blocks.last_values(own, ("trace_id", "pid"), before={"_exit": F.when(op == "exit", F.struct(*ORDER))}), "exits")
+    last = F.when(op.isin("close", "open"), F.struct(op.alias("op"), F.struct(*ORDER).alias("at")))
+    found = blocks.last_values(own.where("op <> 'exit'"), ("trace_id", "pid", "fd"), before={"_last": last})
+    found = found.where(op.isin("read", "write") & (F.col("_last.op") == "close") & (F.col("_exit").isNull() | (F.col("_exit") < F.col("_last.at"))))
+    return blocks.plain(found)
 
 
 def open_before_chdir(ops: DataFrame) -> DataFrame:
     """ops: trace_id, pid, op (chroot, chdir, open), path. Opens after a chroot and before a chdir to the root."""
     op = F.col("op")
     state = F.when(op == "chroot", "jailed").when((op == "chdir") & (F.col("path") == "/"), "safe")
-    return ops.withColumn("_state", F.last(state, ignorenulls=True).over(before("trace_id", "pid"))).where((op == "open") & (F.col("_state") == "jailed")).drop("_state")
+    found = blocks.last_values(ops, ("trace_id", "pid"), before={"_state": state})
+    return blocks.plain(found.where((op == "open") & (F.col("_state") == "jailed")))
 
 
 def late_schedules(switches: DataFrame, period_ns: int = 500_000_000, running_ns: int = 0) -> DataFrame:
     """switches: trace_id, pid, status, turn and the order. A process is late when it comes to run more than a period after it last
     came to run, and leaves early when it ran for less than it asked for."""
-    w = Window.partitionBy("trace_id", "pid").orderBy(*ORDER, "turn")
     came = F.when(F.col("status") == "RUN", F.col("time_ns"))
-    last = F.last(came, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    own = switches.withColumn("_last", last).withColumn("gap_ns", F.col("time_ns") - F.col("_last"))
+    # The two rows of a switch share a place; their turn keeps them in order.
+    own = switches.withColumn("event_offset", F.col("offset")).withColumn("offset", F.col("offset") * 2 + F.col("turn"))
+    own = blocks.last_values(own, ("trace_id", "pid"), before={"_last": came}).withColumn("offset", F.col("event_offset")).drop("event_offset")
+    own = own.withColumn("gap_ns", F.col("time_ns") - F.col("_last"))
     kind = F.when((F.col("status") == "RUN") & (F.col("gap_ns") > period_ns), "late").when((F.col("status") != "RUN") & (F.col("gap_ns") < running_ns), "early out")
-    return own.withColumn("warning", kind).where("warning is not null").drop("_last")
-
-
-LOCKS = "trace_id bigint, cpu bigint, time_ns bigint, offset bigint, lock bigint, warning string"
+    return own.withColumn("warning", kind).where("warning is not null").transform(blocks.plain)
 
 
-def lock_warnings(events: DataFrame) -> DataFrame:
+def lock_warnings(events: DataFrame, switches: bool = False, bucket_ns: int = 3_600_000_000_000) -> DataFrame:
     """events: trace_id, cpu, op (acquire, release, init, sched), lock, read, hardirqs_off, hardirq_context and the
     order. A lock ever taken in a hard interrupt must not be taken with interrupts on, and the other way about; a held
-    lock must not be freed or set up again; no lock is held over a switch. Read locks are left out.
-
-    One pass over each trace in order; what is held is one entry per lock, not per event."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trace, in_irq, irqs_on, held = None, set(), set(), {}
-        for frame in frames:
-            out = []
-            for r in frame.itertuples(index=False):
-                if r.trace_id != trace:
-                    trace, in_irq, irqs_on, held = r.trace_id, set(), set(), {}
-                stack = held.setdefault(r.cpu, [])
-                say = lambda text, r=r: out.append((r.trace_id, r.cpu, r.time_ns, r.offset, r.lock, text))
-                if r.op == "acquire" and not r.read:
-                    stack.append(r.lock)
-                    if r.hardirq_context:
-                        in_irq.add(r.lock)
-                        if r.lock in irqs_on:
-                            say("taken in an interrupt, and before with interrupts on")
-                    elif not r.hardirqs_off:
-                        irqs_on.add(r.lock)
-                        if r.lock in in_irq:
-                            say("taken with interrupts on, and before in an interrupt")
-                elif r.op == "release" and r.lock in stack:
-                    stack.reverse()
-                    stack.remove(r.lock)
-                    stack.reverse()
-                elif r.op == "init" and any(r.lock in s for s in held.values()):
-                    say("set up again while it is held")
-                elif r.op == "sched" and stack:
-                    say("held over a switch")
-            yield pd.DataFrame(out, columns=["trace_id", "cpu", "time_ns", "offset", "lock", "warning"])
-
-    cols = ["trace_id", "cpu", "op", "lock", "read", "hardirqs_off", "hardirq_context", "time_ns", "offset"]
-    return events.repartition("trace_id").sortWithinPartitions("trace_id", *ORDER).select(*cols).mapInPandas(run, LOCKS)
+    lock must not be set up again. Read locks are left out. With switches, each lock that is held over a switch of its
+    CPU is a warning too, on the switch's row with the lock that is held; how long a lock is held decides bucket_ns."""
+    op, keys = F.col("op"), ("trace_id", "lock")
+    taken = (op == "acquire") & ~F.coalesce("read", F.lit(False))
+    irq, on = taken & F.col("hardirq_context"), taken & ~F.col("hardirq_context") & ~F.col("hardirqs_off")
+    own = events.where(taken | op.isin("release", "init")).where("lock is not null")
+    # How often each CPU holds each lock: a release of what isn't held is left out.
+    held = blocks.depths(own.where(op != "init"), F.when(taken, 1).otherwise(-1), ("trace_id", "cpu", "lock"))
+    held = settled(held.where(taken | (F.col("_low") >= F.col("_was"))).withColumn("depth", F.col("_sum") - F.col("_low")), "held-locks")
+    count = blocks.plain(held).withColumn("_step", F.when(taken, 1).otherwise(-1)).unionByName(own.where(op == "init"), allowMissingColumns=True)
+    count = blocks.running_sum(count, F.coalesce("_step", F.lit(0)), "held", keys)
+    again = count.where((op == "init") & (F.col("held") > 0)).withColumn("warning", F.lit("set up again while it is held"))
+    seen = blocks.last_values(own.where(taken), keys, before={"_irq": F.when(irq, True), "_on": F.when(on, True)})
+    mixed = F.when(irq & F.col("_on"), "taken in an interrupt, and before with interrupts on").when(on & F.col("_irq"), "taken with interrupts on, and before in an interrupt")
+    wrong = seen.withColumn("warning", mixed).where("warning is not null")
+    shown = ("trace_id", "cpu", "time_ns", "offset", "lock", "warning")
+    out = again.select(*shown).unionByName(wrong.select(*shown))
+    if not switches:
+        return out
+    spans = blocks.plain(held).withColumn("level", F.col("depth") + F.when(taken, 0).otherwise(1))
+    spans = blocks.plain(blocks.last_values(spans, ("trace_id", "cpu", "lock", "level"), following={"released_ns": "time_ns", "released": "offset"})).where(taken)
+    end = events.agg(F.max("time_ns").alias("last_ns"))
+    spans = spans.join(F.broadcast(end)).select("trace_id", "cpu", F.col("lock").alias("held_lock"), F.struct("time_ns", "offset").alias("taken"), F.struct(F.col("released_ns").alias("time_ns"), F.col("released").alias("offset")).alias("released"), F.col("time_ns").alias("held_from"), (F.coalesce("released_ns", "last_ns") + 1).alias("held_to"))
+    over = interval_lookup(events.where("op = 'sched'").drop("lock"), spans, ["trace_id", "cpu"], "held_from", "held_to", ["held_lock", "taken", "released"], bucket_ns).where("held_lock is not null")
+    here = F.struct("time_ns", "offset")
+    over = over.where((here > F.col("taken")) & (F.col("released.time_ns").isNull() | (here < F.col("released"))))
+    return out.unionByName(over.select("trace_id", "cpu", "time_ns", "offset", F.col("held_lock").alias("lock"), F.lit("held over a switch").alias("warning")).distinct())

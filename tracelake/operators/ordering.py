@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.functions.adapter import ORDER
+from tracelake.functions.adapter import ORDER, in_time
+from tracelake.operators import blocks
 
-#: Buckets of time over which global ranks are made; only their counts meet in one task.
-RANK_BUCKETS = 1024
+#: Offsets of a tracefile's block that one task reads in order.
+PIECE = 1 << 24
 
 
 def in_order(events: DataFrame) -> DataFrame:
@@ -19,9 +20,7 @@ def in_order(events: DataFrame) -> DataFrame:
 
 def time_range(events: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
     """start <= time < end."""
-    if start is not None:
-        events = events.where(F.col("time_ns") >= start)
-    return events if end is None else events.where(F.col("time_ns") < end)
+    return in_time(events, start, end)
 
 
 def after_position(position: Sequence, inclusive: bool = False) -> Column:
@@ -36,44 +35,57 @@ def first_events(events: DataFrame, n: int) -> DataFrame:
 
 def seek_forward(events: DataFrame, position: Sequence, n: int) -> DataFrame:
     """The next n events after a position."""
-    return in_order(events.where(after_position(position))).limit(n)
+    return in_order(in_time(events, start=position[0]).where(after_position(position))).limit(n)
 
 
 def seek_backward(events: DataFrame, position: Sequence, n: int) -> DataFrame:
     """The last n events before a position."""
-    return events.where(~after_position(position, inclusive=True)).orderBy(*[F.col(c).desc() for c in ORDER]).limit(n)
+    found = in_time(events, end=position[0] + 1).where(~after_position(position, inclusive=True))
+    return found.orderBy(*[F.col(c).desc() for c in ORDER]).limit(n)
+
+
+def before_position(events: DataFrame, end: Sequence) -> DataFrame:
+    """Events up to a position, itself excluded: where reading stops."""
+    return in_time(events, end=end[0] + 1).where(~after_position(end, inclusive=True))
 
 
 def at_or_after(events: DataFrame, time_ns: int) -> DataFrame:
-    return first_events(events.where(F.col("time_ns") >= time_ns), 1)
+    return first_events(in_time(events, start=time_ns), 1)
+
+
+def at_position(events: DataFrame, position: Sequence) -> DataFrame:
+    """The event of a position."""
+    same = F.lit(True)
+    for c, value in zip(ORDER, position, strict=True):
+        same = same & (F.col(c) == value)
+    return in_time(events, position[0], position[0] + 1).where(same)
 
 
 def position_of(events: DataFrame, time_ns: int) -> tuple | None:
+    """The bookmark of the first event at or after a time; None after the last."""
     found = at_or_after(events, time_ns).select(*ORDER).collect()
     return tuple(found[0]) if found else None
 
 
 def ranked(events: DataFrame, name: str = "rank") -> DataFrame:
-    """Each event's place in the global order, from 1. Events are numbered within buckets of time, and the counts of
-    earlier buckets, at most RANK_BUCKETS rows, are added."""
-    span = events.agg(F.min("time_ns").alias("lo"), F.max("time_ns").alias("hi"))
-    low, high = span.first()
-    width = max(1, ((high or 0) - (low or 0)) // RANK_BUCKETS + 1)
-    slot = F.expr(f"(time_ns - {low or 0}L) div {width}L")
-    counts = events.groupBy(slot.alias("_slot2")).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_slot2").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    numbered = events.withColumn("_slot", slot).withColumn("_k", F.row_number().over(Window.partitionBy("_slot").orderBy(*ORDER)))
-    return numbered.join(F.broadcast(offsets), F.col("_slot") == F.col("_slot2")).withColumn(name, F.col("_before") + F.col("_k")).drop("_slot", "_slot2", "_k", "_before")
+    """Each event's place in the global order, from 1, numbered within slots of time (see ``blocks``)."""
+    return blocks.plain(blocks.numbered(events, name))
 
 
 def out_of_order(events: DataFrame) -> DataFrame:
-    """Per tracefile: events whose time is less than, or the same as, that of the one before in the file."""
-    w = Window.partitionBy("trace_id", "tracefile_id").orderBy("block", "offset")
-    last = F.lag("time_ns").over(w)
-    return (
-        events.withColumn("_last", last).groupBy("trace_id", "tracefile_id")
-        .agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("time_ns") < F.col("_last")).alias("backward"), F.count_if(F.col("time_ns") == F.col("_last")).alias("equal"))
+    """Per tracefile: events whose time is less than, or the same as, that of the one before in the file. A file is read
+    in pieces of PIECE offsets of a block, and each piece's first event meets the last of the piece before."""
+    keys, piece = ("trace_id", "tracefile_id"), ("block", "_piece")
+    own = events.select(*keys, "block", "offset", "time_ns", F.expr(f"offset div {PIECE}L").alias("_piece"))
+    own = own.withColumn("_last", F.lag("time_ns").over(Window.partitionBy(*keys, *piece).orderBy("offset")))
+    ends = own.groupBy(*keys, *piece).agg(
+        F.count(F.lit(1)).alias("events"), F.count_if(F.col("time_ns") < F.col("_last")).alias("backward"), F.count_if(F.col("time_ns") == F.col("_last")).alias("equal"),
+        F.min_by("time_ns", "offset").alias("_from"), F.max_by("time_ns", "offset").alias("_to"),
     )
+    ends = ends.withColumn("_over", F.lag("_to").over(Window.partitionBy(*keys).orderBy(*piece)))
+    return ends.groupBy(*keys).agg(
+        F.sum("events").alias("events"), (F.sum("backward") + F.count_if(F.col("_from") < F.col("_over"))).alias("backward"), (F.sum("equal") + F.count_if(F.col("_from") == F.col("_over"))).alias("equal")
+    )
 
 
 def time_span(events: DataFrame, *by: str) -> DataFrame:

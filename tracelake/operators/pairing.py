@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.functions.adapter import ORDER, before, over, upto
+from tracelake.functions.adapter import of_types
+from tracelake.functions.tables import settled
+from tracelake.operators import blocks
 
 
 def running_process(events: DataFrame, name: str = "running_pid", after: bool = False) -> DataFrame:
     """The pid that runs on an event's CPU: next_pid of the latest switch there, the event itself included with after;
     0 until the first one."""
-    switched = F.when(F.col("event_name") == "sched_schedule", F.col("next_pid"))
-    w = (upto if after else before)("trace_id", "cpu")
-    return events.withColumn(name, F.coalesce(F.last(switched, ignorenulls=True).over(w), F.lit(0).cast("bigint")))
+    switched = {name: F.when(F.col("event_name") == "sched_schedule", F.col("next_pid"))}
+    found = blocks.last_values(events, ("trace_id", "cpu"), **{"upto" if after else "before": switched})
+    return blocks.plain(found.withColumn(name, F.coalesce(name, F.lit(0).cast("bigint"))))
 
 
 def as_of(events: DataFrame, value: Column, name: str, *keys: str, after: bool = True) -> DataFrame:
     """The latest non-null value among events of the same keys."""
-    return events.withColumn(name, F.last(value, ignorenulls=True).over((upto if after else before)(*keys)))
+    return blocks.plain(blocks.last_values(events, keys, **{"upto" if after else "before": {name: value}}))
 
 
 def with_names(events: DataFrame, names: DataFrame, id_col: str, kind: str, name: str) -> DataFrame:
@@ -36,23 +38,18 @@ def brackets(events: DataFrame, entry: str, exit: str, *keys: str) -> DataFrame:
     The depth after an event is the running sum of +1 and -1 less its running minimum, which is what ignoring exits on
     an empty stack comes to; an entry and the next event that returns below its depth are a pair."""
     step = F.when(F.col("event_name") == entry, 1).when(F.col("event_name") == exit, -1)
-    own = events.where(F.col("event_name").isin(entry, exit)).withColumn("_step", step)
-    own = own.withColumn("_sum", F.sum("_step").over(upto(*keys)))
-    own = own.withColumn("_low", F.least(F.min("_sum").over(upto(*keys)), F.lit(0)))
-    last = F.lag("_low", 1, 0).over(over(*keys))
-    own = own.withColumn("_ignored", (F.col("_step") == -1) & (F.col("_low") < last)).where(~F.col("_ignored"))
+    own = settled(blocks.depths(of_types(events, entry, exit), step, keys), "depths")
+    own = own.where((F.col("_step") == 1) | (F.col("_low") >= F.col("_was")))
     own = own.withColumn("depth", (F.col("_sum") - F.col("_low") + F.when(F.col("_step") == -1, 1).otherwise(0)).cast("bigint"))
-    w = Window.partitionBy(*keys, "depth").orderBy(*ORDER)
-    paired = own.withColumn("end_ns", F.lead("time_ns").over(w)).withColumn("exit_id", F.lead("id").over(w))
-    return paired.where(F.col("_step") == 1).drop("_step", "_sum", "_low", "_ignored")
+    paired = blocks.last_values(own, (*keys, "depth"), following={"end_ns": "time_ns", "exit_id": "id"})
+    return blocks.plain(paired.where(F.col("_step") == 1))
 
 
 def pairs_fifo(events: DataFrame, entry: str, exit: str, *keys: str) -> DataFrame:
     """The k-th entry with the k-th exit of the same key."""
-    w = over(*keys)
-    entries = events.where(F.col("event_name") == entry).withColumn("_k", F.row_number().over(w))
-    exits = events.where(F.col("event_name") == exit).withColumn("_k", F.row_number().over(w)).select(*keys, "_k", F.col("time_ns").alias("end_ns"), F.col("id").alias("exit_id"))
-    return entries.join(exits, [*keys, "_k"]).drop("_k")
+    entries = blocks.plain(blocks.numbered(of_types(events, entry), "nth", keys))
+    exits = blocks.plain(blocks.numbered(of_types(events, exit), "nth", keys)).select(*keys, "nth", F.col("time_ns").alias("end_ns"), F.col("id").alias("exit_id"))
+    return entries.join(exits, [*keys, "nth"]).drop("nth")
 
 
 def interval_lookup(events: DataFrame, intervals: DataFrame, keys: list[str], start: str, end: str, values: list[str], bucket_ns: int) -> DataFrame:

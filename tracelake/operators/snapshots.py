@@ -1,14 +1,24 @@
-"""Snapshots of state along a trace, and seeking to the closest one."""
+"""Snapshots of the state along a trace: saving, restoring, replaying, and seeking to the closest one.
+
+A snapshot of an event is the state of every process and CPU once that event was applied. Snapshots are taken at once
+for a whole trace: each process's rows (see ``fold``) are joined with the next snapshots after them, so a process has a
+row in a snapshot if it has changed since the one before; a process's state in a snapshot is its latest row at or before
+it. Restoring takes those rows, and replaying puts them back before the events that follow.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.operators.ordering import ranked
+from tracelake.functions.adapter import ORDER
+from tracelake.operators import fold
+from tracelake.operators.ordering import after_position, in_time, ranked
 from tracelake.operators.pairing import running_process
 
 INTERVAL = 50_000
+#: What a snapshot holds of a process.
+STATE = ("home", "pid", "birth_ns", "inserted_ns", "ppid", "tgid", "name", "brand", "kind", "function", "stack", "mode", "submode", "status", "depth", "cpu", "role", "known")
 
 
 def state_snapshots(events: DataFrame, every: int = INTERVAL) -> DataFrame:
@@ -20,3 +30,85 @@ def state_snapshots(events: DataFrame, every: int = INTERVAL) -> DataFrame:
 def closest_snapshot(snapshots: DataFrame, time_ns: int) -> DataFrame:
     """The last snapshot at or before a time; none means to start from the beginning."""
     return snapshots.where(F.col("time_ns") <= time_ns).orderBy(F.desc("time_ns"), F.desc("rank")).limit(1)
+
+
+def save_states(events: DataFrame, path: str, every: int = INTERVAL, listed: bool = True) -> None:
+    """Writes two tables: ``states``, a folder for each snapshot's number with the processes that changed since the one
+    before, and ``positions``, the place of each snapshot. Snapshot k is taken after event k * (every + 1)."""
+    states = fold.with_names(fold.process_states(events, listed, stacks=True)).where("event_name is not null")
+    ranks = ranked(events.select(*ORDER))
+    numbers = ranks.select(*[F.col(c).alias(f"_{c}") for c in ORDER], ((F.col("rank") + every) / (every + 1)).cast("long").alias("number"))
+    same = F.lit(True)
+    for c in ORDER:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    found = states.join(numbers, same).withColumn("_rank", _role_rank())
+    latest = F.max_by(F.struct(*STATE, "time_ns"), F.struct(*ORDER, "_rank")).alias("s")
+    kept = found.groupBy("number", F.col("trace_id").alias("t"), F.col("pid").alias("p"), F.col("home").alias("h")).agg(latest)
+    kept.select("number", F.col("t").alias("trace_id"), "s.*").write.partitionBy("number").mode("overwrite").parquet(f"{path}/states")
+    ranks.where(F.col("rank") % (every + 1) == 0).select((F.col("rank") / (every + 1)).cast("long").alias("number"), *ORDER).write.mode("overwrite").parquet(f"{path}/positions")
+
+
+def _role_rank():
+    return F.create_map(*[F.lit(x) for pair in fold.ROLES.items() for x in pair])[F.col("role")]
+
+
+def restore_states(spark, path: str, number: int) -> DataFrame:
+    """Every process as it was once snapshot ``number`` was taken: its latest row up to there; those that had gone are
+    left out."""
+    rows = spark.read.parquet(f"{path}/states").where(F.col("number") <= number)
+    keys = ("trace_id", "pid", "home")
+    rest = [c for c in rows.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "number").alias("s"))
+    return last.select(*keys, "s.*").where("known >= 0")
+
+
+def state_at(events: DataFrame, path: str, time_ns: int, listed: bool = True) -> DataFrame:
+    """The state of every process just before a time: the closest snapshot's, and over it what the events between the
+    snapshot and the time change, which alone are read. Without a snapshot before the time, all events up to it are."""
+    spark = events.sparkSession
+    found = spark.read.parquet(f"{path}/positions").where(F.col("time_ns") < time_ns).orderBy(F.desc("number")).limit(1).collect()
+    if not found:
+        return _latest(fold.with_names(fold.process_states(in_time(events, end=time_ns), listed, stacks=True)))
+    (snapshot,) = found
+    before = restore_states(spark, path, snapshot.number)
+    rest = in_time(events, snapshot.time_ns, time_ns).where(after_position([snapshot[c] for c in ORDER]))
+    return _latest(replayed(before, rest, listed), before)
+
+
+def replayed(before: DataFrame, rest: DataFrame, listed: bool = True) -> DataFrame:
+    """fold.process_states of the events that follow a snapshot, begun from its processes."""
+    return fold.with_names(fold.process_states(rest, listed, start=before, stacks=True))
+
+
+SHOWN = tuple(c for c in STATE if c not in ("pid", "home", "role", "known"))
+
+
+def _latest(states: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """The last row of each process that is still known; of those that nothing touched, the one before."""
+    keys = ("trace_id", "pid", "home")
+    last = states.where("event_name is not null").groupBy(*keys).agg(F.max_by(F.struct(*SHOWN, "known"), F.struct(*ORDER, _role_rank())).alias("s"))
+    if before is not None:
+        old = before.select(*keys, F.struct(*SHOWN, "known").alias("old"))
+        last = last.join(old, list(keys), "full").select(*keys, F.coalesce("s", "old").alias("s"))
+    return last.where("s.known >= 0").select(*keys, *[F.col(f"s.{c}").alias(c) for c in SHOWN])
+
+
+def write_xml(states: DataFrame, path: str) -> None:
+    """Processes with their stacks as XML, an element for each."""
+    level = "array<struct<mode:string,submode:string,entry:bigint,change:bigint,status:string,spent:bigint>>"
+    stack = F.transform(F.from_json(F.get_json_object("stack", "$[0]"), "array<array<string>>"), lambda x: F.struct(x[0].alias("mode"), x[1].alias("submode"), x[2].cast("long").alias("entry"), x[3].cast("long").alias("change"), x[4].alias("status"), x[5].cast("long").alias("spent")))
+    shown = states.withColumn("execution", F.struct(stack.cast(level).alias("level"))).withColumn("frees", F.get_json_object("stack", "$[2]").cast("long")).withColumn("functions", F.struct(F.from_json(F.get_json_object("stack", "$[1]"), "array<bigint>").alias("address"))).drop("stack")
+    shown.write.format("xml").option("rootTag", "PROCESS_STATE").option("rowTag", "PROCESS").mode("overwrite").save(path)
+
+
+XML = """trace_id bigint, pid bigint, home bigint, birth_ns bigint, inserted_ns bigint, ppid bigint, tgid bigint, name string, brand string, kind string, function bigint, mode string, submode string, status string, depth int, cpu bigint, known int, time_ns bigint, frees bigint,
+  functions struct<address:array<bigint>>, execution struct<level:array<struct<mode:string,submode:string,entry:bigint,change:bigint,status:string,spent:bigint>>>"""
+
+
+def read_xml(spark, path: str) -> DataFrame:
+    """What write_xml wrote, as a state to begin from."""
+    rows = spark.read.format("xml").option("rowTag", "PROCESS").schema(XML).load(path)
+    x = F.col("execution.level")
+    parts = F.transform(x, lambda v: F.concat(F.lit("["), F.concat_ws(", ", F.to_json(F.array(v["mode"], v["submode"])).substr(F.lit(2), F.length(F.to_json(F.array(v["mode"], v["submode"]))) - 2), v["entry"].cast("string"), v["change"].cast("string"), F.concat(F.lit('"'), v["status"], F.lit('"')), v["spent"].cast("string")), F.lit("]")))
+    stack = F.concat(F.lit("[["), F.concat_ws(", ", parts), F.lit("], ["), F.concat_ws(", ", F.transform(F.coalesce("functions.address", F.array().cast("array<bigint>")), lambda a: a.cast("string"))), F.lit("], "), F.coalesce("frees", F.lit(0)).cast("string"), F.lit("]"))
+    return rows.withColumn("stack", stack).withColumns({c: F.coalesce(c, F.lit("")) for c in ("name", "brand")}).drop("execution", "functions", "frees")

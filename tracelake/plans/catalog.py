@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions import scalars
-from tracelake.functions.adapter import EVENTS_SQL, ORDER_SQL, trace_events
+from tracelake.functions.adapter import EVENTS_SQL, ORDER_SQL, of_types, trace_events
+from tracelake.functions.tables import settled
 from tracelake.operators import checks, dependencies, fold, ordering, pairing, printing, snapshots, statistics, timelines
 from tracelake.plans.filterlang import compile_filter
 
@@ -63,10 +64,16 @@ def event_listing_filter_xor_not(e):
     return e.where(compile_filter("[event.subname=irq_entry ^ state.cpu=1] & !{state.pid>=20 | channel.name!=kernel}")).select(*LISTED)
 
 
-@on_events(f" SELECT {LISTED_SQL} FROM ev WHERE cpu = 0 AND (pid < 8 OR k = 3)")
+@on_events(f" SELECT {LISTED_SQL} FROM ev WHERE cpu = 0 AND (event_name = 'irq_entry' OR pid < 8)")
 def event_listing_filter_compat(e):
-    """No precedence: a & b | c is a & (b | c)."""
-    return e.where(compile_filter("state.cpu = 0 & state.pid < 8 | state.pid = 99999", compat=True) | (compile_filter("state.cpu=0 & event.field.k=3"))).select(*LISTED)
+    """No precedence: a & b | c is a & (b | c), where the other reading gives every event of a pid below 8."""
+    return e.where(compile_filter("state.cpu = 0 & event.subname = irq_entry | state.pid < 8", compat=True)).select(*LISTED)
+
+
+@on_events(f" SELECT {LISTED_SQL} FROM ev WHERE (time_ns, tracefile_id, trace_id, block, \"offset\") < ({T2}, 2, 0, 0, 0) AND time_ns >= {T1}")
+def events_up_to_position(e):
+    """From a time to a position, where reading stops."""
+    return ordering.before_position(ordering.time_range(e, start=T1), (T2, 2, 0, 0, 0)).select(*LISTED)
 
 
 @on_events(f" SELECT {LISTED_SQL} FROM ev WHERE k > 90")
@@ -167,7 +174,7 @@ def process_name_asof(e):
 @query(", n AS (SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_nationkey < 12) SELECT ev.id, coalesce(name, 'syscall ' || syscall_id) AS syscall FROM ev LEFT JOIN n ON n.id = syscall_id WHERE event_name = 'syscall_entry'")
 def syscall_name_lookup(spark, sf_dir):
     names = spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_nationkey < 12").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
-    return pairing.with_names(trace_events(spark, sf_dir).where("event_name = 'syscall_entry'"), names, "syscall_id", "syscall", "syscall").select("id", "syscall")
+    return pairing.with_names(of_types(trace_events(spark, sf_dir), "syscall_entry"), names, "syscall_id", "syscall", "syscall").select("id", "syscall")
 
 
 @on_events(
@@ -254,12 +261,59 @@ def _islands_sql(source: str, state: str, keys: str, where: str = "TRUE") -> str
     SELECT {keys}, state, start_ns, events, lead(start_ns) OVER (PARTITION BY {keys} ORDER BY run) AS end_ns FROM i5"""
 
 
-@on_events(_islands_sql("ev", "CASE WHEN event_name = 'irq_entry' THEN 'irq' WHEN event_name = 'syscall_entry' THEN 'syscall' WHEN event_name = 'sched_schedule' AND next_pid = 0 THEN 'idle' ELSE 'busy' END", "trace_id, cpu"))
+#: The rules of state, step by step: each event meets the process that runs before it, and a switch the one that comes.
+#: A stack is a list of levels (m mode, s submode, e entry, c change, t status, x time collected), its top the last.
+FOLD_SQL = f""", f0 AS (SELECT *, CASE event_name WHEN 'syscall_entry' THEN 'syscall ' || syscall_id WHEN 'irq_entry' THEN 'irq ' || irq_id END AS submode, {BEFORE_SQL} AS ran FROM ev),
+  f1 AS (SELECT *, 2 AS rank, 'run' AS role, ran AS who FROM f0 WHERE event_name <> 'sched_schedule' UNION ALL SELECT *, 0, 'out', ran FROM f0 WHERE event_name = 'sched_schedule' UNION ALL SELECT *, 3, 'in', next_pid FROM f0 WHERE event_name = 'sched_schedule'),
+  f2 AS MATERIALIZED (SELECT *, CASE WHEN who = 0 THEN cpu ELSE -1 END AS home, row_number() OVER (PARTITION BY trace_id, who, CASE WHEN who = 0 THEN cpu ELSE -1 END ORDER BY {ORDER_SQL}, rank) AS rn FROM f1),
+  st AS MATERIALIZED (SELECT f2.*, fo.stack[-1].m AS mode, fo.stack[-1].s AS sub, fo.stack[-1].t AS status, fo.stack[-1].e AS entry_ns, fo.stack[-1].c AS change_ns, len(fo.stack) AS depth, fo.d, fo.el, fo.cum, fo.leaf.m AS lm, fo.leaf.s AS ls FROM f2 JOIN (
+    WITH RECURSIVE fo(trace_id, who, home, rn, stack, d, el, cum, leaf) AS (
+      SELECT trace_id, who, home, 0::BIGINT, [{{'m': 'MODE_UNKNOWN', 's': 'NONE', 'e': time_ns, 'c': time_ns, 't': 'UNNAMED', 'x': 0::BIGINT}}], NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, {{'m': '', 's': ''}} FROM f2 WHERE rn = 1
+      UNION ALL
+      SELECT trace_id, who, home, rn,
+        CASE WHEN role = 'in' THEN rest || [{{'m': t.m, 's': t.s, 'e': t.e, 'c': time_ns, 't': 'RUN', 'x': x}}]
+          WHEN role = 'out' AND who = 0 AND t.m = 'MODE_UNKNOWN' THEN rest || [CASE WHEN pid = 0 THEN {{'m': 'SYSCALL', 's': t.s, 'e': time_ns, 'c': time_ns, 't': 'WAIT', 'x': x}} ELSE {{'m': t.m, 's': t.s, 'e': t.e, 'c': t.c, 't': t.t, 'x': x}} END]
+          WHEN role = 'out' THEN rest || [{{'m': t.m, 's': t.s, 'e': t.e, 'c': time_ns, 't': CASE WHEN prev_state = 0 THEN 'WAIT_CPU' ELSE 'WAIT' END, 'x': x}}]
+          WHEN event_name = 'irq_entry' OR event_name = 'syscall_entry' AND who <> 0 THEN rest || [{{'m': t.m, 's': t.s, 'e': t.e, 'c': t.c, 't': t.t, 'x': x}}, {{'m': CASE event_name WHEN 'irq_entry' THEN 'IRQ' ELSE 'SYSCALL' END, 's': submode, 'e': time_ns, 'c': time_ns, 't': t.t, 'x': 0::BIGINT}}]
+          WHEN len(stack) > 1 AND (event_name = 'irq_exit' AND t.m = 'IRQ' OR event_name = 'syscall_exit' AND who <> 0 AND t.m = 'SYSCALL') THEN stack[1:len(stack) - 2] || [{{'m': u.m, 's': u.s, 'e': u.e, 'c': time_ns, 't': u.t, 'x': u.x}}]
+          ELSE rest || [{{'m': t.m, 's': t.s, 'e': t.e, 'c': t.c, 't': t.t, 'x': x}}] END,
+        d, CASE WHEN event_name IN ('irq_exit', 'syscall_exit') THEN CASE WHEN t.m <> 'MODE_UNKNOWN' THEN time_ns - t.e ELSE 0 END END, CASE WHEN event_name IN ('irq_exit', 'syscall_exit') THEN x END, {{'m': t.m, 's': t.s}}
+      FROM (SELECT *, t.x + coalesce(d, 0) AS x FROM (SELECT n.*, fo.stack, fo.stack[-1] AS t, fo.stack[-2] AS u, fo.stack[1:len(fo.stack) - 1] AS rest,
+          CASE WHEN n.role = 'in' THEN NULL WHEN fo.stack[-1].m <> 'MODE_UNKNOWN' AND fo.stack[-1].t = 'RUN' THEN n.time_ns - fo.stack[-1].c ELSE 0 END AS d
+        FROM fo JOIN f2 n ON n.trace_id = fo.trace_id AND n.who = fo.who AND n.home = fo.home AND n.rn = fo.rn + 1))
+    ) SELECT * FROM fo WHERE rn > 0) fo USING (trace_id, who, home, rn))"""
+#: The same for the CPUs' own stacks.
+CPU_SQL = f""", c2 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY trace_id, cpu ORDER BY {ORDER_SQL}) AS rn FROM ev),
+  cm AS (SELECT c2.*, co.stack[-1] AS cpu_mode FROM c2 JOIN (WITH RECURSIVE co(trace_id, cpu, rn, stack) AS (
+      SELECT DISTINCT trace_id, cpu, 0::BIGINT, ['UNKNOWN'] FROM c2
+      UNION ALL
+      SELECT n.trace_id, n.cpu, n.rn, CASE n.event_name WHEN 'sched_schedule' THEN [CASE WHEN n.next_pid = 0 THEN 'IDLE' ELSE 'BUSY' END] WHEN 'irq_entry' THEN co.stack || ['IRQ']
+        WHEN 'irq_exit' THEN CASE WHEN len(co.stack) <= 1 THEN ['UNKNOWN'] ELSE co.stack[1:len(co.stack) - 1] END ELSE co.stack END
+      FROM co JOIN c2 n ON n.trace_id = co.trace_id AND n.cpu = co.cpu AND n.rn = co.rn + 1) SELECT * FROM co) co USING (trace_id, cpu, rn))"""
+
+
+def _stated(e: DataFrame) -> DataFrame:
+    """Events with what the state needs of them."""
+    submode = F.when(F.col("event_name") == "syscall_entry", F.concat(F.lit("syscall "), F.col("syscall_id"))).when(F.col("event_name") == "irq_entry", F.concat(F.lit("irq "), F.col("irq_id")))
+    return e.withColumn("submode", submode).withColumn("prev_pid", F.col("pid"))
+
+
+@on_events(CPU_SQL + _islands_sql("cm", "lower(cpu_mode)", "trace_id, cpu"))
 def cpu_timeline(e):
-    return timelines.cpu_timeline(e)
+    return timelines.cpu_timeline(_stated(e), listed=False)
+
 
+@on_events(CPU_SQL + ", tl AS (" + _islands_sql("cm", "lower(cpu_mode)", "trace_id, cpu").replace(", i1 AS", "WITH i1 AS", 1) + f""")
+    SELECT trace_id, cpu, bin, CAST(sum(least(coalesce(end_ns, {EPOCH + 30 * DAY}), {EPOCH} + (bin + 1) * {DAY}) - greatest(start_ns, {EPOCH} + bin * {DAY})) AS BIGINT) AS busy_ns
+    FROM tl JOIN range(30) r(bin) ON coalesce(end_ns, {EPOCH + 30 * DAY}) > {EPOCH} + bin * {DAY} AND start_ns < {EPOCH} + (bin + 1) * {DAY} WHERE state <> 'idle' GROUP BY ALL""")
+def cpu_usage(e):
+    """Busy time of each CPU on each day."""
+    return statistics.cpu_usage(timelines.cpu_timeline(_stated(e), listed=False), EPOCH, EPOCH + 30 * DAY, 30)
 
-@on_events(_islands_sql("ev", "CASE WHEN event_name = 'irq_entry' THEN 'busy' ELSE 'idle' END", "trace_id, irq_id", "event_name IN ('irq_entry', 'irq_exit')"))
+
+@on_events(f""", q0 AS (SELECT *, CASE event_name WHEN 'irq_entry' THEN 1 ELSE -1 END AS step FROM ev WHERE event_name IN ('irq_entry', 'irq_exit')),
+    q1 AS (SELECT *, sum(step) OVER (PARTITION BY trace_id, irq_id ORDER BY {ORDER_SQL} ROWS UNBOUNDED PRECEDING) AS s FROM q0),
+    q2 AS (SELECT *, s - least(min(s) OVER (PARTITION BY trace_id, irq_id ORDER BY {ORDER_SQL} ROWS UNBOUNDED PRECEDING), 0) AS open FROM q1)""" + _islands_sql("q2", "CASE WHEN open > 0 THEN 'busy' ELSE 'unknown' END", "trace_id, irq_id"))
 def irq_timeline(e):
     return timelines.irq_timeline(e)
 
@@ -267,7 +321,7 @@ def irq_timeline(e):
 def _renamed(e, names: dict[str, str]) -> DataFrame:
     """Events of some types read as others, for the operators whose events the driver's table has no type of."""
     kind = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("event_name")]
-    return e.withColumn("event_name", kind).where("event_name is not null")
+    return of_types(e, *names).withColumn("event_name", kind).drop("event_type")
 
 
 SOFT = {"sched_schedule": "softirq_raise", "irq_entry": "softirq_entry", "irq_exit": "softirq_exit"}
@@ -291,9 +345,16 @@ def trap_timeline(e):
     return timelines.trap_timeline(_renamed(e, {"syscall_entry": "trap_entry", "syscall_exit": "trap_exit"}).withColumn("trap_id", F.col("k") % 6))
 
 
-@on_events(
-    ", q AS (SELECT *, k // 25 AS major, k % 4 AS minor, pid % 2 AS direction FROM ev)" + _islands_sql("q", "CASE WHEN event_name = 'irq_entry' AND direction = 0 THEN 'reading' WHEN event_name = 'irq_entry' THEN 'writing' ELSE 'idle' END", "trace_id, major, minor", "event_name IN ('irq_entry', 'irq_exit')")
-)
+BDEV_SQL = f""", q AS MATERIALIZED (SELECT *, k // 25 AS major, k % 4 AS minor, pid % 2 AS direction, row_number() OVER (PARTITION BY trace_id, k // 25, k % 4 ORDER BY {ORDER_SQL}) AS rn FROM ev WHERE event_name IN ('irq_entry', 'irq_exit')),
+  bd AS (SELECT q.*, bo.stack[-1] AS now FROM q JOIN (WITH RECURSIVE bo(trace_id, major, minor, rn, stack) AS (
+      SELECT DISTINCT trace_id, major, minor, 0::BIGINT, []::VARCHAR[] FROM q
+      UNION ALL
+      SELECT n.trace_id, n.major, n.minor, n.rn, CASE WHEN n.event_name = 'irq_entry' THEN (CASE WHEN bo.stack = ['unknown'] THEN []::VARCHAR[] ELSE bo.stack END) || [CASE n.direction WHEN 0 THEN 'reading' ELSE 'writing' END]
+        WHEN len(bo.stack) <= 1 THEN ['unknown'] ELSE bo.stack[1:len(bo.stack) - 1] END
+      FROM bo JOIN q n ON n.trace_id = bo.trace_id AND n.major = bo.major AND n.minor = bo.minor AND n.rn = bo.rn + 1) SELECT * FROM bo) bo USING (trace_id, major, minor, rn))"""
+
+
+@on_events(BDEV_SQL + _islands_sql("bd", "now", "trace_id, major, minor"))
 def bdev_timeline(e):
     own = _renamed(e, {"irq_entry": "_blk_request_issue", "irq_exit": "_blk_request_complete"})
     return timelines.bdev_timeline(own.withColumn("major", F.expr("k div 25")).withColumn("minor", F.col("k") % 4).withColumn("direction", F.col("pid") % 2))
@@ -305,40 +366,67 @@ SWITCH_SQL = f""", sw AS (SELECT trace_id, cpu, time_ns, tracefile_id, block, "o
 
 
 @on_events(SWITCH_SQL + " SELECT * FROM pt")
+def run_timeline(e):
+    """Statuses from switches alone."""
+    return timelines.run_timeline(e)
+
+
+@on_events(FOLD_SQL + """, ps AS (SELECT trace_id, who AS pid, home, time_ns, tracefile_id, block, "offset" * 8 + rank AS "offset", CASE WHEN status = 'RUN' THEN 'RUN ' || mode ELSE status END AS label FROM st)""" + _islands_sql("ps", "label", "trace_id, pid, home"))
 def process_timeline(e):
-    return timelines.process_timeline(e)
+    return timelines.process_timeline(_stated(e), listed=False)
+
 
+LEAVES_SQL = FOLD_SQL + """, lv AS (SELECT trace_id, who AS pid, cpu, mode, sub AS submode, event_name, 1 AS n, NULL AS d, NULL AS el, NULL AS cum FROM st WHERE role <> 'out'
+    UNION ALL SELECT trace_id, who, cpu, lm, ls, NULL, 0, d, el, cum FROM st WHERE d IS NOT NULL),
+  le AS (SELECT trace_id, pid, 0::BIGINT AS birth_ns, cpu, 0::BIGINT AS function, mode, submode, CAST(coalesce(sum(d), 0) AS BIGINT) AS cpu_time_ns, CAST(coalesce(sum(el), 0) AS BIGINT) AS elapsed_ns, CAST(coalesce(sum(cum), 0) AS BIGINT) AS cumulative_ns, CAST(sum(n) AS BIGINT) AS events FROM lv GROUP BY ALL)"""
 
-SLICES_SQL = f""", sl AS (SELECT trace_id, cpu, {AFTER_SQL} AS running_pid, CASE event_name WHEN 'syscall_entry' THEN 'SYSCALL' WHEN 'irq_entry' THEN 'IRQ' ELSE 'USER_MODE' END AS mode,
-    CASE event_name WHEN 'syscall_entry' THEN 'syscall ' || syscall_id WHEN 'irq_entry' THEN 'irq ' || irq_id ELSE 'NONE' END AS submode, lead(time_ns) OVER (PARTITION BY trace_id, cpu ORDER BY {ORDER_SQL}) - time_ns AS d FROM ev),
-    st AS (SELECT trace_id, running_pid, cpu, mode, submode, CAST(coalesce(sum(d), 0) AS BIGINT) AS cpu_time_ns, count(*) AS events, coalesce(max(d), 0) AS longest_ns FROM sl GROUP BY ALL)"""
 
+def _stats(e):
+    return statistics.mode_stats(_stated(e), listed=False)
 
-@on_events(SLICES_SQL + " SELECT * FROM st")
+
+@on_events(LEAVES_SQL + " SELECT * FROM le")
 def process_mode_stats(e):
-    return statistics.mode_stats(e)
+    """CPU, elapsed and cumulative time and events of each process, CPU, function, mode and submode."""
+    return _stats(e)
+
 
+@on_events(LEAVES_SQL + " SELECT trace_id, pid, birth_ns, cpu, function, mode, submode, event_name, sum(n)::BIGINT AS events FROM (SELECT *, 0::BIGINT AS birth_ns, 0::BIGINT AS function FROM lv WHERE n > 0) GROUP BY ALL")
+def event_type_stats(e):
+    return statistics.event_type_stats(_stated(e), listed=False)
 
-@on_events(SLICES_SQL + " SELECT trace_id, running_pid, cpu, CAST(sum(cpu_time_ns) AS BIGINT) AS cpu_time_ns, CAST(sum(events) AS BIGINT) AS events FROM st GROUP BY GROUPING SETS ((trace_id, running_pid, cpu), (trace_id, running_pid), (trace_id, cpu), (trace_id), ())")
+
+@on_events(LEAVES_SQL + """, ro AS (SELECT trace_id, pid, birth_ns, cpu, function, mode, submode, CAST(sum(cpu_time_ns) AS BIGINT) AS cpu_time_ns, CAST(sum(elapsed_ns) AS BIGINT) AS elapsed_ns, CAST(sum(cumulative_ns) AS BIGINT) AS cumulative_ns, CAST(sum(events) AS BIGINT) AS events,
+      grouping(pid)::INT AS g1, grouping(cpu)::INT AS g2, grouping(function)::INT AS g3, grouping(mode)::INT AS g4, grouping(submode)::INT AS g5, grouping(trace_id)::INT AS g0
+    FROM le GROUP BY GROUPING SETS ((trace_id, pid, birth_ns, cpu, function, mode, submode), (trace_id, pid, birth_ns, cpu, function, mode), (trace_id, pid, birth_ns, cpu, function), (trace_id, pid, birth_ns, cpu), (trace_id, pid, birth_ns), (trace_id, cpu), (trace_id), ()))
+    SELECT trace_id, pid, birth_ns, cpu, function, mode, submode, cpu_time_ns, elapsed_ns, cumulative_ns, events,
+      CASE WHEN g5 = 0 THEN 'submode' WHEN g4 = 0 THEN 'mode' WHEN g3 = 0 THEN 'function' WHEN g1 = 0 AND g2 = 0 THEN 'process_cpu' WHEN g1 = 0 THEN 'process' WHEN g2 = 0 THEN 'trace_cpu' WHEN g0 = 0 THEN 'trace' ELSE 'traceset' END AS level FROM ro""")
 def stats_rollup(e):
-    return statistics.stats_rollup(statistics.mode_stats(e))
+    return statistics.stats_rollup(_stats(e))
 
 
-@on_events(
-    SLICES_SQL + """ SELECT '/trace' || trace_id || '/' || running_pid || '/' || cpu || '/' || mode || '/' || submode || '/cpu_time: ' || cpu_time_ns AS line FROM st
-    UNION ALL SELECT '/trace' || trace_id || '/' || running_pid || '/' || cpu || '/' || mode || '/' || submode || '/events_count: ' || events FROM st"""
-)
+@on_events(LEAVES_SQL + """ SELECT '/trace' || trace_id || '/' || pid || '-0.0/' || cpu || '/0x0/' || mode || '/' || submode || '/' || x.m || ': ' || x.v AS line
+    FROM (SELECT *, unnest([{'m': 'cpu_time', 'v': cpu_time_ns}, {'m': 'elapsed_time', 'v': elapsed_ns}, {'m': 'cumulative_cpu_time', 'v': cumulative_ns}, {'m': 'events_count', 'v': events}]) AS x FROM le)""")
 def stats_path_output(e):
-    return statistics.stats_paths(statistics.mode_stats(e))
+    return statistics.stats_paths(_stats(e))
 
 
 @on_events(
-    f""", r AS (SELECT *, {AFTER_SQL} AS running_pid FROM ev) SELECT id, channel || '.' || event_name || ': ' || (time_ns // 1000000000) || '.' || lpad(CAST(time_ns % 1000000000 AS VARCHAR), 9, '0') || ' (trace' || trace_id || '/kernel_' || cpu || '), ' || running_pid || ', ' ||
-    CASE event_name WHEN 'syscall_entry' THEN 'SYSCALL' WHEN 'irq_entry' THEN 'IRQ' ELSE 'USER_MODE' END || ', ' ||
-    CASE event_name WHEN 'syscall_entry' THEN '{{ syscall_id = ' || syscall_id || ' }}' WHEN 'irq_entry' THEN '{{ irq_id = ' || irq_id || ' }}' WHEN 'sched_schedule' THEN '{{ pid = ' || pid || ', next_pid = ' || next_pid || ', prev_state = ' || prev_state || ' }}' ELSE '{{ }}' END AS line FROM r"""
+    FOLD_SQL + """ SELECT id, channel || '.' || event_name || ': ' || (time_ns // 1000000000) || '.' || lpad(CAST(time_ns % 1000000000 AS VARCHAR), 9, '0') || ' (trace' || trace_id || '/kernel_' || cpu || '), ' || who || ', 0, UNNAMED, , 0, 0x0, ' || mode ||
+    CASE event_name WHEN 'syscall_entry' THEN ' { syscall_id = ' || syscall_id || ' }' WHEN 'irq_entry' THEN ' { irq_id = ' || irq_id || ' }' WHEN 'sched_schedule' THEN ' { pid = ' || pid || ', next_pid = ' || next_pid || ', prev_state = ' || prev_state || ' }' ELSE '' END || ' ' || status || ' ' AS line FROM st WHERE role <> 'out'"""
 )
 def text_dump(e):
-    return printing.event_lines(statistics.slices(e)).select("id", "line")
+    """The dump's lines, with the process's status after each."""
+    own = _stated(e)
+    return printing.event_lines(printing.with_state(own, fold.state_after(own, listed=False)), process_state=True).select("id", "line")
+
+
+@on_events(f""" SELECT 'trace' || trace_id AS trace, channel AS tracefile, cpu, event_name AS event, time_ns // 1000000000 AS sec, time_ns % 1000000000 AS nsec, pid,
+    CASE event_name WHEN 'syscall_entry' THEN '{{{{ syscall_id = ' || syscall_id || ' }}}}' WHEN 'irq_entry' THEN '{{{{ irq_id = ' || irq_id || ' }}}}' WHEN 'sched_schedule' THEN '{{{{ pid = ' || pid || ', next_pid = ' || next_pid || ', prev_state = ' || prev_state || ' }}}}' ELSE '' END AS description,
+    time_ns AS position_time_ns, tracefile_id AS position_tracefile_id, trace_id AS position_trace_id, block AS position_block, "offset" AS position_offset FROM ev""".replace("{{", "{").replace("}}", "}"))
+def event_rows(e):
+    """The event list of the detailed view."""
+    return printing.detailed_rows(e)
 
 
 @on_events(f", r AS (SELECT *, {AFTER_SQL} AS running_pid, row_number() OVER (ORDER BY {ORDER_SQL}) AS rank FROM ev) SELECT rank, time_ns, trace_id, cpu, running_pid, id AS event_id FROM r WHERE rank % 501 = 0")
@@ -352,7 +440,7 @@ def seek_closest_state(e):
 
 
 def _waits(e):
-    return timelines.process_timeline(e).withColumn("duration_ns", F.col("end_ns") - F.col("start_ns"))
+    return timelines.run_timeline(e).withColumn("duration_ns", F.col("end_ns") - F.col("start_ns"))
 
 
 @on_events(SWITCH_SQL + """, d AS (SELECT *, end_ns - start_ns AS d, 'Total/' || status || '/' || cpu AS path FROM pt), n AS (SELECT trace_id, pid, d, unnest([struct_pack(node := 'Total', depth := 1), struct_pack(node := 'Total/' || status, depth := 2), struct_pack(node := path, depth := 3)]) AS x FROM d)
@@ -408,11 +496,24 @@ def rt_late_schedule(e):
     return checks.late_schedules(timelines.switches(e), RT, 1_000_000_000_000).select(F.col("offset").alias("event_id"), "trace_id", "pid", "gap_ns", "warning")
 
 
-@on_events()
+LOCK_SQL = f""", o AS (SELECT *, CASE WHEN event_name IN ('syscall_entry', 'irq_entry') THEN 'acquire' WHEN event_name IN ('syscall_exit', 'irq_exit') THEN 'release' WHEN k % 4 = 0 THEN 'init' ELSE 'sched' END AS op, k % 12 AS lock, k % 7 = 0 AS read, k % 3 = 0 AS off, event_name = 'irq_entry' AS hard FROM ev),
+    a AS (SELECT *, op = 'acquire' AND NOT read AS taken FROM o WHERE op IN ('release', 'init') OR (op = 'acquire' AND NOT read)),
+    w AS (SELECT *, max(CASE WHEN taken AND hard THEN 1 END) OVER v AS irq, max(CASE WHEN taken AND NOT hard AND NOT off THEN 1 END) OVER v AS on_ FROM a WINDOW v AS (PARTITION BY trace_id, lock ORDER BY {ORDER_SQL} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    h0 AS (SELECT *, CASE WHEN taken THEN 1 ELSE -1 END AS step FROM a WHERE op <> 'init'), h1 AS (SELECT *, sum(step) OVER v AS s FROM h0 WINDOW v AS (PARTITION BY trace_id, cpu, lock ORDER BY {ORDER_SQL} ROWS UNBOUNDED PRECEDING)),
+    h2 AS (SELECT *, least(min(s) OVER v, 0) AS low FROM h1 WINDOW v AS (PARTITION BY trace_id, cpu, lock ORDER BY {ORDER_SQL} ROWS UNBOUNDED PRECEDING)), h3 AS (SELECT *, coalesce(lag(low) OVER v, 0) AS was FROM h2 WINDOW v AS (PARTITION BY trace_id, cpu, lock ORDER BY {ORDER_SQL})),
+    h4 AS (SELECT * FROM h3 WHERE taken OR low >= was),
+    held AS (SELECT trace_id, cpu, lock, time_ns, "offset", step, s - low AS depth FROM h4)"""
+
+
+@on_events(LOCK_SQL + f""" SELECT trace_id, cpu, time_ns, "offset", lock, CASE WHEN hard THEN 'taken in an interrupt, and before with interrupts on' ELSE 'taken with interrupts on, and before in an interrupt' END AS warning FROM w WHERE taken AND (hard AND on_ = 1 OR NOT hard AND NOT off AND irq = 1)
+    UNION ALL SELECT i.trace_id, i.cpu, i.time_ns, i."offset", i.lock, 'set up again while it is held' FROM o i WHERE op = 'init' AND (SELECT sum(step) FROM held h WHERE h.trace_id = i.trace_id AND h.lock = i.lock AND (h.time_ns, h.cpu, h.trace_id, h."offset") < (i.time_ns, i.cpu, i.trace_id, i."offset")) > 0
+    UNION ALL SELECT s.trace_id, s.cpu, s.time_ns, s."offset", l.lock, 'held over a switch' FROM o s JOIN range(12) l(lock) ON TRUE WHERE s.op = 'sched' AND (SELECT sum(step) FROM held h WHERE h.trace_id = s.trace_id AND h.cpu = s.cpu AND h.lock = l.lock AND (h.time_ns, h."offset") < (s.time_ns, s."offset")) > 0""")
 def lock_irq_inversion(e):
-    """One pass in order per trace; no SQL."""
-    ops = _ops(e, {"syscall_entry": "acquire", "syscall_exit": "release", "irq_entry": "acquire", "irq_exit": "release", "sched_schedule": "sched"})
-    return checks.lock_warnings(ops.withColumn("lock", F.col("k") % 12).withColumn("read", F.col("k") % 7 == 0).withColumn("hardirqs_off", F.col("k") % 3 == 0).withColumn("hardirq_context", F.col("event_name") == "irq_entry"))
+    """Switches of every fourth key stand for a lock that is set up."""
+    kind = F.col("event_name")
+    op = F.when(kind.isin("syscall_entry", "irq_entry"), "acquire").when(kind.isin("syscall_exit", "irq_exit"), "release").when(F.col("k") % 4 == 0, "init").otherwise("sched")
+    ops = e.withColumn("op", op).withColumn("lock", F.col("k") % 12).withColumn("read", F.col("k") % 7 == 0).withColumn("hardirqs_off", F.col("k") % 3 == 0)
+    return checks.lock_warnings(ops.withColumn("hardirq_context", kind == "irq_entry"), switches=True, bucket_ns=DAY)
 
 
 @on_events(f" SELECT id, pid || '-' || (time_ns // 1000000000) || '.' || (time_ns % 1000000000) AS pid_time, (pid * 1048576 + k) >> 20 AS major, k AS minor, (id >> 24 & 255) || '.' || (id >> 16 & 255) || '.' || (id >> 8 & 255) || '.' || (id & 255) AS address, CAST(time_ns::DOUBLE * 1.5 AS BIGINT) AS stretched FROM ev")
@@ -421,11 +522,66 @@ def scalar_functions(e):
     return e.select("id", scalars.process_key(F.col("pid"), F.col("time_ns")).alias("pid_time"), scalars.major(device).alias("major"), scalars.minor(device).alias("minor"), scalars.dotted(F.col("id")).alias("address"), scalars.time_multiplied(F.col("time_ns"), 1.5).alias("stretched"))
 
 
-@on_events()
+@on_events(FOLD_SQL + CPU_SQL + " SELECT st.id, st.trace_id, st.cpu, st.time_ns, st.who AS pid, st.mode, st.sub AS submode, st.status, CAST(st.depth AS INT) AS depth, st.entry_ns, st.change_ns, cm.cpu_mode FROM st JOIN cm USING (id) WHERE role <> 'out'")
 def state_after_event(e):
-    """Nested modes, statuses and CPU modes after each event: one pass in order per trace; no SQL."""
-    submode = F.when(F.col("event_name") == "syscall_entry", F.concat(F.lit("syscall "), F.col("syscall_id"))).when(F.col("event_name") == "irq_entry", F.concat(F.lit("irq "), F.col("irq_id")))
-    return fold.state_after(e.withColumn("submode", submode).withColumn("prev_pid", F.col("pid")))
+    """Nested modes, statuses and CPU modes after each event."""
+    return fold.state_after(_stated(e), listed=False).select("id", "trace_id", "cpu", "time_ns", "pid", "mode", "submode", "status", "depth", "entry_ns", "change_ns", "cpu_mode")
+
+
+@on_events(FOLD_SQL + f" SELECT id, trace_id, cpu, event_name, time_ns, who AS pid, mode, status FROM st WHERE role <> 'out' AND who < 8 AND mode = 'SYSCALL' AND status = 'RUN'")
+def event_state_filter(e):
+    """A filter on the state that each event is in: the running process, its mode and its status."""
+    states = fold.state_after(_stated(e), listed=False)
+    found = e.drop("pid").join(states.select("id", "pid", "mode", "submode", "status", F.col("name").alias("process_name"), "brand", "ppid"), "id")
+    return found.where(compile_filter("state.pid < 8 & state.execution_mode = SYSCALL & state.process_status = RUN")).select("id", "trace_id", "cpu", "event_name", "time_ns", "pid", "mode", "status")
+
+
+HIGH_SQL = FOLD_SQL + """, ps AS (SELECT trace_id, who AS pid, home, time_ns, tracefile_id, block, "offset" * 8 + rank AS "offset", CASE WHEN status = 'WAIT_CPU' THEN 'INTERRUPTED_CPU' WHEN status = 'WAIT' THEN 'BLOCKED' WHEN mode = 'IRQ' THEN 'INTERRUPTED_IRQ' WHEN mode = 'SYSCALL' THEN 'RUNNING' ELSE 'UNKNOWN' END AS label FROM st)"""
+
+
+@on_events(HIGH_SQL + ", hl AS (" + _islands_sql("ps", "label", "trace_id, pid, home").replace(", i1 AS", "WITH i1 AS", 1) + ") SELECT trace_id, pid, home, state, start_ns, end_ns FROM hl WHERE end_ns IS NULL OR end_ns > start_ns")
+def dep_high_level_states(e):
+    return dependencies.high_level_states(fold.process_states(_stated(e), listed=False))
+
+
+@on_events(FOLD_SQL + f""", tr AS (SELECT *, lag(depth) OVER (PARTITION BY trace_id, who, home ORDER BY {ORDER_SQL}, rank) AS was FROM st WHERE role = 'run')
+    SELECT id, trace_id, CASE WHEN who = 0 THEN home + 2000000 ELSE who END AS pid, cpu, time_ns, CASE WHEN depth > coalesce(was, 1) THEN 'push' WHEN depth < coalesce(was, 1) THEN 'pop' ELSE 'ignored' END AS change,
+      CASE WHEN event_name LIKE 'irq%' THEN 'IRQ' ELSE 'SYSCALL' END AS level, sub AS submode, CAST(depth AS INT) AS depth FROM tr""")
+def dep_low_level_transitions(e):
+    return dependencies.low_level_transitions(fold.process_states(_stated(e), listed=False))
+
+
+CRITICAL_SQL = SWITCH_SQL + f""", bl AS (SELECT p.trace_id, p.pid, p.start_ns, p.end_ns, (SELECT min_by(e.pid, (e.time_ns, e.id)) FROM ev e WHERE e.trace_id = p.trace_id AND e.event_name = 'sched_schedule' AND e.next_pid = p.pid AND e.time_ns = p.end_ns) AS waker FROM pt p WHERE p.status = 'WAIT' AND p.end_ns IS NOT NULL)"""
+
+
+@on_events(CRITICAL_SQL + f""" SELECT trace_id, pid, start_ns, end_ns, waker, min(depth)::INT AS depth FROM (WITH RECURSIVE path AS (
+      SELECT *, 0 AS depth FROM bl WHERE pid = 3 AND end_ns > {T1} AND end_ns <= {T2} AND start_ns >= {T1}
+      UNION
+      SELECT b.*, p.depth + 1 FROM path p JOIN bl b ON b.trace_id = p.trace_id AND b.pid = p.waker AND b.end_ns > p.start_ns AND b.end_ns <= p.end_ns AND b.start_ns >= p.start_ns AND b.end_ns - b.start_ns < p.end_ns - p.start_ns) SELECT * FROM path) GROUP BY ALL""")
+def dep_critical_path(e):
+    """Whom process 3 waited for between two times, and whom those waited for; who gives way to a process wakes it."""
+    blocked = timelines.run_timeline(e).where("status = 'WAIT' and end_ns is not null").select("trace_id", "pid", "start_ns", "end_ns")
+    gave = of_types(e, "sched_schedule").groupBy(F.col("trace_id").alias("t"), F.col("next_pid").alias("p"), F.col("time_ns").alias("at")).agg(F.min_by("pid", "id").alias("waker"))
+    links = settled(blocked.join(gave, (F.col("trace_id") == F.col("t")) & (F.col("pid") == F.col("p")) & (F.col("end_ns") == F.col("at")), "left").drop("t", "p", "at"), "blocked")
+    start = links.select("trace_id").distinct().select("trace_id", F.lit(3).cast("long").alias("pid"), F.lit(T1).alias("t1"), F.lit(T2).alias("t2"))
+    return dependencies.critical_path(links, start)
+
+
+@on_events(SWITCH_SQL + """, d AS (SELECT *, end_ns - start_ns AS d, 'Total/' || status || '/' || cpu AS path FROM pt), n AS (SELECT trace_id, pid, d, unnest([struct_pack(node := 'Total', parent := '', depth := 1), struct_pack(node := 'Total/' || status, parent := 'Total', depth := 2), struct_pack(node := path, parent := 'Total/' || status, depth := 3)]) AS x FROM d),
+    g AS (SELECT trace_id, pid, x.node AS node, x.parent AS parent, x.depth AS depth, CAST(coalesce(sum(d), 0) AS BIGINT) AS total_ns, count(*) AS n FROM n GROUP BY ALL)
+    SELECT *, row_number() OVER (PARTITION BY trace_id, pid, parent ORDER BY total_ns DESC, node)::INT AS place FROM g""")
+def dep_summary_sorted(e):
+    return dependencies.sorted_summary(dependencies.summary_tree(_waits(e), ["trace_id", "pid"], ["status", "cpu"]), ["trace_id", "pid"])
+
+
+@on_events(FOLD_SQL + " SELECT DISTINCT trace_id, who AS pid, home, 0::BIGINT AS birth_ns FROM st")
+def process_list(e):
+    return dependencies.process_list(fold.process_states(_stated(e), listed=False)).select("trace_id", "pid", "home", "birth_ns")
+
+
+@on_events(" SELECT id, trace_id, cpu, row_number() OVER (PARTITION BY trace_id, cpu ORDER BY " + ORDER_SQL + ") AS nth FROM ev WHERE event_name = 'irq_entry'")
+def interrupts_seen(e):
+    return statistics.interrupts_seen(e).select("id", "trace_id", "cpu", "nth")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

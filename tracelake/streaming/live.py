@@ -6,7 +6,6 @@ watermark has passed their window are left out, as Spark does.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,17 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracelake.functions.adapter import ORDER
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir; one of our own only in local mode."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='tracelake-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+from tracelake.functions.tables import shared_dir
 
 
 def arriving(spark: SparkSession, path: str, schema, files: str = "*.parquet", per_batch: int = 100) -> DataFrame:
