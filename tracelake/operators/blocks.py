@@ -115,6 +115,15 @@ def running_sum(events: DataFrame, value: Column, name: str, keys: tuple[str, ..
     return out.withColumn(name, F.col("_t0") + F.coalesce("_l", F.lit(0))).drop("_x", "_l", "_t0")
 
 
+def running_max(events: DataFrame, value: str, name: str, keys: tuple[str, ...]) -> DataFrame:
+    """The greatest value up to and with each event."""
+    own = _in_slots(events)
+    ends = own.groupBy(*keys, "_slot").agg(F.max(value).alias("_t"))
+    ends = ends.withColumn("_t0", F.max("_t").over(_earlier(keys))).drop("_t")
+    out = _joined(own.withColumn("_l", F.max(value).over(_local(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow))), ends, keys)
+    return out.withColumn(name, F.greatest("_t0", "_l")).drop("_l", "_t0")
+
+
 def plain(df: DataFrame) -> DataFrame:
     """Without the scans' own columns."""
     return df.drop(*[c for c in df.columns if c.startswith("_")])

@@ -41,7 +41,7 @@ STRINGS = ("event_name", "submode", "name", "kind")
 NUMBERS = ("id", "prev_pid", "next_pid", "prev_state", "target_pid", "parent_pid", "tgid", "address")
 #: The roles in which a process meets an event, in the order in which they apply.
 START, OUT, TARGET, RUN, IN, END = "start", "out", "target", "run", "in", "end"
-ROLES = {START: -1, OUT: 0, TARGET: 1, RUN: 2, IN: 3, END: 4}
+ROLES = {START: -1, OUT: 0, TARGET: 1, END: 2, RUN: 3, IN: 4}
 
 SCHEMA = (
     "id long, role string, event_name string, trace_id long, cpu long, time_ns long, tracefile_id long, block long, offset long, pid long, home long, birth_ns long, inserted_ns long, ppid long, tgid long, name string, brand string, origin long, kind string, "
@@ -232,9 +232,10 @@ class Follow:
     def listed(self, e: dict, t: int) -> None:
         """A line of the kernel's list of processes, written while it runs."""
         p = self.known
-        if p is None:
-            if self.pid == 0:
-                return
+        if self.pid == 0:
+            p = self.found(t)
+            p.ppid = e["parent_pid"] or 0
+        elif p is None:
             p = self.known = Process(self.pid, [Level(UNKNOWN, "UNKNOWN", t, t, UNNAMED)], t if e["parent_known"] else 0, t)
             p.ppid = e["parent_pid"] if e["parent_known"] else 0
             self.changed += 1
@@ -268,16 +269,16 @@ class Follow:
         return out
 
 
-def touched(events: DataFrame, start: DataFrame | None = None) -> DataFrame:
+def touched(events: DataFrame, running: DataFrame | None = None) -> DataFrame:
     """Rows of (event, process that it touches): role, pid, home (the CPU if the pid is 0, else -1), and ran, the pid
-    that ran on the event's CPU before it. What ran at the start are the processes that start has running."""
+    that ran on the event's CPU before it. running says what ran on each CPU at the start: (trace_id, cpu, pid)."""
     numbers = [(F.col(c) if c in events.columns else F.lit(None)).cast("long").alias(c) for c in NUMBERS]
     strings = [(F.col(c) if c in events.columns else F.lit(None)).cast("string").alias(c) for c in STRINGS]
     own = events.select(*numbers, *strings, "cpu", *ORDER)
     switch = F.col("event_name") == "sched_schedule"
     own = blocks.last_values(own, ("trace_id", "cpu"), before={"ran": F.when(switch, F.coalesce("next_pid", F.lit(0).cast("long")))}).drop("_slot")
-    if start is not None:
-        first = start.where("status = 'RUN'").groupBy(F.col("trace_id").alias("_t"), F.col("cpu").alias("_c")).agg(F.max_by("pid", F.struct("time_ns", "pid")).alias("_first"))
+    if running is not None:
+        first = running.select(F.col("trace_id").alias("_t"), F.col("cpu").alias("_c"), F.col("pid").alias("_first"))
         own = own.join(F.broadcast(first), (F.col("trace_id") == F.col("_t")) & (F.col("cpu") == F.col("_c")), "left").withColumn("ran", F.coalesce("ran", "_first")).drop("_t", "_c", "_first")
     own = own.withColumn("ran", F.coalesce("ran", F.lit(0).cast("long")))
 
@@ -318,13 +319,13 @@ def _saved(start: DataFrame, rows: DataFrame) -> DataFrame:
     return own.select("*", *missing)
 
 
-def process_states(events: DataFrame, listed: bool = True, end_ns: int | None = None, start: DataFrame | None = None, stacks: bool = False) -> DataFrame:
+def process_states(events: DataFrame, listed: bool = True, end_ns: int | None = None, start: DataFrame | None = None, running: DataFrame | None = None, stacks: bool = False) -> DataFrame:
     """SCHEMA: each process after each event that touches it, and the leaf and times that the event added to before it
     was applied. known is by how much the event changed the number of known processes. listed says whether the trace may
     hold the kernel's list of processes. At the end of each process come rows of role ``stalled``, without an event, for
-    modes that never ended, if end_ns is given. start holds processes that are known before the first event, as
-    ``snapshots`` saves them; stacks adds what a snapshot needs."""
-    rows = settled(touched(events, start), "touched")
+    modes that never ended, if end_ns is given. start holds processes that are known before the first event, and
+    running what runs on each CPU then, as ``snapshots`` saves them; stacks adds what a snapshot needs."""
+    rows = settled(touched(events, running), "touched")
     rows = _parents_known(rows.unionByName(_to_all(rows))) if listed else rows.withColumn("parent_known", F.lit(False))
     if start is not None:
         rows = rows.withColumn("saved", F.lit(None).cast("string")).unionByName(_saved(start, rows))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.adapter import ORDER
+from tracelake.functions.tables import settled
 from tracelake.operators import fold
 from tracelake.operators.ordering import after_position, in_time, ranked
 from tracelake.operators.pairing import running_process
@@ -33,18 +34,21 @@ def closest_snapshot(snapshots: DataFrame, time_ns: int) -> DataFrame:
 
 
 def save_states(events: DataFrame, path: str, every: int = INTERVAL, listed: bool = True) -> None:
-    """Writes two tables: ``states``, a folder for each snapshot's number with the processes that changed since the one
-    before, and ``positions``, the place of each snapshot. Snapshot k is taken after event k * (every + 1)."""
+    """Writes three tables: ``states``, a folder for each snapshot's number with the processes that changed since the one
+    before, ``running``, the CPUs that switched, and ``positions``, the place of each snapshot. Snapshot k is taken after
+    event k * (every + 1)."""
     states = fold.with_names(fold.process_states(events, listed, stacks=True)).where("event_name is not null")
     ranks = ranked(events.select(*ORDER))
     numbers = ranks.select(*[F.col(c).alias(f"_{c}") for c in ORDER], ((F.col("rank") + every) / (every + 1)).cast("long").alias("number"))
     same = F.lit(True)
     for c in ORDER:
         same = same & (F.col(c) == F.col(f"_{c}"))
-    found = states.join(numbers, same).withColumn("_rank", _role_rank())
+    found = settled(states.join(numbers, same).drop(*[f"_{c}" for c in ORDER]), "numbered-states").withColumn("_rank", _role_rank())
     latest = F.max_by(F.struct(*STATE, "time_ns"), F.struct(*ORDER, "_rank")).alias("s")
     kept = found.groupBy("number", F.col("trace_id").alias("t"), F.col("pid").alias("p"), F.col("home").alias("h")).agg(latest)
     kept.select("number", F.col("t").alias("trace_id"), "s.*").write.partitionBy("number").mode("overwrite").parquet(f"{path}/states")
+    switched = found.where(F.col("role") == fold.IN).groupBy("number", F.col("trace_id").alias("t"), F.col("cpu").alias("c")).agg(F.max_by("pid", F.struct(*ORDER)).alias("pid"))
+    switched.select("number", F.col("t").alias("trace_id"), F.col("c").alias("cpu"), "pid").write.partitionBy("number").mode("overwrite").parquet(f"{path}/running")
     ranks.where(F.col("rank") % (every + 1) == 0).select((F.col("rank") / (every + 1)).cast("long").alias("number"), *ORDER).write.mode("overwrite").parquet(f"{path}/positions")
 
 
@@ -62,6 +66,12 @@ def restore_states(spark, path: str, number: int) -> DataFrame:
     return last.select(*keys, "s.*").where("known >= 0")
 
 
+def restore_running(spark, path: str, number: int) -> DataFrame:
+    """What ran on each CPU once snapshot ``number`` was taken."""
+    rows = spark.read.schema("trace_id bigint, cpu bigint, pid bigint, number bigint").parquet(f"{path}/running").where(F.col("number") <= number)
+    return rows.groupBy("trace_id", "cpu").agg(F.max_by("pid", "number").alias("pid"))
+
+
 def state_at(events: DataFrame, path: str, time_ns: int, listed: bool = True) -> DataFrame:
     """The state of every process just before a time: the closest snapshot's, and over it what the events between the
     snapshot and the time change, which alone are read. Without a snapshot before the time, all events up to it are."""
@@ -72,12 +82,12 @@ def state_at(events: DataFrame, path: str, time_ns: int, listed: bool = True) ->
     (snapshot,) = found
     before = restore_states(spark, path, snapshot.number)
     rest = in_time(events, snapshot.time_ns, time_ns).where(after_position([snapshot[c] for c in ORDER]))
-    return _latest(replayed(before, rest, listed), before)
+    return _latest(replayed(before, restore_running(spark, path, snapshot.number), rest, listed), before)
 
 
-def replayed(before: DataFrame, rest: DataFrame, listed: bool = True) -> DataFrame:
-    """fold.process_states of the events that follow a snapshot, begun from its processes."""
-    return fold.with_names(fold.process_states(rest, listed, start=before, stacks=True))
+def replayed(before: DataFrame, running: DataFrame, rest: DataFrame, listed: bool = True) -> DataFrame:
+    """fold.process_states of the events that follow a snapshot, begun from its processes and what ran."""
+    return fold.with_names(fold.process_states(rest, listed, start=before, running=running, stacks=True))
 
 
 SHOWN = tuple(c for c in STATE if c not in ("pid", "home", "role", "known"))

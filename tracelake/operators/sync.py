@@ -7,14 +7,18 @@ clocks are related by y = offset + drift * x. Sent points (a to b) lie above the
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from fractions import Fraction
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.operators import blocks
+
 #: The evaluation histogram's bins and their base.
 HISTOGRAM_BINS = 1001
 HISTOGRAM_BASE = 10 ** (6 / 998)
@@ -70,30 +74,61 @@ def match_exchanges(messages: DataFrame) -> DataFrame:
     return rows.withColumn("conn", F.col("conn").cast("string")).mapInPandas(_acknowledge, schema)
 
 
+class _Waiting:
+    """Messages one way of a flow that wait for an acknowledgement, in the order of their sequence numbers. Numbers wrap,
+    so they are held as distances from the first one, and what is acknowledged is always a beginning of the list."""
+
+    def __init__(self, seq: int) -> None:
+        self.base, self.high = seq, 0
+        self.held: list[tuple[int, int, tuple]] = []  # distance, arrival, message
+        self.arrivals = 0
+
+    def distance(self, seq: int) -> int:
+        """The distance whose number is seq, nearest to the greatest one so far."""
+        return self.high + ((seq - self.base - self.high + (1 << 31)) % (1 << 32)) - (1 << 31)
+
+    def add(self, seq: int, message: tuple) -> None:
+        at = self.distance(seq)
+        self.high = max(self.high, at)
+        self.arrivals += 1
+        insort(self.held, (at, self.arrivals, message))
+
+    def taken(self, ack: int) -> list[tuple[int, int, tuple]]:
+        """What an acknowledgement takes off: numbers less than it, but by less than half of all numbers."""
+        at = self.distance(ack)
+        end, start = bisect_left(self.held, (at,)), bisect_left(self.held, (at - (1 << 31) + 1,))
+        out = self.held[start:end]
+        del self.held[start:end]
+        return out
+
+
 def _acknowledge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     flow, waiting = None, {}
     columns = ["conn", "in_id", "out_trace", "in_trace", "out_ns", "in_ns", "acked_id", "acked_out_ns", "acked_in_ns", "acked"]
     for batch in batches:
         found = []
-        for m in batch.itertuples(index=False):
-            if m.conn != flow:
-                flow, waiting = m.conn, {}
-            back = waiting.get((m.in_trace, m.out_trace), [])
-            if m.is_ack and back:
-                acked = [u for u in back if 0 < (m.ack_seq - u.seq) % (1 << 32) < 1 << 31]
-                if acked:
-                    waiting[m.in_trace, m.out_trace] = [u for u in back if not 0 < (m.ack_seq - u.seq) % (1 << 32) < 1 << 31]
-                    last = acked[-1]
-                    found.append((m.conn, m.in_id, m.out_trace, m.in_trace, m.out_ns, m.in_ns, last.in_id, last.out_ns, last.in_ns, len(acked)))
-            if m.needs_ack:
-                waiting.setdefault((m.out_trace, m.in_trace), []).append(m)
+        for conn, out_trace, in_trace, out_ns, in_ns, in_id, seq, ack_seq, needs, acks in zip(*(batch[c].tolist() for c in batch.columns), strict=True):
+            if conn != flow:
+                flow, waiting = conn, {}
+            if acks and (back := waiting.get((in_trace, out_trace))) is not None and (taken := back.taken(ack_seq)):
+                last = max(taken, key=lambda t: t[1])[2]
+                found.append((conn, in_id, out_trace, in_trace, out_ns, in_ns, *last, len(taken)))
+            if needs:
+                if (out_trace, in_trace) not in waiting:
+                    waiting[out_trace, in_trace] = _Waiting(seq)
+                waiting[out_trace, in_trace].add(seq, (in_id, out_ns, in_ns))
         yield pd.DataFrame(found, columns=columns)
 
 
+def in_parts(receptions: DataFrame, traces: int, *key: str) -> DataFrame:
+    """Receptions of one datagram numbered in parts of as many as there are traces."""
+    w = Window.partitionBy(*key).orderBy(*ORDER)
+    return receptions.withColumn("part", F.floor((F.row_number().over(w) - 1) / F.lit(traces)).cast("bigint"))
+
+
 def broadcast_groups(receptions: DataFrame, traces: int, *key: str) -> DataFrame:
     """Receptions of one datagram, in groups as large as the number of traces; what is left over makes no group."""
-    w = Window.partitionBy(*key).orderBy(*ORDER)
-    numbered = receptions.withColumn("part", F.floor((F.row_number().over(w) - 1) / F.lit(traces)).cast("bigint"))
+    numbered = in_parts(receptions, traces, *key)
     seconds = F.col("time_ns") / F.lit(1e9)
     groups = numbered.groupBy(*key, "part").agg(F.count(F.lit(1)).alias("n"), F.min("time_ns").alias("first_ns"), F.max("time_ns").alias("last_ns"), F.stddev_pop(seconds).alias("stdev"))
     return groups.where(F.col("n") == traces).drop("n")
@@ -121,8 +156,10 @@ def message_points(messages: DataFrame) -> DataFrame:
         F.least("out_trace", "in_trace").alias("a"), F.greatest("out_trace", "in_trace").alias("b"), F.when(sent, "lower").otherwise("upper").alias("hull"),
         F.when(sent, F.col("out_ns")).otherwise(F.col("in_ns")).alias("x"), F.when(sent, F.col("in_ns")).otherwise(F.col("out_ns")).alias("y"), "in_ns", "in_id",
     )
-    w = Window.partitionBy("a", "b", "hull").orderBy("in_ns", "in_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return points.withColumn("_top", F.max("x").over(w)).where("x = _top").select("a", "b", "hull", "x", "y")
+    # The order of reception, as the scans in slots have it.
+    none = F.lit(0).cast("bigint")
+    points = points.select("a", "b", "hull", "x", "y", F.col("in_ns").alias("time_ns"), none.alias("tracefile_id"), none.alias("trace_id"), none.alias("block"), F.col("in_id").alias("offset"))
+    return blocks.running_max(points, "x", "top", ("a", "b", "hull")).where("x = top").select("a", "b", "hull", "x", "y")
 
 
 def half_hull(x: list[int], y: list[int], lower: bool) -> list[tuple[int, int]]:
@@ -192,35 +229,80 @@ def pair_line(lower, upper) -> dict:
     return shown | {"type": "INCOMPLETE" if low or high else "ABSENT"}
 
 
+class _Violations:
+    """How far a line lies over the points of a lower hull (or under those of an upper one), summed: the points that a
+    line cuts off a hull are neighbours, so they are found by halving, and their sum from sums of all beginnings."""
+
+    def __init__(self, hull, lower: bool) -> None:
+        self.sign = 1 if lower else -1
+        self.x = [p[0] for p in hull]
+        self.y = [self.sign * p[1] for p in hull]
+        self.slopes = [(self.y[k + 1] - self.y[k]) / (self.x[k + 1] - self.x[k]) for k in range(len(hull) - 1)]
+        self.sx, self.sy = [0, *accumulate(self.x)], [0, *accumulate(self.y)]
+
+    def total(self, drift: float, offset: float) -> float:
+        drift, offset = self.sign * drift, self.sign * offset
+        touch = bisect_left(self.slopes, drift)  # the point that the line is farthest over, if it is over any
+
+        def over(k: int) -> float:
+            return offset + drift * self.x[k] - self.y[k]
+
+        if over(touch) <= 0:
+            return 0.0
+        first = bisect_left(range(touch), True, key=lambda k: over(k) > 0)
+        last = bisect_left(range(touch + 1, len(self.x)), True, key=lambda k: over(k) <= 0) + touch + 1
+        n = last - first
+        return n * offset + drift * (self.sx[last] - self.sx[first]) - (self.sy[last] - self.sy[first])
+
+
 def _fallback(lower, upper) -> dict:
-    lo, up, best = np.array(lower, float), np.array(upper, float), None
+    over, under, best = _Violations(lower, True), _Violations(upper, False), None
     for p in lower:
         for q in upper:
             if p[0] != q[0]:
                 drift, offset = _line(*sorted((p, q)))
-                error = np.maximum(offset + drift * lo[:, 0] - lo[:, 1], 0).sum() + np.maximum(up[:, 1] - offset - drift * up[:, 0], 0).sum()
+                error = over.total(drift, offset) + under.total(drift, offset)
                 if best is None or error < best[0]:
                     best = (error, drift, offset)
     return {"type": "FAIL"} if best is None else {"type": "APPROXIMATE", "drift": best[1], "offset": best[2], "accuracy": float(best[0])}
 
 
+class _Reach:
+    """The value at x of the line of each slope that touches a hull from outside: f(m) = min (or max) of y - m (p - x)."""
+
+    def __init__(self, points, x: int, lower: bool) -> None:
+        self.points, self.x, self.sign = half_hull([p[0] for p in points], [p[1] for p in points], lower), x, 1 if lower else -1
+        h = self.points
+        self.slopes = [Fraction(h[k + 1][1] - h[k][1], h[k + 1][0] - h[k][0]) for k in range(len(h) - 1)]
+
+    def __call__(self, m: Fraction) -> Fraction:
+        k = bisect_left(self.slopes, m) if self.sign > 0 else bisect_left(self.slopes, -m, key=lambda s: -s)
+        return self.points[k][1] - m * (self.points[k][0] - self.x)
+
+
 def time_bounds(lower, upper, x: int) -> tuple[float, float] | None:
     """The least and the greatest value at x of a line that lies on or under all points of lower and on or over all of
-    upper, and doesn't fall; None if there is no such line. Exact: a bound is reached by a line through two hull points
-    or a level one through one, and all of those are tried in whole numbers."""
-    rows = [(p, 1) for p in lower] + [(p, -1) for p in upper]
-    lines = {(Fraction(0), Fraction(p[1])) for p, _ in rows}
-    for k, (p, _) in enumerate(rows):
-        for q, _ in rows[k + 1 :]:
-            if p[0] != q[0] and (slope := Fraction(q[1] - p[1], q[0] - p[0])) >= 0:
-                lines.add((slope, p[1] - slope * p[0]))
-    # Points of one x have no line through them; between them any slope may do, and other lines decide the bounds.
-    fits = [slope * x + base for slope, base in lines if all(sign * (base + slope * p[0] - p[1]) <= 0 for p, sign in rows)]
-    if rows and not fits:
-        return None
+    upper, and doesn't fall; None if there is no such line. Exact, in whole numbers: by slope, the greatest value is a
+    concave function made of lines, and the least a convex one, so what decides are the slopes of the hulls' edges, and
+    those at which the two functions cross."""
+    if not lower and not upper:
+        return -math.inf, math.inf
     last, first = max((p[0] for p in lower), default=-math.inf), min((p[0] for p in upper), default=math.inf)
-    high = math.inf if not lower or last < x and last <= first else float(max(fits))
-    low = -math.inf if not upper or first > x and last <= first else float(min(fits))
+    top, bottom = _Reach(lower, x, True) if lower else None, _Reach(upper, x, False) if upper else None
+    slopes = sorted({Fraction(0), *(s for reach in (top, bottom) if reach for s in reach.slopes if s >= 0)})
+    fits = [m for m in slopes if not (top and bottom) or top(m) >= bottom(m)]
+    if top and bottom:
+        # Between two neighbouring slopes both functions are lines; after the last one they go on as they are.
+        for a, b in zip(slopes, [*slopes[1:], slopes[-1] + 1], strict=True):
+            fa, fb = top(a) - bottom(a), top(b) - bottom(b)
+            if (fa < 0) != (fb < 0) or b > slopes[-1] and fa != fb:
+                m = a + (b - a) * fa / (fa - fb)
+                if m >= a and (m <= b or b > slopes[-1]):
+                    fits.append(m)
+    if not fits:
+        return None
+    high = math.inf if not lower or last < x and last <= first else float(max(map(top, fits)))
+    low = -math.inf if not upper or first > x and last <= first else float(min(map(bottom, fits)))
     return low, high
 
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.functions import scalars
+from tracelake.functions import names, scalars
 from tracelake.functions.adapter import EVENTS_SQL, ORDER_SQL, of_types, trace_events
-from tracelake.functions.tables import settled
+from tracelake.functions.tables import settled, shared_dir
 from tracelake.operators import checks, dependencies, fold, ordering, pairing, printing, snapshots, statistics, timelines
 from tracelake.plans.filterlang import compile_filter
 
@@ -173,8 +174,8 @@ def process_name_asof(e):
 
 @query(", n AS (SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_nationkey < 12) SELECT ev.id, coalesce(name, 'syscall ' || syscall_id) AS syscall FROM ev LEFT JOIN n ON n.id = syscall_id WHERE event_name = 'syscall_entry'")
 def syscall_name_lookup(spark, sf_dir):
-    names = spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_nationkey < 12").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
-    return pairing.with_names(of_types(trace_events(spark, sf_dir), "syscall_entry"), names, "syscall_id", "syscall", "syscall").select("id", "syscall")
+    table = spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_nationkey < 12").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    return pairing.with_names(of_types(trace_events(spark, sf_dir), "syscall_entry"), table, "syscall_id", "syscall", "syscall").select("id", "syscall")
 
 
 @on_events(
@@ -439,6 +440,10 @@ def seek_closest_state(e):
     return snapshots.closest_snapshot(snapshots.state_snapshots(e, 500), T2)
 
 
+#: Who gives way to a process ends its wait.
+CRITICAL_SQL = SWITCH_SQL + f""", bl AS (SELECT p.trace_id, p.pid, p.start_ns, p.end_ns, (SELECT min_by(e.pid, (e.time_ns, e.id)) FROM ev e WHERE e.trace_id = p.trace_id AND e.event_name = 'sched_schedule' AND e.next_pid = p.pid AND e.time_ns = p.end_ns) AS waker FROM pt p WHERE p.status = 'WAIT' AND p.end_ns IS NOT NULL)"""
+
+
 def _waits(e):
     return timelines.run_timeline(e).withColumn("duration_ns", F.col("end_ns") - F.col("start_ns"))
 
@@ -516,10 +521,72 @@ def lock_irq_inversion(e):
     return checks.lock_warnings(ops.withColumn("hardirq_context", kind == "irq_entry"), switches=True, bucket_ns=DAY)
 
 
-@on_events(f" SELECT id, pid || '-' || (time_ns // 1000000000) || '.' || (time_ns % 1000000000) AS pid_time, (pid * 1048576 + k) >> 20 AS major, k AS minor, (id >> 24 & 255) || '.' || (id >> 16 & 255) || '.' || (id >> 8 & 255) || '.' || (id & 255) AS address, CAST(time_ns::DOUBLE * 1.5 AS BIGINT) AS stretched FROM ev")
+@on_events(f""" SELECT id, pid || '-' || (time_ns // 1000000000) || '.' || (time_ns % 1000000000) AS pid_time, (pid * 1048576 + k) >> 20 AS major, k AS minor, (id >> 24 & 255) || '.' || (id >> 16 & 255) || '.' || (id >> 8 & 255) || '.' || (id & 255) AS address,
+    CAST(time_ns::DOUBLE * 1.5 AS BIGINT) AS stretched, CAST(trunc(time_ns::DOUBLE / 3) AS BIGINT) AS divided, (time_ns // 1000000000) * 1000000000 + k AS from_text, k > 0 AS after,
+    'a_' || k || '_b' AS safe, CAST(floor((time_ns - {EPOCH})::DOUBLE / {30 * DAY}::DOUBLE * 700) AS BIGINT) AS pixel, CAST(trunc(time_ns::DOUBLE * 1e9 * 2 / 3e9) AS BIGINT) AS from_tsc, CAST(trunc(CAST(trunc(1.25::DOUBLE * time_ns + 17) AS BIGINT)::DOUBLE * 1e9 * 2 / 3e9) AS BIGINT) AS corrected FROM ev""")
 def scalar_functions(e):
-    device = scalars.device(F.col("pid"), F.col("k"))
-    return e.select("id", scalars.process_key(F.col("pid"), F.col("time_ns")).alias("pid_time"), scalars.major(device).alias("major"), scalars.minor(device).alias("minor"), scalars.dotted(F.col("id")).alias("address"), scalars.time_multiplied(F.col("time_ns"), 1.5).alias("stretched"))
+    device, t, k = scalars.device(F.col("pid"), F.col("k")), F.col("time_ns"), F.col("k")
+    text = F.concat(F.expr("time_ns div 1000000000L").cast("string"), F.lit("."), k.cast("string"))
+    return e.select(
+        "id", scalars.process_key(F.col("pid"), t).alias("pid_time"), scalars.major(device).alias("major"), scalars.minor(device).alias("minor"), scalars.dotted(F.col("id")).alias("address"),
+        scalars.time_multiplied(t, 1.5).alias("stretched"), scalars.time_divided(t, 3).alias("divided"), scalars.time_from_text(text).alias("from_text"), scalars.sequence_after(F.pmod(k + 4294967290, F.lit(1 << 32)), F.lit(4294967290).cast("long")).alias("after"),
+        scalars.file_safe(F.concat(F.lit("a/"), k.cast("string"), F.lit("/b"))).alias("safe"), scalars.pixel(t, EPOCH, 30 * DAY, 700).alias("pixel"),
+        scalars.tsc_to_ns(t, F.lit(2), F.lit(3e9)).alias("from_tsc"), scalars.corrected_ns(t, F.lit(1.25), F.lit(17), F.lit(2), F.lit(3e9)).alias("corrected"),
+    )
+
+
+@on_events(f" SELECT {LISTED_SQL} FROM ev WHERE time_ns >= {T1} ORDER BY {ORDER_SQL} LIMIT 1")
+def event_at_position(e):
+    """The event of a bookmark, which was taken at a time."""
+    return ordering.at_position(e, ordering.position_of(e, T1)).select(*LISTED)
+
+
+@on_events(SWITCH_SQL + " SELECT ev.id, pt.status FROM ev LEFT JOIN pt ON pt.trace_id = ev.trace_id AND pt.pid = ev.pid AND ev.time_ns >= pt.start_ns AND ev.time_ns < coalesce(pt.end_ns, 9000000000000000000)")
+def process_status_asof(e):
+    """The status of an event's process in the interval that holds the event."""
+    spans = timelines.run_timeline(e).select("trace_id", "pid", "status", "start_ns", F.coalesce("end_ns", F.lit(EPOCH + 400 * DAY)).alias("end_ns")).where("end_ns > start_ns")
+    return pairing.interval_lookup(e, spans, ["trace_id", "pid"], "start_ns", "end_ns", ["status"], 5 * DAY).select("id", "status")
+
+
+@on_events(CRITICAL_SQL + """ SELECT b.trace_id, b.pid, b.start_ns, any_value(b.end_ns) AS end_ns, any_value(b.waker) AS waker, min_by(r.start_ns, (r.end_ns, r.start_ns)) AS waker_start_ns, min(r.end_ns) AS waker_end_ns, min_by(r.status, (r.end_ns, r.start_ns)) AS waker_status
+    FROM bl b LEFT JOIN (SELECT * FROM pt WHERE end_ns IS NOT NULL AND pid < 4) r ON r.trace_id = b.trace_id AND r.pid = b.waker AND r.end_ns > b.end_ns - 1 WHERE b.pid = 3 GROUP BY b.trace_id, b.pid, b.start_ns""")
+def dep_wakers(e):
+    """The interval of the process that woke another, the first to end after it did."""
+    spans = settled(timelines.run_timeline(e), "run-timeline")
+    blocked = spans.where("status = 'WAIT' and end_ns is not null and pid = 3").select("trace_id", "pid", "start_ns", "end_ns")
+    gave = of_types(e, "sched_schedule").groupBy(F.col("trace_id").alias("t"), F.col("next_pid").alias("p"), F.col("time_ns").alias("at")).agg(F.min_by("pid", "id").alias("waker"))
+    blocked = blocked.join(gave, (F.col("trace_id") == F.col("t")) & (F.col("pid") == F.col("p")) & (F.col("end_ns") == F.col("at")), "left").drop("t", "p", "at").withColumn("woken_ns", F.col("end_ns") - 1)
+    return dependencies.wakers(blocked, spans.where("end_ns is not null and pid < 4"))
+
+
+@on_events(" , pr AS (SELECT trace_id, pid, min(time_ns) AS inserted_ns FROM ev GROUP BY ALL), ut AS (SELECT id AS usertrace, pid, time_ns AS creation_ns FROM ev WHERE event_name = 'irq_entry') SELECT trace_id, pr.pid, inserted_ns, max_by(usertrace, creation_ns) AS usertrace FROM pr LEFT JOIN ut ON ut.pid = pr.pid AND creation_ns <= inserted_ns GROUP BY ALL")
+def user_trace_lookup(e):
+    """Interrupts stand for the traces that processes write of themselves."""
+    processes = e.groupBy("trace_id", "pid").agg(F.min("time_ns").alias("inserted_ns"))
+    return dependencies.user_traces(processes, of_types(e, "irq_entry").select(F.col("id").alias("usertrace"), "pid", F.col("time_ns").alias("creation_ns")))
+
+
+@on_events(", nt AS (SELECT trace_id, k % 5 AS irq, max_by('dev' || pid, time_ns) AS name FROM ev WHERE event_name = 'sched_schedule' AND k % 5 < 4 GROUP BY ALL) SELECT ev.id, coalesce(name, 'irq ' || irq_id) AS irq FROM ev LEFT JOIN nt ON nt.trace_id = ev.trace_id AND nt.irq = ev.irq_id WHERE event_name = 'irq_entry'")
+def irq_name_lookup(e):
+    """A trace's own table of interrupts, told by its switches."""
+    told = _renamed(e, {"sched_schedule": "interrupt"}).where("k % 5 < 4").withColumn("action", F.concat(F.lit("dev"), F.col("pid").cast("string")))
+    return names.with_trace_names(of_types(e, "irq_entry"), names.trace_names(told, "irq"), "irq", "irq_id", "irq").select("id", "irq")
+
+
+@on_events(""" , d AS (SELECT id, [8, 22, 9, 179, 5][1 + k % 5] AS major, id % 240 AS minor FROM ev) SELECT id, CASE major WHEN 8 THEN 'sd' || chr((97 + minor // 16)::INT) || CASE WHEN minor % 16 > 0 THEN (minor % 16)::VARCHAR ELSE '' END
+    WHEN 22 THEN 'hd' || chr((99 + minor // 64)::INT) || CASE WHEN minor % 64 > 0 THEN (minor % 64)::VARCHAR ELSE '' END WHEN 9 THEN 'md' || minor WHEN 179 THEN 'mmcblk' || (minor // 8) || CASE WHEN minor % 8 > 0 THEN 'p' || (minor % 8) ELSE '' END ELSE '(' || major || ',' || minor || ')' END AS disk FROM d""")
+def disk_names(e):
+    major = F.element_at(F.array(*[F.lit(m).cast("long") for m in (8, 22, 9, 179, 5)]), (F.col("k") % 5 + 1).cast("int"))
+    return e.select("id", names.disk_name(major, F.col("id") % 240).alias("disk"))
+
+
+@on_events(FOLD_SQL + f""" SELECT trace_id, who AS pid, home, max_by(mode, (time_ns, tracefile_id, trace_id, block, "offset", rank)) AS mode, max_by(status, (time_ns, tracefile_id, trace_id, block, "offset", rank)) AS status, CAST(max_by(depth, (time_ns, tracefile_id, trace_id, block, "offset", rank)) AS INT) AS depth FROM st WHERE time_ns < {T2} GROUP BY ALL""")
+def state_at_time(e):
+    """The state of every process at a time: from the closest snapshot, and the events since."""
+    own = _stated(e)
+    path = f"{shared_dir(e.sparkSession)}/states-{uuid.uuid4().hex}"
+    snapshots.save_states(own, path, every=300, listed=False)
+    return snapshots.state_at(own, path, T2, listed=False).select("trace_id", "pid", "home", "mode", "status", "depth")
 
 
 @on_events(FOLD_SQL + CPU_SQL + " SELECT st.id, st.trace_id, st.cpu, st.time_ns, st.who AS pid, st.mode, st.sub AS submode, st.status, CAST(st.depth AS INT) AS depth, st.entry_ns, st.change_ns, cm.cpu_mode FROM st JOIN cm USING (id) WHERE role <> 'out'")
@@ -551,7 +618,6 @@ def dep_low_level_transitions(e):
     return dependencies.low_level_transitions(fold.process_states(_stated(e), listed=False))
 
 
-CRITICAL_SQL = SWITCH_SQL + f""", bl AS (SELECT p.trace_id, p.pid, p.start_ns, p.end_ns, (SELECT min_by(e.pid, (e.time_ns, e.id)) FROM ev e WHERE e.trace_id = p.trace_id AND e.event_name = 'sched_schedule' AND e.next_pid = p.pid AND e.time_ns = p.end_ns) AS waker FROM pt p WHERE p.status = 'WAIT' AND p.end_ns IS NOT NULL)"""
 
 
 @on_events(CRITICAL_SQL + f""" SELECT trace_id, pid, start_ns, end_ns, waker, min(depth)::INT AS depth FROM (WITH RECURSIVE path AS (

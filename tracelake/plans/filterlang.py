@@ -12,6 +12,7 @@ structure pass the filter.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -208,6 +209,12 @@ def joined(expressions: list[str]) -> str:
     return "&".join(f"({e})" for e in expressions if e.strip())
 
 
+def gathered(spark, expressions: Sequence[str] = (), files: Sequence[str] = ()) -> str:
+    """Expressions and those in text files, a file being one expression over all its lines, as one."""
+    read = [" ".join(r.value for r in spark.read.option("wholetext", True).text(f).collect()) for f in files]
+    return joined([*expressions, *[" ".join(text.split()) for text in read]])
+
+
 def built(rows: list[tuple[str, str, str, str]]) -> str:
     """Rows of (field, comparison, value, operator to the next row) as one expression."""
     out = ""

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracelake.functions.adapter import EVENTS_SQL, trace_events
-from tracelake.operators import sync
+from tracelake.operators import network, sync
 
 TRACES = 4
 QUERIES: dict = {}
@@ -70,6 +70,44 @@ def tcp_message_match(e):
     return _messages(e)
 
 
+def _segments(e):
+    """Packets with headers that follow from k."""
+    k = F.col("k")
+    header = {"saddr": k % 3, "daddr": k % 5, "source": k % 7 + 1000, "dest": F.lit(80), "tot_len": k % 2 * 10 + 40, "ihl": F.lit(5), "seq": k, "ack_seq": k * 7 % 101, "doff": F.lit(5), "ack": (k % 3 == 0).cast("int"), "rst": F.lit(0), "syn": (k % 10 == 0).cast("int"), "fin": F.lit(0)}
+    return _packets(e).withColumns(header)
+
+
+FLAGS_SQL = "k % 10 = 0 OR k % 2 = 1 AS needs_ack, k % 3 = 0 AS is_ack"
+
+
+@query(MESSAGES_SQL + f" SELECT out_id, in_id, k AS seq, {FLAGS_SQL} FROM me")
+def tcp_segment_match(e):
+    """Segments by the thirteen fields of their key, and what their flags ask for."""
+    return network.tcp_messages(_segments(e)).select("out_id", "in_id", "seq", "needs_ack", "is_ack")
+
+
+@query(MESSAGES_SQL + f""", fl AS (SELECT *, {FLAGS_SQL} FROM me) SELECT * FROM (
+    SELECT unnest([{{'counter': 'packets', 'n': count(*)}}, {{'counter': 'received', 'n': count(*) FILTER (direction = 'IN')}}, {{'counter': 'sent', 'n': count(*) FILTER (direction = 'OUT')}}], recursive := true) FROM pk
+    UNION ALL SELECT unnest([{{'counter': 'messages', 'n': count(*)}}, {{'counter': 'needing_ack', 'n': count(*) FILTER (needs_ack)}}, {{'counter': 'acks', 'n': count(*) FILTER (is_ack)}}], recursive := true) FROM fl
+    UNION ALL SELECT 'unmatched', count(*) FROM pk WHERE id NOT IN (SELECT out_id FROM me) AND id NOT IN (SELECT in_id FROM me))""")
+def sync_counters(e):
+    """What a synchronisation reads and finds; exchanges, which tcp_exchange_match compares, are left out here."""
+    return network.counters(_segments(e)).where(~F.col("counter").isin("exchanges", "acknowledged"))
+
+
+@query(f"""WITH {EVENTS_SQL}, r AS (SELECT *, (row_number() OVER (PARTITION BY k ORDER BY time_ns, id) - 1) // 2 AS part FROM ev WHERE event_name = 'irq_exit'),
+  g AS (SELECT k, part, stddev_pop(time_ns / 1e9) AS sd, (max_by(time_ns, trace_id) - min_by(time_ns, trace_id)) / 1e9 AS d FROM r GROUP BY ALL HAVING count(*) = 2)
+  SELECT count(*) AS broadcasts, round(sum(sd), 2) AS stdev_sum, round(sum(abs(d)), 2) AS spread FROM g WHERE d <> 0""")
+def broadcast_stats(e):
+    """Broadcasts to two traces: how many, and their deviations, of those whose receptions are in both."""
+    rows = e.where(F.col("event_name") == "irq_exit")
+    parts = sync.in_parts(rows, 2, "k").groupBy("k", "part").agg(F.count_distinct("trace_id").alias("n"), F.count(F.lit(1)).alias("all"))
+    both = parts.where("n = 2 and all = 2").select(F.col("k").alias("k2"), F.col("part").alias("p2"))
+    kept = sync.in_parts(rows, 2, "k").join(both, (F.col("k") == F.col("k2")) & (F.col("part") == F.col("p2"))).drop("k2", "p2").withColumnRenamed("part", "half")
+    total = network.broadcast_statistics(kept, 2, "k", "half")
+    return total.select("broadcasts", F.round("stdev_sum", 2).alias("stdev_sum"), F.round(F.col("stdev_sum") * 2, 2).alias("spread"))
+
+
 @query(MESSAGES_SQL + " SELECT id, trace_id, direction FROM pk WHERE id NOT IN (SELECT out_id FROM me) AND id NOT IN (SELECT in_id FROM me)")
 def unmatched_events(e):
     packets = _packets(e)

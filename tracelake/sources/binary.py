@@ -70,6 +70,16 @@ def parse_header(data: bytes) -> Header | None:
     return None
 
 
+def trace_version(path: str) -> tuple[int, int] | None:
+    """The version that a tracefile's first block states, whether it can be read or not; None for other files."""
+    with _open(path) as f:
+        data = f.read(HEADER_SIZE)
+    for order in "<>":
+        if len(data) == HEADER_SIZE and (v := struct.unpack_from(order + HEADER, data))[2] == MAGIC:
+            return v[3], v[4]
+    return None
+
+
 def parse_name(name: str) -> dict | None:
     """<channel>_<cpu>, with flight- before it in flight recorder mode, or that of a process's own trace, which has no
     underscore: <folder>/<folder>/<name>-<tid>.<pgid>.<creation>."""
