@@ -244,14 +244,21 @@ def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """One row of each component with all its columns: the smallest id, null ids last; of rows equal in id the one
     whose text has the smallest digest, and of rows equal in both any one."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    ident, mark, place, two, three = fresh(docs, "id", "mark", "place", "id2", "mark2")
+    ident, mark = fresh(docs, "id", "mark")
     marked = docs.withColumns({ident: F.col(f"`{id_col}`").cast("long"), mark: F.sha2(text, 256)})
     rows = written(fingerprints(marked.select(F.col(ident).alias("doc_id"), text.alias("text"), F.col(mark).alias("mark")), "doc_id", "text", size, "mark"), "fingerprints")
     prints, rooted = _labelled(rows)
     # The best row of each fingerprint before that of each component: both are summed in each task first.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")
     firsts = rows.groupBy("fp").agg(first).join(rooted.select(F.col("fp").alias("fp2"), "root"), F.col("fp") == F.col("fp2"))
-    keep = firsts.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias(two), F.col("first.mark").alias(three))
+    best = firsts.groupBy("root").agg(F.min("first").alias("first"))
+    return first_rows(marked, ident, mark, best).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def first_rows(marked: DataFrame, ident: str, mark: str, best: DataFrame) -> DataFrame:
+    """The rows of marked that best names by their id and mark, ``first`` of each group; of rows equal in both, one."""
+    place, two, three = fresh(marked, "place", "id2", "mark2")
+    keep = best.select(F.col("first.doc_id").alias(two), F.col("first.mark").alias(three))
     kept = marked.join(keep, F.col(ident).eqNullSafe(F.col(two)) & (F.col(mark) == F.col(three)), "left_semi")
     one = Window.partitionBy(ident, mark).orderBy(ident)
-    return kept.withColumn(place, F.row_number().over(one)).where(F.col(place) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.withColumn(place, F.row_number().over(one)).where(F.col(place) == 1)
