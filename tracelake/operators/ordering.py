@@ -67,6 +67,17 @@ def position_of(events: DataFrame, time_ns: int) -> tuple | None:
     return tuple(found[0]) if found else None
 
 
+def seek_many(events: DataFrame, times: Sequence[int]) -> DataFrame:
+    """(sought_ns, position) of the first event at or after each of some times, in one pass: events are grouped by how
+    many of the times are not after them, each group's first is found, and a time takes the first group that it may."""
+    times = sorted(set(times))
+    wanted = F.array(*[F.lit(t).cast("bigint") for t in times])
+    passed = F.size(F.filter(wanted, lambda t: t <= F.col("time_ns")))
+    firsts = in_time(events, start=times[0]).groupBy(passed.alias("_group")).agg(F.min(F.struct(*ORDER)).alias("position")).where("_group > 0")
+    ranks = events.sparkSession.createDataFrame([(k + 1, t) for k, t in enumerate(times)], "_rank int, sought_ns bigint")
+    return ranks.join(firsts, F.col("_group") >= F.col("_rank")).groupBy("sought_ns").agg(F.min("position").alias("position"))
+
+
 def ranked(events: DataFrame, name: str = "rank") -> DataFrame:
     """Each event's place in the global order, from 1, numbered within slots of time (see ``blocks``)."""
     return blocks.plain(blocks.numbered(events, name))

@@ -46,9 +46,9 @@ def save_states(events: DataFrame, path: str, every: int = INTERVAL, listed: boo
     found = settled(states.join(numbers, same).drop(*[f"_{c}" for c in ORDER]), "numbered-states").withColumn("_rank", _role_rank())
     latest = F.max_by(F.struct(*STATE, "time_ns"), F.struct(*ORDER, "_rank")).alias("s")
     kept = found.groupBy("number", F.col("trace_id").alias("t"), F.col("pid").alias("p"), F.col("home").alias("h")).agg(latest)
-    kept.select("number", F.col("t").alias("trace_id"), "s.*").write.partitionBy("number").mode("overwrite").parquet(f"{path}/states")
+    kept.select("number", F.col("t").alias("trace_id"), "s.*").repartition("number").write.partitionBy("number").mode("overwrite").parquet(f"{path}/states")
     switched = found.where(F.col("role") == fold.IN).groupBy("number", F.col("trace_id").alias("t"), F.col("cpu").alias("c")).agg(F.max_by("pid", F.struct(*ORDER)).alias("pid"))
-    switched.select("number", F.col("t").alias("trace_id"), F.col("c").alias("cpu"), "pid").write.partitionBy("number").mode("overwrite").parquet(f"{path}/running")
+    switched.select("number", F.col("t").alias("trace_id"), F.col("c").alias("cpu"), "pid").repartition("number").write.partitionBy("number").mode("overwrite").parquet(f"{path}/running")
     ranks.where(F.col("rank") % (every + 1) == 0).select((F.col("rank") / (every + 1)).cast("long").alias("number"), *ORDER).write.mode("overwrite").parquet(f"{path}/positions")
 
 

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.functions.tables import settled
 from tracelake.operators import blocks
 
 #: The evaluation histogram's bins and their base.
@@ -159,6 +160,7 @@ def message_points(messages: DataFrame) -> DataFrame:
     # The order of reception, as the scans in slots have it.
     none = F.lit(0).cast("bigint")
     points = points.select("a", "b", "hull", "x", "y", F.col("in_ns").alias("time_ns"), none.alias("tracefile_id"), none.alias("trace_id"), none.alias("block"), F.col("in_id").alias("offset"))
+    points = settled(points, "points")
     return blocks.running_max(points, "x", "top", ("a", "b", "hull")).where("x = top").select("a", "b", "hull", "x", "y")
 
 

@@ -107,6 +107,26 @@ def event_at_or_after(e):
     return ordering.at_or_after(e, T1).select(*LISTED)
 
 
+#: Times of many seeks, spread over the trace.
+SOUGHT = tuple(EPOCH + (k * 7919 % 30_000) * DAY // 1000 for k in range(200))
+
+
+@on_events(f" SELECT t AS sought_ns, min(id) FILTER (rank = least_rank) AS id FROM (SELECT t, id, r.rank, min(r.rank) OVER (PARTITION BY t) AS least_rank FROM (SELECT unnest([{', '.join(map(str, SOUGHT))}]) AS t) JOIN (SELECT *, row_number() OVER (ORDER BY {ORDER_SQL}) AS rank FROM ev) r ON r.time_ns >= t) GROUP BY t")
+def seek_many_times(e):
+    """The first event at or after each of two hundred times."""
+    return ordering.seek_many(e, SOUGHT).select("sought_ns", F.col("position.offset").alias("id"))
+
+
+@on_events(f" SELECT {LISTED_SQL} FROM ev WHERE time_ns >= {T1} ORDER BY {ORDER_SQL} LIMIT 150000")
+def seek_far_forward(e):
+    return ordering.seek_forward(e, (T1, -1, -1, -1, -1), 150_000).select(*LISTED)
+
+
+@on_events(f" SELECT {LISTED_SQL} FROM ev WHERE time_ns < {T2} ORDER BY time_ns DESC, tracefile_id DESC, trace_id DESC, block DESC, \"offset\" DESC LIMIT 150000")
+def seek_far_backward(e):
+    return ordering.seek_backward(e, (T2, -1, -1, -1, -1), 150_000).select(*LISTED)
+
+
 @on_events(f" SELECT id, row_number() OVER (ORDER BY {ORDER_SQL}) AS rank FROM ev")
 def event_rank(e):
     return ordering.ranked(e).select("id", "rank")
@@ -585,7 +605,7 @@ def state_at_time(e):
     """The state of every process at a time: from the closest snapshot, and the events since."""
     own = _stated(e)
     path = f"{shared_dir(e.sparkSession)}/states-{uuid.uuid4().hex}"
-    snapshots.save_states(own, path, every=300, listed=False)
+    snapshots.save_states(own, path, every=1000, listed=False)
     return snapshots.state_at(own, path, T2, listed=False).select("trace_id", "pid", "home", "mode", "status", "depth")
 
 
