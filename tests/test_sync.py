@@ -131,3 +131,68 @@ def test_corrected_query(spark, sf):
 
     rows = sync_catalog.QUERIES["sync_eval_corrected"](spark, sf).collect()
     assert sum(r.messages for r in rows) == sync_catalog.QUERIES["tcp_message_match"](spark, sf).count()
+
+
+def segments_of(rows, ack_every=3):
+    """TCP segments of messages between two clocks; each sequence number grows, and some acknowledge."""
+    out, seen = [], {0: 0, 1: 0}
+    for k, (a, b, sent, received, _) in enumerate(rows):
+        seq, ack = 100 * k, 100 * seen[b]
+        seen[a] = k + 1
+        header = (10 + a, 10 + b, 1000 + a, 1000 + b, 50, 5, seq, ack, 5, int(k % ack_every == 0), 0, 0, 0)
+        out += [(2 * k, a, sent, "OUT", *header), (2 * k + 1, b, received, "IN", *header)]
+    return out
+
+
+def test_chain(spark, tmp_path):
+    """From packets to one clock, by hulls and by regression; options, counters, graphs, the frequency that all take."""
+    from tests.test_engine import SEGMENTS
+    from tracelake.operators import sync_chain
+
+    fields = "id long, trace_id long, time_ns long, direction string, saddr long, daddr long, source long, dest long, tot_len long, ihl long, seq long, ack_seq long, doff long, ack long, rst long, syn long, fin long"
+    assert fields == SEGMENTS
+    packets = spark.createDataFrame(segments_of(known_clocks(200)), SEGMENTS)
+    given = sync_chain.options()
+    assert given.parse(["--sync", "--sync-stats", "--sync-graphs", f"--sync-graphs-dir=file://{tmp_path}/graphs", "trace"]) == ["trace"]
+    found = sync_chain.synchronise(packets, 2, sync_chain.plan_of(given), {0: 1e9, 1: 2e9})
+    factors = {r.trace: r for r in found.factors.collect()}
+    other = 1 - factors[0].reference
+    assert {r.start_freq for r in factors.values()} <= {1e9, 2e9} and len({r.start_freq for r in factors.values()}) == 1
+    assert factors[other].drift == pytest.approx(1.0003 if other == 0 else 1 / 1.0003, rel=1e-5)
+    assert {r.counter: r.n for r in found.counters.collect()}["messages"] == 200 and found.quality.count() == 2
+    assert (tmp_path / "graphs" / "script").exists()
+    times = {}
+    for r in found.corrected(packets.select("id", "trace_id", "time_ns")).collect():
+        times.setdefault(r.id // 2, {})[r.id % 2] = r.time_ns
+    assert all(t[0] < t[1] < t[0] + 2_000_000 for t in times.values())
+    line = sync_chain.synchronise(packets, 2, sync_chain.Plan("linreg")).pairs.first()
+    assert (line.a, line.b) == (0, 1) and abs(line.drift - 1.0003) < 1e-3
+    assert sync_chain.synchronise(packets, 2, sync_chain.Plan("eval")).quality.agg({"messages": "sum"}).first()[0] == 200
+    assert sync_chain.synchronise(packets, 2, sync_chain.Plan(null=True)).factors is None
+    with pytest.raises(ValueError):
+        sync_chain.Plan("none")
+
+
+def test_time_bounds_by_brute_force():
+    """Against all lines through two points, and level ones, in whole numbers."""
+    from fractions import Fraction
+
+    r = random.Random(5)
+    for _ in range(1500):
+        lower, upper = ([(x, r.randrange(20) + up) for x in sorted(r.sample(range(12), r.randrange(5)))] for up in (r.choice([0, 8]), r.choice([0, -8])))
+        x, rows = r.randrange(-3, 16), [(p, 1) for p in lower] + [(p, -1) for p in upper]
+        lines = {(Fraction(0), Fraction(p[1])) for p, _ in rows}
+        lines |= {(s, p[1] - s * p[0]) for k, (p, _) in enumerate(rows) for q, _ in rows[k + 1 :] if p[0] != q[0] and (s := Fraction(q[1] - p[1], q[0] - p[0])) >= 0}
+        fits = [s * x + base for s, base in lines if all(sign * (base + s * p[0] - p[1]) <= 0 for p, sign in rows)]
+        got = sync.time_bounds(lower, upper, x)
+        if rows and not fits:
+            assert got is None
+        else:
+            assert (got[0] == -math.inf or got[0] == float(min(fits))) and (got[1] == math.inf or got[1] == float(max(fits)))
+
+
+@pytest.mark.parametrize("n, hulls, kind", [(1, (2, 2), "ACCURATE"), (2, (0, 0), "ABSENT")])
+def test_hull_sizes(n, hulls, kind):
+    lower = [(10, 12), (30, 33)][: hulls[0]]
+    upper = [(5, 3), (35, 30)][: hulls[1]]
+    assert sync.pair_line(lower, upper)["type"] == kind
