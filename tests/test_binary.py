@@ -4,7 +4,7 @@ import struct
 
 import pytest
 
-from tracelake.sources import binary
+from tracelake.sources import binary, traceset
 
 SIZES = {"int": 4, "long": 8, "pointer": 8, "size_t": 8}
 
@@ -89,6 +89,10 @@ def test_events(spark, tmp_path, order):
     assert got[0].payload == {"prev_pid": "-1", "next_pid": "7", "prev_state": "-2"}
     assert got[2].payload == {"fd": "3", "name": "café", "flags": str(0x0102), "after": str(1 << 40)} and got[1].payload == {}
     assert binary.read_events(spark, root, start_ns=5 * top, end_ns=9 * top + 1).count() == 2
+    files = binary.tracefiles(spark, root)
+    assert {binary.trace_version(r.path) for r in files.collect()} == {(2, 6), None}
+    (trace,) = traceset.traces_table(binary.blocks(files)).collect()
+    assert trace.tracefiles == files.count() - 1 and trace.blocks >= trace.tracefiles and trace.start_ns <= trace.end_ns
     table = binary.blocks(binary.tracefiles(spark, root).where("channel = 'kernel'"))
     assert [(r.block, r.events_lost) for r in table.orderBy("block").collect()] == [(0, 4), (1, 0)]
     assert binary.time_spans(table).where("trace_id is null").select("start_ns", "end_ns").first() == (top + 1, 9 * top + 1)

@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SECOND = 1_000_000_000
-INFINITE = (1 << 63) - 1
 MINOR_BITS = 20
 
 

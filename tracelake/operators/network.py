@@ -8,12 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.functions.scalars import sequence_after
 from tracelake.operators import sync
 
 #: The fields of a segment that are the same where it was sent and where it was received.
 SEGMENT_KEY = ("saddr", "daddr", "source", "dest", "tot_len", "ihl", "seq", "ack_seq", "doff", "ack", "rst", "syn", "fin")
-DATAGRAM_KEY = ("saddr", "daddr", "source", "dest", "ulen", "data_key")
 
 
 def payload_length() -> Column:
@@ -43,23 +41,13 @@ def segments(events: DataFrame) -> DataFrame:
 
 def tcp_messages(events: DataFrame) -> DataFrame:
     """Segments met by all thirteen fields of their key."""
-    found = sync.match_messages(segments(events), *SEGMENT_KEY, "conn", "needs_ack", "is_ack")
-    return found
+    return sync.match_messages(segments(events), *SEGMENT_KEY, "conn", "needs_ack", "is_ack")
 
 
 def tcp_exchanges(events: DataFrame) -> DataFrame:
     return sync.match_exchanges(tcp_messages(events))
 
 
-def acknowledges(ack_seq: Column, seq: Column) -> Column:
-    return sequence_after(ack_seq, seq)
-
-
-def broadcasts(events: DataFrame, traces: int) -> DataFrame:
-    """Datagrams that every trace received."""
-    return sync.broadcast_groups(events.where("direction = 'IN'"), traces, *DATAGRAM_KEY)
-
-
 def counters(events: DataFrame) -> DataFrame:
     """What a synchronisation reads and finds: packets by direction, messages, exchanges, what is left over."""
     packets = events.agg(F.count(F.lit(1)).alias("packets"), F.count_if(F.col("direction") == "IN").alias("received"), F.count_if(F.col("direction") == "OUT").alias("sent"))
