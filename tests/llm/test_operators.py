@@ -792,3 +792,29 @@ def test_pii_spelled_runs_against_one_pattern():
     for _ in range(5000):
         text = "".join(r.choice(items) for _ in range(r.randrange(14)))
         assert [(run[0].start(), run[-1].end()) for run in pii._spelled_runs(text)] == [m.span() for m in whole.finditer(text)], text
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_against_sql(spark, sf, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got = queries.queries()[name](spark, sf)
+    columns = sorted(got.columns)
+    want = con.sql(f"SELECT {', '.join(columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.select(*columns).collect())
+
+
+def test_packing_ids_on_random_texts():
+    """tiktoken's ids are those of the tokenizers library, for characters of every kind."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library, path, r = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.default_vocabulary(), random.Random(51)
+    kinds = [lambda: chr(r.randrange(32, 127)), lambda: r.choice(" \t\n\r\x0b\x0c\x85\u00a0\u2003\u3000"), lambda: chr(r.randrange(0xA0, 0x250)), lambda: chr(r.randrange(0x370, 0x3000)), lambda: chr(r.randrange(0x4E00, 0x9FFF)), lambda: chr(r.randrange(0x1F300, 0x1F900)), lambda: r.choice(["'s", "'LL", "<|endoftext|>", "  ", "123", "\u0301", "\u200d"])]
+    texts = ["".join(r.choice(kinds)() for _ in range(r.randrange(1, 40))) for _ in range(8000)]
+    texts += ["".join(r.choice(kinds[:2])() for _ in range(60)) for _ in range(4000)] + ["a" * 5000, " " * 3000, "\n" * 700, "é" * 900]
+    for text, found in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert packing.token_ids(text, path).tolist() == [*found.ids, 0], repr(text)

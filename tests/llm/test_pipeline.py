@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tracelake.llm import language, near, packing, pii
+from tracelake.llm import common, language, near, packing, pii
 
 
 def similar_groups(texts, size=5, similarity=0.8):
@@ -112,5 +112,7 @@ def test_stages_on_hard_rows(spark, sf):
 
 
 def test_run(spark, sf):
+    before = common.tables_made()
     assert corpus_pipeline.run(spark, sf).count() > 0
-    assert language.UNKNOWN == "und"
+    # Only the last stage's table is left.
+    assert common.tables_made() == before + 1 and language.UNKNOWN == "und"

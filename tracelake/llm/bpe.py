@@ -9,7 +9,8 @@ theirs, so agreement at both edges of a window makes the whole exact.)
 
 Defined results: null text counts as empty and has no tokens; strings of special tokens become their ids, as the
 library does by default; decoding joins token strings with spaces, which is what the library does for a file without
-a decoder; rows are independent, so repeated rows repeat their result; other columns are not read.
+a decoder; rows are independent, so repeated rows repeat their result; a null id is returned as null; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

@@ -40,6 +40,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Tables of written() that are still there, in the order in which they were made.
+_paths: list[str] = []
+
+
 def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """df as a table in the shared folder, with a folder for each value of the column by: cuts lineage, so a lost
     executor costs no more than its own tasks."""
@@ -48,15 +52,35 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tracelake_path = path
+    _paths.append(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _paths.remove(path)
+
+
 def dropped(*frames: DataFrame) -> None:
-    """Deletes tables of written() that no later plan reads, and lets Spark clean the shuffles of finished jobs."""
+    """Deletes tables of written() that no later plan reads."""
     for df in frames:
-        jvm, path = df.sparkSession.sparkContext._jvm, df._tracelake_path
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, df._tracelake_path)
+
+
+def settled(df: DataFrame, name: str, since: int) -> DataFrame:
+    """df as a table, and the end of all tables that were made for it: those that written() made after the first
+    ``since``."""
+    made = _paths[since:]
+    out = written(df, name)
+    for path in made:
+        _delete(df.sparkSession, path)
+    return out
+
+
+def tables_made() -> int:
+    """How many tables of written() there are."""
+    return len(_paths)
 
 
 def clean_shuffles(spark: SparkSession) -> None:

@@ -9,7 +9,8 @@ Ids come from tiktoken with the ranks of the same vocabulary, which gives the id
 several times its speed; strings of special tokens become their ids, as the library does by default.
 
 Defined results: null text counts as empty and gives the one piece that holds the end id; rows equal in every column
-are separate documents with sequences of their own; an empty table gives an empty result; other columns are not read.
+are separate documents with sequences of their own; a null id is returned as null on each of its pieces; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

@@ -23,7 +23,6 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tracelake.llm.windows import SPLIT, Units, byte_values, grams, prefix, runs, without_repeats
 
