@@ -2,7 +2,7 @@
 
 A text is normalised and cut as the tokenizers file says (NFC, white space to one space, lower case; runs of letters, single
 digits, runs of other signs). Words are looked up among those already encoded. A piece that no pattern splits and that
-is longer than ``LEAF`` symbols is cut in halves, again and again; leaves are encoded on their own, and two encoded
+is longer than ``LEAF`` symbols is cut in halves, again and again; leaves are encoded on their own, side by side, and two encoded
 halves are joined by encoding a window around the join anew, which grows until its first and last pair agree with the
 halves on either side. (A list of tokens is the encoding of its text when each pair of neighbours is the encoding of
 theirs, so agreement at both edges of a window makes the whole exact.)
@@ -28,6 +28,7 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
 
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 #: Symbols of a leaf, words held by a worker at once, and the longest word that is held.
@@ -62,6 +63,8 @@ class Bpe:
         self.held: dict[str, tuple[bytes, str]] = {}
         self.library = Tokenizer.from_file(path)
         self.short = self.library.model.tokenize
+        #: The same merges without an end of words, for what lies before the last leaf.
+        self.leaves = Tokenizer(BPE(vocab=self.vocab, merges=[tuple(m) for m in model["merges"]]))
 
     def merge(self, symbols: list[str]) -> list[str]:
         """The lowest-ranked pair first, leftmost among equals, until no pair has a rank."""
@@ -126,9 +129,12 @@ class Bpe:
                 return left[:a] + window + right[b:]
             width *= 2
 
-    def tree(self, symbols: list[str]) -> list[str]:
-        """Leaves first, then pairs of neighbours, level by level, so that no depth of text nests calls."""
-        level = [self.merge(symbols[i : i + LEAF]) for i in range(0, len(symbols), LEAF)]
+    def tree(self, piece: str) -> list[str]:
+        """Leaves first, all at once in the library's threads, then pairs of neighbours, level by level, so that no depth of
+        text nests calls. The last leaf alone has the word's end."""
+        cuts = [piece[i : i + LEAF] for i in range(0, len(piece), LEAF)]
+        level = [found.tokens for found in self.leaves.encode_batch(cuts[:-1], add_special_tokens=False)]
+        level.append([t.value for t in self.short(cuts[-1])])
         while len(level) > 1:
             level = [self.joined(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
         return level[0]
@@ -139,7 +145,7 @@ class Bpe:
         tokens: list[str] = []
         for p in pieces:
             if len(p) > LEAF:
-                found = self.tree([*p[:-1], p[-1] + self.end])
+                found = self.tree(p)
                 tokens += found
                 ids += [self.vocab[t] for t in found]
             else:
