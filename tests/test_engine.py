@@ -239,3 +239,37 @@ def test_interval_lookup(spark, sf):
     events = spark.createDataFrame([(k, t) for k in (0, 1) for t in range(0, 40, 5)], "key long, time_ns long")
     got = {(r.key, r.time_ns): r.v for r in pairing.interval_lookup(events, spans, ["key"], "a", "b", ["v"], 7).collect()}
     assert got == {(k, t): next((v for kk, a, b, v in ((0, 0, 10, "a"), (0, 10, 35, "b"), (1, 5, 6, "c")) if kk == k and a <= t < b), None) for k, t in got}
+
+
+def test_small_things(spark):
+    """Removing, listing, usage; tables of a session go when they are forgotten."""
+    from tracelake.functions import tables
+
+    hooks, hook = engine.Hooks(), lambda e: None
+    hooks.add(hook)
+    hooks.remove(hook)
+    assert len(hooks) == 0
+    with pytest.raises(KeyError):
+        hooks.remove(hook)
+    options = engine.Options()
+    options.add("stats", "s", "statistics")
+    assert "-s, --stats  statistics" in options.usage()
+    options.remove("stats")
+    with pytest.raises(ValueError):
+        options.parse(["--stats"])
+    tree = engine.Attributes()
+    tree.add("a", 1)
+    tree.directory("b").add("c", 2.5)
+    assert tree.names() == ["a", "b"] and tree.at(0) == ("a", 1) and tree.get("a") == 1
+    tree.remove("a")
+    assert dict(tree.rows()) == {"b/c": 2.5}
+    view, told = engine.View(spark.range(1)), []
+    view.on("position", told.append)
+    view.off("position", told.append)
+    view.set("position", 5)
+    assert not told and view["position"] == 5
+    table = tables.settled(spark.range(3).toDF("x"), "three")
+    assert table.count() == 3
+    tables.forget(spark)
+    with pytest.raises(Exception, match="(?i)exist|found"):
+        table.count()
