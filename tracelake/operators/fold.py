@@ -38,14 +38,14 @@ DEAD_STATES = (32, 64)
 
 #: What an event may have besides its place; a column that no event has may be missing.
 STRINGS = ("event_name", "submode", "name", "kind")
-NUMBERS = ("id", "prev_pid", "next_pid", "prev_state", "target_pid", "parent_pid", "tgid", "address")
+NUMBERS = ("id", "prev_pid", "next_pid", "prev_state", "target_pid", "parent_pid", "tgid", "address", "snapshot")
 #: The roles in which a process meets an event, in the order in which they apply.
 START, OUT, TARGET, RUN, IN, END = "start", "out", "target", "run", "in", "end"
 ROLES = {START: -1, OUT: 0, TARGET: 1, END: 2, RUN: 3, IN: 4}
 
 SCHEMA = (
     "id long, role string, event_name string, trace_id long, cpu long, time_ns long, tracefile_id long, block long, offset long, pid long, home long, birth_ns long, inserted_ns long, ppid long, tgid long, name string, brand string, origin long, kind string, "
-    "mode string, submode string, status string, depth int, function long, entry_ns long, change_ns long, known int, leaf_birth long, leaf_function long, leaf_mode string, leaf_submode string, cpu_time_ns long, elapsed_ns long, cumulative_ns long, target_pid long, stack string, prev_state long"
+    "mode string, submode string, status string, depth int, function long, entry_ns long, change_ns long, known int, leaf_birth long, leaf_function long, leaf_mode string, leaf_submode string, cpu_time_ns long, elapsed_ns long, cumulative_ns long, target_pid long, stack string, snapshot long"
 )
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
@@ -324,7 +324,8 @@ def process_states(events: DataFrame, listed: bool = True, end_ns: int | None =
     was applied. known is by how much the event changed the number of known processes. listed says whether the trace may
     hold the kernel's list of processes. At the end of each process come rows of role ``stalled``, without an event, for
     modes that never ended, if end_ns is given. start holds processes that are known before the first event, and
-    running what runs on each CPU then, as ``snapshots`` saves them; stacks adds what a snapshot needs."""
+    running what runs on each CPU then, as ``snapshots`` saves them; stacks adds what a snapshot needs to the last row
+    of each process before a snapshot, whose number is the events' column of that name, if there is one."""
     rows = settled(touched(events, running), "touched")
     rows = _parents_known(rows.unionByName(_to_all(rows))) if listed else rows.withColumn("parent_known", F.lit(False))
     if start is not None:
@@ -335,34 +336,47 @@ def process_states(events: DataFrame, listed: bool = True, end_ns: int | None =
     schema = pa.schema([(n, _TYPES[t]) for n, t in (c.split() for c in SCHEMA.split(", "))])
 
     def run(batches):
-        key, follow = None, None
+        key, follow, state, last = None, None, None, None  # last: the row before, whose stack is told if it is the last of its snapshot
 
         def stalled():
             for birth, function, mode, submode, spent, elapsed, cumulative in follow.stalled(end_ns) if follow is not None and end_ns is not None else ():
                 p = (None, "stalled", None, key[0], follow.last_cpu, end_ns, None, None, None, key[1], key[2], *[None] * 8, *[None] * 7, 0)
                 yield (*p, birth, function, mode, submode, spent, elapsed, cumulative, None, None, None)
 
+        def told(out):
+            if last is not None:
+                out.append((*last[:-2], state.text() if stacks else None, last[-1]))
+
         for batch in batches:
             out = []
             for e in batch.to_pylist():
                 here = (e["trace_id"], e["pid"], e["home"])
+                if last is not None and (here != key or e["snapshot"] != last[-1]):
+                    told(out)
+                    last = None
                 if here != key:
                     out.extend(stalled())
                     key, follow = here, Follow(e["pid"])
                 if e["role"] == START:
                     follow.restore(json.loads(e["saved"]))
                     continue
+                if last is not None:
+                    out.append(last)
+                    last = None
                 p, added = follow.apply(e)
                 if p is None:
                     continue
                 top = p.stack[-1]
-                out.append((
+                state = p
+                last = (
                     e["id"], e["role"], e["event_name"], e["trace_id"], e["cpu"], e["time_ns"], e["tracefile_id"], e["block"], e["offset"], e["pid"], e["home"], p.birth, p.inserted, p.ppid, p.tgid, p.name, p.brand, p.origin, p.kind,
-                    top.mode, top.submode, top.status, len(p.stack), p.functions[-1] if p.functions else 0, top.entry, top.change, follow.changed, *(added or (None,) * 7), e["target_pid"], p.text() if stacks else None, e["prev_state"],
-                ))
+                    top.mode, top.submode, top.status, len(p.stack), p.functions[-1] if p.functions else 0, top.entry, top.change, follow.changed, *(added or (None,) * 7), e["target_pid"], None, e["snapshot"],
+                )
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-        out = list(stalled())
+        out = []
+        told(out)
+        out.extend(stalled())
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 

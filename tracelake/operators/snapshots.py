@@ -34,21 +34,23 @@ def closest_snapshot(snapshots: DataFrame, time_ns: int) -> DataFrame:
 
 
 def save_states(events: DataFrame, path: str, every: int = INTERVAL, listed: bool = True) -> None:
-    """Writes three tables: ``states``, a folder for each snapshot's number with the processes that changed since the one
-    before, ``running``, the CPUs that switched, and ``positions``, the place of each snapshot. Snapshot k is taken after
+    """Writes three tables: ``states``, for each snapshot's number the processes that changed since the one before,
+    ``running``, the CPUs that switched, and ``positions``, the place of each snapshot. Rows lie in the order of numbers,
+    so that reading up to one skips the rest by Parquet's statistics. Snapshot k is taken after
     event k * (every + 1)."""
-    states = fold.with_names(fold.process_states(events, listed, stacks=True)).where("event_name is not null")
-    ranks = ranked(events.select(*ORDER))
-    numbers = ranks.select(*[F.col(c).alias(f"_{c}") for c in ORDER], ((F.col("rank") + every) / (every + 1)).cast("long").alias("number"))
-    same = F.lit(True)
-    for c in ORDER:
-        same = same & (F.col(c) == F.col(f"_{c}"))
-    found = settled(states.join(numbers, same).drop(*[f"_{c}" for c in ORDER]), "numbered-states").withColumn("_rank", _role_rank())
+
+    def by_number(df: DataFrame) -> DataFrame:
+        return df.repartitionByRange("number").sortWithinPartitions("number")
+
+    ranks = settled(ranked(events), "ranks")
+    numbered = ranks.withColumn("snapshot", ((F.col("rank") + every) / (every + 1)).cast("long")).drop("rank")
+    states = fold.with_names(fold.process_states(numbered, listed, stacks=True)).where("event_name is not null")
+    found = states.withColumnRenamed("snapshot", "number").withColumn("_rank", _role_rank())
     latest = F.max_by(F.struct(*STATE, "time_ns"), F.struct(*ORDER, "_rank")).alias("s")
     kept = found.groupBy("number", F.col("trace_id").alias("t"), F.col("pid").alias("p"), F.col("home").alias("h")).agg(latest)
-    kept.select("number", F.col("t").alias("trace_id"), "s.*").repartition("number").write.partitionBy("number").mode("overwrite").parquet(f"{path}/states")
+    kept.select("number", F.col("t").alias("trace_id"), "s.*").transform(by_number).write.mode("overwrite").parquet(f"{path}/states")
     switched = found.where(F.col("role") == fold.IN).groupBy("number", F.col("trace_id").alias("t"), F.col("cpu").alias("c")).agg(F.max_by("pid", F.struct(*ORDER)).alias("pid"))
-    switched.select("number", F.col("t").alias("trace_id"), F.col("c").alias("cpu"), "pid").repartition("number").write.partitionBy("number").mode("overwrite").parquet(f"{path}/running")
+    switched.select("number", F.col("t").alias("trace_id"), F.col("c").alias("cpu"), "pid").transform(by_number).write.mode("overwrite").parquet(f"{path}/running")
     ranks.where(F.col("rank") % (every + 1) == 0).select((F.col("rank") / (every + 1)).cast("long").alias("number"), *ORDER).write.mode("overwrite").parquet(f"{path}/positions")
 
 
