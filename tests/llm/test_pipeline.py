@@ -90,6 +90,25 @@ def test_planted_near_copies(spark):
     assert got.columns == df.columns and kept >= firsts and len(kept) <= len(firsts) + 0.1 * (len(rows) - len(firsts))
 
 
+def test_all_near_copies_go(spark):
+    """Pairs of exactly 0.8 and little more, which few bits of a fingerprint have in common, and chains of them; a
+    passage that many texts share puts them into one bucket."""
+    r = random.Random(19)
+    words = ["".join(r.choices("abcdefghijklmnop", k=r.randrange(2, 9))) for _ in range(4000)]
+    passage, rows = r.choices(words, k=40), []
+    for k in range(120):
+        own = passage + r.choices(words, k=r.choice([5, 14, 60, 200, 320]))
+        for _ in range(k % 3 + 1):
+            rows.append((len(rows), " ".join(own)))
+            # One end changes: a word of a shingle in nine gives a similarity of 0.8 where nothing else repeats.
+            n = len(own) - 4
+            own = own[: len(own) - n // 9] + r.choices(words, k=n // 9)
+    firsts = similar_groups(dict(rows))
+    assert 60 < len(rows) - len(firsts)
+    got = near.kept_rows(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert {x.doc_id for x in got.collect()} == firsts
+
+
 def test_large_group_of_near_copies(spark):
     """A third of all rows one text but for a number: a star, not all pairs; and sets of one fingerprint apart."""
     r = random.Random(18)
