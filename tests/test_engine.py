@@ -273,3 +273,13 @@ def test_small_things(spark):
     tables.forget(spark)
     with pytest.raises(Exception, match="(?i)exist|found"):
         table.count()
+
+
+def test_disk_performance_of_many_bytes(spark):
+    """Sums of bytes whose billionfold is beyond a bigint."""
+    from tracelake.operators.statistics import disk_performance
+
+    df = spark.createDataFrame([(1, "read", 3 << 40), (1, "read", 61), (1, "write", 1 << 62), (2, "write", 7)], "disk long, op string, bytes long")
+    got = {tuple(r) for r in disk_performance(df, 60_000_000_000).select("disk", "bytes_read", "reads", "bytes_written", "writes", "read_per_s", "written_per_s").collect()}
+    read = (3 << 40) + 61
+    assert got == {(1, read, 2, 1 << 62, 1, read // 60, (1 << 62) // 60), (2, 0, 0, 7, 1, 0, 0)}

@@ -128,7 +128,8 @@ def disk_performance(operations: DataFrame, window_ns: int) -> DataFrame:
         return F.col("op") == op
 
     def per(c: str) -> Column:
-        return F.call_function("div", F.col(c) * F.lit(1_000_000_000), F.lit(window_ns))
+        # A billion times the bytes may exceed a bigint, though the quotient doesn't.
+        return F.call_function("div", F.col(c).cast("decimal(19,0)") * F.lit(1_000_000_000).cast("decimal(10,0)"), F.lit(window_ns).cast("decimal(19,0)"))
 
     sums = operations.groupBy("disk").agg(
         F.coalesce(F.sum(F.when(of("read"), F.col("bytes"))), F.lit(0)).cast("bigint").alias("bytes_read"), F.count_if(of("read")).alias("reads"),
