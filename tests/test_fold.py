@@ -236,3 +236,18 @@ def test_the_list_of_processes(spark):
 def test_functions(spark):
     got = run(spark, [sched(0, 5), (0, "function_exit", {"address": 1}), (0, "function_entry", {"address": 10}), (0, "function_entry", {"address": 20}), (0, "function_exit", {"address": 10}), (0, "function_exit", {"address": 20}), (0, "function_exit", {"address": 10})])
     assert [r.function for r in got] == [0, 0, 10, 20, 20, 10, 0]
+
+
+def test_snapshots_tell_a_deep_stack_once(spark, tmp_path):
+    """Calls that never end: what snapshots hold grows with the events, not with their square, and is whole again."""
+    rows = [(k, k * 10, 0, 0, 0, 0, k, "sched_schedule" if k == 0 else "irq_exit" if k % 5 == 4 else "irq_entry", 3 if k == 0 else None) for k in range(2000)]
+    events = spark.createDataFrame(rows, "id long, time_ns long, trace_id long, tracefile_id long, cpu long, block long, offset long, event_name string, next_pid long")
+    path = str(tmp_path / "deep")
+    snapshots.save_states(events, path, every=9, listed=False)
+    saved = spark.read.parquet(f"{path}/states")
+    assert saved.agg(F.max(F.length("stack"))).first()[0] < 2000
+    stack = []
+    for k in range(1, 771):
+        stack.pop() if k % 5 == 4 else stack.append(k * 10)
+    (got,) = [json.loads(r.stack)[0] for r in snapshots.restore_states(spark, path, 77).collect() if r.pid == 3]
+    assert [x[0] for x in got] == ["MODE_UNKNOWN"] + ["IRQ"] * len(stack) and [x[2] for x in got[1:]] == stack

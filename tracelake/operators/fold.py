@@ -50,7 +50,7 @@ SCHEMA = (
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
-@dataclass
+@dataclass(slots=True)
 class Level:
     mode: str
     submode: str
@@ -76,14 +76,24 @@ class Process:
     kind: str = "USER_THREAD"
     frees: int = 0
     functions: list[int] = field(default_factory=list)
+    #: Levels and functions that nothing has touched since the process was last told; only the top ones ever change.
+    same: int = 0
+    same_functions: int = 0
 
     @property
     def top(self) -> Level:
         return self.stack[-1]
 
-    def text(self) -> str:
-        """All that a snapshot needs besides the columns."""
-        return json.dumps([[[x.mode, x.submode, x.entry, x.change, x.status, x.spent] for x in self.stack], self.functions, self.frees])
+    def touched(self) -> None:
+        self.same, self.same_functions = min(self.same, len(self.stack) - 1), min(self.same_functions, len(self.functions))
+
+    def text(self, whole: bool = True) -> str:
+        """All that a snapshot needs besides the columns: levels, functions, and how often the process ended. If not whole,
+        levels and functions from those on that have changed since the last text, and how many stay before them."""
+        at, functions = (0, 0) if whole else (self.same, self.same_functions)
+        self.same, self.same_functions = len(self.stack), len(self.functions)
+        own = [[[x.mode, x.submode, x.entry, x.change, x.status, x.spent] for x in self.stack[at:]], self.functions[functions:], self.frees]
+        return json.dumps(own if whole else [*own, at, functions])
 
 
 def resolve(p: Process, t: int) -> None:
@@ -93,6 +103,7 @@ def resolve(p: Process, t: int) -> None:
     if bottom.mode != UNKNOWN:
         return
     kernel = p.kind == KERNEL_THREAD
+    p.same = 0
     bottom.mode, bottom.submode, bottom.entry, bottom.change = "SYSCALL" if kernel else "USER_MODE", NONE, t, t
     if bottom.status == UNNAMED:
         bottom.status = "WAIT" if kernel else "RUN"
@@ -325,7 +336,8 @@ def process_states(events: DataFrame, listed: bool = True, end_ns: int | None =
     hold the kernel's list of processes. At the end of each process come rows of role ``stalled``, without an event, for
     modes that never ended, if end_ns is given. start holds processes that are known before the first event, and
     running what runs on each CPU then, as ``snapshots`` saves them; stacks adds what a snapshot needs to the last row
-    of each process before a snapshot, whose number is the events' column of that name, if there is one."""
+    of each process before a snapshot, whose number is the events' column of that name, if there is one; of a process that
+    was told before, only what has changed since (``snapshots`` puts the parts together)."""
     rows = settled(touched(events, running), "touched")
     rows = _parents_known(rows.unionByName(_to_all(rows))) if listed else rows.withColumn("parent_known", F.lit(False))
     if start is not None:
@@ -337,6 +349,7 @@ def process_states(events: DataFrame, listed: bool = True, end_ns: int | None =
 
     def run(batches):
         key, follow, state, last = None, None, None, None  # last: the row before, whose stack is told if it is the last of its snapshot
+        before = None  # the process that was told last, if it is of this key
 
         def stalled():
             for birth, function, mode, submode, spent, elapsed, cumulative in follow.stalled(end_ns) if follow is not None and end_ns is not None else ():
@@ -344,8 +357,10 @@ def process_states(events: DataFrame, listed: bool = True, end_ns: int | None =
                 yield (*p, birth, function, mode, submode, spent, elapsed, cumulative, None, None, None)
 
         def told(out):
+            nonlocal before
             if last is not None:
-                out.append((*last[:-2], state.text() if stacks else None, last[-1]))
+                out.append((*last[:-2], state.text(state is not before) if stacks else None, last[-1]))
+                before = state
 
         for batch in batches:
             out = []
@@ -356,16 +371,20 @@ def process_states(events: DataFrame, listed: bool = True, end_ns: int | None =
                     last = None
                 if here != key:
                     out.extend(stalled())
-                    key, follow = here, Follow(e["pid"])
+                    key, follow, before = here, Follow(e["pid"]), None
                 if e["role"] == START:
                     follow.restore(json.loads(e["saved"]))
                     continue
                 if last is not None:
                     out.append(last)
                     last = None
+                for x in (follow.known, follow.running):
+                    if x is not None:
+                        x.touched()
                 p, added = follow.apply(e)
                 if p is None:
                     continue
+                p.touched()
                 top = p.stack[-1]
                 state = p
                 last = (
