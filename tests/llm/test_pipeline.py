@@ -109,6 +109,39 @@ def test_all_near_copies_go(spark):
     assert {x.doc_id for x in got.collect()} == firsts
 
 
+def test_sketches_differ_in_no_more_places_than_sets():
+    r = np.random.default_rng(20)
+    for n in (0, 1, 5, 100, 3000):
+        every = r.integers(0, 1 << 63, n + 200, np.uint64)
+        for own in (0, 1, 7, 90):
+            a, b = every[own : n + own], every[: n + own // 2]
+            a_bits, b_bits = (np.frombuffer(near.sketch(x), np.uint64) for x in (a, b))
+            assert len(a_bits) * 64 == near.SKETCH and np.bitwise_count(a_bits ^ b_bits).sum() <= len(np.setxor1d(a, b))
+    assert near.sketch(every[:1]) != near.sketch(every[:0]) == near.sketch(every[[0, 0]])
+
+
+def test_texts_that_share_less_are_no_pairs(spark, monkeypatch):
+    """Texts with half to two thirds of their shingles in common, which are one another's keys: verified are the near
+    copies among them, and not the square of their number."""
+    r = random.Random(21)
+    words = ["".join(r.choices("abcdefghij", k=6)) for _ in range(3000)]
+    blocks = [[r.choices(words, k=10) for _ in range(3)] for _ in range(15)]
+    rows = [(k, " ".join(w for b in blocks for w in b[r.random() > 0.6])) for k in range(250)]
+    for k in range(0, 40, 2):
+        rows.append((len(rows), rows[k][1].rsplit(" ", 3)[0]))
+    firsts = similar_groups(dict(rows))
+    asked, verified = [], near._verified
+
+    def counted(pairs, *args):
+        asked.append(pairs.count())
+        return verified(pairs, *args)
+
+    monkeypatch.setattr(near, "_verified", counted)
+    got = near.kept_rows(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert {x.doc_id for x in got.collect()} == firsts and len(asked) == 2
+    assert asked[1] < 10 * len(rows)
+
+
 def test_large_group_of_near_copies(spark):
     """A third of all rows one text but for a number: a star, not all pairs; and sets of one fingerprint apart."""
     r = random.Random(18)

@@ -18,8 +18,10 @@ beforehand which texts can have a near copy at all. Shingles are put in one orde
 of 0.8 share at least 0.8 of the larger, so the first shingle that they share lies among the first n - 0.8 n + 1 of
 each: those of them that more than one text has are the set's keys. A set without keys has no near copy. Of the others,
 those that meet by a key and that fingerprints have not put into one group already are verified too, whatever the size
-of the bucket, but for pairs whose sizes or places in the order rule the similarity out. So all pairs of that similarity
-are within a group, and only those join a group.
+of the bucket, but for pairs whose sizes, places in the order or sketches rule the similarity out. A sketch says for each
+of 512 places whether an odd number of a set's shingles fall there; where two sketches differ, a shingle is in one set
+only, so they differ in no more places than the sets do in shingles. So all pairs of that similarity are within a group,
+and only those join a group.
 
 Defined results: null text counts as empty; words are cut at ASCII white space after A-Z are made lower case; a text of
 fewer words than a shingle is one shingle, one without words has an empty set, equal to other empty sets; of a group the
@@ -45,6 +47,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: 64-bit words of a fingerprint; bits that agree and bits that are decoded at each place; differing bits of the first
 #: two words up to which a pair is verified; members of a bucket that are compared for many buckets at once.
 WORDS, EXACT, FUZZY, CLOSE, FEW = 3, 8, 23, 31, 16
+#: Bits of a sketch; pairs of sketches that are compared at once.
+SKETCH, SKETCHES_AT_ONCE = 512, 1 << 15
 #: What rounding may add to a product of a similarity and a size; pairs that are looked at, and held, at once.
 ROUNDING, AT_ONCE = 1e-6, 1 << 18
 _U = np.uint64
@@ -69,6 +73,11 @@ def fingerprint(hashes: np.ndarray) -> list[int]:
     return out
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """For each of SKETCH places whether an odd number of the hashes fall there."""
+    return np.packbits(np.bincount((hashes % _U(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).tobytes()
+
+
 def bucket_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(key, position of the fingerprint) of every distinct key. prints: rows of WORDS signed numbers."""
     bits = np.unpackbits(np.ascontiguousarray(prints, "<i8").view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little").astype(np.int64)
@@ -250,13 +259,13 @@ def set_keys(found: np.ndarray, common: np.ndarray, totals: np.ndarray, buckets:
 
 
 def _vertices(marked: DataFrame, size: int, similarity: float) -> DataFrame:
-    """vid, f0.., sig, n, first (the best row of each set of shingles), keys, alone (the place of the first key). marked:
-    doc_id, text, mark."""
+    """vid, f0.., sig, n, first (the best row of each set of shingles), keys, alone (the place of the first key), sketch.
+    marked: doc_id, text, mark."""
     spark = marked.sparkSession
     n = shuffle_partitions(spark)
     buckets = BUCKETS * n
-    names = ["doc_id", "mark", *PRINTS, "sig", "n", "keys", "alone"]
-    kinds = [pa.int64(), pa.string(), *[pa.int64()] * (WORDS + 2), pa.list_(pa.int64()), pa.int64()]
+    names = ["doc_id", "mark", *PRINTS, "sig", "n", "keys", "alone", "sketch"]
+    kinds = [pa.int64(), pa.string(), *[pa.int64()] * (WORDS + 2), pa.list_(pa.int64()), pa.int64(), pa.binary()]
 
     def run(batches):
         last, blobs, common, totals = None, [], None, None
@@ -272,7 +281,7 @@ def _vertices(marked: DataFrame, size: int, similarity: float) -> DataFrame:
                 totals, blobs = np.concatenate([np.empty(0, "<u4"), *(b[1] for b in blobs)])[first], []
             found = shingle_set(text.encode().lower(), size)
             keys, alone = set_keys(found, common, totals, buckets, similarity)
-            held.append((doc_id, mark, *fingerprint(found), xxh64_intdigest(found.tobytes()) - (1 << 63), len(found), keys.view(np.int64), alone))
+            held.append((doc_id, mark, *fingerprint(found), xxh64_intdigest(found.tobytes()) - (1 << 63), len(found), keys.view(np.int64), alone, sketch(found) if len(keys) else b""))
             if len(held) == 1000:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in held], t) for k, t in enumerate(kinds)], names=names)
                 held = []
@@ -285,10 +294,10 @@ def _vertices(marked: DataFrame, size: int, similarity: float) -> DataFrame:
     clean_shuffles(spark)
     answers = common.select("g", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("mark"), F.lit(None).cast("string").alias("text"), "blob")
     both = answers.unionByName(grouped).repartitionById(n, F.col("g")).sortWithinPartitions("g", "kind")
-    rows = both.mapInArrow(run, "doc_id bigint, mark string, " + ", ".join(f"{c} bigint" for c in [*PRINTS, "sig", "n"]) + ", keys array<bigint>, alone bigint")
+    rows = both.mapInArrow(run, "doc_id bigint, mark string, " + ", ".join(f"{c} bigint" for c in [*PRINTS, "sig", "n"]) + ", keys array<bigint>, alone bigint, sketch binary")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")
     # Numbers are given once, to a table that is written: every later reading has the same ones.
-    sets = rows.groupBy(*PRINTS, "sig", "n").agg(first, F.any_value("keys").alias("keys"), F.any_value("alone").alias("alone"))
+    sets = rows.groupBy(*PRINTS, "sig", "n").agg(first, *[F.any_value(c).alias(c) for c in ("keys", "alone", "sketch")])
     out = written(sets.withColumn("vid", F.monotonically_increasing_id()), "shingle-sets")
     dropped(common)
     clean_shuffles(spark)
@@ -296,11 +305,17 @@ def _vertices(marked: DataFrame, size: int, similarity: float) -> DataFrame:
 
 
 def _across(similarity: float):
-    """Rows (key, root, vid, n, place) sorted by key and root: pairs of one key, of different roots, whose sizes and places
-    allow the similarity. A pair's first shingle in common is at most at the lesser place, and what comes after a key in
-    either set is all that they can share beyond it."""
+    """Rows (key, root, vid, n, place, sketch) sorted by key and root: pairs of one key, of different roots, whose sizes,
+    places and sketches allow the similarity. A pair's first shingle in common is at most at the lesser place, and what
+    comes after a key in either set is all that they can share beyond it."""
+
+    def alike(i: np.ndarray, j: np.ndarray, n: np.ndarray, sketches: np.ndarray) -> np.ndarray:
+        most = (1 - similarity) / (1 + similarity) * (n[i] + n[j]) + ROUNDING
+        parts = range(0, len(i), SKETCHES_AT_ONCE)
+        apart = [np.bitwise_count(sketches[i[k : k + SKETCHES_AT_ONCE]] ^ sketches[j[k : k + SKETCHES_AT_ONCE]]).sum(1, dtype=np.int64) for k in parts]
+        return np.concatenate([np.empty(0, np.int64), *apart]) <= most
 
-    def met(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def met(rows: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         keys, root, vid, n, place = rows
         edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else np.zeros(1, np.int64)
         apart = root[edges[:-1]] != root[edges[1:] - 1]
@@ -312,27 +327,30 @@ def _across(similarity: float):
                 can = (root[i] < root[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - ROUNDING)
                 most = np.minimum(place[i], place[j]) + np.minimum(n[i] - place[i], n[j] - place[j])
                 x, y = np.nonzero(can & (most >= similarity / (1 + similarity) * (n[i] + n[j]) - ROUNDING))
-                x, y = vid[at + x], vid[a + y]
+                x, y = at + x, a + y
+                can = alike(x, y, n, sketches)
+                x, y = vid[x[can]], vid[y[can]]
                 yield np.minimum(x, y), np.maximum(x, y)
 
     def batch_of(found: list) -> pa.RecordBatch:
         pairs = np.unique(np.concatenate([np.empty((0, 2), np.int64), *(np.stack(f, axis=1) for f in found)]), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["u", "v"])
 
-    def whole(batches) -> Iterator[np.ndarray]:
-        rows = np.empty((5, 0), np.int64)
+    def whole(batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        rows, sketches = np.empty((5, 0), np.int64), np.empty((0, SKETCH // 64), _U)
         for batch in batches:
-            rows = np.concatenate((rows, np.stack([c.to_numpy() for c in batch.columns])), axis=1)
+            rows = np.concatenate((rows, np.stack([c.to_numpy() for c in batch.columns[:5]])), axis=1)
+            sketches = np.concatenate((sketches, np.frombuffer(b"".join(batch.column(5).to_pylist()), _U).reshape(-1, SKETCH // 64)))
             if rows.shape[1]:
                 cut = int(np.searchsorted(rows[0], rows[0, -1]))
-                yield rows[:, :cut]
-                rows = rows[:, cut:]
-        yield rows
+                yield rows[:, :cut], sketches[:cut]
+                rows, sketches = rows[:, cut:], sketches[cut:]
+        yield rows, sketches
 
     def run(batches):
         found, total = [], 0
-        for rows in whole(batches):
-            for pairs in met(rows):
+        for rows, sketches in whole(batches):
+            for pairs in met(rows, sketches):
                 found.append(pairs)
                 total += len(pairs[0])
                 if total > AT_ONCE:
@@ -381,8 +399,8 @@ def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     links = written(_verified(pairs, vertices, marked, size, similarity), "verified")
     dropped(pairs)
     found = components(links)
-    keyed = vertices.join(found, vertices.vid == found.v, "left").select(F.coalesce("root", "vid").alias("root"), "vid", "n", "alone", F.posexplode("keys").alias("k", "key"))
-    keyed = keyed.select("key", "root", "vid", "n", (F.col("alone") + F.col("k")).alias("place"))
+    keyed = vertices.join(found, vertices.vid == found.v, "left").select(F.coalesce("root", "vid").alias("root"), "vid", "n", "alone", "sketch", F.posexplode("keys").alias("k", "key"))
+    keyed = keyed.select("key", "root", "vid", "n", (F.col("alone") + F.col("k")).alias("place"), "sketch")
     rest = written(keyed.repartition("key").sortWithinPartitions("key", "root").mapInArrow(_across(similarity), "u bigint, v bigint").distinct(), "pairs")
     clean_shuffles(docs.sparkSession)
     missed = _verified(rest, vertices, marked, size, similarity)
