@@ -7,6 +7,7 @@ import re
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -420,6 +421,32 @@ def test_suffix_array_dedup_of_runs():
         assert resolved_bytes(rows, 50, 20) == want, rows
 
 
+def test_short_repeats_send_no_texts(spark, monkeypatch):
+    """Passages of 20 to 29 bytes that many documents share give anchors in common and no window: no text is sent. Beside
+    them runs and true repeats, whose texts are gone once they are judged."""
+    r = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    short = ["".join(r.choices(letters, k=r.randrange(20, 30))) for _ in range(6)]
+    rows = [(k, "".join(x for _ in range(12) for x in ("".join(r.choices(letters, k=40)), r.choice(short)))) for k in range(60)]
+    sent, tables, written = [], [], W.written
+
+    def counted(df, name, *args):
+        out = written(df, name, *args)
+        if name == "segment-texts":
+            tables.append(out._tracelake_path.removeprefix("file://"))
+            sent.append(out.where("kind = 0").count())
+        return out
+
+    monkeypatch.setattr(W, "written", counted)
+    long = "".join(r.choices(letters, k=70))
+    more = [*rows, (60, long + "a" * 300), (61, "a" * 90 + long), (62, "ab" * 80 + long[:49]), (None, long), (63, "x" + "ab" * 200 + long[5:60] + "y")]
+    for these, split in ((rows, W.SPLIT), (more, W.SPLIT), (more, 1)):
+        df = spark.createDataFrame(these, "doc_id long, text string")
+        assert as_rows(suffix_array.dedup_bytes(df, split=split), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_bytes(these, 50)
+    assert sent[0] == 0 and min(sent[1:]) > 0
+    assert not any(Path(t, "kind=0").exists() for t in tables)
+
+
 def test_equal_hashes_of_unequal_words(spark):
     """Words whose polynomial hashes modulo 2**64 collide whatever the odd base: units decide, not hashes."""
     odd = "".join("ab"[k.bit_count() % 2] for k in range(4096))

@@ -56,9 +56,13 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _remove(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    _remove(spark, path)
     _paths.remove(path)
 
 
@@ -68,6 +72,11 @@ def dropped(*frames: DataFrame) -> None:
         _delete(df.sparkSession, df._tracelake_path)
 
 
+def dropped_part(df: DataFrame, folder: str) -> None:
+    """Deletes a folder of a table of written(), given as column=value, that no later plan reads."""
+    _remove(df.sparkSession, f"{df._tracelake_path}/{folder}")
+
+
 def settled(df: DataFrame, name: str, since: int) -> DataFrame:
     """df as a table, and the end of all tables that were made for it: those that written() made after the first
     ``since``."""

@@ -247,4 +247,4 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             rows.append((i, len(raw), len(raw) - len(out), len(kept), hashlib.sha256(out).hexdigest(), out))
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
-    return without_repeats(docs, id_col, text_col, Units(window, min(gram, window), False, False, split), resolve, finish, SCHEMA + ", kept binary" * with_text)
+    return without_repeats(docs, id_col, text_col, Units(window, min(gram, window), False, False, split, True), resolve, finish, SCHEMA + ", kept binary" * with_text)

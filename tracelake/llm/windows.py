@@ -14,6 +14,12 @@ by a hash of id and text, anchors into buckets, and the two take turns:
    windows repeat, and the verdicts come back to the groups;
 5. by group: verdicts meet their places, and spans their documents.
 
+Grams of bytes repeat by chance, the more the larger the corpus, so for bytes a round is put between 2 and 3 (``narrow``).
+A segment with a repeated anchor is cut in two, windows that have at least half of their other units before the anchor,
+and the rest; all windows of a part hold the same units beside the anchor, whose hash is the part's key. Keys go to
+their buckets as anchors did, and only parts whose key repeats have their units sent in step 3. A window's part and key
+follow from the window alone, so equal windows have equal keys.
+
 Hashes only say where units meet; whether they are equal is decided by comparing the units themselves. A bucket hears
 of an anchor or of a text at most once from a group, however often the group has it, so a passage in a third of all
 documents is one short row a group. What travels are columns of numbers packed for each pair of group and bucket.
@@ -33,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import clean_shuffles, dropped, shuffle_partitions, written
+from tracelake.llm.common import clean_shuffles, dropped, dropped_part, shuffle_partitions, written
 
 #: Units of an anchor's segments from which it is split into windows; units of text in one index; windows of a segment.
 SPLIT, INDEX_UNITS, SEGMENT_WINDOWS = 100_000, 200_000, 512
@@ -120,13 +126,14 @@ def byte_values(raw: bytes) -> np.ndarray:
 @dataclass(frozen=True)
 class Units:
     """How a text is cut: window and gram lengths, whether units are words, whether a window counts when its own
-    document repeats it, and from how many units an anchor is split into windows."""
+    document repeats it, from how many units an anchor is split into windows, and whether keys of parts go before texts."""
 
     window: int
     gram: int
     words: bool
     within: bool
     split: int = SPLIT
+    narrow: bool = False
 
     def values(self, raw: bytes) -> np.ndarray:
         return word_values(raw)[0] if self.words else byte_values(raw)
@@ -157,6 +164,38 @@ class Units:
                 multi[k] = np.searchsorted(places, start[k] + size[k] + w - 1) - np.searchsorted(places, start[k]) > 1
         return start + at, size, anchor, multi
 
+    def parts(self, values: np.ndarray, pos: np.ndarray, n: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(pos, windows, key, segment) of the parts of segments. Keys are even and have 40 bits."""
+        side, sums = (self.window - self.gram) // 2, prefix(values)
+        gram, owner = grams(sums, self.gram) & ~_U(1), np.arange(len(pos))
+        at = self._first(gram, pos, anchor)
+        several = at < pos + n - 1  # its later windows hold the anchor at a later place: each window on its own
+        if several.any():
+            apart = np.flatnonzero(several)
+            own = np.repeat(apart, n[apart])
+            each = pos[own] + np.arange(len(own)) - np.repeat(np.cumsum(n[apart]) - n[apart], n[apart])
+            owner = np.concatenate((np.flatnonzero(~several), own))
+            order = np.argsort(owner, kind="stable")
+            at = np.concatenate((at[~several], self._first(gram, each, anchor[own])))[order]
+            pos, n, owner = np.concatenate((pos[~several], each))[order], np.concatenate((n[~several], np.ones(len(each), np.int64)))[order], owner[order]
+        left = np.clip(at - side - pos + 1, 0, n)
+        # By turns: windows from the units before the anchor, and those that have less before it and so more after it.
+        pos, n, owner = np.stack((pos, pos + left), 1).ravel(), np.stack((left, n - left), 1).ravel(), np.repeat(owner, 2)
+        start, end = np.stack((at - side, at), 1).ravel(), np.stack((at + self.gram, at + self.window - side + 1), 1).ravel()
+        some = n > 0
+        return pos[some], n[some], stretches(sums, start[some], end[some]) >> _U(24) & ~_U(1), owner[some]
+
+    def _first(self, gram: np.ndarray, pos: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+        """Where the windows at pos have their anchor first, by the upper half of its hash: any place will do that follows
+        from the window alone."""
+        if not len(pos):
+            return pos
+        near = np.lib.stride_tricks.sliding_window_view((gram >> _U(32)).astype("<u4"), self.window - self.gram + 1)
+        want, step, out = (anchor >> _U(32)).astype("<u4"), 1 << 13, np.empty(len(pos), np.int64)
+        for k in range(0, len(pos), step):
+            out[k : k + step] = pos[k : k + step] + (near[pos[k : k + step]] == want[k : k + step, None]).argmax(axis=1)
+        return out
+
     def cutter(self, raw: bytes) -> Callable[[int, int], bytes]:
         """Gives the units [a, b) of a text; words by one space."""
         if not self.words:
@@ -305,6 +344,82 @@ def _repeated(units: Units):
     return run
 
 
+def _halves(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of 40 bits for packed()."""
+    return (keys & _U(0xFFFFFFFF)).astype("<u4"), (keys >> _U(32)).astype("u1")
+
+
+def _joined(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(_U) | high.astype(_U) << _U(32)
+
+
+def _keys(units: Units, buckets: int):
+    """Between 2 and 3. Rows of DOCS, a group's repeated anchors before its documents: the distinct keys of parts, with
+    whether the group has one twice (1) and whether its anchor is to be split (2)."""
+
+    def sent(g: int, held: list[tuple]) -> Iterator[tuple]:
+        every, split = (np.concatenate(x) for x in zip(*held, strict=True))
+        keys, which, places = np.unique(every, return_inverse=True, return_counts=True)
+        told = ((places > 1) + 2 * (np.bincount(which, split, len(keys)) > 0)).astype("u1")
+        for bucket, at in _by(bucket_of(keys, buckets)):
+            yield bucket, g, packed(*_halves(keys[at]), told[at])
+
+    def rows(batches):
+        last, blobs, repeated = None, [], None
+        held: list[tuple] = []
+        size = 0
+        for g, kind, _, _, text, blob in _rows(batches):
+            if held and (g != last or size > HELD_SEGMENTS):
+                yield from sent(last, held)
+                held, size = [], 0
+            if g != last:
+                last, blobs, repeated = g, [], None
+            if kind == 0:
+                blobs.append(unpacked(blob, "<u8")[0])
+                continue
+            if repeated is None:
+                repeated = np.sort(np.concatenate([np.empty(0, _U), *blobs]))
+                anchors, blobs = repeated & ~_U(1), []
+            if not len(repeated):
+                continue
+            values = units.values(text.encode())
+            pos, n, anchor, _ = units.segments(values)
+            found = np.minimum(np.searchsorted(anchors, anchor), len(anchors) - 1)
+            hit = anchors[found] == anchor
+            if hit.any():
+                _, _, keys, owner = units.parts(values, pos[hit], n[hit], anchor[hit])
+                held.append((keys, (repeated[found[hit]] & _U(1))[owner].astype(np.int8)))
+                size += len(keys)
+        if held:
+            yield from sent(last, held)
+
+    def run(batches):
+        yield from _batches(rows(batches), "bucket int, g int, blob binary")
+
+    return run
+
+
+def _repeated_keys(batches):
+    """Rows (bucket, g, blob) sorted by bucket; the keys that repeat, odd if the anchor of any part is to be split, so that
+    all places of a key hear the same."""
+
+    def rows():
+        for _, held in _grouped(_rows(batches)):
+            parts = [(g, _joined(low, high), told) for g, (low, high, told) in ((g, unpacked(blob, "<u4", "u1", "u1")) for g, blob in held)]
+            told = np.concatenate([p[2] for p in parts])
+            keys, which, places = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True, return_counts=True)
+            often = (places > 1) | (np.bincount(which, told & 1) > 0)
+            keys |= (np.bincount(which, told & 2) > 0).astype(_U)
+            at = 0
+            for g, own, _ in parts:
+                here = which[at : at + len(own)]
+                at += len(own)
+                if len(found := keys[here[often[here]]]):
+                    yield g, packed(*_halves(found))
+
+    yield from _batches(rows(), "g int, blob binary")
+
+
 class _Texts:
     """Step 3: the distinct texts of a group's segments, and the places that have them."""
 
@@ -344,11 +459,21 @@ class _Texts:
         pos, n, anchor, _ = units.segments(values)
         if not len(pos) or not len(self.keys):
             return
-        found = np.minimum(np.searchsorted(self.keys, anchor), len(self.keys) - 1)
-        hit = self.keys[found] == anchor
+        key = anchor
+        if units.narrow:
+            pos, n, key, owner = units.parts(values, pos, n, anchor)
+            anchor = anchor[owner]
+        found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = self.keys[found] == key
         if not hit.any():
             return
-        pos, n, anchor, split = pos[hit], n[hit], anchor[hit], (self.repeated[found[hit]] & _U(1)).tolist()
+        pos, n, anchor, apart = pos[hit], n[hit], anchor[hit], self.repeated[found[hit]] & _U(1)
+        if units.narrow:
+            # Parts of one segment that both go are one text.
+            owner = owner[hit]
+            first = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (pos[1:] != pos[:-1] + n[:-1]) | (apart[1:] | apart[:-1]).astype(bool))))
+            pos, n, anchor, apart = pos[first], np.add.reduceat(n, first), anchor[first], apart[first]
+        split = apart.tolist()
         cut, at, refs, key = units.cutter(raw), [], [], doc_id or 0
         windows = grams(prefix(values), window).tolist() if any(split) else None
         for p, m, a, apart in zip(pos.tolist(), n.tolist(), anchor.tolist(), split, strict=True):
@@ -390,7 +515,7 @@ def _texts(units: Units, buckets: int):
                     yield from held.sent(last, buckets)
                 held, last, blobs = None, g, []
             if kind == 0:
-                blobs.append(unpacked(blob, "<u8")[0])
+                blobs.append(_joined(*unpacked(blob, "<u4", "u1")) if units.narrow else unpacked(blob, "<u8")[0])
                 continue
             if held is None:
                 held = _Texts(units, np.concatenate([np.empty(0, _U), *blobs]))
@@ -548,12 +673,20 @@ def without_repeats(docs: DataFrame, id_col: str, text_col: str, units: Units, r
     repeated = written(anchors.repartitionById(n, here).sortWithinPartitions("bucket").mapInArrow(_repeated(units), "g int, blob binary"), "repeated-anchors")
     clean_shuffles(spark)
     both = _blobs(repeated, 0).unionByName(grouped)
+    if units.narrow:
+        keys = both.repartitionById(n, F.col("g")).sortWithinPartitions("g", "kind").mapInArrow(_keys(units, buckets), "bucket int, g int, blob binary")
+        narrower = written(keys.repartitionById(n, here).sortWithinPartitions("bucket").mapInArrow(_repeated_keys, "g int, blob binary"), "repeated-keys")
+        dropped(repeated)
+        clean_shuffles(spark)
+        repeated = narrower
+        both = _blobs(repeated, 0).unionByName(grouped)
     texts = written(both.repartitionById(n, F.col("g")).sortWithinPartitions("g", "kind").mapInArrow(_texts(units, buckets), "kind int, key int, blob binary"), "segment-texts", "kind")
     dropped(repeated)
     clean_shuffles(spark)
     dealt = texts.where("kind = 0").select(F.col("key").alias("bucket"), "blob").repartitionById(n, here).sortWithinPartitions("bucket")
     verdicts = written(dealt.mapInArrow(_verdicts(units, resolve), "g int, blob binary"), "verdicts")
     clean_shuffles(spark)
+    dropped_part(texts, "kind=0")
     places = texts.where("kind = 1").select(F.col("key").alias("g"), "blob")
     all_rows = _blobs(places, 0).unionByName(_blobs(verdicts, 1)).unionByName(_documents(docs, id_col, text_col, n, 2))
     return all_rows.repartitionById(n, F.col("g")).sortWithinPartitions("g", "kind").mapInArrow(_applied(units, finish), schema)
