@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -142,6 +143,72 @@ def test_texts_that_share_less_are_no_pairs(spark, monkeypatch):
     assert asked[1] < 10 * len(rows)
 
 
+def changed_copies(n, seed=22):
+    """Copies of a text that isn't among them: each has one word of 150 changed, somewhere else each time."""
+    r = random.Random(seed)
+    words = ["".join(r.choices("abcdefghij", k=6)) for _ in range(3000)]
+    body, texts = r.choices(words, k=150), []
+    for _ in range(n):
+        copy = body[:]
+        copy[r.randrange(len(body))] = r.choice(words)
+        texts.append(" ".join(copy))
+    return texts
+
+
+def test_pairs_of_a_group_are_no_more_than_its_texts(spark, monkeypatch):
+    """A group of 300 near copies whose fingerprints are close: none is lost, and the pairs to verify grow with the texts
+    and not with the pairs of them that are close."""
+    rows = list(enumerate(changed_copies(300)))
+    asked, verified = [], near._verified
+
+    def counted(pairs, *args):
+        asked.append(pairs.count())
+        return verified(pairs, *args)
+
+    monkeypatch.setattr(near, "_verified", counted)
+    got = near.kept_rows(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert {x.doc_id for x in got.collect()} == similar_groups(dict(rows)) == {0}
+    assert asked[0] <= len(rows) and sum(asked) < 2 * len(rows)
+
+
+def test_a_text_follows_one_leader_of_a_bucket():
+    """A bucket in which texts are close to several leaders, read at once and in batches: a pair a text at most, and the
+    followers of a leader are counted."""
+    r = np.random.default_rng(23)
+    for n, rows_a_batch in ((2, 10), (9, 10), (400, 1000), (400, 50)):
+        prints = np.zeros((n, 128), np.uint8)
+        for row in prints:
+            row[r.choice(128, 17, replace=False)] = 1
+        prints = np.packbits(prints, axis=1).view("<i8")
+        columns = [np.zeros(n, np.int64), prints[:, 0], prints[:, 1]]
+        batches = [pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[i : i + rows_a_batch])) for c in columns], names=["key", "f0", "f1"]) for i in range(0, n, rows_a_batch)]
+        a0, a1, b0, b1, followers = (np.concatenate([b.column(k).to_numpy() for b in near._pairs(batches)]) for k in range(5))
+        pairs = {(w, x): (y, z) for w, x, y, z in zip(a0, a1, b0, b1)}
+        assert len(pairs) == len(a0) < n and not set(pairs) & set(pairs.values())
+        assert followers.max(initial=0) == max(Counter(pairs.values()).values(), default=0)
+
+
+def test_groups_that_are_apart_meet_by_one_pair_each(spark):
+    texts = changed_copies(120)
+    sets = [near.shingle_set(t.encode()) for t in texts]
+    # One bucket: two roots, sixty texts each.
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in ([7] * 120, [k // 60 * 60 for k in range(120)], list(range(120)), list(map(len, sets)), [0] * 120, list(map(near.sketch, sets)))], names=["key", "root", "vid", "n", "place", "sketch"])
+    every = sum(b.num_rows for b in near._across(0.8)([batch]))
+    nearest = [r for b in near._across(0.8, True)([batch]) for r in b.to_pylist()]
+    assert every > 1000 and [r["root"] for r in nearest] == [0, 60]
+    u, v = nearest[0]["u"], nearest[0]["v"]
+    assert u < 60 <= v and len(np.intersect1d(sets[u], sets[v])) >= 0.8 * len(np.union1d(sets[u], sets[v]))
+    # Groups that fingerprints have not found at all: what is joined are near copies, by no more pairs than groups.
+    other = changed_copies(40, seed=24)
+    rows = list(enumerate(texts + other))
+    marked = spark.createDataFrame(rows, "doc_id long, text string").withColumn("mark", F.sha2("text", 256)).repartition(5)
+    vertices = near._vertices(marked, 5, 0.8)
+    found = near._joined(spark.createDataFrame([], "v long, root long"), vertices, marked, 5, 0.8)
+    roots = {r.id: r.root for r in vertices.join(found, vertices.vid == found.v, "left").select(F.col("first.doc_id").alias("id"), F.coalesce("root", "vid").alias("root")).collect()}
+    assert len(roots) == 160 and 2 <= len(set(roots.values())) <= 80
+    assert not {roots[i] for i in range(120)} & {roots[i] for i in range(120, 160)}
+
+
 def test_large_group_of_near_copies(spark):
     """A third of all rows one text but for a number: a star, not all pairs; and sets of one fingerprint apart."""
     r = random.Random(18)

@@ -5,9 +5,9 @@ Such texts' fingerprints differ in up to a sixth of their bits, too many for a g
 here are longer, 192 bits of the distinct shingles, and errors are spread over more segments: for each of 24 places the
 8 bits there must agree, and the 23 bits after them are decoded to nearby codewords of the Golay code, so that up to two
 errors in them leave a key in common. Fingerprints that share a place, its bits and a codeword meet in a bucket, in their
-order. There each is compared with the bucket's leaders, those that no earlier leader is close to, so a group of copies
-gives a star and not all of its pairs, and much the same star in every bucket. What is close is a pair to verify, and
-every pair is verified on the texts' own shingles.
+order. There each follows the first leader that it is close to, or leads itself. Of all buckets' leaders a text is paired
+with the one that the most follow in a bucket, so a group of copies gives stars, and there are fewer pairs than texts
+however large a group is. Every pair is verified on the texts' own shingles.
 
 A vertex is a set of shingles, so equal sets never multiply; sets of one fingerprint are paired with the first of them.
 Verified pairs are joined to groups by ``simhash.components``.
@@ -20,8 +20,10 @@ each: those of them that more than one text has are the set's keys. A set withou
 those that meet by a key and that fingerprints have not put into one group already are verified too, whatever the size
 of the bucket, but for pairs whose sizes, places in the order or sketches rule the similarity out. A sketch says for each
 of 512 places whether an odd number of a set's shingles fall there; where two sketches differ, a shingle is in one set
-only, so they differ in no more places than the sets do in shingles. So all pairs of that similarity are within a group,
-and only those join a group.
+only, so they differ in no more places than the sets do in shingles. First each group is joined to another by the one of
+its pairs whose sketches are most alike (one pair a group, again while a tenth of them are links), so that two parts of a
+large group don't meet by all of their pairs; then all pairs of groups that are still apart are verified. So all pairs of
+that similarity are within a group, and only those join a group.
 
 Defined results: null text counts as empty; words are cut at ASCII white space after A-Z are made lower case; a text of
 fewer words than a shingle is one shingle, one without words has an empty set, equal to other empty sets; of a group the
@@ -51,6 +53,8 @@ WORDS, EXACT, FUZZY, CLOSE, FEW = 3, 8, 23, 31, 16
 SKETCH, SKETCHES_AT_ONCE = 512, 1 << 15
 #: What rounding may add to a product of a similarity and a size; pairs that are looked at, and held, at once.
 ROUNDING, AT_ONCE = 1e-6, 1 << 18
+#: The part of the pairs, one a group, that must have been links for groups to be joined by such pairs once more.
+LINKED = 0.1
 _U = np.uint64
 
 
@@ -106,7 +110,7 @@ def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64) <= CLOSE
 
 
-def _few(keys: np.ndarray, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _few(keys: np.ndarray, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Whole buckets of a few: rows are first compared one step apart, two, and so on, for all buckets at once, and only
     what is close to any other goes by leaders."""
     met = np.zeros(len(keys), bool)
@@ -120,9 +124,9 @@ def _few(keys: np.ndarray, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.
     edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else np.zeros(1, np.int64)
     sizes = np.diff(edges)
     pairs = edges[:-1][sizes == 2]
-    yield prints[pairs], prints[pairs + 1]
+    yield prints[pairs + 1], prints[pairs], np.ones(len(pairs), np.int64)
     for a, n in zip(edges[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-        yield from _Leaders().met(prints[a : a + n])
+        yield _Leaders().met(prints[a : a + n])
 
 
 def _from_the_middle(prints: np.ndarray) -> np.ndarray:
@@ -134,36 +138,43 @@ def _from_the_middle(prints: np.ndarray) -> np.ndarray:
 
 
 class _Leaders:
-    """One bucket, as its rows come; what is held are the leaders."""
+    """One bucket, as its rows come; what is held are the leaders and how many follow them."""
 
     def __init__(self) -> None:
-        self.held, self.n = np.empty((64, 2), _U), 0
+        self.held, self.followers, self.n = np.empty((64, 2), _U), np.zeros(64, np.int64), 0
 
-    def met(self, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def met(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Those that follow a leader, the leader, and its followers so far."""
         if not self.n and len(prints) > 2:
             prints = _from_the_middle(prints)
-        for p in prints:
+        who, led = [], []
+        for k, p in enumerate(prints):
             close = np.flatnonzero(_close(self.held[: self.n], p))
             if len(close):
-                yield self.held[close], np.broadcast_to(p, (len(close), 2))
+                who.append(k)
+                led.append(close[0])
+                self.followers[close[0]] += 1
             else:
                 if self.n == len(self.held):
                     self.held = np.concatenate((self.held, np.empty_like(self.held)))
+                    self.followers = np.concatenate((self.followers, np.zeros_like(self.followers)))
                 self.held[self.n] = p
                 self.n += 1
+        at = np.array(led, np.int64)
+        return prints[np.array(who, np.int64)], self.held[at], self.followers[at]
 
 
 def _pairs(batches):
-    """Rows come sorted by key. A bucket that goes on in the next batch is held over while it is small."""
+    """Rows come sorted by key: whom each follows in a bucket (a: itself, b: its leader). A bucket that goes on in the next
+    batch is held over while it is small."""
     keys, prints = np.empty(0, np.int64), np.empty((0, 2), _U)
     many: _Leaders | None = None  # the bucket that is being read, once it is known to be large
     last = None
 
     def batch_of(found: list) -> pa.RecordBatch:
-        a, b = (np.concatenate([np.empty((0, 2), _U), *(f[k] for f in found)]) for k in (0, 1))
-        low = (a[:, 0] < b[:, 0]) | (a[:, 0] == b[:, 0]) & (a[:, 1] < b[:, 1])
-        a, b = np.where(low[:, None], a, b).view(np.int64), np.where(low[:, None], b, a).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (a[:, 0], a[:, 1], b[:, 0], b[:, 1])], names=["a0", "a1", "b0", "b1"])
+        a, b = (np.concatenate([np.empty((0, 2), _U), *(f[k] for f in found)]).view(np.int64) for k in (0, 1))
+        followers = np.concatenate([np.empty(0, np.int64), *(f[2] for f in found)])
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (a[:, 0], a[:, 1], b[:, 0], b[:, 1], followers)], names=["a0", "a1", "b0", "b1", "followers"])
 
     def settled(keys: np.ndarray, prints: np.ndarray, found: list) -> None:
         """Whole buckets."""
@@ -172,14 +183,14 @@ def _pairs(batches):
         small = np.repeat(sizes <= FEW, sizes)
         found += _few(keys[small], prints[small])
         for a, n in zip(edges[:-1][sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
-            found += _Leaders().met(prints[a : a + n])
+            found.append(_Leaders().met(prints[a : a + n]))
 
     for batch in batches:
         found: list = []
         new = batch.column(0).to_numpy(), np.stack([batch.column(k).to_numpy() for k in (1, 2)], axis=1).view(_U)
         if many is not None:
             go_on = int(np.searchsorted(new[0], last, "right"))
-            found += many.met(new[1][:go_on])
+            found.append(many.met(new[1][:go_on]))
             new = new[0][go_on:], new[1][go_on:]
             many = None if len(new[0]) else many
         keys, prints = np.concatenate((keys, new[0])), np.concatenate((prints, new[1]))
@@ -190,7 +201,7 @@ def _pairs(batches):
             keys, prints = keys[cut:], prints[cut:]
             if len(keys) > FEW:
                 many = _Leaders()
-                found += many.met(prints)
+                found.append(many.met(prints))
                 keys, prints = keys[:0], prints[:0]
         yield batch_of(found)
     found = []
@@ -304,18 +315,26 @@ def _vertices(marked: DataFrame, size: int, similarity: float) -> DataFrame:
     return out
 
 
-def _across(similarity: float):
+def _across(similarity: float, nearest: bool = False):
     """Rows (key, root, vid, n, place, sketch) sorted by key and root: pairs of one key, of different roots, whose sizes,
     places and sketches allow the similarity. A pair's first shingle in common is at most at the lesser place, and what
-    comes after a key in either set is all that they can share beyond it."""
+    comes after a key in either set is all that they can share beyond it. nearest: of each root in a bucket only the pair
+    whose sketches differ least for its size, with the root and that difference."""
+    names = ["root", "apart", "u", "v"] if nearest else ["u", "v"]
 
-    def alike(i: np.ndarray, j: np.ndarray, n: np.ndarray, sketches: np.ndarray) -> np.ndarray:
-        most = (1 - similarity) / (1 + similarity) * (n[i] + n[j]) + ROUNDING
+    def differing(i: np.ndarray, j: np.ndarray, sketches: np.ndarray) -> np.ndarray:
         parts = range(0, len(i), SKETCHES_AT_ONCE)
         apart = [np.bitwise_count(sketches[i[k : k + SKETCHES_AT_ONCE]] ^ sketches[j[k : k + SKETCHES_AT_ONCE]]).sum(1, dtype=np.int64) for k in parts]
-        return np.concatenate([np.empty(0, np.int64), *apart]) <= most
+        return np.concatenate([np.empty(0, np.int64), *apart])
 
-    def met(rows: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def least(found: list[np.ndarray]) -> list[np.ndarray]:
+        """Of rows (root, apart, u, v) the least of each root."""
+        order = np.lexsort(found[::-1])
+        root = found[0][order]
+        order = order[np.flatnonzero(np.concatenate(([True], root[1:] != root[:-1])))] if len(order) else order
+        return [c[order] for c in found]
+
+    def met(rows: np.ndarray, sketches: np.ndarray) -> Iterator[list[np.ndarray]]:
         keys, root, vid, n, place = rows
         edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else np.zeros(1, np.int64)
         apart = root[edges[:-1]] != root[edges[1:] - 1]
@@ -328,13 +347,16 @@ def _across(similarity: float):
                 most = np.minimum(place[i], place[j]) + np.minimum(n[i] - place[i], n[j] - place[j])
                 x, y = np.nonzero(can & (most >= similarity / (1 + similarity) * (n[i] + n[j]) - ROUNDING))
                 x, y = at + x, a + y
-                can = alike(x, y, n, sketches)
-                x, y = vid[x[can]], vid[y[can]]
-                yield np.minimum(x, y), np.maximum(x, y)
+                differ, both = differing(x, y, sketches), n[x] + n[y]
+                can = differ <= (1 - similarity) / (1 + similarity) * both + ROUNDING
+                x, y, share = x[can], y[can], differ[can] / both[can]
+                u, v = np.minimum(vid[x], vid[y]), np.maximum(vid[x], vid[y])
+                yield least([np.concatenate((root[x], root[y])), *(np.tile(c, 2) for c in (share, u, v))]) if nearest else [u, v]
 
     def batch_of(found: list) -> pa.RecordBatch:
-        pairs = np.unique(np.concatenate([np.empty((0, 2), np.int64), *(np.stack(f, axis=1) for f in found)]), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["u", "v"])
+        columns = [np.concatenate([np.empty(0, np.float64 if name == "apart" else np.int64), *(f[k] for f in found)]) for k, name in enumerate(names)]
+        columns = least(columns) if nearest else np.unique(np.stack(columns, axis=1), axis=0).T
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=names)
 
     def whole(batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         rows, sketches = np.empty((5, 0), np.int64), np.empty((0, SKETCH // 64), _U)
@@ -363,6 +385,11 @@ def _across(similarity: float):
 
 def _verified(pairs: DataFrame, vertices: DataFrame, marked: DataFrame, size: int, similarity: float) -> DataFrame:
     """Pairs whose sets are as similar as that, by the shingles of one text of each set."""
+    return _similar(pairs, _sets(pairs, vertices, marked, size), similarity)
+
+
+def _sets(pairs: DataFrame, vertices: DataFrame, marked: DataFrame, size: int) -> DataFrame:
+    """vid, shingles of the sets that are in a pair."""
     named = vertices.select("vid", F.col("first.doc_id").alias("id2"), F.col("first.mark").alias("mark2"))
     asked = pairs.select(F.explode(F.array("u", "v")).alias("vid")).distinct().join(named, "vid")
 
@@ -372,12 +399,43 @@ def _verified(pairs: DataFrame, vertices: DataFrame, marked: DataFrame, size: in
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["vid", "shingles"])
 
     texts = marked.join(asked, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("mark") == F.col("mark2"))).select("vid", "text")
-    sets = written(texts.mapInArrow(run, "vid bigint, shingles array<bigint>").dropDuplicates(["vid"]), "sets")
+    return written(texts.mapInArrow(run, "vid bigint, shingles array<bigint>").dropDuplicates(["vid"]), "sets")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     a, b = (sets.select(F.col("vid").alias(end), F.col("shingles").alias(f"of_{end}")) for end in ("u", "v"))
     shared, both = F.size(F.array_intersect("of_u", "of_v")), F.size("of_u") + F.size("of_v")
     return pairs.join(a, "u").join(b, "v").where((both == 0) | (shared >= F.lit(similarity) * (both - shared))).select("u", "v")
 
 
+def _by_key(vertices: DataFrame, found: DataFrame) -> DataFrame:
+    """What _across reads; found: the root of each vertex that is in a group and not its root."""
+    keyed = vertices.join(found, vertices.vid == found.v, "left").select(F.coalesce("root", "vid").alias("root"), "vid", "n", "alone", "sketch", F.posexplode("keys").alias("k", "key"))
+    keyed = keyed.select("key", "root", "vid", "n", (F.col("alone") + F.col("k")).alias("place"), "sketch")
+    return keyed.repartition("key").sortWithinPartitions("key", "root")
+
+
+def _joined(found: DataFrame, vertices: DataFrame, marked: DataFrame, size: int, similarity: float) -> DataFrame:
+    """found after groups have been joined by their nearest pairs."""
+    while True:
+        near = _by_key(vertices, found).mapInArrow(_across(similarity, True), "root bigint, apart double, u bigint, v bigint")
+        near = near.groupBy("root").agg(F.min(F.struct("apart", "u", "v")).alias("least"))
+        pairs = written(near.select("least.u", "least.v").distinct(), "nearest")
+        clean_shuffles(vertices.sparkSession)
+        asked = pairs.count()
+        if not asked:
+            dropped(pairs)
+            return found
+        sets = _sets(pairs, vertices, marked, size)
+        links = written(_similar(pairs, sets, similarity), "nearest-verified")
+        n = links.count()
+        if n:
+            found = components(found.select(F.col("root").alias("u"), "v").unionByName(links))
+        dropped(pairs, sets, links)
+        if n < LINKED * asked:
+            return found
+
+
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each group of near copies with all its columns."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
@@ -389,7 +447,8 @@ def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     # Sets whose first two words are the same meet through the first of them.
     one = vertices.groupBy("f0", "f1").agg(F.min("vid").alias("rep"), F.min_by(F.struct(*PRINTS), "vid").alias("f"))
     # A short row gives many keys, so rows are dealt out by number and not by size.
-    met = one.select("f.*").repartition(shuffle_partitions(docs.sparkSession), "f0", "f1").mapInArrow(_keyed, "key bigint, f0 bigint, f1 bigint").repartition("key").sortWithinPartitions("key", "f0", "f1").mapInArrow(_pairs, "a0 bigint, a1 bigint, b0 bigint, b1 bigint").distinct()
+    met = one.select("f.*").repartition(shuffle_partitions(docs.sparkSession), "f0", "f1").mapInArrow(_keyed, "key bigint, f0 bigint, f1 bigint").repartition("key").sortWithinPartitions("key", "f0", "f1").mapInArrow(_pairs, "a0 bigint, a1 bigint, b0 bigint, b1 bigint, followers bigint")
+    met = met.groupBy("a0", "a1").agg(F.max(F.struct("followers", "b0", "b1")).alias("best")).select("a0", "a1", "best.b0", "best.b1")
     for end in "ab":
         met = met.join(one.select(F.col("f0").alias(f"{end}0"), F.col("f1").alias(f"{end}1"), F.col("rep").alias(end)), [f"{end}0", f"{end}1"])
     met = met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
@@ -398,10 +457,8 @@ def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     clean_shuffles(docs.sparkSession)
     links = written(_verified(pairs, vertices, marked, size, similarity), "verified")
     dropped(pairs)
-    found = components(links)
-    keyed = vertices.join(found, vertices.vid == found.v, "left").select(F.coalesce("root", "vid").alias("root"), "vid", "n", "alone", "sketch", F.posexplode("keys").alias("k", "key"))
-    keyed = keyed.select("key", "root", "vid", "n", (F.col("alone") + F.col("k")).alias("place"), "sketch")
-    rest = written(keyed.repartition("key").sortWithinPartitions("key", "root").mapInArrow(_across(similarity), "u bigint, v bigint").distinct(), "pairs")
+    found = _joined(components(links), vertices, marked, size, similarity)
+    rest = written(_by_key(vertices, found).mapInArrow(_across(similarity), "u bigint, v bigint").distinct(), "pairs")
     clean_shuffles(docs.sparkSession)
     missed = _verified(rest, vertices, marked, size, similarity)
     roots = components(found.select(F.col("root").alias("u"), "v").unionByName(missed))
