@@ -114,7 +114,7 @@ def suffix_array(text: str) -> list[int]:
     return out
 
 
-def _cores(units: Units, segments):
+def _cores(units: Units, segments) -> list[list[tuple[int, int]]]:
     """Windows that two distinct segments may share: per segment, its stretches of such windows (start, end in bytes).
     One sort of all window hashes; a run of equal ones counts if it comes from more than one segment."""
     raws = [raw for _, _, raw, _, _ in segments]
@@ -129,10 +129,16 @@ def _cores(units: Units, segments):
     shared = np.minimum.reduceat(from_, start) != np.maximum.reduceat(from_, start)
     flags = np.empty(len(every), bool)
     flags[order] = np.repeat(shared, np.diff(np.append(start, len(every))))
-    at = 0
-    for size in sizes.tolist():
-        yield [(a, b) for a, b, _ in runs(flags[at : at + size].tolist(), False)]
-        at += size
+    edges = np.flatnonzero(np.concatenate(([True], (flags[1:] != flags[:-1]) | (owner[1:] != owner[:-1]), [True])))
+    start, end = edges[:-1], edges[1:]
+    some = flags[start]
+    start, end = start[some], end[some]
+    whose = owner[start]
+    base = (np.cumsum(sizes) - sizes)[whose]
+    out: list[list[tuple[int, int]]] = [[] for _ in raws]
+    for k, a, b in zip(whose.tolist(), (start - base).tolist(), (end - base).tolist(), strict=True):
+        out[k].append((a, b))
+    return out
 
 
 def _lead_pieces(pieces: list[bytes]) -> tuple[list[bytes], dict[bytes, tuple[bytes, int]]]:
@@ -195,7 +201,7 @@ def resolve(units: Units, segments):
     another one is not sorted again: its ids go to the other's windows. Sorted are anchors with several pieces of which
     none holds the rest, and those whose one piece repeats a window, since an id given at one place holds at all."""
     window = units.window
-    cores = list(_cores(units, segments))
+    cores = _cores(units, segments)
     least: dict[int, dict[bytes, int | None]] = {}
     for (anchor, _, raw, _, i), spans in zip(segments, cores, strict=True):
         own = least.setdefault(anchor, {})
@@ -217,6 +223,10 @@ def resolve(units: Units, segments):
         if len(lead) > 1 or inside and _repeats(lead[0], window):
             _sorted_lows(lead, found, window)
     for (anchor, number, raw, copies, i), spans in zip(segments, cores, strict=True):
+        if not spans:
+            if copies > 1:
+                yield number, [(0, len(raw) - window + 1, i)]
+            continue
         out_lows: list[int | None] = [i if copies > 1 else None] * (len(raw) - window + 1)
         for a, b in spans:
             piece = raw[a : b + window - 1]

@@ -18,7 +18,8 @@ Grams of bytes repeat by chance, the more the larger the corpus, so for bytes a
 A segment with a repeated anchor is cut in two, windows that have at least half of their other units before the anchor,
 and the rest; all windows of a part hold the same units beside the anchor, whose hash is the part's key. Keys go to
 their buckets as anchors did, and only parts whose key repeats have their units sent in step 3. A window's part and key
-follow from the window alone, so equal windows have equal keys.
+follow from the window alone, so equal windows have equal keys. Short texts of bytes are hashed end to end, long ones in
+blocks, and segments are gone through in arrays but for their texts and for anchors that several texts have.
 
 Hashes only say where units meet; whether they are equal is decided by comparing the units themselves. A bucket hears
 of an anchor or of a text at most once from a group, however often the group has it, so a passage in a third of all
@@ -33,6 +34,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +45,9 @@ from tracelake.llm.common import clean_shuffles, dropped, dropped_part, shuffle_
 
 #: Units of an anchor's segments from which it is split into windows; units of text in one index; windows of a segment.
 SPLIT, INDEX_UNITS, SEGMENT_WINDOWS = 100_000, 200_000, 512
-#: Units that are hashed at once; segments of a group, and bytes of their texts, that are held before they are sent.
-BLOCK, HELD_SEGMENTS, HELD_BYTES = 1 << 20, 2_000_000, 64 << 20
+#: Units that are hashed at once, and bytes: texts end to end; segments of a group, and bytes of their texts, that are held
+#: before they are sent.
+BLOCK, BYTES, HELD_SEGMENTS, HELD_BYTES = 1 << 20, 1 << 15, 2_000_000, 64 << 20
 #: Buckets for each partition, which a task takes one after the other.
 BUCKETS = 4
 
@@ -126,7 +129,8 @@ def byte_values(raw: bytes) -> np.ndarray:
 @dataclass(frozen=True)
 class Units:
     """How a text is cut: window and gram lengths, whether units are words, whether a window counts when its own
-    document repeats it, from how many units an anchor is split into windows, and whether keys of parts go before texts."""
+    document repeats it, from how many units an anchor is split into windows, and whether keys of parts go before texts (of
+    bytes, of which only other documents' count)."""
 
     window: int
     gram: int
@@ -164,44 +168,119 @@ class Units:
                 multi[k] = np.searchsorted(places, start[k] + size[k] + w - 1) - np.searchsorted(places, start[k]) > 1
         return start + at, size, anchor, multi
 
-    def parts(self, values: np.ndarray, pos: np.ndarray, n: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(pos, windows, key, segment) of the parts of segments. Keys are even and have 40 bits."""
-        side, sums = (self.window - self.gram) // 2, prefix(values)
-        gram, owner = grams(sums, self.gram) & ~_U(1), np.arange(len(pos))
-        at = self._first(gram, pos, anchor)
-        several = at < pos + n - 1  # its later windows hold the anchor at a later place: each window on its own
+    def block(self, raws: list[bytes]) -> Block:
+        """The segments of one text, or where units are narrow of several, together up to BYTES (one: less than a window more)."""
+        if not self.narrow:
+            (raw,) = raws
+            values = self.values(raw)
+            pos, n, anchor, multi = self.segments(values)
+            return Block(self, raw, lambda: prefix(values), pos, n, anchor, multi, np.zeros(len(pos), np.int64), np.zeros(1, np.int64))
+        raw = b"".join(raws)
+        ends, sums = np.cumsum([len(x) for x in raws]), prefix(byte_values(raw))
+        # An anchor's lowest bits are its place, so that the least is the first of equal ones.
+        low = _U((1 << max(16, (BYTES + self.window).bit_length())) - 1)
+        gram = grams(sums, self.gram)
+        gram &= ~low
+        gram |= np.arange(len(gram), dtype=_U)
+        least = sliding_least(gram, self.window - self.gram + 1)
+        anchor = least & ~low
+        fresh = np.concatenate(([True], anchor[1:] != anchor[:-1], [True]))
+        # Windows over a text's end are segments of their own, which go.
+        fresh[ends[:-1]] = True
+        fresh[ends - self.window + 1] = True
+        start = np.flatnonzero(fresh)
+        start, size = start[:-1], np.diff(start)
+        text = np.searchsorted(ends, start, "right")
+        whole = start + self.window <= ends[text]
+        start, size, text = start[whole], size[whole], text[whole]
+        if size.max(initial=0) > SEGMENT_WINDOWS:
+            times = -(-size // SEGMENT_WINDOWS)
+            each = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            size = np.minimum(np.repeat(size, times) - each * SEGMENT_WINDOWS, SEGMENT_WINDOWS)
+            start, text = np.repeat(start, times) + each * SEGMENT_WINDOWS, np.repeat(text, times)
+        multi = np.zeros(len(start), bool)
+        return Block(self, raw, lambda: sums, start, size, anchor[start], multi, text, np.concatenate(([0], ends[:-1])), (least & low).view(np.int64))
+
+
+@dataclass(frozen=True)
+class Block:
+    """Texts end to end, the prefix sums of their units and their segments: position, windows, anchor, whether it may hold a
+    window twice, and which text it is of; where each text begins; where units are narrow, the first place of each window's
+    anchor."""
+
+    units: Units
+    raw: bytes
+    sums: Callable[[], np.ndarray]
+    pos: np.ndarray
+    n: np.ndarray
+    anchor: np.ndarray
+    multi: np.ndarray
+    text: np.ndarray
+    first: np.ndarray
+    at: np.ndarray | None = None
+
+    def parts(self, hit: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(pos, windows, key, segment) of the parts of some segments. Keys are even and have 40 bits."""
+        window, gram = self.units.window, self.units.gram
+        side, pos, n, owner = (window - gram) // 2, self.pos[hit], self.n[hit], hit
+        several = self.at[pos] != self.at[pos + n - 1]  # its later windows hold the anchor at a later place: each window on its own
         if several.any():
-            apart = np.flatnonzero(several)
-            own = np.repeat(apart, n[apart])
-            each = pos[own] + np.arange(len(own)) - np.repeat(np.cumsum(n[apart]) - n[apart], n[apart])
-            owner = np.concatenate((np.flatnonzero(~several), own))
-            order = np.argsort(owner, kind="stable")
-            at = np.concatenate((at[~several], self._first(gram, each, anchor[own])))[order]
-            pos, n, owner = np.concatenate((pos[~several], each))[order], np.concatenate((n[~several], np.ones(len(each), np.int64)))[order], owner[order]
+            times = np.where(several, n, 1)
+            inner = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            pos, n, owner = np.repeat(pos, times) + inner, np.repeat(np.where(several, 1, n), times), np.repeat(owner, times)
+        at = self.at[pos]
         left = np.clip(at - side - pos + 1, 0, n)
         # By turns: windows from the units before the anchor, and those that have less before it and so more after it.
-        pos, n, owner = np.stack((pos, pos + left), 1).ravel(), np.stack((left, n - left), 1).ravel(), np.repeat(owner, 2)
-        start, end = np.stack((at - side, at), 1).ravel(), np.stack((at + self.gram, at + self.window - side + 1), 1).ravel()
-        some = n > 0
-        return pos[some], n[some], stretches(sums, start[some], end[some]) >> _U(24) & ~_U(1), owner[some]
-
-    def _first(self, gram: np.ndarray, pos: np.ndarray, anchor: np.ndarray) -> np.ndarray:
-        """Where the windows at pos have their anchor first, by the upper half of its hash: any place will do that follows
-        from the window alone."""
-        if not len(pos):
-            return pos
-        near = np.lib.stride_tricks.sliding_window_view((gram >> _U(32)).astype("<u4"), self.window - self.gram + 1)
-        want, step, out = (anchor >> _U(32)).astype("<u4"), 1 << 13, np.empty(len(pos), np.int64)
-        for k in range(0, len(pos), step):
-            out[k : k + step] = pos[k : k + step] + (near[pos[k : k + step]] == want[k : k + step, None]).argmax(axis=1)
-        return out
-
-    def cutter(self, raw: bytes) -> Callable[[int, int], bytes]:
-        """Gives the units [a, b) of a text; words by one space."""
-        if not self.words:
-            return lambda a, b: raw[a:b]
-        words = raw.split()
-        return lambda a, b: b" ".join(words[a:b])
+        pos, n, owner = _in_turns(pos, pos + left), _in_turns(left, n - left), np.repeat(owner, 2)
+        start, end = _in_turns(at - side, at), _in_turns(at + gram, at + window - side + 1)
+        some = np.flatnonzero(n)
+        return pos[some], n[some], stretches(self.sums(), start[some], end[some]) >> _U(24) & ~_U(1), owner[some]
+
+    def cut(self, start: np.ndarray, end: np.ndarray) -> Iterator[bytes]:
+        """The units of each stretch; words by one space."""
+        each = zip(start.tolist(), end.tolist(), strict=True)
+        if not self.units.words:
+            raw = self.raw
+            return (raw[a:b] for a, b in each)
+        words = self.raw.split()
+        return (b" ".join(words[a:b]) for a, b in each)
+
+
+def _in_turns(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.empty(2 * len(a), np.int64)
+    out[::2], out[1::2] = a, b
+    return out
+
+
+class _Known:
+    """A table of distinct numbers that are told with a mark, their lowest bit. Numbers are looked up by slots of equal upper bits
+    of their hash: a search in a sorted table is some twenty cache misses."""
+
+    def __init__(self, told: np.ndarray):
+        keys = mixed(told & ~_U(1))
+        order = np.argsort(keys)
+        self.keys, self.marks = keys[order], (told & _U(1)).astype(bool)[order]
+        bits = max(1, len(keys).bit_length())
+        self.shift = _U(64 - bits)
+        self.edges = np.zeros((1 << bits) + 1, np.int32 if len(keys) >> 31 == 0 else np.int64)
+        np.cumsum(np.bincount((self.keys >> self.shift).astype(np.int64), minlength=1 << bits), out=self.edges[1:])
+
+    def find(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the numbers the table has, and their marks."""
+        keys = mixed(numbers)
+        slot = (keys >> self.shift).astype(np.int64)
+        at, end = self.edges[slot], self.edges[slot + 1]
+        found = np.full(len(keys), -1)
+        rest = np.flatnonzero(at < end)
+        at = at[rest]
+        while len(rest):
+            here = self.keys[at] == keys[rest]
+            found[rest[here]] = at[here]
+            at += 1
+            more = ~here & (at < end[rest])
+            rest, at = rest[more], at[more]
+        hit = np.flatnonzero(found >= 0)
+        return hit, self.marks[found[hit]]
 
 
 def packed(*columns: np.ndarray | bytes) -> bytes:
@@ -286,6 +365,37 @@ def _blobs(df: DataFrame, kind: int) -> DataFrame:
     return df.select("g", F.lit(kind).alias("kind"), F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("mark"), F.lit(None).cast("string").alias("text"), "blob")
 
 
+#: A text of a block: document id, mark, and where in the document the text begins.
+Part = tuple[int | None, int | None, int]
+
+
+def _in_blocks(units: Units, rows: Iterable[tuple]) -> Iterator[tuple[int, list[bytes], list[Part], Block]]:
+    """Rows of DOCS, a group's blobs before its documents: group, its blobs (one list a group), texts, their block."""
+    last, blobs = None, []
+    texts: list[Part] = []
+    raws: list[bytes] = []
+    size = 0
+    for g, kind, doc_id, mark, text, blob in rows:
+        if g != last:
+            if raws:
+                yield last, blobs, texts, units.block(raws)
+            last, blobs, texts, raws, size = g, [], [], [], 0
+        if kind == 0:
+            blobs.append(blob)
+            continue
+        raw = text.encode()
+        for at in range(0, len(raw) - units.window + 1, BYTES) if units.narrow else (0,):
+            piece = raw[at : at + BYTES + units.window - 1] if units.narrow else raw
+            if raws and (not units.narrow or size + len(piece) > BYTES):
+                yield g, blobs, texts, units.block(raws)
+                texts, raws, size = [], [], 0
+            texts.append((doc_id, mark, at))
+            raws.append(piece)
+            size += len(piece)
+    if raws:
+        yield last, blobs, texts, units.block(raws)
+
+
 def _anchors(units: Units, buckets: int):
     """Step 1. Rows (g, text) of one group."""
 
@@ -305,13 +415,12 @@ def _anchors(units: Units, buckets: int):
     def rows(batches):
         held: list[tuple] = []
         size, last = 0, None
-        for g, text in _rows(batches):
+        for g, _, _, block in _in_blocks(units, ((g, 1, None, None, text, None) for g, text in _rows(batches))):
             if held and (g != last or size > HELD_SEGMENTS):
                 yield from sent(last, held)
                 held, size = [], 0
-            _, n, anchor, multi = units.segments(units.values(text.encode()))
-            held.append((anchor, n + units.window - 1, multi))
-            size, last = size + len(n), g
+            held.append((block.anchor, block.n + units.window - 1, block.multi))
+            size, last = size + len(block.n), g
         if held:
             yield from sent(last, held)
 
@@ -365,30 +474,19 @@ def _keys(units: Units, buckets: int):
             yield bucket, g, packed(*_halves(keys[at]), told[at])
 
     def rows(batches):
-        last, blobs, repeated = None, [], None
+        last, repeated = None, None
         held: list[tuple] = []
         size = 0
-        for g, kind, _, _, text, blob in _rows(batches):
+        for g, blobs, _, block in _in_blocks(units, _rows(batches)):
             if held and (g != last or size > HELD_SEGMENTS):
                 yield from sent(last, held)
                 held, size = [], 0
             if g != last:
-                last, blobs, repeated = g, [], None
-            if kind == 0:
-                blobs.append(unpacked(blob, "<u8")[0])
-                continue
-            if repeated is None:
-                repeated = np.sort(np.concatenate([np.empty(0, _U), *blobs]))
-                anchors, blobs = repeated & ~_U(1), []
-            if not len(repeated):
-                continue
-            values = units.values(text.encode())
-            pos, n, anchor, _ = units.segments(values)
-            found = np.minimum(np.searchsorted(anchors, anchor), len(anchors) - 1)
-            hit = anchors[found] == anchor
-            if hit.any():
-                _, _, keys, owner = units.parts(values, pos[hit], n[hit], anchor[hit])
-                held.append((keys, (repeated[found[hit]] & _U(1))[owner].astype(np.int8)))
+                last, repeated = g, _Known(np.concatenate([np.empty(0, _U), *(unpacked(b, "<u8")[0] for b in blobs)]))
+            hit, split = repeated.find(block.anchor)
+            if len(hit):
+                _, _, keys, owner = block.parts(hit)
+                held.append((keys, split[np.searchsorted(hit, owner)].astype(np.int8)))
                 size += len(keys)
         if held:
             yield from sent(last, held)
@@ -425,81 +523,62 @@ class _Texts:
 
     def __init__(self, units: Units, repeated: np.ndarray):
         self.units = units
-        self.repeated = np.sort(repeated)
-        self.keys = self.repeated & ~_U(1)
+        self.repeated = _Known(repeated)
         self.base = 0
         self.clear()
 
     def clear(self) -> None:
         self.refs: dict[bytes, int] = {}
-        self.anchors: list[int] = []
-        self.copies: list[int] = []
-        self.least: list[int] = []
         self.bytes = 0
         self.docs: list[tuple[int, int, int]] = []  # id, mark, places
-        self.places: list[tuple[list[int], list[int]]] = []  # positions and texts
-
-    def text(self, piece: bytes, anchor: int, doc_id: int) -> int:
-        ref = self.refs.get(piece)
-        if ref is None:
-            ref = self.refs[piece] = len(self.anchors)
-            self.anchors.append(anchor)
-            self.copies.append(1)
-            self.least.append(doc_id)
-            self.bytes += len(piece) + 100
-        else:
-            self.copies[ref] += 1
-            if doc_id < self.least[ref]:
-                self.least[ref] = doc_id
-        return ref
-
-    def add(self, doc_id: int | None, mark: int, raw: bytes) -> None:
-        units, window = self.units, self.units.window
-        values = units.values(raw)
-        pos, n, anchor, _ = units.segments(values)
-        if not len(pos) or not len(self.keys):
-            return
-        key = anchor
+        self.places: list[tuple[np.ndarray, ...]] = []  # positions, texts, anchors, ids
+
+    def add(self, texts: list[Part], block: Block) -> None:
+        units, window, pos, n, anchor, owner = self.units, self.units.window, block.pos, block.n, block.anchor, block.text
         if units.narrow:
-            pos, n, key, owner = units.parts(values, pos, n, anchor)
-            anchor = anchor[owner]
-        found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = self.keys[found] == key
-        if not hit.any():
+            pos, n, key, segment = block.parts(np.arange(len(pos)))
+            anchor, owner = anchor[segment], owner[segment]
+            hit, apart = self.repeated.find(key)
+            segment = segment[hit]
+        else:
+            hit, apart = self.repeated.find(anchor)
+        if not len(hit):
             return
-        pos, n, anchor, apart = pos[hit], n[hit], anchor[hit], self.repeated[found[hit]] & _U(1)
+        pos, n, anchor, owner = pos[hit], n[hit], anchor[hit], owner[hit]
         if units.narrow:
             # Parts of one segment that both go are one text.
-            owner = owner[hit]
-            first = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (pos[1:] != pos[:-1] + n[:-1]) | (apart[1:] | apart[:-1]).astype(bool))))
-            pos, n, anchor, apart = pos[first], np.add.reduceat(n, first), anchor[first], apart[first]
-        split = apart.tolist()
-        cut, at, refs, key = units.cutter(raw), [], [], doc_id or 0
-        windows = grams(prefix(values), window).tolist() if any(split) else None
-        for p, m, a, apart in zip(pos.tolist(), n.tolist(), anchor.tolist(), split, strict=True):
-            if apart:
-                for k in range(p, p + m):
-                    at.append(k)
-                    refs.append(self.text(cut(k, k + window), windows[k], key))
-            else:
-                at.append(p)
-                refs.append(self.text(cut(p, p + m + window - 1), a, key))
-        self.docs.append((key, mark, len(at)))
-        self.places.append((at, refs))
+            first = np.flatnonzero(np.concatenate(([True], (segment[1:] != segment[:-1]) | (pos[1:] != pos[:-1] + n[:-1]) | apart[1:] | apart[:-1])))
+            pos, n, anchor, owner, apart = pos[first], np.add.reduceat(n, first), anchor[first], owner[first], apart[first]
+        if apart.any():
+            times = np.where(apart, n, 1)
+            inner = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            pos, n, anchor, owner, apart = np.repeat(pos, times) + inner, np.repeat(np.where(apart, 1, n), times), np.repeat(anchor, times), np.repeat(owner, times), np.repeat(apart, times)
+            anchor[apart] = grams(block.sums(), window)[pos[apart]]
+        known, put, have = len(self.refs), self.refs.setdefault, self.refs.__len__
+        refs = np.array([put(piece, have()) for piece in block.cut(pos, pos + n + window - 1)])
+        if len(self.refs) > known:
+            self.bytes += sum(map(len, islice(reversed(self.refs), len(self.refs) - known))) + 100 * (len(self.refs) - known)
+        ids = np.array([i or 0 for i, _, _ in texts], np.int64)
+        counts = np.bincount(owner, minlength=len(texts))
+        self.docs += [(i or 0, mark, m) for (i, mark, _), m in zip(texts, counts.tolist(), strict=True) if m]
+        begins = np.array([at for _, _, at in texts]) - block.first
+        self.places.append((pos + begins[owner], refs, anchor, ids[owner]))
 
     def sent(self, g: int, buckets: int) -> Iterator[tuple[int, int, bytes]]:
         """(kind 0, bucket, texts) and (kind 1, g, places)."""
         if self.docs:
-            pieces, anchors = list(self.refs), np.array(self.anchors, _U)
-            copies, least = np.array(self.copies, "<u4"), np.array(self.least, "<i8")
+            pieces = list(self.refs)
+            at, refs, every, ids = (np.concatenate(x) for x in zip(*self.places, strict=True))
+            anchors, copies, least = np.empty(len(pieces), _U), np.bincount(refs).astype("<u4"), np.full(len(pieces), (1 << 63) - 1)
+            anchors[refs] = every
+            np.minimum.at(least, refs, ids)
+            places, texts = at.astype("<u4"), refs.astype("<u4") + np.uint32(self.base)
             sizes = np.array([len(p) for p in pieces], "<u4")
             for bucket, at in _by(bucket_of(anchors, buckets)):
                 refs = (at + self.base).astype("<u4")
                 yield 0, bucket, struct.pack("<I", g) + packed(anchors[at], copies[at], least[at], refs, sizes[at], b"".join([pieces[k] for k in at.tolist()]))
-            at = np.concatenate([np.array(p, "<u4") for p, _ in self.places])
-            refs = np.concatenate([np.array(r, "<u4") for _, r in self.places]) + np.uint32(self.base)
             ids, marks, counts = (np.array(x, kind) for x, kind in zip(zip(*self.docs, strict=True), ("<i8", "<i8", "<u4"), strict=True))
-            yield 1, g, packed(ids, marks, counts, at, refs)
+            yield 1, g, packed(ids, marks, counts, places, texts)
             self.base += len(pieces)
             self.clear()
 
@@ -508,18 +587,14 @@ def _texts(units: Units, buckets: int):
     """Step 3. Rows of DOCS, a group's repeated anchors before its documents."""
 
     def rows(batches):
-        held, last, blobs = None, None, []
-        for g, kind, doc_id, mark, text, blob in _rows(batches):
+        held, last = None, None
+        for g, blobs, texts, block in _in_blocks(units, _rows(batches)):
             if g != last:
                 if held is not None:
                     yield from held.sent(last, buckets)
-                held, last, blobs = None, g, []
-            if kind == 0:
-                blobs.append(_joined(*unpacked(blob, "<u4", "u1")) if units.narrow else unpacked(blob, "<u8")[0])
-                continue
-            if held is None:
-                held = _Texts(units, np.concatenate([np.empty(0, _U), *blobs]))
-            held.add(doc_id, mark, text.encode())
+                told = (_joined(*unpacked(b, "<u4", "u1")) if units.narrow else unpacked(b, "<u8")[0] for b in blobs)
+                held, last = _Texts(units, np.concatenate([np.empty(0, _U), *told])), g
+            held.add(texts, block)
             if held.bytes > HELD_BYTES:
                 yield from held.sent(g, buckets)
         if held is not None:
@@ -542,61 +617,72 @@ def _verdicts(units: Units, resolve: Resolver):
     """Step 4. Rows (bucket, blob) sorted by bucket; whole anchors are indexed together up to INDEX_UNITS units."""
 
     def bucket_rows(held: list[tuple]) -> Iterator[tuple[int, bytes]]:
-        parts = [(struct.unpack_from("<I", blob)[0], unpacked(blob[4:], "<u8", "<u4", "<i8", "<u4", "<u4", "")) for (blob,) in held]
-        anchors = np.concatenate([p[0] for _, p in parts])
-        source = np.repeat(np.arange(len(parts)), [len(p[0]) for _, p in parts])
-        within = np.concatenate([np.arange(len(p[0])) for _, p in parts])
-        ends = [np.cumsum(p[4], dtype=np.int64).tolist() for _, p in parts]
-        columns = [(p[1].tolist(), p[2].tolist(), p[3].tolist(), p[5]) for _, p in parts]
+        parts = [unpacked(blob[4:], "<u8", "<u4", "<i8", "<u4", "<u4", "") for (blob,) in held]
+        anchors, copies, least, refs, sizes = (np.concatenate([p[k] for p in parts]) for k in range(5))
+        groups = np.repeat([struct.unpack_from("<I", blob)[0] for (blob,) in held], [len(p[0]) for p in parts])
+        text = b"".join([p[5] for p in parts])
+        del parts
+        end = np.cumsum(sizes, dtype=np.int64)
+        start = end - sizes
         order = np.argsort(anchors, kind="stable")
-        owners: list[list[tuple[int, int]]] = []  # for each text, its groups and their numbers for it
-        out: dict[int, list[tuple[int, int, int, int]]] = {}
+        found: list[tuple[np.ndarray, ...]] = []  # group, its number for the text, stretch of windows, least id
+        if not units.within:
+            # Of anchors with one text there is nothing to sort: all its windows are where the text is.
+            ranked = anchors[order]
+            lead = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+            times = np.diff(np.append(lead, len(order)))
+            model = np.repeat(order[lead], times)
+            one = np.fromiter((text[a:b] == text[c:d] for a, b, c, d in zip(start[order].tolist(), end[order].tolist(), start[model].tolist(), end[model].tolist(), strict=True)), bool, len(order))
+            one = np.logical_and.reduceat(one, lead)
+            goes = np.repeat(one & (np.add.reduceat(copies[order], lead, dtype=np.int64) > 1), times)
+            low = np.repeat(np.minimum.reduceat(least[order], lead), times)[goes]
+            at = order[goes]
+            found.append((groups[at], refs[at], np.zeros(len(at), "<u4"), sizes[at] - units.window + 1, low))
+            order = order[np.repeat(~one, times)]
+        owners: list[list[int]] = []  # for each text, the rows that have it
+        told: list[tuple[int, int, int, int]] = []
         index: list[Segment] = []
         group: dict[bytes, list[int]] = {}
         size, last = 0, None
 
         def judged() -> None:
             for number, spans in resolve(units, index) if index else ():
-                for g, ref in owners[number]:
-                    out.setdefault(g, []).extend((ref, a, b, ANY if low is None else low) for a, b, low in spans)
+                for row in owners[number]:
+                    told.extend((row, a, b, ANY if low is None else low) for a, b, low in spans)
             index.clear()
             owners.clear()
 
         def settled() -> None:
             nonlocal size
-            if len(group) == 1 and not units.within:
-                # One text: there is nothing to sort, all its windows are where the text is.
-                ((piece, (number, copies, least)),) = group.items()
-                for g, ref in owners[number] if copies > 1 else ():
-                    out.setdefault(g, []).append((ref, 0, len(piece) - units.window + 1, least))
-                group.clear()
-                return
-            for piece, (number, copies, least) in group.items():
-                index.append((last, number, piece, copies, least))
+            for piece, (number, n, low) in group.items():
+                index.append((last, number, piece, n, low))
                 size += piece.count(b" ") + 1 if units.words else len(piece)
             group.clear()
             if size >= INDEX_UNITS:
                 judged()
                 size = 0
 
-        for anchor, s, k in zip(anchors[order].tolist(), source[order].tolist(), within[order].tolist(), strict=True):
+        for row, anchor, n, low, a, b in zip(order.tolist(), *(c[order].tolist() for c in (anchors, copies, least, start, end)), strict=True):
             if anchor != last:
                 settled()
                 last = anchor
-            copies, least, refs, text = columns[s]
-            piece = text[ends[s][k - 1] if k else 0 : ends[s][k]]
-            if (found := group.get(piece)) is None:
-                group[piece] = [len(owners), copies[k], least[k]]
-                owners.append([(parts[s][0], refs[k])])
+            piece = text[a:b]
+            if (seen := group.get(piece)) is None:
+                group[piece] = [len(owners), n, low]
+                owners.append([row])
             else:
-                found[1] += copies[k]
-                found[2] = min(found[2], least[k])
-                owners[found[0]].append((parts[s][0], refs[k]))
+                seen[1] += n
+                seen[2] = min(seen[2], low)
+                owners[seen[0]].append(row)
         settled()
         judged()
-        for g, rows in out.items():
-            cols = list(zip(*rows, strict=True))
-            yield g, packed(*(np.array(c, kind) for c, kind in zip(cols, ("<u4", "<u4", "<u4", "<i8"), strict=True)))
+        if told:
+            rows, *spans = (np.array(c, kind) for c, kind in zip(zip(*told, strict=True), ("<i8", "<u4", "<u4", "<i8"), strict=True))
+            found.append((groups[rows], refs[rows], *spans))
+        if found:
+            group_of, *cols = (np.concatenate(c) for c in zip(*found, strict=True))
+            for g, at in _by(group_of):
+                yield g, packed(*(c[at].astype(kind) for c, kind in zip(cols, ("<u4", "<u4", "<u4", "<i8"), strict=True)))
 
     def run(batches):
         yield from _batches((row for _, held in _grouped(_rows(batches)) for row in bucket_rows(held)), "g int, blob binary")
