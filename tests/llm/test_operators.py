@@ -494,14 +494,16 @@ def test_bytes_end_to_end(monkeypatch):
                     assert bytes_by_steps(rows, groups, window, gram, split) == brute_bytes(rows, window), rows
 
 
-def test_known_numbers():
+def test_known_numbers(monkeypatch):
     r = np.random.default_rng(15)
     for n in (0, 1, 2, 3, 1000):
         told = r.integers(0, 1 << 63, n, np.uint64)
         asked = np.concatenate((told[::2], told[:5], r.integers(0, 1 << 63, 50, np.uint64))) & ~np.uint64(1)
         marks = {x & ~1: x & 1 for x in told.tolist()}
-        hit, mark = W._Known(told).find(asked)
-        assert [(k, marks[x]) for k, x in enumerate(asked.tolist()) if x in marks] == list(zip(hit.tolist(), mark.tolist(), strict=True))
+        for few in (0, 10_000):
+            monkeypatch.setattr(W, "FEW", few)
+            hit, mark = W._Known(told).find(asked)
+            assert [(k, marks[x]) for k, x in enumerate(asked.tolist()) if x in marks] == list(zip(hit.tolist(), mark.tolist(), strict=True))
 
 
 def test_short_repeats_send_no_texts(spark, monkeypatch):

@@ -48,6 +48,8 @@ SPLIT, INDEX_UNITS, SEGMENT_WINDOWS = 100_000, 200_000, 512
 #: Units that are hashed at once, and bytes: texts end to end; segments of a group, and bytes of their texts, that are held
 #: before they are sent.
 BLOCK, BYTES, HELD_SEGMENTS, HELD_BYTES = 1 << 20, 1 << 15, 2_000_000, 64 << 20
+#: Numbers for which a look into slots costs more than a search.
+FEW = 200
 #: Buckets for each partition, which a task takes one after the other.
 BUCKETS = 4
 
@@ -268,6 +270,10 @@ class _Known:
     def find(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the numbers the table has, and their marks."""
         keys = mixed(numbers)
+        if len(keys) < FEW and len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            hit = np.flatnonzero(self.keys[at] == keys)
+            return hit, self.marks[at[hit]]
         slot = (keys >> self.shift).astype(np.int64)
         at, end = self.edges[slot], self.edges[slot + 1]
         found = np.full(len(keys), -1)
